@@ -45,7 +45,7 @@ def random_key(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def with_prefix(df: DataFrame, group: str, key: str, ties: list[str], value: str, out: str, rows: int, per_range: int = 20_000) -> DataFrame:
+def with_prefix(df: DataFrame, group: str, key: str, ties: list[str], value: str, out: str, rows: int, per_range: int = 2_000) -> DataFrame:
     """Add `out`: the sum of `value` over the rows that stand before this one in its group.
 
     The order in a group is by `key` (a `random_key`, so its ranges hold equal shares), then

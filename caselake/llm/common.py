@@ -65,7 +65,7 @@ def with_prefix(df: DataFrame, group: str, key: str, ties: list[str], value: str
     return df.withColumn(out, (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_inside", "_group", "_at", "_before")
 
 
-def split_hot(df: DataFrame, key: str, member: str, most: int) -> DataFrame:
+def split_hot(df: DataFrame, key: str, member: str, most: int, keep_chunk: bool = False) -> DataFrame:
     """Add `lo` and `hi`, so that the rows of each (key, lo, hi) number about 2 * `most` at most.
 
     A key with up to `most` rows keeps them together as (0, 0). The members of a larger one
@@ -77,11 +77,11 @@ def split_hot(df: DataFrame, key: str, member: str, most: int) -> DataFrame:
     big = cut(big.select(F.col(key).alias("_big"), F.ceil(F.col("count") / most).cast("int").alias("_n")))
     keys = big.count()
     if keys == 0:
-        return df.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
+        return df.withColumns({c: F.lit(0) for c in ("lo", "hi", *["_chunk"] * keep_chunk)})
     df = df.join(F.broadcast(big) if keys <= BROADCAST_ROWS else big, F.col(key) == F.col("_big"), "left")
     chunk = F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit("chunk"), F.col(member)), F.col("_n"))).cast("int")
     df = df.withColumn("_chunk", chunk).withColumn("_other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_n"), F.lit(1)) - 1)))
-    return df.withColumns({"lo": F.least("_chunk", "_other"), "hi": F.greatest("_chunk", "_other")}).drop("_big", "_n", "_other", "_chunk")
+    return df.withColumns({"lo": F.least("_chunk", "_other"), "hi": F.greatest("_chunk", "_other")}).drop("_big", "_n", "_other", *["_chunk"] * (not keep_chunk))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, link_trust, mixing, packing, sharding, simhash_dedup, token_counts, toxicity
+from . import decontamination, embedding_dedup, link_trust, mixing, packing, sharding, simhash_dedup, surrogates, token_counts, toxicity
 from .common import table
 
+#: The key of the registered query only; real runs pass a secret of their own.
+SURROGATE_KEY = "example key"
+
 
 def op1_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
@@ -31,6 +34,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_sections(table(spark, sf_dir, "documents"))
 
 
+def op6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_personal(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_toxicity": op3_toxicity,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_surrogates": op6_surrogates,
     "op7_decontaminate": op7_decontaminate,
     "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,

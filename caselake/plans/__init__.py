@@ -1,0 +1,4 @@
+"""Registered queries over the driver's tables; importing this fills the registry."""
+
+from . import catalogs, linking, logs, sequences, triaging  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401

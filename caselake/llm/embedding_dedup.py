@@ -30,7 +30,7 @@ LEAST = 0.95
 BLOCK_DIMS = 8
 GRID_DIMS = 2
 #: A cell's rows beyond this number are dealt into chunks.
-CHUNK = 2048
+CHUNK = 16384
 #: Room for rounding in the candidate search; the cosine itself has none.
 SLACK = 1e-6
 #: More room for the first, single-precision look at a block's distances.

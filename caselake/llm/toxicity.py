@@ -188,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             out = [matcher.measure(t) for t in batch["text"]]
             yield pd.DataFrame({"total": [a for a, _ in out], "words": [b for _, b in out], "toxic": batch["toxic"]})
 
-    rows = sample.mapInPandas(measured, "total double, words long, toxic int").orderBy("toxic", "total", "words").toPandas()
+    rows = sample.mapInPandas(measured, "total double, words long, toxic int").toPandas().sort_values(["toxic", "total", "words"])
     return lexicon, fit(features(rows["total"].to_numpy(), rows["words"].to_numpy()), rows["toxic"].to_numpy(dtype=float))
 
 

@@ -1,8 +1,8 @@
 """Byte-level scans over chunks of images: signatures, declared lengths, frames, location sentences.
 
 Chunks are (image, start_b, bytes) rows as `sources.chunks` reads them, each with some
-bytes of the one before, so that a pattern across a border is seen whole; rows found twice
-become one.
+bytes of the one before (752 at least), so that a pattern across a border is seen whole;
+rows found twice become one.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ TS_PACKET = 188
 ANNEX_B_REACH = 512
 
 
-def _hits(data: bytes) -> Iterator[tuple[int, str, int | None]]:
+def _hits(data: bytes, start: int) -> Iterator[tuple[int, str, int | None]]:
     for name, pattern, back in SIGNATURES:
         for m in re.finditer(b"(?s)" + pattern, data):
             if m.start() >= back:
@@ -42,7 +42,7 @@ def _hits(data: bytes) -> Iterator[tuple[int, str, int | None]]:
                 yield m.start() - back, name, size
     at = data.find(b"\x47")
     while at >= 0:
-        if at + 3 * TS_PACKET < len(data) and all(data[at + k * TS_PACKET] == 0x47 for k in (1, 2, 3)) and (at < TS_PACKET or data[at - TS_PACKET] != 0x47):
+        if at + 3 * TS_PACKET < len(data) and all(data[at + k * TS_PACKET] == 0x47 for k in (1, 2, 3)) and (start == 0 if at < TS_PACKET else data[at - TS_PACKET] != 0x47):
             yield at, "ts", None
         at = data.find(b"\x47", at + 1)
     for m in re.finditer(rb"\x00\x00\x01(?:[\x27\x47\x67]|\x40\x01)", data):
@@ -55,7 +55,7 @@ def scan_signatures(chunks: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, s + at, name, None if size is None or size < 12 else size + 8) for i, s, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True) for at, name, size in _hits(bytes(data))]
+            rows = [(i, s + at, name, None if size is None or size < 12 else size + 8) for i, s, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True) for at, name, size in _hits(bytes(data), s)]
             out = pd.DataFrame(rows, columns=["image", "offset", "signature", "declared"])
             out["declared"] = out["declared"].astype("Int64")
             yield out
@@ -158,7 +158,8 @@ def track_points(chunks: DataFrame) -> DataFrame:
 
 
 #: Layout of a frame header of the DHAV format.
-FRAME_HEADER = struct.Struct("<4sBBBBIIIHBB")
+FRAME_HEADER = "<4sBBBBIIIHBB"
+FRAME_HEADER_SIZE = struct.calcsize(FRAME_HEADER)
 VIDEO_TYPES = (0xFC, 0xFD)
 AUDIO_TYPES = (0xF0,)
 
@@ -172,9 +173,9 @@ def frame_headers(chunks: DataFrame) -> DataFrame:
             for image, start, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True):
                 data = bytes(data)
                 for m in re.finditer(b"DHAV", data):
-                    if m.start() + FRAME_HEADER.size <= len(data):
-                        _, kind, _, channel, _, _, length, date, counter, _, _ = FRAME_HEADER.unpack_from(data, m.start())
-                        if length >= FRAME_HEADER.size + 8 and length < 1 << 26:
+                    if m.start() + FRAME_HEADER_SIZE <= len(data):
+                        _, kind, _, channel, _, _, length, date, counter, _, _ = struct.unpack_from(FRAME_HEADER, data, m.start())
+                        if length >= FRAME_HEADER_SIZE + 8 and length < 1 << 26:
                             rows.append((image, start + m.start(), kind, channel, date, counter, length, kind in VIDEO_TYPES))
             yield pd.DataFrame(rows, columns=["image", "offset", "type", "channel", "packed_date", "counter", "length", "is_video"])
 

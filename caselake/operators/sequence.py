@@ -127,9 +127,9 @@ def frame_runs(units: DataFrame, least_video: int = 30, slack: int = 0) -> DataF
 def mark_duplicates(records: DataFrame, order: list[str]) -> DataFrame:
     """`records` with duplicate_of: the first record of the same hash in the order; null for the first and for unhashed ones. The first is found by aggregation, so a hash that many rows share is no single task."""
     sha = F.nullif(F.lower("sha256"), F.lit(""))
-    first = records.filter(sha.isNotNull()).groupBy(sha.alias("_sha")).agg(F.min(F.struct(*order, "id")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    first = records.filter(sha.isNotNull()).groupBy(sha.alias("_sha")).agg(F.min(F.struct(*order, F.col("id").alias("_id"))).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
     j = records.join(first, sha == F.col("_sha"), "left")
-    return j.withColumn("duplicate_of", F.when(F.col("_first.id") != F.col("id"), F.col("_first.id"))).drop("_sha", "_first", "_n")
+    return j.withColumn("duplicate_of", F.when(F.col("_first._id") != F.col("id"), F.col("_first._id"))).drop("_sha", "_first", "_n")
 
 
 def compress_runs(events: DataFrame, order: list[str], lane: str = "lane") -> DataFrame:

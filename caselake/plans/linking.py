@@ -98,13 +98,17 @@ def j9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.live_overlay(a.select(F.col("doc_id").alias("ord"), "id", "source_path", "sha256"), b.select(F.col("doc_id").alias("line_no"), new_id.alias("id"), "source_path", "sha256"))
 
 
-@query("j10_channel_mates", f"""WITH {V.NAMES}, k AS (SELECT id, CASE id % 4 WHEN 0 THEN 'F' WHEN 1 THEN 'R' WHEN 2 THEN 'R' END AS channel, lower(regexp_replace(path, '/[^/]*$', '')) || '|' || regexp_extract(path, '(\\d{{8}}_\\d{{6}})', 1) AS pair_key FROM names)
+@query("j10_channel_mates", """WITH k AS (SELECT event_id AS id, event_id // 4 AS pair_key, ['F', 'R', 'R', NULL][(event_id % 4 + 1)::INTEGER] AS channel FROM events)
 SELECT a.id, b.id AS mate_id FROM k a JOIN k b USING (pair_key) WHERE a.id <> b.id AND a.channel <> b.channel""")
 def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.paths import channel_code, pair_key
 
-    n = V.names(spark, sf_dir)
-    return L.channel_mates(n.select("id", pair_key(F.col("path")).alias("pair_key"), channel_code(F.col("path")).alias("channel")))
+    n = F.col("event_id")
+    side = F.element_at(F.array(*map(F.lit, ("_F", "_R", "-rear", ""))), (n % 4 + 1).cast("int"))
+    clip = F.expr("cast(event_id div 4 as string)")
+    path = F.concat(F.lit("/cam/clip"), clip, side, F.lit(".mp4"))
+    c = V.table(spark, sf_dir, "events").select(n.alias("id"), path.alias("path"))
+    return L.channel_mates(c.select("id", pair_key(F.col("path")).alias("pair_key"), channel_code(F.col("path")).alias("channel")))
 
 
 @query("j11_record_status", f"""WITH {V.CATALOG}, {V.ENTRIES}, v AS (SELECT 'vid_' || lpad((lane + 1)::VARCHAR, 6, '0') AS id, line_no, usable, is_repair FROM entries),

@@ -30,7 +30,7 @@ FIRST_NAMES = {
     "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Karen", "Anna", "Sabine", "Ursula", "Monika", "Marie", "Nathalie", "Isabelle", "Sylvie", "María", "Carmen", "Lucía", "Анна", "Мария", "Елена", "Ольга", "Наталья"),
 }
 SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
-EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
 ACCESS_KEY = r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
@@ -39,8 +39,8 @@ PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?[ ]"
 _FIRST = "(?:" + "|".join(n for ns in FIRST_NAMES.values() for n in ns) + ")"
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE}{_NAME}(?:[ ]{_NAME})?|{_FIRST}[ ]{_NAME})"
-ANY = "|".join([rf"{SECRET}[^\s\"']{{6,}}", EMAIL, ACCESS_KEY, IP, CARD, PHONE, PERSON])
+PERSON = rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:{_TITLE}{_NAME}(?:[ ]{_NAME})?|{_FIRST}[ ]{_NAME})"
+ANY = "|".join([rf"(?=[PpSsTtAa]){SECRET}[^\s\"']{{6,}}", EMAIL, ACCESS_KEY, IP, CARD, PHONE, PERSON])
 #: Candidates drawn for an entity before giving up (a format with fewer words than entities).
 ATTEMPTS = 24
 
@@ -175,7 +175,9 @@ def replace_personal(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     Rows that repeat an id are replaced each by its text.
     """
     slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    slim = slim.withColumns({"_row": F.xxhash64("_id", "_text"), "_found": F.coalesce(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))})
+    found = F.coalesce(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    # As the output of a generator the matches are found once, not again for each filter on them.
+    slim = slim.withColumn("_row", F.xxhash64("_id", "_text")).withColumn("_found", F.explode(F.array(found)))
     holding = slim.filter(F.size("_found") > 0)
     places = holding.select("_row", F.posexplode("_found").alias("at", "found"))
     places = places.select("_row", "at", "found", F.posexplode(mentions(F.col("found"))).alias("part", "m"))

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +11,12 @@ from caselake.plans import views as V
 from caselake.streaming import streams as S
 
 
+@pytest.fixture(autouse=True)
+def no_empty_batches(spark):
+    """Processing-time state asks for empty batches without end, to fire its timers."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
 def run(df, name, mode="append"):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
     q.processAllAvailable()

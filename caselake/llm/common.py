@@ -87,21 +87,34 @@ def split_hot(df: DataFrame, key: str, member: str, most: int, keep_chunk: bool
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of `edges` (a long, b long): node, component (its smallest node).
 
-    Each round lets every node take the smallest label among its neighbours', then that
-    label's own label. Labels and edges lie in the checkpoint folder, so that both sides of
-    a join come straight from an exchange and a node with many edges can be split.
-    Raises if the labels still change after `most_rounds`; each round at least doubles the
-    reach of a label.
+    Each round, every node moves to its smallest neighbour if that is smaller, then twice to
+    where its place has moved, and the edges are drawn anew between the places. A node moves
+    along edges only, to smaller nodes only, so components stay whole and end at their
+    smallest node; the edges shrink by a factor each round and are gone in the end.
+    Labels and edges lie in the checkpoint folder, so that both sides of a join come straight
+    from an exchange and a node with many edges can be split.
     """
-    both = edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select(F.col("b"), F.col("a"))).distinct()
-    both = cut(both)
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
+    e = edges.filter("a <> b").select("a", "b")
+    e = cut(e.union(e.select("b", "a")).distinct())
+    label = None
     for _ in range(most_rounds):
-        near = both.join(label, both.a == label.node).groupBy(F.col("b").alias("dst")).agg(F.min("component").alias("near"))
-        hooked = cut(label.join(near, label.node == near.dst).select("node", F.col("component").alias("was"), F.least("component", "near").alias("component")))
-        jump = hooked.select(F.col("node").alias("root"), F.col("component").alias("further"))
-        new = cut(hooked.join(jump, hooked.component == jump.root).select("node", "was", F.least("component", "further").alias("component")))
-        label = new.select("node", "component")
-        if new.filter("component <> was").isEmpty():
-            return label
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")
+        if e.isEmpty():
+            break
+        move = cut(e.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("root")))
+        twice = _then(move, move)
+        move = cut(_then(twice, twice))
+        label = move if label is None else cut(_then(label, move))
+        at = lambda end: move.select(F.col("node").alias(f"_{end}"), F.col("root").alias(f"{end}_root"))
+        e = e.join(at("a"), F.col("a") == F.col("_a")).join(at("b"), F.col("b") == F.col("_b"))
+        e = cut(e.filter("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct())
+    else:
+        raise RuntimeError(f"edges are left after {most_rounds} rounds")
+    if label is None:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return label.withColumnRenamed("root", "component")
+
+
+def _then(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(node, root): where `second` takes the root that `first` gives; roots it does not know stay."""
+    go = second.select(F.col("node").alias("_from"), F.col("root").alias("_to"))
+    return first.join(go, F.col("root") == F.col("_from"), "left").select("node", F.coalesce("_to", "root").alias("root"))

@@ -366,7 +366,7 @@ def test_mixing(spark, edge, none):
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and math.isclose(r["target"], target[r["source"]]) and 0 <= r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
-    assert len(got) == len(rows) and all(taken[s] == round(target[s]) for s in names)
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 0.5 for s in names)
     again = mixing.mix_plan(spark.createDataFrame(rows[::-1], DOC).repartition(3)).collect()
     assert Counter(again) == Counter(got)
     mixed = mixing.mix(spark.createDataFrame(rows, DOC))

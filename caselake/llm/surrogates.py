@@ -13,6 +13,8 @@ candidates that clash are drawn anew, for all entities but one, until none does.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,7 +42,9 @@ _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?[ ]"
 _FIRST = "(?:" + "|".join(n for ns in FIRST_NAMES.values() for n in ns) + ")"
 PERSON = rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:{_TITLE}{_NAME}(?:[ ]{_NAME})?|{_FIRST}[ ]{_NAME})"
-ANY = "|".join([rf"(?=[PpSsTtAa]){SECRET}[^\s\"']{{6,}}", EMAIL, ACCESS_KEY, IP, CARD, PHONE, PERSON])
+#: Matches begin where a word or a run of digits does; this is looked at first, as few places pass.
+START = r"(?:(?<![\p{L}\p{N}])(?=[\p{L}+(_%.-])|(?<!\d)(?=\d))"
+ANY = START + "(?:" + "|".join([rf"(?=[PpSsTtAa]){SECRET}[^\s\"']{{6,}}", EMAIL, ACCESS_KEY, IP, CARD, PHONE, PERSON]) + ")"
 #: Candidates drawn for an entity before giving up (a format with fewer words than entities).
 ATTEMPTS = 24
 
@@ -168,18 +172,22 @@ def _as_found(token: Column, kind: Column, surrogate: Column) -> Column:
     return F.when(kind.isin("card", "phone"), in_place).when(kind == "email", cased).when(kind.contains(":"), person).otherwise(surrogate)
 
 
+def may_hold(text: Column) -> Column:
+    """False for texts that surely match nothing: without a digit, an @, a sign of assignment, an access key's head or a person."""
+    signs = [text.contains(c) for c in "0123456789@=:"] + [text.contains(k) for k in ("AKIA", "ASIA")]
+    return reduce(Column.__or__, signs) | text.rlike(PERSON)
+
+
 def replace_personal(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, text with surrogates, entities (kind, surrogate in order of the text).
 
     Texts without personal data, empty and null ones come back as they are, with no entities.
     Rows that repeat an id are replaced each by its text.
     """
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    found = F.coalesce(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_row", F.xxhash64("_id", "_text"))
     # As the output of a generator the matches are found once, not again for each filter on them.
-    slim = slim.withColumn("_row", F.xxhash64("_id", "_text")).withColumn("_found", F.explode(F.array(found)))
-    holding = slim.filter(F.size("_found") > 0)
-    places = holding.select("_row", F.posexplode("_found").alias("at", "found"))
+    found = slim.filter(may_hold(F.col("_text"))).select("_row", F.explode(F.array(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))).alias("_found"))
+    places = found.select("_row", F.posexplode("_found").alias("at", "found"))
     places = places.select("_row", "at", "found", F.posexplode(mentions(F.col("found"))).alias("part", "m"))
     places = cut(places.select("_row", "at", "part", "found", "m.kind", "m.norm", "m.token").distinct())
     chosen = choose(cut(places.select("kind", "norm").distinct()), key)
@@ -187,7 +195,7 @@ def replace_personal(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     named = named.withColumn("new", _as_found(F.col("token"), F.col("kind"), F.col("surrogate")))
     told = named.groupBy(F.col("_row").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("at", "part", "found", "kind", "token", "new"))).alias("named"))
 
-    joined = holding.join(told, F.col("_row") == F.col("_key"))
+    joined = slim.join(told, F.col("_row") == F.col("_key"), "left").withColumn("_found", F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))
     gaps = F.split("_text", ANY, -1)
 
     def renewed(i: Column) -> Column:
@@ -198,7 +206,10 @@ def replace_personal(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
         return F.concat(lead, F.concat_ws(" ", F.transform(own, lambda m: m["new"])))
 
     pieces = F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size("_found"), renewed(i)).otherwise("")))
-    changed = joined.select("_id", F.concat_ws("", pieces).alias("_text"), F.transform("named", lambda m: F.struct(m["kind"].alias("kind"), m["new"].alias("surrogate"))).alias("entities"))
-    same = slim.filter(F.size("_found") == 0).select("_id", "_text", F.array().cast("array<struct<kind:string,surrogate:string>>").alias("entities"))
-    out = changed.unionByName(same)
-    return out.select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), "entities")
+    entities = F.transform("named", lambda m: F.struct(m["kind"].alias("kind"), m["new"].alias("surrogate")))
+    none = F.array().cast("array<struct<kind:string,surrogate:string>>")
+    return joined.select(
+        F.col("_id").alias(id_col),
+        F.when(F.col("_key").isNull(), F.col("_text")).otherwise(F.concat_ws("", pieces)).alias(text_col),
+        F.when(F.col("_key").isNull(), none).otherwise(entities).alias("entities"),
+    )

@@ -31,8 +31,9 @@ DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a",
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "class clown")
 #: Labelled documents that the lexicon is learned from, at most, by label.
 LEARN_TOXIC, LEARN_CLEAN = 2500, 4000
-#: A term needs this likelihood ratio (G squared) and log odds; the lexicon has so many terms at most.
-LEAST_G2, LEAST_WEIGHT, MOST_TERMS = 27.0, 3.0, 3000
+#: A term needs this likelihood ratio (G squared), log odds and share of the toxic documents (else
+#: a few copies of one document make terms of its words); the lexicon has so many terms at most.
+LEAST_G2, LEAST_WEIGHT, LEAST_SHARE, MOST_TERMS = 27.0, 3.0, 0.01, 3000
 PREFIXES = range(4, 9)
 
 
@@ -99,7 +100,7 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
     part = lambda n, of: F.when(n > 0, n * F.log(n / of)).otherwise(0.0)
     both = F.col("t") + F.col("c")
     g2 = 2 * (part(F.col("t"), both * share) + part(F.col("c"), both * (1 - share)))
-    found = seen.select("term", weight.alias("weight"), g2.alias("g2")).filter(f"weight >= {LEAST_WEIGHT} and g2 >= {LEAST_G2}")
+    found = seen.select("term", "t", weight.alias("weight"), g2.alias("g2")).filter((F.col("t") >= LEAST_SHARE * nt) & (F.col("weight") >= LEAST_WEIGHT) & (F.col("g2") >= LEAST_G2))
     rows = found.orderBy(F.desc("g2"), "term").limit(MOST_TERMS).collect()
     lexicon: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
@@ -161,13 +162,13 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> list[float]:
 
 
 def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, toxic) of labelled documents outside the held-out fifth, so many of each label at most, by hash of the id."""
+    """(text, toxic) of labelled documents outside the held-out fifth, so many of each label at most, by hash of the id; equal texts once."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("toxic"))
     keyed = known.withColumn("_key", random_key(F.lit("learn"), F.col("_id")))
     some = lambda label, n: keyed.filter(F.col("toxic") == label).orderBy("_key", "_id").limit(n)
     chosen = some(1, LEARN_TOXIC).unionByName(some(0, LEARN_CLEAN)).select("_id", "toxic")
     found = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-    return found.select("text", "toxic")
+    return found.groupBy("text").agg(F.max("toxic").alias("toxic"))
 
 
 def held_out(id_col: str):

@@ -28,6 +28,9 @@ def test_query(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
     cols = sorted(df.columns)
     rows = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+    if name not in ORACLES:
+        assert rows
+        return
     there = [d[0] for d in duck.sql(f"DESCRIBE {ORACLES[name]}").fetchall()]
     assert sorted(there) == cols
     want = sorted((tuple(plain(r[there.index(c)]) for c in cols) for r in duck.sql(ORACLES[name]).fetchall()), key=repr)

@@ -39,31 +39,35 @@ def compare_catalogs(a: DataFrame, b: DataFrame) -> DataFrame:
     a_id, b_id, basis (sha256, path).
     """
 
-    def ranked(df: DataFrame, by: list[str], keep: Column | None = None) -> DataFrame:
-        df = df if keep is None else df.filter(keep)
-        return df.withColumn("rn", F.row_number().over(Window.partitionBy(*by).orderBy("source_path", "id")))
-
-    def slim(df: DataFrame) -> DataFrame:
-        return df.select("id", "source_path", "size_bytes", clean_hash(F.col("sha256")).alias("sha"))
-
-    def side(df: DataFrame, p: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-
-    a, b = slim(a), slim(b)
-    has = F.col("sha").isNotNull()
-    ha, hb = side(ranked(a, ["sha"], has), "a"), side(ranked(b, ["sha"], has), "b")
-    same = ha.join(hb, (F.col("a_sha") == F.col("b_sha")) & (F.col("a_rn") == F.col("b_rn"))).select("a_id", "b_id")
-    a2 = a.join(same.select(F.col("a_id").alias("id")), "id", "left_anti")
-    b2 = b.join(same.select(F.col("b_id").alias("id")), "id", "left_anti")
-    pa, pb = side(ranked(a2, ["source_path"]), "a"), side(ranked(b2, ["source_path"]), "b")
-    pairs = pa.join(pb, (F.col("a_source_path") == F.col("b_source_path")) & (F.col("a_rn") == F.col("b_rn")))
-    mismatch = F.col("a_sha").isNotNull() & F.col("b_sha").isNotNull()
-    relation = F.when(mismatch, "hash_mismatch_same_path").when(F.col("a_size_bytes").eqNullSafe(F.col("b_size_bytes")), "both")
-    pairs = pairs.withColumn("relation", relation).filter("relation is not null").select("relation", "a_id", "b_id", F.lit("path").alias("basis"))
-    only_a = a2.join(pairs.select(F.col("a_id").alias("id")), "id", "left_anti").select(F.lit("only_a").alias("relation"), F.col("id").alias("a_id"), F.lit(None).cast("string").alias("b_id"), F.lit(None).cast("string").alias("basis"))
-    only_b = b2.join(pairs.select(F.col("b_id").alias("id")), "id", "left_anti").select(F.lit("only_b").alias("relation"), F.lit(None).cast("string").alias("a_id"), F.col("id").alias("b_id"), F.lit(None).cast("string").alias("basis"))
-    both = same.select(F.lit("both").alias("relation"), "a_id", "b_id", F.lit("sha256").alias("basis"))
-    return reduce(DataFrame.unionByName, [both, pairs, only_a, only_b])
+    def ranked(df: DataFrame, p: str) -> DataFrame:
+        """Columns p_id ... with the rank among rows of equal content; an unhashed row is alone, so that these are no hot group."""
+        d = df.select("id", "source_path", "size_bytes", clean_hash(F.col("sha256")).alias("sha"))
+        alone = F.coalesce("sha", F.concat(F.lit("\0"), "id"))
+        d = d.withColumn("rn", F.row_number().over(Window.partitionBy(alone).orderBy("source_path", "id")))
+        return d.select(*[F.col(c).alias(f"{p}_{c}") for c in d.columns])
+
+    by_hash = ranked(a, "a").join(ranked(b, "b"), (F.col("a_sha") == F.col("b_sha")) & (F.col("a_rn") == F.col("b_rn")), "full_outer")
+    matched = F.col("a_id").isNotNull() & F.col("b_id").isNotNull()
+    both = by_hash.filter(matched).select(F.lit("both").alias("relation"), "a_id", "b_id", F.lit("sha256").alias("basis"))
+
+    fields = ("id", "source_path", "size_bytes", "sha")
+    row = lambda p: F.struct(*[F.col(f"{p}_{f}").alias(f) for f in fields])
+    rest = by_hash.filter(~matched).select(F.col("a_id").isNotNull().alias("is_a"), F.when(F.col("a_id").isNotNull(), row("a")).otherwise(row("b")).alias("r"))
+    rest = rest.withColumn("rn", F.row_number().over(Window.partitionBy("is_a", "r.source_path").orderBy("r.id")))
+    pair = rest.groupBy("r.source_path", "rn").agg(F.max(F.when(F.col("is_a"), F.col("r"))).alias("a"), F.max(F.when(~F.col("is_a"), F.col("r"))).alias("b"))
+    here = F.col("a").isNotNull() & F.col("b").isNotNull()
+    mismatch = here & F.col("a.sha").isNotNull() & F.col("b.sha").isNotNull()
+    same = here & ~mismatch & F.col("a.size_bytes").eqNullSafe(F.col("b.size_bytes"))
+    out = lambda relation, x, y, basis: F.struct(F.lit(relation).alias("relation"), x.alias("a_id"), y.alias("b_id"), F.lit(basis).cast("string").alias("basis"))
+    none = F.lit(None).cast("string")
+    x, y = F.col("a.id"), F.col("b.id")
+    rows = F.array_compact(F.array(
+        F.when(mismatch, out("hash_mismatch_same_path", x, y, "path")),
+        F.when(same, out("both", x, y, "path")),
+        F.when(F.col("a").isNotNull() & ~mismatch & ~same, out("only_a", x, none, None)),
+        F.when(F.col("b").isNotNull() & ~mismatch & ~same, out("only_b", none, y, None)),
+    ))
+    return both.unionByName(pair.select(F.explode(rows).alias("o")).select("o.*"))
 
 
 def accuracy(expected: DataFrame, indexed: DataFrame) -> DataFrame:

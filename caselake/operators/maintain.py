@@ -167,7 +167,8 @@ def timeline(catalog: DataFrame, carve: DataFrame, lanes: DataFrame) -> tuple[Da
     return all_.filter("ts_unix is not null"), coverage
 
 
-def in_time_order(events: DataFrame, partitions: int = 64) -> DataFrame:
-    """Events in their total order: ranges of time by partition, each sorted."""
-    cols = ["ts_unix", "source", "kind", "path", "detail"]
-    return events.repartitionByRange(partitions, *cols).sortWithinPartitions(*cols)
+def in_time_order(events: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Events in their total order: ranges of time by partition (the session's number unless given), each sorted."""
+    cols = [F.col(c) for c in ("ts_unix", "source", "kind", "path", "detail")]
+    ranged = events.repartitionByRange(*cols) if partitions is None else events.repartitionByRange(partitions, *cols)
+    return ranged.sortWithinPartitions(*cols)

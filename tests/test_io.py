@@ -2,13 +2,9 @@
 
 import json
 
-import pytest
-from pyspark.sql import functions as F
-
 from caselake.operators import bytescan
 from caselake.sources import chunks, readers, sinks
 
-
 def test_records_and_coverage(spark, tmp_path):
     p = tmp_path / "videos.jsonl"
     p.write_text('{"id":"a","size_bytes":1,"modified_unix":0}\n\n{"id":"b","index_status":"stale","modified_unix":7}\n{"size_bytes":2}\n{"id":"c"\n')

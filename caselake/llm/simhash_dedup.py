@@ -22,7 +22,7 @@ compared exactly. Rows of a very frequent key are dealt into chunks that meet pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -243,12 +243,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one document of each class: that of the smallest id.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """`docs` with one document of each class that `classes` finds: that of the smallest id.
 
     Of rows that repeat the id of one that stays, one stays. Rows without an id all stay.
     """
-    marks = near_duplicates(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
+    marks = classes(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
     counts = cut(marks.groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")))
     gone = counts.filter("not _kept or _rows > 1").select("_id")
     stay = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")

@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caselake.llm import decontamination, mixing, sharding, simhash_dedup, toxicity
+from caselake.llm import decontamination, mixing, sharding, shingle_dedup, simhash_dedup, toxicity
 from caselake.llm.common import table
 
 SHARDS = 8
@@ -24,8 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked fingerprints, the document with the smallest id stays."""
-    return simhash_dedup.drop_near_duplicates(docs)
+    """Of each class of documents whose 5-word shingles are alike to 0.8 or more, the one with the smallest id stays."""
+    return simhash_dedup.drop_near_duplicates(docs, classes=shingle_dedup.similar_duplicates)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,9 +42,10 @@ _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?[ ]"
 _FIRST = "(?:" + "|".join(n for ns in FIRST_NAMES.values() for n in ns) + ")"
 PERSON = rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:{_TITLE}{_NAME}(?:[ ]{_NAME})?|{_FIRST}[ ]{_NAME})"
-#: Matches begin where a word or a run of digits does; this is looked at first, as few places pass.
+#: Looked at first, as few places pass: a word or a run of digits begins. Only patterns that ask this themselves stand behind it.
 START = r"(?:(?<![\p{L}\p{N}])(?=[\p{L}+(_%.-])|(?<!\d)(?=\d))"
-ANY = START + "(?:" + "|".join([rf"(?=[PpSsTtAa]){SECRET}[^\s\"']{{6,}}", EMAIL, ACCESS_KEY, IP, CARD, PHONE, PERSON]) + ")"
+#: Secrets, access keys and phones may stand right behind a letter (clientSecret=..., Tel(555) ...).
+ANY = "(?:" + "|".join([rf"(?=[PpSsTtAa]){SECRET}[^\s\"']{{6,}}", START + EMAIL, rf"(?=A){ACCESS_KEY}", rf"(?=\d)(?:{IP}|{CARD})", rf"(?=[+(\d])(?:{PHONE})", START + PERSON]) + ")"
 #: Candidates drawn for an entity before giving up (a format with fewer words than entities).
 ATTEMPTS = 24
 

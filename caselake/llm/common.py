@@ -22,19 +22,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the cluster's checkpoint folder and forget its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset and the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+    return folder.rstrip("/")
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local
-    tests) a temporary one is made.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise `df` in the cluster's checkpoint folder and forget its lineage."""
     spark = reachable(df.sparkSession)
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, base: str) -> str:
+    """A column name that `df` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def word_count(text: Column) -> Column:
     """Number of runs of characters other than the ASCII spaces; 0 for null."""
     words = F.split(F.regexp_replace(text, f"^{SPACE}|{SPACE}$", ""), SPACE)

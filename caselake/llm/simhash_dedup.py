@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, split_hot
+from .common import components, cut, split_hot, unused
 
 #: Generator polynomial of the binary Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
@@ -155,7 +155,7 @@ def forest(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(child), np.concatenate(parent)) if child else (none, none)
 
 
-def _links_of_run(run: pd.DataFrame) -> pd.DataFrame:
+def _links_of_run(run: pd.DataFrame, radius: int) -> pd.DataFrame:
     """Links among rows of equal (key, lo, hi), which stand together in `run`."""
     fps, node = run["fp"].to_numpy().view(np.uint64), run["node"].to_numpy()
     same = np.ones(len(run), dtype=bool)
@@ -171,17 +171,17 @@ def _links_of_run(run: pd.DataFrame) -> pd.DataFrame:
         here = np.flatnonzero(small[off:] & (np.repeat(first, sizes)[off:] == np.repeat(first, sizes)[:-off]))
         if not len(here):
             break
-        here = here[np.bitwise_count(fps[here] ^ fps[here + off]) <= RADIUS]
+        here = here[np.bitwise_count(fps[here] ^ fps[here + off]) <= radius]
         a.append(node[here])
         b.append(node[here + off])
     for at, n in zip(first[sizes > 16], sizes[sizes > 16], strict=True):
-        child, parent = forest(fps[at : at + n])
+        child, parent = forest(fps[at : at + n], radius)
         a.append(node[at : at + n][child])
         b.append(node[at : at + n][parent])
     return pd.DataFrame({"a": np.concatenate(a) if a else node[:0], "b": np.concatenate(b) if b else node[:0]}).drop_duplicates()
 
 
-def link_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def link_runs(batches: Iterator[pd.DataFrame], radius: int = RADIUS) -> Iterator[pd.DataFrame]:
     """Over rows sorted by (key, lo, hi): the links within each run of equal ones."""
     held: list[pd.DataFrame] = []
     for batch in batches:
@@ -195,9 +195,16 @@ def link_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         run = pd.concat([*held, batch[~open_]]) if held else batch[~open_]
         held = [batch[open_]]
         if len(run):
-            yield _links_of_run(run)
+            yield _links_of_run(run, radius)
     if held:
-        yield _links_of_run(pd.concat(held))
+        yield _links_of_run(pd.concat(held), radius)
+
+
+def link_keyed(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(node, component) of the nodes (key, fp, node) that share a key and differ in `radius` bits of fp at most."""
+    dealt = split_hot(keys, "key", "node", CHUNK)
+    met = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return components(met.select("key", "lo", "hi", "fp", "node").mapInPandas(lambda batches: link_runs(batches, radius), "a long, b long"))
 
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
@@ -213,11 +220,7 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
                 row, key = join_keys(part["fp"].to_numpy().view(np.uint64))
                 yield pd.DataFrame({"key": key, "fp": part["fp"].to_numpy()[row], "node": part["node"].to_numpy()[row]})
 
-    keys = fps.mapInPandas(keyed, "key long, fp long, node long")
-    dealt = split_hot(keys, "key", "fp", CHUNK)
-    met = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    links = met.select("key", "lo", "hi", "fp", "node").mapInPandas(link_runs, "a long, b long")
-    return components(links)
+    return link_keyed(fps.mapInPandas(keyed, "key long, fp long, node long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,11 +251,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of rows that repeat the id of one that stays, one stays. Rows without an id all stay.
     """
-    marks = classes(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
-    counts = cut(marks.groupBy(F.col(id_col).alias("_id")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows")))
-    gone = counts.filter("not _kept or _rows > 1").select("_id")
-    stay = docs.join(gone, F.col(id_col) == F.col("_id"), "left_anti")
-    again = counts.filter("_kept and _rows > 1").select("_id")
+    slim = docs.select(id_col, text_col)
+    marks = classes(slim, id_col, text_col).filter(F.col(id_col).isNotNull())
+    key = unused(docs, "_id")
+    counts = cut(marks.groupBy(F.col(id_col).alias(key)).agg(F.max("kept").alias("kept"), F.count("*").alias("rows")))
+    gone = counts.filter("not kept or rows > 1").select(key)
+    stay = docs.join(gone, F.col(id_col) == F.col(key), "left_anti")
+    again = counts.filter("kept and rows > 1").select(key)
     if again.isEmpty():
         return stay
-    return stay.unionByName(docs.join(again, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col]))
+    return stay.unionByName(docs.join(again, F.col(id_col) == F.col(key), "left_semi").dropDuplicates([id_col]))

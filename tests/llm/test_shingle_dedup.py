@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from caselake.llm import shingle_dedup
 
 
@@ -57,6 +59,26 @@ def test_the_stage_drops_copies_with_edited_words(spark, sf):
 
     rows = texts()
     want = sorted(set(smallest(rows).values()))
-    got = P.drop_near_duplicates(spark, spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string"), sf)
+    docs = spark.createDataFrame([*rows, (None, rows[0][1])], "doc_id long, text string").selectExpr("*", "1 as _id", "2 as _ID_")
+    got = P.drop_near_duplicates(spark, docs, sf)
+    assert got.columns == docs.columns
     assert sorted(r["doc_id"] for r in got.collect() if r["doc_id"] is not None) == want
     assert got.filter("doc_id is null").count() == 1
+
+
+def test_longer_heads_bring_more_segments():
+    assert shingle_dedup.layout(10) == shingle_dedup.layout(200_000)
+    head, segments = shingle_dedup.layout(10**10)
+    assert head > 20 and (1 - 0.75 * 0.9**head) ** segments < 2e-3
+    assert shingle_dedup.layout(10**12)[0] <= shingle_dedup.BITS and -(-shingle_dedup.layout(10**12)[1] * 23 // 64) < len(shingle_dedup._DRAW)
+
+
+def test_keys_find_what_a_few_errors_leave():
+    rnd = np.random.default_rng(5)
+    for _ in range(50):
+        a = rnd.integers(0, 1 << 23, 21)
+        b = a.copy()
+        for at in rnd.integers(0, 21 * 23, 20):
+            b[at // 23] ^= 1 << (at % 23)
+        row, key = shingle_dedup.wide_keys(np.stack([a, b]), 8)
+        assert set(key[row == 0]) & set(key[row == 1])

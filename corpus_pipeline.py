@@ -7,13 +7,12 @@ of documents. Mixing repeats rows, one for each time that the mix takes the docu
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from caselake.llm import decontamination, mixing, sharding, shingle_dedup, simhash_dedup, toxicity
-from caselake.llm.common import table
+from caselake.llm.common import shared_folder, table
 
 SHARDS = 8
 
@@ -57,8 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written in the cluster's checkpoint folder and read again."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"

@@ -294,9 +294,12 @@ def words(rnd, n):
     return [f"w{rnd.randrange(400)}" for _ in range(n)]
 
 
-def test_decontamination_matches_brute_force(spark, edge, none):
+@pytest.mark.parametrize("part", [1 << 14, 70])
+def test_decontamination_matches_brute_force(spark, edge, none, part, monkeypatch):
+    monkeypatch.setattr(decontamination, "PART", part)
+    monkeypatch.setattr(decontamination, "PASS_LETTERS", 10_000_000 if part > 100 else 1500)
     rnd = random.Random(6)
-    items = [(k, " ".join(words(rnd, rnd.randrange(12, 60)))) for k in range(15)] + [(90, "tiny item"), (91, ""), (92, None), (93, items_dup := " ".join(words(rnd, 30))), (94, items_dup)]
+    items = [(k, " ".join(words(rnd, rnd.randrange(12, 60) if k else 300))) for k in range(15)] + [(90, "tiny item"), (91, ""), (92, None), (93, items_dup := " ".join(words(rnd, 30))), (94, items_dup)]
     docs = []
     for k in range(160):
         w = words(rnd, rnd.randrange(0, 120))
@@ -325,7 +328,7 @@ def test_decontamination_matches_brute_force(spark, edge, none):
             if not n:
                 continue
             theirs = Counter(tuple(norm(it)[j : j + k]) for j in range(n - k + 1))
-            for s in range(max(1, len(w))):
+            for s in range(max(1, len(w) - n + 1)):
                 win = w[s : s + n]
                 ours = Counter(tuple(win[j : j + k]) for j in range(len(win) - k + 1))
                 m = sum((ours & theirs).values())
@@ -334,6 +337,7 @@ def test_decontamination_matches_brute_force(spark, edge, none):
         if hit:
             want[d] = hit
     assert got == want and {93, 94} <= set().union(*want.values()) and want[500] == {90}
+    df = df.selectExpr("*", "1 as _found", "2 as items")
     stay = decontamination.drop_contaminated(df, bench)
     assert stay.columns == df.columns and stay.count() == df.count() - len(want)
     assert decontamination.judge(none, bench).count() == 0 and decontamination.judge(edge, bench.limit(0)).filter("contaminated").count() == 0

@@ -25,7 +25,9 @@ RULES = (
     ("block", "org", "/es/"),
 )
 DAMPING = 0.85
-ROUNDS = 12
+#: Scores are settled when a further round would move less than this part of the seeds in all.
+TOLERANCE = 1e-6
+ROUNDS_PER_CUT = 4
 #: A host is blocked if its distrust is above its trust by more than this part of its pages.
 THRESHOLD = 0.5
 
@@ -54,28 +56,40 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst, links): links between hosts, summed; a relative link is one to its own host."""
-    links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^"'\s>]+)"""), F.lit(1))).alias("href"))
-    own = F.col("href").rlike(r"^(?![a-zA-Z][a-zA-Z0-9+.-]*:|//)")
-    dst = F.when(own, F.col("src")).otherwise(host_of(F.regexp_replace("href", "^//", "http://")))
-    return links.select("src", dst.alias("dst")).filter("src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
+    """(src, dst, links): links between different hosts, summed; a host's links to itself tell nothing of others."""
+    links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), F.lit(1))).alias("href"))
+    dst = host_of(F.regexp_replace("href", "^//", "http://"))
+    return links.select("src", dst.alias("dst")).filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """Personalised PageRank: (host, score) from `edges` (src, dst, share) and `seeds` (host, seed).
 
-    score = (1 - damping) * seed + damping * the shares that arrive; what a host without
-    outgoing links holds stays with it. Scores keep the sum of the seeds. The edges of a host
-    add up to share 1. Fixed number of rounds, cut every third.
+    score = (1 - damping) * seed + damping * the shares that arrive; the shares of a host add
+    up to 1, and what a host without outgoing links holds stays with it. Scores keep the sum
+    of the seeds. A round carries on only what the last one moved. It ends when all that could
+    still arrive is less than `tolerance` of the seeds; no score is off by more.
     """
-    score = seeds.select("host", F.col("seed").alias("score"))
-    for k in range(1, rounds + 1):
-        sent = edges.join(score, edges.src == score.host).select(F.col("dst").alias("host"), (F.col("share") * F.col("score")).alias("in"))
-        arrived = sent.groupBy("host").agg(F.sum("in").alias("in"))
-        score = seeds.join(arrived, "host", "left").select("host", ((1 - damping) * F.col("seed") + damping * F.coalesce("in", F.lit(0.0))).alias("score"))
-        if k % 3 == 0 and k < rounds:
-            score = cut(score)
-    return score
+    sources = edges.select(F.col("src").alias("_out")).distinct()
+    goes_on = F.col("_out").isNotNull()
+    edges = cut(edges.join(sources, F.col("dst") == F.col("_out"), "left").select(F.col("src").alias("_src"), F.col("dst").alias("_dst"), "share", goes_on.alias("_on")))
+    # What reaches a host without outgoing links adds up there at once: 1 + damping + damping^2 ...
+    held = lambda on: F.col("score") * F.when(on, 1.0).otherwise(1 / (1 - damping))
+    total = seeds.agg(F.coalesce(F.sum(F.abs("seed")), F.lit(0.0)).alias("n")).first()["n"]
+    first = seeds.select("host", ((1 - damping) * F.col("seed")).alias("score")).join(sources, F.col("host") == F.col("_out"), "left")
+    score = cut(first.select("host", held(goes_on).alias("score")))
+    moved = cut(first.filter(goes_on & (F.col("score") != 0)).select("host", "score"))
+    while True:
+        left = moved.agg(F.coalesce(F.sum(F.abs("score")), F.lit(0.0)).alias("n")).first()["n"]
+        if left * damping <= tolerance * (1 - damping) * total:
+            return score
+        for _ in range(ROUNDS_PER_CUT):
+            sent = moved.join(edges, F.col("host") == F.col("_src"))
+            arrived = sent.groupBy(F.col("_dst").alias("host"), "_on").agg((damping * F.sum(F.col("share") * F.col("score"))).alias("score"))
+            score = score.unionByName(arrived.select("host", held(F.col("_on")).alias("score")))
+            moved = arrived.filter("_on").select("host", "score")
+        moved = cut(moved)
+        score = cut(score.groupBy("host").agg(F.sum("score").alias("score")))
 
 
 def host_scores(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -89,14 +103,12 @@ def host_scores(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
 
     def shares(src: str, dst: str) -> DataFrame:
         e = links.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "links")
-        lone = hosts.select("host").join(e.select(F.col("src").alias("host")).distinct(), "host", "left_anti")
-        e = e.unionByName(lone.select(F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1).cast("long").alias("links")))
         total = e.groupBy(F.col("src").alias("_src")).agg(F.sum("links").alias("total"))
         return cut(e.join(total, e.src == total._src).select("src", "dst", (F.col("links") / F.col("total")).alias("share")))
 
     trust = propagate(shares("src", "dst"), hosts.select("host", F.col("allowed").cast("double").alias("seed"))).withColumnRenamed("score", "trust")
     distrust = propagate(shares("dst", "src"), hosts.select("host", F.col("blocked").cast("double").alias("seed"))).withColumnRenamed("score", "distrust")
-    return hosts.select("host", "pages").join(trust, "host").join(distrust, "host")
+    return cut(hosts.select("host", "pages").join(trust, "host").join(distrust, "host"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -105,7 +117,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     A page without a host (null url, or none with ://) has no links that count and is allowed
     unless a rule fits. Rows that repeat an id or url are judged each by itself.
     """
-    bad = cut(host_scores(pages, rules, url_col, html_col).filter(F.col("distrust") - F.col("trust") > threshold * F.col("pages")).select(F.col("host").alias("_bad")))
+    bad = host_scores(pages, rules, url_col, html_col).filter(F.col("distrust") - F.col("trust") > threshold * F.col("pages")).select(F.col("host").alias("_bad"))
     slim = pages.select(F.col(id_col), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     out = slim.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules)).join(bad, F.col("host") == F.col("_bad"), "left")
     by_host = F.when(F.col("_bad").isNotNull(), "block").otherwise("allow")

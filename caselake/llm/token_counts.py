@@ -12,13 +12,16 @@ import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .tokens import VOCABULARY, encoder
 
 RULES = ("start", "end", "share")
+#: Texts whose sections a task gathers before it hands them on.
+ROWS = 500
 
 
 def attribute(ends: np.ndarray, borders: np.ndarray, rule: str = "start") -> np.ndarray:
@@ -53,51 +56,54 @@ def count_sections(docs: DataFrame, border: str = "\n", rule: str = "start", voc
     """One row per section: id, section (from 0), start and end (characters), n_tokens.
 
     Sections end behind each match of `border`. A null or empty text is one empty section
-    without tokens. Rows that repeat an id are counted each by itself.
+    without tokens. Rows that repeat an id are counted each by itself, those without one keep
+    a null id; an empty table gives no rows, and other columns are left out.
     """
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = pa.schema([("id", pa.int64()), ("section", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("n_tokens", pa.float64())])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, cut = encoder(vocabulary), re.compile(border)
         for batch in batches:
-            parts = []
-            for doc, text in zip(batch["id"], batch["text"], strict=True):
-                text = text or ""
-                ends = section_ends(text, cut)
-                n = attribute(enc.byte_ends(enc.encode(text)), byte_ends(text, ends), rule)
-                parts.append((doc, ends, n))
-            sizes = [len(n) for _, _, n in parts]
-            stops = np.concatenate([e for _, e, _ in parts]) if parts else np.zeros(0, dtype=np.int64)
-            starts = np.concatenate([[0, *e[:-1]] for _, e, _ in parts]) if parts else stops
-            yield pd.DataFrame({
-                "id": pd.array(batch["id"], dtype="Int64").repeat(sizes),
-                "section": np.concatenate([np.arange(k) for k in sizes]) if sizes else stops,
-                "start": starts,
-                "end": stops,
-                "n_tokens": np.concatenate([n for _, _, n in parts]) if parts else stops,
-            })
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sizes, starts, stops, counts = [], [], [], []
+                for text in part.column(1):
+                    text = text.as_py() or ""
+                    ends = section_ends(text, cut)
+                    counts.append(attribute(enc.byte_ends(enc.encode(text)), byte_ends(text, ends), rule))
+                    stops.append(np.array(ends, dtype=np.int64))
+                    starts.append(np.array([0, *ends[:-1]], dtype=np.int64))
+                    sizes.append(len(ends))
+                ids = part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                sections = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, (sections, np.concatenate(starts), np.concatenate(stops), np.concatenate(counts)))], schema=schema)
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = slim.mapInPandas(counted, "id long, section int, start long, end long, n_tokens double")
+    out = slim.mapInArrow(counted, "id long, section int, start long, end long, n_tokens double")
     return out.withColumnRenamed("id", id_col)
 
 
 def count_fields(df: DataFrame, fields: Sequence[str], id_col: str, joiner: str = "\n", rule: str = "start", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per row and field: id, field, n_tokens, for fields encoded as one text joined by `joiner`.
 
-    The joiner belongs to the field before it. A null field is empty; the last one has no joiner.
+    The joiner belongs to the field before it. A null field is empty; the last one has no
+    joiner. Ids keep their type. Rows that repeat an id are counted each by itself.
     """
     names = list(fields)
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                texts = [(t if isinstance(t, str) else "") + (joiner if k + 1 < len(names) else "") for k, t in enumerate(row[1:])]
+            counts = []
+            for row in zip(*batch.columns[1:], strict=True):
+                texts = [(t.as_py() or "") + (joiner if k + 1 < len(names) else "") for k, t in enumerate(row)]
                 borders = np.cumsum([len(t.encode("utf-8", "surrogatepass")) for t in texts])
-                n = attribute(enc.byte_ends(enc.encode("".join(texts))), borders, rule)
-                rows += [(row[0], f, x) for f, x in zip(names, n, strict=True)]
-            yield pd.DataFrame(rows, columns=["id", "field", "n_tokens"])
-
-    slim = df.select(F.col(id_col).cast("string").alias("id"), *[F.col(f).cast("string").alias(f"_{k}") for k, f in enumerate(names)])
-    return slim.mapInPandas(counted, "id string, field string, n_tokens double").withColumnRenamed("id", id_col)
+                counts.append(attribute(enc.byte_ends(enc.encode("".join(texts))), borders, rule))
+            flat = np.concatenate(counts) if counts else np.zeros(0)
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), len(names))))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(names * batch.num_rows, type=pa.string()), pa.array(flat)], names=["id", "field", "n_tokens"])
+
+    slim = df.select(F.col(id_col).alias("id"), *[F.col(f).cast("string").alias(f"_{k}") for k, f in enumerate(names)])
+    schema = StructType([StructField("id", slim.schema["id"].dataType), StructField("field", StringType()), StructField("n_tokens", DoubleType())])
+    return slim.mapInArrow(counted, schema).withColumnRenamed("id", id_col)

@@ -129,6 +129,18 @@ def test_fields(spark):
     assert sum(got.values()) == len(enc.encode("Title\n\nbody text")) and set(got) == {"a", "b", "c"}
 
 
+def test_token_counts_keep_ids_and_rows(spark, edge, none):
+    big = 9007199254740993
+    rows = [(big, "one two\nthree"), (None, "no id"), (big, "one two\nthree"), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as section", "3 as n_tokens")
+    got = Counter((r["doc_id"], r["section"]) for r in token_counts.count_sections(docs).collect())
+    assert got == Counter({(big, 0): 2, (big, 1): 2, (None, 0): 1, (1, 0): 1})
+    fields = Counter((r["doc_id"], r["field"]) for r in token_counts.count_fields(docs, ["text", "section"], "doc_id").collect())
+    assert fields == Counter({(big, "text"): 2, (big, "section"): 2, (None, "text"): 1, (None, "section"): 1, (1, "text"): 1, (1, "section"): 1})
+    assert token_counts.count_sections(none).count() == 0 and token_counts.count_fields(none, ["text"], "doc_id").count() == 0
+    assert token_counts.count_sections(edge).count() == len(EDGE) + 1
+
+
 # SimHash near-dedup
 
 
@@ -408,32 +420,31 @@ def test_rules(spark):
 
 
 def test_trust_matches_plain_pagerank(spark):
-    links = {"good.x": ["mid.x", "mid.x", "end.x"], "mid.x": ["end.x"], "spam.x": ["bad.com", "bad.com"], "bad.com": ["good.x"]}
+    links = {"good.x": ["mid.x", "mid.x", "end.x"], "mid.x": ["end.x", "good.x"], "spam.x": ["bad.com", "bad.com"], "bad.com": ["good.x"]}
     rows = [(k, f"http://{h}/en/1", " ".join(f'<a class=c href="http://{t}/p">x</a>' for t in ts)) for k, (h, ts) in enumerate(links.items())]
+    rows += [(90, "http://good.x/", '<a href="/own">a</a><a href="http://good.x/q">b</a><a href="#x">' * 3), (91, "http://lone.x/", "<a href=//mid.x/>" * 0 + "text " * 300_000)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     rules = (("allow", "good.x", "/"), ("block", "bad.com", "/"))
     got = {r["host"]: (r["trust"], r["distrust"]) for r in link_trust.host_scores(df, rules).collect()}
-    hosts = ["good.x", "mid.x", "end.x", "spam.x", "bad.com"]
+    hosts = ["good.x", "mid.x", "end.x", "spam.x", "bad.com", "lone.x"]
 
     def rank(edges, seed):
-        s = dict(seed)
-        for _ in range(link_trust.ROUNDS):
-            n = {h: 0.15 * seed[h] for h in hosts}
-            for h in hosts:
-                out = edges.get(h) or [h]
-                for t in out:
-                    n[t] += 0.85 * s[h] / len(out)
-            s = n
-        return s
+        """The solution of score = 0.15 seed + 0.85 arriving shares."""
+        a = np.eye(len(hosts))
+        for h in hosts:
+            out = edges.get(h) or [h]
+            for t in out:
+                a[hosts.index(t), hosts.index(h)] -= 0.85 / len(out)
+        return dict(zip(hosts, np.linalg.solve(a, [0.15 * seed[h] for h in hosts]), strict=True))
 
     back = defaultdict(list)
     for h, ts in links.items():
         for t in ts:
             back[t].append(h)
-    trust, distrust = rank(links, {h: float(h == "good.x") for h in hosts}), rank(back, {h: float(h == "bad.com") for h in hosts})
-    assert set(got) == set(hosts) and all(math.isclose(got[h][0], trust[h], abs_tol=1e-9) and math.isclose(got[h][1], distrust[h], abs_tol=1e-9) for h in hosts)
+    trust, distrust = rank(links, {h: 2.0 * (h == "good.x") for h in hosts}), rank(back, {h: float(h == "bad.com") for h in hosts})
+    assert set(got) == set(hosts) and all(math.isclose(got[h][0], trust[h], abs_tol=4e-6) and math.isclose(got[h][1], distrust[h], abs_tol=4e-6) for h in hosts)
     verdict = {r["host"]: r["verdict"] for r in link_trust.judge_urls(df, rules).collect()}
-    assert verdict == {"good.x": "allow", "mid.x": "allow", "spam.x": "block", "bad.com": "block"}
+    assert {h: verdict[h] for h in ("good.x", "mid.x", "spam.x", "bad.com", "lone.x")} == {"good.x": "allow", "mid.x": "allow", "spam.x": "block", "bad.com": "block", "lone.x": "allow"}
 
 
 # Sharding

@@ -1,19 +1,26 @@
 """Replacing personal data and secrets by keyed, type-consistent surrogates, in SQL functions only.
 
 Found: e-mail and IPv4 addresses, phone and card numbers, access keys, secrets behind a name
-(password=..., token: ...), and persons (a title or a known first name before a capitalised
-name). A surrogate is derived from SHA-256 of a key, the kind and the entity's normal form,
+(password=..., token: ...), and persons (a title, or a known first name, before capitalised
+names). A surrogate is derived from SHA-256 of a key, the kind and the entity's normal form,
 so an entity gets the same one wherever it stands (whatever its case or separators), and
 keeps its format: letters stay letters of their case and script, digits digits, hexadecimal
-stays hexadecimal, cards keep their check digit valid, first names keep their gender.
+stays hexadecimal, cards keep their check digit valid.
 
-Distinct entities get distinct surrogates, none of which is itself an entity of the corpus:
-candidates that clash are drawn anew, for all entities but one, until none does.
+*Persons.* Each part of a name is an entity of its own, whatever its place, so that "Anna
+Weber", "Mrs. Anna" and "WEBER" agree. Its gender and whether it is a first name are settled
+over the whole corpus. Where a text names a person in full, the bare names that stand
+elsewhere in it are replaced too.
+
+*Distinctness.* Distinct entities get distinct surrogates, none of which is itself an entity
+of the corpus, of whatever kind: candidates that clash are drawn anew, for all entities but
+one, until none does. Later draws are longer, so that a format with few words is no limit.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,22 +39,25 @@ FIRST_NAMES = {
     "f": ("Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Karen", "Anna", "Sabine", "Ursula", "Monika", "Marie", "Nathalie", "Isabelle", "Sylvie", "María", "Carmen", "Lucía", "Анна", "Мария", "Елена", "Ольга", "Наталья"),
 }
 SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?"
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}"
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.(?=[\p{L}\p{N}]))++\p{L}{2,}"
 ACCESS_KEY = r"(?<![A-Z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Z0-9])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
 CARD = r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
-_NAME = r"\p{Lu}[\p{L}'’-]+"
-_TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?[ ]"
-_FIRST = "(?:" + "|".join(n for ns in FIRST_NAMES.values() for n in ns) + ")"
-PERSON = rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:{_TITLE}{_NAME}(?:[ ]{_NAME})?|{_FIRST}[ ]{_NAME})"
+_NAME = r"\p{Lu}(?:\p{L}++|(?=['’]\p{Lu}))(?:[-'’]\p{Lu}\p{L}++)*+"
+_INITIALS = r"(?:[ ]\p{Lu}\.)*+"
+_TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + r")\.?(?=[ ])"
+_FIRST = "(?:" + "|".join(n for ns in FIRST_NAMES.values() for n in ns) + r")(?![\p{L}'’-])"
+PERSON = rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}г])(?:{_TITLE}|{_FIRST})(?:{_INITIALS}[ ]{_NAME})++"
+#: A capitalised word, which may be a name that the text has elsewhere.
+BARE = rf"(?<![\p{{L}}\p{{N}}]){_NAME}"
 #: Looked at first, as few places pass: a word or a run of digits begins. Only patterns that ask this themselves stand behind it.
 START = r"(?:(?<![\p{L}\p{N}])(?=[\p{L}+(_%.-])|(?<!\d)(?=\d))"
 #: Secrets, access keys and phones may stand right behind a letter (clientSecret=..., Tel(555) ...).
 ANY = "(?:" + "|".join([rf"(?=[PpSsTtAa]){SECRET}[^\s\"']{{6,}}", START + EMAIL, rf"(?=A){ACCESS_KEY}", rf"(?=\d)(?:{IP}|{CARD})", rf"(?=[+(\d])(?:{PHONE})", START + PERSON]) + ")"
-#: Candidates drawn for an entity before giving up (a format with fewer words than entities).
-ATTEMPTS = 24
+#: Draws of an entity's own length before they get longer.
+OWN_LENGTH = 8
 
 LOWER, UPPER, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзиклмнопрстуфхцчшщэюя"
 
@@ -79,17 +89,17 @@ def _digits(c: Column) -> Column:
 
 
 def mentions(found: Column) -> Column:
-    """The entities that a match names: array of (kind, norm, token); a person's names are entities each."""
+    """The entities that a match names: array of (kind, norm, token, first, gender); a person's names are entities each, initials are none."""
     kind = kind_of(found)
-    one = lambda k, norm, token: F.struct(k.alias("kind"), norm.alias("norm"), token.alias("token"))
+    none = F.lit(None).cast("string")
+    one = lambda k, norm, token, first, gender: F.struct(k.alias("kind"), norm.alias("norm"), token.alias("token"), first.alias("first"), gender.alias("gender"))
     value = F.regexp_replace(found, f"^{SECRET}", "")
     norm = F.when(kind == "secret", value).when(kind == "email", F.lower(found)).when(kind.isin("card", "phone"), _digits(found)).otherwise(found)
-    names = F.split(F.regexp_replace(found, f"^{_TITLE}", ""), " ")
-    script = lambda n: F.when(n.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    gender = _gender(found)
-    first = F.concat(F.lit("first:"), gender, F.lit(":"))
-    persons = F.transform(names, lambda n, i: one(F.when(i + 1 < F.size(names), F.concat(first, script(n))).otherwise(F.concat(F.lit("surname:"), script(n))), F.lower(n), n))
-    return F.when(kind == "person", persons).otherwise(F.array(one(kind, norm, F.when(kind == "secret", value).otherwise(found))))
+    names = F.filter(F.split(F.regexp_replace(found, f"^{_TITLE}[ ]", ""), " "), lambda n: ~n.endswith("."))
+    script = lambda n: F.when(n.rlike(r"\p{IsCyrillic}"), "name:cyrillic").otherwise("name:latin")
+    known = lambda n: n.rlike(f"^{_FIRST}$")
+    persons = F.transform(names, lambda n, i: one(script(n), F.lower(n), n, (i + 1 < F.size(names)) | known(n), F.when(i == 0, _gender(found)).otherwise(_gender(n))))
+    return F.when(kind == "person", persons).otherwise(F.array(one(kind, norm, F.when(kind == "secret", value).otherwise(found), F.lit(None).cast("boolean"), none)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -99,18 +109,25 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(worth, F.lit(0), lambda a, x: a + x) % 10
 
 
-def candidate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of an entity's normal form."""
-    base = F.concat_ws("\u0001", F.lit(key), kind, norm, attempt.cast("string"))
-    stream = F.concat(*[F.sha2(F.concat_ws("\u0001", base, F.lit(str(k))), 256) for k in range(4)])
+def candidate(entities: DataFrame, attempt: int, key: str) -> DataFrame:
+    """(kind, norm, surrogate) of entities (kind, norm, first, gender), longer by a letter or digit for each attempt beyond OWN_LENGTH.
+
+    The key comes as a row of its own, so that no plan shows it. What each letter needs of the
+    whole entity is a column, worked out once.
+    """
+    secret = F.broadcast(entities.sparkSession.createDataFrame([(key,)], "_key string"))
+    base = F.sha2(F.concat_ws("\u0001", "_key", "kind", "norm", F.lit(str(attempt))), 256)
+    drawn = entities.crossJoin(secret).withColumn("base", base).select(
+        "kind", "norm", "first", "gender", F.concat(*[F.sha2(F.concat("base", F.lit(str(k))), 256) for k in range(4)]).alias("stream"),
+        F.col("norm").rlike("^[0-9a-f]+$").alias("hexadecimal"), (F.length("norm") - F.length(F.regexp_extract("norm", r"\.(\p{L}+)$", 1))).alias("tld"),
+    )
+    kind, norm, first, gender, stream, hexadecimal, tld = (F.col(c) for c in drawn.columns)
     byte = lambda i: F.conv(F.substr(stream, 2 * (i % 128) + 1, F.lit(2)), 16, 10).cast("int")
     pick = lambda letters, i: F.substr(F.lit(letters), byte(i) % len(letters) + 1, F.lit(1))
-    hexadecimal = norm.rlike("^[0-9a-f]+$")
-    tld = F.length(F.regexp_extract(norm, r"\.(\p{L}+)$", 1))
-    stays = ((kind == "access_key") & F.lit(True), (kind == "email"), (kind == "card"), (kind == "phone"))
+    stays = {k: kind == k for k in ("access_key", "email", "card", "phone")}
 
     def char(c: Column, i: Column) -> Column:
-        keep = (stays[0] & (i < 4)) | (stays[1] & (i >= F.length(norm) - tld)) | ((stays[2] | stays[3]) & (i < 1))
+        keep = (stays["access_key"] & (i < 4)) | (stays["email"] & (i >= tld)) | ((stays["card"] | stays["phone"]) & (i < 1))
         return (
             F.when(keep, c)
             .when(c.rlike(r"\d"), (byte(i) % 10).cast("string"))
@@ -121,42 +138,49 @@ def candidate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
             .otherwise(c)
         )
 
+    more = range(max(0, attempt - OWN_LENGTH))
+    digits = F.concat(F.lit(""), *[(byte(F.lit(100 + k)) % 10).cast("string") for k in more])
+    letters = F.concat(F.lit(""), *[pick("abcdef", F.lit(100 + k)) for k in more])
     same = F.concat_ws("", F.transform(F.filter(F.split(norm, ""), lambda c: c != ""), char))
+    same = F.when(stays["email"], F.concat(letters, same)).when(stays["card"] | stays["phone"], F.concat(same, digits)).when(stays["access_key"], F.concat(same, F.upper(letters))).otherwise(F.concat(same, letters))
     head = F.substr(same, F.lit(1), F.length(same) - 1)
     check = (10 - _luhn(F.concat(head, F.lit("0")))) % 10
     card = F.when(_luhn(norm) == 0, F.concat(head, check.cast("string"))).otherwise(same)
     octets = F.concat_ws(".", *[(byte(F.lit(i)) % (223 if i == 0 else 254) + 1).cast("string") for i in range(4)])
+    octets = octets if attempt <= OWN_LENGTH else F.concat(F.lit("fd00::"), F.substr(stream, F.lit(1), F.lit(4)), F.lit(":"), F.substr(stream, F.lit(5), F.lit(4)), F.lit(":"), F.substr(stream, F.lit(9), F.lit(4)))
 
     def name(consonants: str, vowels: str, ends: dict[str, tuple[str, ...]]) -> Column:
         syllable = lambda i: F.concat(pick(consonants, F.lit(i)), pick(vowels, F.lit(i + 1)))
-        more = F.concat_ws("", *[F.when(attempt > k, syllable(10 + 2 * k)).otherwise("") for k in range(1, 4)])
         last = F.lit("")
         for start, choices in ends.items():
-            last = F.when(kind.startswith(start), F.element_at(F.array(*map(F.lit, choices)), byte(F.lit(9)) % len(choices) + 1)).otherwise(last)
-        return F.initcap(F.concat(syllable(0), syllable(2), more, last))
-
-    latin = name("bdfgklmnprstv", "aeiou", {"first:m": ("n", "r", "s", "k", "l"), "first:f": ("na", "la", "ra", "sia"), "first:n": ("m", "lin", "ni"), "surname": ("son", "mann", "berg", "ley", "ton", "ker")})
-    cyrillic = name("бвгдзклмнпрст", "аеиоу", {"first:m": ("н", "р", "слав", "й"), "first:f": ("на", "ра", "ина"), "first:n": ("н", "ни"), "surname": ("ко", "юк", "ян", "ых")})
-    return F.when(kind == "card", card).when(kind == "ip", octets).when(kind.endswith(":latin"), latin).when(kind.endswith(":cyrillic"), cyrillic).otherwise(same)
-
-
-def choose(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, surrogate) for distinct entities (kind, norm), without clashes."""
-    real = entities.select(F.col("kind").alias("_kind"), F.lower("norm").alias("_norm"))
+            fits = ~first if start == "surname" else first & (gender == start)
+            last = F.when(fits, F.element_at(F.array(*map(F.lit, choices)), byte(F.lit(9)) % len(choices) + 1)).otherwise(last)
+        return F.initcap(F.concat(syllable(0), syllable(2), *[syllable(10 + 2 * k) for k in range(1, attempt)], last))
+
+    latin = name("bdfgklmnprstv", "aeiou", {"m": ("n", "r", "s", "k", "l"), "f": ("na", "la", "ra", "sia"), "n": ("m", "lin", "ni"), "surname": ("son", "mann", "berg", "ley", "ton", "ker")})
+    cyrillic = name("бвгдзклмнпрст", "аеиоу", {"m": ("н", "р", "слав", "й"), "f": ("на", "ра", "ина"), "n": ("н", "ни"), "surname": ("ко", "юк", "ян", "ых")})
+    surrogate = F.when(kind == "card", card).when(kind == "ip", octets).when(kind == "name:latin", latin).when(kind == "name:cyrillic", cyrillic).otherwise(same)
+    return drawn.select("kind", "norm", surrogate.alias("surrogate"))
+
+
+def choose(mentioned: DataFrame, key: str) -> DataFrame:
+    """(kind, norm, surrogate) for the distinct entities of `mentioned` (kind, norm, first, gender), without clashes."""
+    most = lambda g: F.count_if(F.col("gender") == g)
+    gender = F.when(most("f") > most("m"), "f").when(most("m") > most("f"), "m").otherwise("n")
+    entities = mentioned.groupBy("kind", "norm").agg((2 * F.count_if("first") >= F.count("*")).alias("first"), gender.alias("gender"))
+    entities = cut(entities.repartition(int(mentioned.sparkSession.conf.get("spark.sql.shuffle.partitions")), "kind", "norm"))
+    real = entities.select(F.lower("norm").alias("_norm")).distinct()
     done, todo = None, entities
-    for attempt in range(ATTEMPTS):
-        drawn = todo.select("kind", "norm", candidate(F.col("kind"), F.col("norm"), F.lit(attempt), key).alias("surrogate"))
-        free = drawn.join(real, (F.col("kind") == F.col("_kind")) & (F.lower("surrogate") == F.col("_norm")), "left_anti")
+    for attempt in count():
+        free = candidate(todo, attempt, key).join(real, F.lower("surrogate") == F.col("_norm"), "left_anti")
         if done is not None:
-            taken = done.select(F.col("kind").alias("_kind"), F.lower("surrogate").alias("_taken"))
-            free = free.join(taken, (F.col("kind") == F.col("_kind")) & (F.lower("surrogate") == F.col("_taken")), "left_anti")
-        rank = F.row_number().over(Window.partitionBy("kind", F.lower("surrogate")).orderBy("norm"))
+            free = free.join(done.select(F.lower("surrogate").alias("_taken")), F.lower("surrogate") == F.col("_taken"), "left_anti")
+        rank = F.row_number().over(Window.partitionBy(F.lower("surrogate")).orderBy("kind", "norm"))
         good = cut(free.withColumn("_rank", rank).filter("_rank = 1").drop("_rank"))
         done = good if done is None else cut(done.unionByName(good))
         todo = cut(todo.join(good.select("kind", "norm"), ["kind", "norm"], "left_anti"))
         if todo.isEmpty():
             return done
-    raise RuntimeError(f"no distinct surrogates within {ATTEMPTS} draws: {todo.limit(3).count()} or more entities are left")
 
 
 def _as_found(token: Column, kind: Column, surrogate: Column) -> Column:
@@ -166,11 +190,16 @@ def _as_found(token: Column, kind: Column, surrogate: Column) -> Column:
         F.split(token, ""),
         start,
         lambda acc, c: F.when(c.rlike(r"^\d$"), F.struct(F.concat(acc["out"], F.substr(surrogate, acc["at"], F.lit(1))).alias("out"), (acc["at"] + 1).alias("at"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["at"].alias("at"))),
-        lambda acc: acc["out"],
+        lambda acc: F.concat(acc["out"], F.substr(surrogate, acc["at"], F.length(surrogate))),
     )
-    cased = F.concat_ws("", F.transform(F.split(token, ""), lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substr(surrogate, i + 1, F.lit(1)))).otherwise(F.substr(surrogate, i + 1, F.lit(1)))))
-    person = F.when((F.length(token) > 1) & (F.upper(token) == token), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin("card", "phone"), in_place).when(kind == "email", cased).when(kind.contains(":"), person).otherwise(surrogate)
+    cased = F.concat_ws("", F.zip_with(F.split(surrogate, ""), F.split(token, ""), lambda c, t: F.when(t.rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)))
+    return F.when(kind.isin("card", "phone"), in_place).when(kind == "email", cased).otherwise(surrogate)
+
+
+def _renamed(word: Column, names: Column) -> Column:
+    """The word's surrogate if `names` has it, in capitals if the word is; else the word."""
+    new = F.element_at(names, F.lower(word))
+    return F.when(new.isNull(), word).when((F.length(word) > 1) & (F.upper(word) == word), F.upper(new)).otherwise(new)
 
 
 def may_hold(text: Column) -> Column:
@@ -182,35 +211,43 @@ def may_hold(text: Column) -> Column:
 def replace_personal(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, text with surrogates, entities (kind, surrogate in order of the text).
 
-    Texts without personal data, empty and null ones come back as they are, with no entities.
-    Rows that repeat an id are replaced each by its text.
+    Texts without personal data, empty and null ones come back as they are, with no entities,
+    and take part in no join. Rows that repeat an id are replaced each by its text, rows
+    without one as any other; two equal rows become equal.
     """
-    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_row", F.xxhash64("_id", "_text"))
-    # As the output of a generator the matches are found once, not again for each filter on them.
-    found = slim.filter(may_hold(F.col("_text"))).select("_row", F.explode(F.array(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))).alias("_found"))
-    places = found.select("_row", F.posexplode("_found").alias("at", "found"))
-    places = places.select("_row", "at", "found", F.posexplode(mentions(F.col("found"))).alias("part", "m"))
-    places = cut(places.select("_row", "at", "part", "found", "m.kind", "m.norm", "m.token").distinct())
-    chosen = choose(cut(places.select("kind", "norm").distinct()), key)
+    slim = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    has = F.coalesce(may_hold(F.col("_text")) & F.col("_text").rlike(ANY), F.lit(False))
+    row = [F.xxhash64("_id", "_text").alias("_row"), F.xxhash64(F.lit("again"), "_text", "_id").alias("_row2")]
+    # As the output of a generator the matches are found once, not again for each use.
+    hits = slim.filter(has).select("_id", "_text", *row, F.explode(F.array(F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))).alias("_found"))
+    hits = cut(hits)
+    places = hits.select("_row", "_row2", F.posexplode("_found").alias("at", "found"))
+    places = places.select("_row", "_row2", "at", F.length("found").alias("length"), F.posexplode(mentions(F.col("found"))).alias("part", "m"))
+    places = cut(places.select("_row", "_row2", "at", "part", "length", "m.*").distinct())
+    chosen = choose(places.select("kind", "norm", "first", "gender"), key)
     named = places.join(chosen.select(F.col("kind").alias("_kind"), F.col("norm").alias("_norm"), "surrogate"), (F.col("kind") == F.col("_kind")) & (F.col("norm") == F.col("_norm")))
-    named = named.withColumn("new", _as_found(F.col("token"), F.col("kind"), F.col("surrogate")))
-    told = named.groupBy(F.col("_row").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("at", "part", "found", "kind", "token", "new"))).alias("named"))
+    named = named.withColumn("new", F.when(F.col("kind").startswith("name:"), F.col("surrogate")).otherwise(_as_found(F.col("token"), F.col("kind"), F.col("surrogate"))))
+    name = F.when(F.col("kind").startswith("name:"), F.struct(F.col("norm").alias("key"), F.col("surrogate").alias("value")))
+    told = named.groupBy(F.col("_row").alias("_k"), F.col("_row2").alias("_k2")).agg(
+        F.array_sort(F.collect_list(F.struct("at", "part", "kind", "new"))).alias("named"),
+        F.array_sort(F.collect_list(F.when(F.col("part") == 0, F.struct("at", (F.col("length") - F.length("token")).alias("lead"), "kind", "new")))).alias("matches"),
+        F.map_from_entries(F.collect_set(name)).alias("names"),
+    )
+    joined = hits.join(told, (F.col("_row") == F.col("_k")) & (F.col("_row2") == F.col("_k2")))
 
-    joined = slim.join(told, F.col("_row") == F.col("_key"), "left").withColumn("_found", F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))
-    gaps = F.split("_text", ANY, -1)
+    def renewed(found: Column, match: Column) -> Column:
+        """A match with what it names replaced; a title, initials, 'password=' stay."""
+        person = F.concat_ws(" ", F.transform(F.split(found, " "), lambda w: _renamed(w, F.col("names"))))
+        return F.when(match["kind"].startswith("name:"), person).otherwise(F.concat(F.substr(found, F.lit(1), match["lead"]), match["new"]))
 
-    def renewed(i: Column) -> Column:
-        """The i-th match with its names replaced; what stands before the first name (a title, 'password=') stays."""
-        own = F.filter("named", lambda m: m["at"] == i)
-        first = own[0]
-        lead = F.substr(first["found"], F.lit(1), F.length(first["found"]) - F.length(F.concat_ws(" ", F.transform(own, lambda m: m["token"]))))
-        return F.concat(lead, F.concat_ws(" ", F.transform(own, lambda m: m["new"])))
+    def between(gap: Column) -> Column:
+        """What stands between matches, with the text's names replaced."""
+        parts = F.zip_with(F.split(gap, BARE, -1), F.regexp_extract_all(gap, F.lit(BARE), F.lit(0)), lambda g, b: F.concat(g, F.coalesce(_renamed(b, F.col("names")), F.lit(""))))
+        return F.when(F.size("names") == 0, gap).otherwise(F.concat_ws("", parts))
 
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size("_found"), renewed(i)).otherwise("")))
+    new = F.zip_with("_found", "matches", renewed)
+    pieces = F.zip_with(F.split("_text", ANY, -1), new, lambda g, r: F.concat(between(g), F.coalesce(r, F.lit(""))))
     entities = F.transform("named", lambda m: F.struct(m["kind"].alias("kind"), m["new"].alias("surrogate")))
     none = F.array().cast("array<struct<kind:string,surrogate:string>>")
-    return joined.select(
-        F.col("_id").alias(id_col),
-        F.when(F.col("_key").isNull(), F.col("_text")).otherwise(F.concat_ws("", pieces)).alias(text_col),
-        F.when(F.col("_key").isNull(), none).otherwise(entities).alias("entities"),
-    )
+    rest = slim.filter(~has).select(F.col("_id").alias(id_col), F.col("_text").alias(text_col), none.alias("entities"))
+    return rest.unionByName(joined.select(F.col("_id").alias(id_col), F.concat_ws("", pieces).alias(text_col), entities.alias("entities")))

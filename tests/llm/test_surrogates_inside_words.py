@@ -1,5 +1,7 @@
 """Secrets, phones and access keys right behind a letter."""
 
+import re
+
 import pytest
 
 from caselake.llm import surrogates
@@ -22,3 +24,40 @@ def test_found_behind_a_letter(replaced, at):
     got = replaced[at]
     assert value not in got["text"] and [e["kind"] for e in got["entities"]] == [kind]
     assert got["text"].startswith("see " + text[: text.index(value)]) and got["text"].endswith(" now")
+
+
+def one(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in surrogates.replace_personal(df, "k").orderBy("doc_id").collect()]
+
+
+def test_long_dotted_texts(spark):
+    big = ["x@" + "a." * 30_000, "a." * 100_000, "x" + "@a" * 100_000, "Mr. " + "Ab " * 5_000, "p@" + "a." * 5_000 + "com", "A" + "-B" * 20_000]
+    got = one(spark, *big)
+    assert got[1] == big[1] and len(got) == len(big)
+    assert got[4] != big[4] and got[4].endswith(".com")
+
+
+def test_one_name_has_one_surrogate(spark):
+    a, b, c, d = one(spark, "Mrs. Anna sings. Anna Weber left; WEBER came, with weber and Webers.", "Mr. John Fitzgerald Kennedy spoke. Kennedy, John.", "Mary Q. O'Brien-Smith wrote.", "Weber alone stays")
+    m = re.fullmatch(r"Mrs\. (\w+) sings\. (\w+) (\w+) left; (\w+) came, with weber and Webers\.", a)
+    assert m and m[1] == m[2] != "Anna" and m[3].upper() == m[4] != "WEBER"
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) (\w+) spoke\. (\w+), (\w+)\.", b)
+    assert m and m[3] == m[4] and m[1] == m[5] and not {"John", "Fitzgerald", "Kennedy"} & set(m.groups())
+    assert re.fullmatch(r"\w+ Q\. \w+ wrote\.", c) and "Brien" not in c and d == "Weber alone stays"
+
+
+def test_a_small_format_gets_longer_surrogates(spark):
+    from itertools import product
+
+    mails = [f"{x}@{y}.co" for x, y in product("abcdefghijklmnopqrstuvwxyz", repeat=2)]
+    got = one(spark, *mails)
+    assert len(set(got)) == len(mails) and not set(got) & set(mails) and all(re.fullmatch(r"[a-f]*[a-z]@[a-z]\.co", g) for g in got)
+
+
+def test_kinds_share_no_surrogate_and_plans_hide_the_key(spark, capsys):
+    df = spark.createDataFrame([(1, "Anna Weber, weber@x.org")], "doc_id long, text string").selectExpr("*", "1 as _id", "2 as _row", "3 as entities")
+    out = surrogates.replace_personal(df, "a very secret key")
+    assert out.columns == ["doc_id", "text", "entities"]
+    out.explain(True)
+    assert "very secret" not in capsys.readouterr().out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,22 +23,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where that is unset and the master is local."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    return folder.rstrip("/")
+    """This application's folder below the session's ``spark.checkpoint.dir``; a temporary one only where that is unset and the master is local."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+        _folders[app] = f"{folder.rstrip('/')}/{app}"
+    return _folders[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the cluster's checkpoint folder and forget its lineage."""
+    """Write `df` as a table in the shared folder and read it: lineage ends there, and the planner knows its true size.
+
+    (A checkpoint keeps the estimated size, which each join multiplies: after some rounds of
+    `components` planning alone took minutes.)
+    """
     spark = reachable(df.sparkSession)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Delete folders in the shared folder, by whatever file system it is in."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def unused(df: DataFrame, base: str) -> str:
@@ -106,8 +124,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     where its place has moved, and the edges are drawn anew between the places. A node moves
     along edges only, to smaller nodes only, so components stay whole and end at their
     smallest node; the edges shrink by a factor each round and are gone in the end.
-    Labels and edges lie in the checkpoint folder, so that both sides of a join come straight
-    from an exchange and a node with many edges can be split.
+    Labels and edges are tables in the shared folder, so that both sides of a join come
+    straight from an exchange and a node with many edges can be split.
     """
     e = edges.filter("a <> b").select("a", "b")
     e = cut(e.union(e.select("b", "a")).distinct())

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from caselake.llm import decontamination, mixing, sharding, shingle_dedup, simhash_dedup, toxicity
-from caselake.llm.common import shared_folder, table
+from caselake.llm.common import delete, shared_folder, table
 
 SHARDS = 8
 
@@ -55,11 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written in the cluster's checkpoint folder and read again."""
+    """All stages over documents, each written in the cluster's shared folder and read again; a stage's input goes when its result is written."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return docs

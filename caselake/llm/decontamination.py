@@ -1,253 +1,139 @@
-"""Finding benchmark items inside documents by SimHash windows, multi-index blocks and an exact test.
+"""Finding benchmark items inside documents, in SQL functions only.
 
 A document is contaminated by an item if some window of it, as many words long as the item,
 has a weighted Jaccard similarity of 0.8 or more with it over 5-word shingles (repeats
-weigh by their number); a text shorter than the item is one window. Words are runs of letters,
-marks and digits in lower case.
-
-1. *Windows.* Every window of a text, for each length that an item has, gets a 128-bit SimHash
-   of its shingles. Running sums of the shingles' bits are taken once; each length is then one
-   pass of differences. Eight counters share a 64-bit number.
-2. *Blocks.* Fingerprints are two blocks of 64 bits. Two that differ in 40 bits or fewer differ
-   in 20 or fewer in a block, which one window in 400 does by chance; these are compared whole.
-   So all fingerprints within 40 bits are found.
-3. *Verification.* Windows within 40 bits of an item are compared with it shingle by shingle.
-
-Similarity 0.8 has an angle of 27 degrees: 19 bits in the mean, and more than 40 about three
-times in ten million. All of this happens where the text lies: nothing is shuffled or joined.
-Work grows with the words of the documents times the lengths and items of the benchmark.
+weigh by their number). Words are runs of letters and digits in lower case.
+
+1. *Windows.* A similarity t needs t times the item's shingles in the document. Shingles are
+   looked up among the items', and only where enough are found is there a window to look at:
+   its start follows from where a found shingle stands in both, or lies between two of these.
+   This loses no window that reaches t, and leaves few. A window is a place and a length; what
+   item it may hold is not asked yet.
+2. *Fingerprints.* Each window and item gets a 128-bit SimHash of its shingles, two blocks of 64
+   bits. Two that differ in 40 bits or fewer differ in 20 or fewer in a block, which one window
+   in 400 does by chance; windows and items of one length that do are compared whole, so all
+   fingerprints within 40 bits are found. Similarity 0.8 has an angle of 27 degrees: 19 bits in
+   the mean, and more than 40 about three times in ten million.
+3. *Verification.* Pairs within 40 bits are compared shingle by shingle.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
-from .common import unused
+from .common import cut, unused
 
 WIDTH = 5
 LEAST = 0.8
 RADIUS = 40
-#: Letters of items that tasks carry at once; a larger benchmark is taken in several passes.
-PASS_LETTERS = 20_000_000
-#: Words that a task fingerprints at once, and gathers from short texts before it does.
-PART, HELD = 1 << 14, 1 << 18
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
-_ONES, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
-
-
-class _WordHashes(dict):
-    """By word: its XXH64."""
-
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
-
-
-def word_hashes(text: str | None, known: _WordHashes) -> np.ndarray:
-    import regex
-
-    return np.array([known[w] for w in regex.findall(r"[\p{L}\p{M}\p{N}]+", (text or "").lower())], dtype=np.uint64)
-
-
-def shingles(words: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of `width` words; none if there are fewer."""
-    n = max(0, len(words) - width + 1)
-    values = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
-        values = values * _MULTIPLIERS[0] + words[k : k + n]
-    values ^= values >> np.uint64(32)
-    values *= _MULTIPLIERS[1]
-    return values ^ (values >> np.uint64(29))
-
-
-class RunningBits:
-    """Running sums of the 128 bits that each shingle's hash gives."""
-
-    def __init__(self, values: np.ndarray):
-        second = values * _MULTIPLIERS[2]
-        second ^= second >> np.uint64(31)
-        self.sums = np.zeros((2, 8, len(values) + 1), dtype=np.uint64)
-        for half, hashes in enumerate((values, second)):
-            for k in range(8):
-                np.cumsum((hashes >> np.uint64(k)) & _ONES, out=self.sums[half, k, 1:])
-
-    def fingerprints(self, size: int, starts: np.ndarray | slice | None = None) -> list[np.ndarray]:
-        """Two blocks for each window of `size` shingles: bits set in more than half of them."""
-        out = []
-        for half in self.sums:
-            fp = None
-            for k in range(8):
-                if starts is None:
-                    ones = half[k, size:] - half[k, : half.shape[1] - size]
-                else:
-                    ones = half[k, starts + size] - half[k, starts]
-                if size > 255:
-                    raise ValueError("a counter holds 255 shingles at most")
-                ones += _ONES * np.uint64(127 - size // 2)
-                ones &= _TOPS
-                ones >>= np.uint64(7 - k)
-                fp = ones if fp is None else np.bitwise_or(fp, ones, out=fp)
-            out.append(fp)
-        return out
-
-
-def long_fingerprints(values: np.ndarray, size: int, starts: np.ndarray) -> list[np.ndarray]:
-    """The same for windows of any size, with a counter for each bit."""
-    second = values * _MULTIPLIERS[2]
-    second ^= second >> np.uint64(31)
-    out = []
-    for hashes in (values, second):
-        fp = np.zeros(len(starts), dtype=np.uint64)
-        for bit in range(64):
-            sums = np.concatenate([[0], np.cumsum((hashes >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
-            fp |= (2 * (sums[starts + size] - sums[starts]) > size).astype(np.uint64) << np.uint64(bit)
-        out.append(fp)
-    return out
-
-
-def similarity(a: Counter, b: Counter) -> float:
-    """Weighted Jaccard of two multisets."""
-    both = sum(min(n, b[x]) for x, n in a.items() if x in b)
-    return both / (a.total() + b.total() - both)
-
-
-class Items:
-    """Benchmark items, grouped by shingle width and number of words."""
-
-    def __init__(self, texts: list[str | None], least: float = LEAST, radius: int = RADIUS):
-        self.least, self.radius, self.known = least, radius, _WordHashes()
-        self.groups: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
-        for at, text in enumerate(texts):
-            words = word_hashes(text, self.known)
-            if not len(words):
-                continue
-            width = min(WIDTH, len(words))
-            values = shingles(words, width)
-            fp = [int(x[0]) for x in long_fingerprints(values, len(values), np.zeros(1, dtype=np.int64))]
-            self.groups[width][len(values)].append((at, fp, Counter(values.tolist())))
-
-    def _near(self, blocks: list[np.ndarray], fp: list[int]) -> np.ndarray:
-        """Positions of the fingerprints within the radius of `fp`: by blocks first, then whole."""
-        some = None
-        for block, theirs in zip(blocks, fp, strict=True):
-            close = np.bitwise_count(block ^ np.uint64(theirs)) <= self.radius // 2
-            some = close if some is None else some | close
-        at = np.flatnonzero(some)
-        if len(at):
-            bits = sum(np.bitwise_count(b[at] ^ np.uint64(t)).astype(int) for b, t in zip(blocks, fp, strict=True))
-            at = at[bits <= self.radius]
-        return at
-
-    def find(self, texts: list[np.ndarray]) -> list[dict[int, float]]:
-        """For each text (hashed words): its items, each with its best window's similarity."""
-        found: list[dict[int, float]] = [{} for _ in texts]
-        ends = np.cumsum([len(t) for t in texts])
-        stream = np.concatenate(texts) if texts else np.zeros(0, dtype=np.uint64)
-        starts = ends - np.array([len(t) for t in texts], dtype=np.int64)
-        for width, sizes in self.groups.items():
-            values = shingles(stream, width)
-            reach = max(sizes)
-            for at in range(0, len(values), PART):
-                part = values[at : at + PART + reach - 1]
-                bits = RunningBits(part)
-                for size, items in sizes.items():
-                    last = min(PART, len(part) - size + 1)
-                    if last <= 0:
-                        continue
-                    blocks = bits.fingerprints(size) if size <= 255 else long_fingerprints(part, size, np.arange(last))
-                    self._judge(found, at, [b[:last] for b in blocks], part, size, items, np.arange(last), starts, ends, width)
-            self._short(found, values, sizes, starts, ends, width)
-        return found
-
-    def _judge(self, found, base, blocks, part, size, items, where, starts, ends, width) -> None:
-        for item, fp, theirs in items:
-            for k in self._near(blocks, fp).tolist():
-                start = base + int(where[k])
-                doc = int(np.searchsorted(ends, start, side="right"))
-                if start + size + width - 1 <= ends[doc]:
-                    self._test(found[doc], item, theirs, part[where[k] : where[k] + size])
-
-    def _short(self, found, values, sizes, starts, ends, width) -> None:
-        """Texts with fewer words than an item: each is one window."""
-        lengths = ends - starts - width + 1
-        for doc in np.flatnonzero((lengths > 0) & (lengths < max(sizes))).tolist():
-            n, own = int(lengths[doc]), values[starts[doc] : starts[doc] + lengths[doc]]
-            items = [i for size, group in sizes.items() if n < size and n >= self.least * size for i in group]
-            if items:
-                blocks = long_fingerprints(own, n, np.zeros(1, dtype=np.int64)) if n > 255 else RunningBits(own).fingerprints(n, np.zeros(1, dtype=np.int64))
-                for item, fp, theirs in items:
-                    if len(self._near(blocks, fp)):
-                        self._test(found[doc], item, theirs, own)
-
-    def _test(self, found: dict[int, float], item: int, theirs: Counter, ours: np.ndarray) -> None:
-        s = similarity(Counter(ours.tolist()), theirs)
-        if s >= self.least:
-            found[item] = max(s, found.get(item, 0.0))
-
-
-def _holds(names: list, texts: list[str | None], kind, least: float):
-    """A vectorised function of a text: the items it holds, and the best similarity."""
-    schema = StructType([StructField("items", ArrayType(kind)), StructField("similarity", DoubleType())])
-
-    @F.pandas_udf(schema)
-    def holds(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        items = Items(texts, least)
-        for batch in batches:
-            out: list[dict[int, float]] = []
-            held: list[np.ndarray] = []
-            words = 0
-            for text in batch:
-                held.append(word_hashes(text, items.known))
-                words += len(held[-1])
-                if words >= HELD:
-                    out += items.find(held)
-                    held, words = [], 0
-            out += items.find(held)
-            yield pd.DataFrame({
-                "items": [[names[k] for k in f] for f in out],
-                "similarity": pd.Series([max(f.values()) if f else None for f in out], dtype="float64"),
-            })
-
-    return holds
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST) -> Column:
-    """A column of `docs`: struct(items, similarity) of the items that the text holds, sorted, and
-    the highest similarity (null without any).
+#: The items' shingles are broadcast if they are counted to be this many at most (about 40 bytes each).
+BROADCAST_SHINGLES = 500_000
+
+
+def word_hashes(text: Column) -> Column:
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+"), "")
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def shingles(words: Column, width: Column | int) -> Column:
+    """The hashes of the runs of `width` words; empty if there are fewer."""
+    width = F.lit(width) if isinstance(width, int) else width
+    starts = F.sequence(F.lit(1), F.size(words) - width + 1)
+    return F.when(F.size(words) >= width, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def simhash(hashes: Column) -> Column:
+    """64 bits, each set if it is set in more than half of the hashes."""
+
+    def bit(acc: Column, b: Column) -> Column:
+        ones = F.size(F.filter(hashes, lambda h: F.getbit(h, b) == 1))
+        power = F.call_function("shiftleft", F.lit(1).cast("bigint"), b)
+        return acc.bitwiseOR(F.when(2 * ones > F.size(hashes), power).otherwise(F.lit(0).cast("bigint")))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), bit)
+
+
+def fingerprint(hashes: Column) -> Column:
+    """Two blocks of 64 bits."""
+    return F.array(simhash(hashes), simhash(F.transform(hashes, lambda h: F.xxhash64(h))))
+
+
+def within(ours: Column, theirs: Column, radius: int = RADIUS) -> Column:
+    """True for fingerprints that differ in `radius` bits at most: one block within half of it, then both together."""
+    bits = [F.bit_count(ours[k].bitwiseXOR(theirs[k])) for k in (0, 1)]
+    return ((bits[0] <= radius // 2) | (bits[1] <= radius // 2)) & (bits[0] + bits[1] <= radius)
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Weighted Jaccard of two arrays as multisets."""
+    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
+    both = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda acc, x: acc + F.least(count(a, x), count(b, x)))
+    return both / (F.size(a) + F.size(b) - both)
+
+
+def row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """Tells rows apart by id and text, in 128 bits; equal rows share it, and the verdict."""
+    return F.struct(F.xxhash64(docs[id_col], docs[text_col]).alias("a"), F.xxhash64(F.lit("again"), docs[text_col], docs[id_col]).alias("b"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: float = LEAST) -> DataFrame:
+    """(row_key, item, similarity): each item that a row's text holds, with its best window's similarity.
 
     An item with fewer than five words is one shingle of all its words; one without words is
-    in no document. Null texts hold nothing. Items that repeat an id count as one.
+    in no document. Null texts hold nothing.
     """
-    kind = benchmark.schema[item_col].dataType
-    letters = benchmark.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0)).alias("n")).first()["n"]
-    passes = max(1, -(-letters // PASS_LETTERS))
-    items, best = F.array().cast(ArrayType(kind)), F.lit(None).cast("double")
-    for k in range(passes):
-        rows = benchmark.filter(F.pmod(F.xxhash64(item_col, item_text), F.lit(passes)) == k).select(item_col, item_text).orderBy(item_col, item_text).collect()
-        found = _holds([r[0] for r in rows], [r[1] for r in rows], kind, least)(docs[text_col])
-        items, best = F.concat(items, F.coalesce(found["items"], F.array().cast(ArrayType(kind)))), F.greatest(best, found["similarity"])
-    return F.struct(F.array_sort(F.array_distinct(items)).alias("items"), best.alias("similarity"))
+    items = benchmark.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text)).alias("_w"))
+    items = items.withColumns({"n": F.size("_w"), "width": F.least(F.size("_w"), F.lit(WIDTH))}).filter("n > 0")
+    items = cut(items.select("item", "n", "width", shingles(F.col("_w"), F.col("width")).alias("theirs")).withColumn("fp", fingerprint(F.col("theirs"))))
+    places = items.select("item", "n", "width", F.size("theirs").alias("of"), F.posexplode("theirs").alias("at", "hash"))
+    few = places.count() <= BROADCAST_SHINGLES
+    small = F.broadcast if few else lambda df: df
+    rows = docs.select(row_key(docs, id_col, text_col).alias("row_key"), word_hashes(docs[text_col]).alias("_w"))
+
+    found = None
+    for width in sorted(r["width"] for r in items.select("width").distinct().collect()):
+        there = rows.select("row_key", F.posexplode(shingles(F.col("_w"), width)).alias("pos", "hash"))
+        hits = there.join(small(places.filter(F.col("width") == width)), "hash").select("row_key", "item", "n", "width", "of", "pos", (F.col("pos") - F.col("at")).alias("start"))
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], f"row_key struct<a:long,b:long>, item {dict(benchmark.dtypes)[item_col]}, similarity double")
+
+    lines = found.groupBy("row_key", "item", "n", "width", "of").agg(F.count_distinct("pos").alias("hits"), F.array_sort(F.collect_set("start")).alias("starts"))
+    lines = lines.filter(F.col("hits") >= least * F.col("of"))
+    before = F.lag("start").over(Window.partitionBy("row_key", "item").orderBy("start"))
+    lines = lines.select("row_key", "item", "n", "width", F.explode("starts").alias("start")).withColumn("before", before)
+    between = F.when(F.col("start") - F.col("before") <= F.col("n"), F.sequence(F.col("before") + 1, F.col("start"))).otherwise(F.array("start"))
+    starts = lines.select("row_key", "n", "width", F.explode(between).alias("start"))
+    starts = starts.select("row_key", "n", "width", F.greatest("start", F.lit(0)).alias("start")).distinct()
+    wanted = cut(starts)
+    near = cut(wanted.select("row_key").distinct())
+    near = small(near) if near.count() <= BROADCAST_SHINGLES // 50 else near
+    # Texts meet the few rows before their words are hashed again.
+    texts = docs.select(row_key(docs, id_col, text_col).alias("row_key"), docs[text_col].alias("_text")).join(near, "row_key", "left_semi").dropDuplicates(["row_key"])
+    texts = cut(texts.select("row_key", word_hashes(F.col("_text")).alias("_w")))
+    windows = wanted.join(texts, "row_key").select("row_key", "n", "width", F.slice("_w", F.col("start") + 1, F.col("n")).alias("_w"))
+    windows = windows.select("row_key", "n", shingles(F.col("_w"), F.col("width")).alias("ours")).filter("size(ours) > 0").distinct()
+    windows = cut(windows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row_key", "ours").withColumn("fp", fingerprint(F.col("ours"))))
+    theirs = items.select("item", F.col("n").alias("_n"), "theirs", F.col("fp").alias("_fp"))
+    pairs = windows.join(small(theirs), (F.col("n") == F.col("_n")) & within(F.col("fp"), F.col("_fp")))
+    exact = pairs.select("row_key", "item", similarity(F.col("ours"), F.col("theirs")).alias("similarity")).filter(F.col("similarity") >= least)
+    return exact.groupBy("row_key", "item").agg(F.max("similarity").alias("similarity"))
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: id, contaminated, items (sorted), similarity (the highest; null if clean). Rows that repeat an id are judged each by its text."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = slim.select("id", contamination(slim, benchmark, "text", item_col, item_text).alias("found"))
-    return out.select(F.col("id").alias(id_col), (F.size("found.items") > 0).alias("contaminated"), "found.items", "found.similarity")
+    """One row per document: id, contaminated, items (sorted), similarity (the highest; null if clean)."""
+    found = contaminated(docs, benchmark, id_col, text_col, item_col, item_text)
+    found = cut(found.groupBy(F.col("row_key").alias("_row")).agg(F.array_sort(F.collect_set("item")).alias("items"), F.max("similarity").alias("similarity")))
+    out = docs.select(docs[id_col], row_key(docs, id_col, text_col).alias("_key")).join(found, F.col("_key") == F.col("_row"), "left")
+    return out.select(id_col, F.col("_row").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast(f"array<{dict(benchmark.dtypes)[item_col]}>")).alias("items"), "similarity")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the rows that hold a benchmark item."""
-    found = unused(docs, "_found")
-    return docs.withColumn(found, F.size(contamination(docs, benchmark, text_col)["items"])).filter(F.col(found) == 0).drop(found)
+    row = unused(docs, "_row")
+    found = cut(contaminated(docs.select(id_col, text_col), benchmark, id_col, text_col).select(F.col("row_key").alias(row)).distinct())
+    if found.count() <= BROADCAST_SHINGLES // 50:
+        found = F.broadcast(found)
+    return docs.join(found, row_key(docs, id_col, text_col) == F.col(row), "left_anti")

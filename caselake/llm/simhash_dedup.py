@@ -166,14 +166,21 @@ def _links_of_run(run: pd.DataFrame, radius: int) -> pd.DataFrame:
     first = np.flatnonzero(~same)
     sizes = np.diff(np.append(first, len(run)))
     a, b = [], []
-    small = np.repeat(sizes <= 16, sizes)
+    small, head = np.repeat(sizes <= 16, sizes), np.repeat(first, sizes)
+    pairs = []
     for off in range(1, 16):
-        here = np.flatnonzero(small[off:] & (np.repeat(first, sizes)[off:] == np.repeat(first, sizes)[:-off]))
+        here = np.flatnonzero(small[off:] & (head[off:] == head[:-off]))
         if not len(here):
             break
         here = here[np.bitwise_count(fps[here] ^ fps[here + off]) <= radius]
-        a.append(node[here])
-        b.append(node[here + off])
+        pairs.append(np.stack([here, here + off]))
+    if pairs:
+        i, j = np.concatenate(pairs, axis=1)
+        # Where all of a run link, links to its first row are enough.
+        links = np.bincount(head[i], minlength=len(run))
+        keep = (i == head[i]) | (links[head[i]] < (np.repeat(sizes * (sizes - 1) // 2, sizes))[i])
+        a.append(node[j[keep]])
+        b.append(node[i[keep]])
     for at, n in zip(first[sizes > 16], sizes[sizes > 16], strict=True):
         child, parent = forest(fps[at : at + n], radius)
         a.append(node[at : at + n][child])
@@ -203,7 +210,8 @@ def link_runs(batches: Iterator[pd.DataFrame], radius: int = RADIUS) -> Iterator
 def link_keyed(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(node, component) of the nodes (key, fp, node) that share a key and differ in `radius` bits of fp at most."""
     dealt = split_hot(keys, "key", "node", CHUNK)
-    met = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    # Sorted by node too, so that runs link their rows to the same few small ones.
+    met = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     return components(met.select("key", "lo", "hi", "fp", "node").mapInPandas(lambda batches: link_runs(batches, radius), "a long, b long"))
 
 

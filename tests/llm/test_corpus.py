@@ -306,10 +306,9 @@ def words(rnd, n):
     return [f"w{rnd.randrange(400)}" for _ in range(n)]
 
 
-@pytest.mark.parametrize("part", [1 << 14, 70])
-def test_decontamination_matches_brute_force(spark, edge, none, part, monkeypatch):
-    monkeypatch.setattr(decontamination, "PART", part)
-    monkeypatch.setattr(decontamination, "PASS_LETTERS", 10_000_000 if part > 100 else 1500)
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_decontamination_matches_brute_force(spark, edge, none, broadcast, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_SHINGLES", broadcast)
     rnd = random.Random(6)
     items = [(k, " ".join(words(rnd, rnd.randrange(12, 60) if k else 300))) for k in range(15)] + [(90, "tiny item"), (91, ""), (92, None), (93, items_dup := " ".join(words(rnd, 30))), (94, items_dup)]
     docs = []
@@ -349,7 +348,7 @@ def test_decontamination_matches_brute_force(spark, edge, none, part, monkeypatc
         if hit:
             want[d] = hit
     assert got == want and {93, 94} <= set().union(*want.values()) and want[500] == {90}
-    df = df.selectExpr("*", "1 as _found", "2 as items")
+    df = df.selectExpr("*", "1 as _row", "2 as items", "3 as row_key")
     stay = decontamination.drop_contaminated(df, bench)
     assert stay.columns == df.columns and stay.count() == df.count() - len(want)
     assert decontamination.judge(none, bench).count() == 0 and decontamination.judge(edge, bench.limit(0)).filter("contaminated").count() == 0

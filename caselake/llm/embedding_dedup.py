@@ -2,7 +2,7 @@
 
 Vectors of length 1 whose cosine is c or more lie within squared distance 2 - 2c. A fixed
 random rotation spreads that distance evenly over the coordinates, which are cut into blocks
-of few dimensions. Each block has a budget in proportion to its dimensions, and two vectors
+of 16 dimensions. Each block has a budget in proportion to its dimensions, and two vectors
 within the whole distance keep the budget in at least one block.
 
 Each block is joined by range: space is cut into cells along the block's first dimensions,
@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, split_hot
 
 LEAST = 0.95
-BLOCK_DIMS = 8
-GRID_DIMS = 2
+BLOCK_DIMS = 16
 #: A cell's rows beyond this number are dealt into chunks.
 CHUNK = 16384
 #: Room for rounding in the candidate search; the cosine itself has none.
@@ -37,16 +36,24 @@ SLACK = 1e-6
 ROUNDING = 1e-5
 
 
+def grid_dims(rows: int) -> int:
+    """Dimensions of a block's grid: two, and one more for each 2.5 times the rows that two leave too full, up to eight.
+
+    Each one parts cells in two or three, and lets a vector visit twice as many.
+    """
+    return int(np.clip(2 + np.ceil(np.log(max(1, rows) / (8 * CHUNK)) / np.log(2.5)), 2, 8))
+
+
 class Subspaces:
     """The rotation, the blocks and their budgets, for vectors of `dims` dimensions."""
 
-    def __init__(self, dims: int, least: float = LEAST, block_dims: int = BLOCK_DIMS, grid_dims: int = GRID_DIMS):
+    def __init__(self, dims: int, least: float = LEAST, block_dims: int = BLOCK_DIMS, grid: int = 2):
         q, r = np.linalg.qr(np.random.default_rng(42).standard_normal((dims, dims)))
         self.rotation = q * np.sign(np.diag(r))
         self.edges = [*range(0, dims, block_dims), dims]
         total = 2 - 2 * least
         self.budgets = [total * (b - a) / dims + SLACK for a, b in zip(self.edges, self.edges[1:], strict=False)]
-        self.grid_dims = grid_dims
+        self.grid_dims = grid
 
     def rotated(self, x: np.ndarray) -> np.ndarray:
         return x @ self.rotation
@@ -87,9 +94,14 @@ def unit(x: np.ndarray) -> np.ndarray:
 def link_cell(x: np.ndarray, times: np.ndarray, home: np.ndarray, side: np.ndarray, across: bool, block: int, space: Subspaces, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(links of each row, and a spanning forest's edges) among the rows of one cell.
 
-    Pairs of two visitors meet elsewhere. `across`: only pairs of different `side` count.
+    Pairs of two visitors meet elsewhere. `across`: only pairs of different `side` count. The
+    rows are sorted along the block's last dimension, and each meets those within the radius there.
     """
     y = space.rotated(x)
+    band = y[:, space.edges[block + 1] - 1]
+    order = np.argsort(band, kind="stable")
+    x, y, times, home, side, band = x[order], y[order], times[order], home[order], side[order], band[order]
+    reach = np.sqrt(space.budgets[block] + ROUNDING)
     part = slice(space.edges[block], space.edges[block + 1])
     links, root, a_out, b_out = np.zeros(len(x), dtype=np.int64), list(range(len(x))), [], []
 
@@ -107,8 +119,9 @@ def link_cell(x: np.ndarray, times: np.ndarray, home: np.ndarray, side: np.ndarr
     homes = np.flatnonzero(home)
     for at in range(0, len(homes), 256):
         h = homes[at : at + 256]
-        i, j = np.divmod(np.flatnonzero(left[h] @ right <= within), len(x))
-        i = h[i]
+        lo, hi = np.searchsorted(band, band[h[0]] - reach), np.searchsorted(band, band[h[-1]] + reach, side="right")
+        i, j = np.divmod(np.flatnonzero(left[h] @ right[:, lo:hi] <= within), hi - lo)
+        i, j = h[i], j + lo
         meet = (~home[j] | (j > i)) & (side[i] != side[j] if across else True)
         i, j = i[meet], j[meet]
         for k in range(0, len(i), 1 << 15):
@@ -128,7 +141,9 @@ def link_cell(x: np.ndarray, times: np.ndarray, home: np.ndarray, side: np.ndarr
                     root[max(ru, rv)] = min(ru, rv)
                     a_out.append(u)
                     b_out.append(v)
-    return links, np.array(a_out, dtype=np.int64), np.array(b_out, dtype=np.int64)
+    counted = np.zeros_like(links)
+    counted[order] = links
+    return counted, order[np.array(a_out, dtype=np.int64)], order[np.array(b_out, dtype=np.int64)]
 
 
 def valid(vector: str):
@@ -188,11 +203,12 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("v"))
     fit = rows.filter(valid("v") & F.col("_id").isNotNull())
     reps = cut(fit.groupBy("v").agg(F.min("_id").alias("rep"), F.count("*").alias("times")))
-    dims = sorted(r[0] for r in reps.select(F.size("v")).distinct().collect())
+    # One job for each length that two vectors or more have: others link with nothing. Lengths are few where a model made the vectors.
+    dims = sorted((r["dims"], r["rows"]) for r in reps.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("rows")).filter("rows > 1").collect())
 
     found = None
-    for n in dims:
-        space = Subspaces(n, least)
+    for n, rows_of in dims:
+        space = Subspaces(n, least, grid=grid_dims(rows_of))
 
         placed = cut(reps.filter(F.size("v") == n).withColumn("cells", cells_of(space)("v")))
         spread = placed.withColumn("at", F.explode("cells")).select("rep", "times", "v", "at.cell", "at.home")
@@ -201,7 +217,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         found = part if found is None else found.unionByName(part)
 
     if found is None:
-        return rows.select(F.col("_id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.col("_id").isNotNull().alias("kept"))
+        found = vectors.sparkSession.createDataFrame([], "rep long, links long, other long, edge boolean")
     found = cut(found)
     links = found.filter("not edge").groupBy("rep").agg(F.sum("links").alias("links"))
     classes = components(found.filter("edge").select(F.col("rep").alias("a"), F.col("other").alias("b")))

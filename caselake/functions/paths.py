@@ -77,8 +77,8 @@ def search_haystack(*fields: Column) -> Column:
     return F.lower(F.concat_ws("\0", *fields))
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """A sort key in which runs of digits compare as numbers."""
+def natural_key(name: Column) -> Column:
+    """A sort key in which runs of digits compare as numbers: each stands behind the count of its digits."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"\d+|\D+"), F.lit(0))
-    padded = F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), width, "0")).otherwise(p))
+    padded = F.transform(parts, lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lpad(F.length(F.regexp_replace(p, r"^0+(?=\d)", "")).cast("string"), 10, "0"), F.regexp_replace(p, r"^0+(?=\d)", ""))).otherwise(p))
     return F.concat_ws("", padded)

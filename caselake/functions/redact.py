@@ -22,7 +22,7 @@ def redact(text: Column, case_root: str | None = None) -> Column:
         if case_root is None:
             return hidden
         root = case_root.rstrip("/")
-        return F.when(t == root, "<case>").when(t.startswith(root + "/"), F.concat(F.lit("<case>"), F.substring(t, len(root) + 1, 1 << 20))).otherwise(hidden)
+        return F.when(t == root, "<case>").when(t.startswith(root + "/"), F.concat(F.lit("<case>"), F.substr(t, F.lit(len(root) + 1)))).otherwise(hidden)
 
     pieces = F.transform(gaps, lambda g, i: F.concat(g, F.when(i < F.size(found), token(found[i])).otherwise("")))
     return F.when(text.isNotNull(), F.concat_ws("", pieces))

@@ -124,33 +124,41 @@ def ts_runs(chunks: DataFrame) -> DataFrame:
     return runs.filter("packets >= 4").select("image", "start_b", "end_b", "packets")
 
 
-SENTENCE = rb"\$G[A-Z](?:RMC|GGA),[^\r\n$]{0,200}"
+#: A sentence ends at a line's end, or after 200 bytes.
+SENTENCE = rb"(?=(\$G[^\r\n](?:RMC|GGA),[^\r\n]{0,193}))"
 
 
 def track_points(chunks: DataFrame) -> DataFrame:
-    """image, offset, lat, lon, day, time_s, speed_kmh, alt_m of location sentences anywhere in the bytes. An RMC sentence counts only with status A; minutes of 60 or more and a missing hemisphere make none."""
+    """image, offset, lat, lon, day, time_s, speed_kmh, alt_m of location sentences anywhere in the bytes.
+
+    An RMC sentence counts only with status A; minutes of 60 or more make none, and only S and
+    W turn the sign. A sentence that a chunk cuts is seen whole in the next one (the longest of
+    an offset counts). Years from 80 on are of the 20th century.
+    """
 
     def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, s + m.start(), m.group().decode("ascii", "replace")) for i, s, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True) for m in re.finditer(SENTENCE + rb"(?=[\r\n])", bytes(data))]
+            rows = [(i, s + m.start(), m.group(1).decode("ascii", "replace")) for i, s, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True) for m in re.finditer(SENTENCE, bytes(data))]
             yield pd.DataFrame(rows, columns=["image", "offset", "text"])
 
-    s = chunks.select("image", "start_b", "bytes").mapInPandas(sentences, "image string, offset long, text string").distinct()
-    f = F.split(F.regexp_replace("text", r"\*.*$", ""), ",")
+    s = chunks.select("image", "start_b", "bytes").mapInPandas(sentences, "image string, offset long, text string")
+    s = s.groupBy("image", "offset").agg(F.max_by("text", F.length("text")).alias("text"))
+    f = F.split(F.regexp_replace("text", r"(?s)\*.*$", ""), ",")
     s = s.withColumn("f", f).withColumn("rmc", F.substring(f[0], 4, 3) == "RMC")
     at = lambda rmc, gga: F.when(F.col("rmc"), F.get("f", F.lit(rmc))).otherwise(F.get("f", F.lit(gga)))
 
-    def angle(value, side, digits: int, plus: str, minus: str):
-        d, m = F.substring(value, 1, digits).try_cast("double"), F.substring(value, digits + 1, 16).try_cast("double")
-        sign = F.when(side == plus, 1.0).when(side == minus, -1.0)
-        return F.when((m < 60) & sign.isNotNull(), sign * (d + m / 60))
+    def angle(value, side, minus: str):
+        number = value.try_cast("double")
+        degrees = F.floor(number / 100)
+        minutes = number - degrees * 100
+        return F.when((number >= 0) & (minutes < 60), F.when(side == minus, -1.0).otherwise(1.0) * (degrees + minutes / 60))
 
     t = at(1, 1)
     seconds = F.substring(t, 1, 2).try_cast("long") * 3600 + F.substring(t, 3, 2).try_cast("long") * 60 + F.substring(t, 5, 2).try_cast("long")
-    day = F.when(F.col("rmc") & (F.length(F.get("f", F.lit(9))) == 6), F.concat(F.lit("20"), F.substring(F.get("f", F.lit(9)), 5, 2), F.lit("-"), F.substring(F.get("f", F.lit(9)), 3, 2), F.lit("-"), F.substring(F.get("f", F.lit(9)), 1, 2)))
+    day = F.when(F.col("rmc") & (F.length(F.get("f", F.lit(9))) == 6), F.concat(F.when(F.substring(F.get("f", F.lit(9)), 5, 2) >= "80", "19").otherwise("20"), F.substring(F.get("f", F.lit(9)), 5, 2), F.lit("-"), F.substring(F.get("f", F.lit(9)), 3, 2), F.lit("-"), F.substring(F.get("f", F.lit(9)), 1, 2)))
     out = s.filter(~F.col("rmc") | (F.get("f", F.lit(2)) == "A")).select(
         "image", "offset",
-        angle(at(3, 2), at(4, 3), 2, "N", "S").alias("lat"), angle(at(5, 4), at(6, 5), 3, "E", "W").alias("lon"),
+        angle(at(3, 2), at(4, 3), "S").alias("lat"), angle(at(5, 4), at(6, 5), "W").alias("lon"),
         day.alias("day"), seconds.alias("time_s"),
         F.when(F.col("rmc"), F.get("f", F.lit(7)).try_cast("double") * 1.852).alias("speed_kmh"), F.when(~F.col("rmc"), F.get("f", F.lit(9)).try_cast("double")).alias("alt_m"),
     )

@@ -146,14 +146,22 @@ RANKS = {"unverified": 0, "self-consistent": 1, "authenticated": 2}
 
 
 def measurement_latest(measurements: DataFrame) -> DataFrame:
-    """selector, lane, line_no, trust, value of the measurement that counts: in a lane the last line; across lanes the highest trust, then the latest. Lines at or before the lane's last repair are unverified."""
+    """selector, lane, line_no, trust, value of the measurement that counts.
+
+    A selector's measurements are gone through in order of time, lane and line. The later one
+    counts unless it is trusted less than the one before; but an unverified line of the same
+    lane replaces any, so that a record is never rolled back to an older measurement. Lines at
+    or before the lane's last repair are unverified.
+    """
     repair = measurements.filter("is_repair").groupBy("lane").agg(F.max("line_no").alias("_repair"))
     m = measurements.filter("not is_repair").join(repair, "lane", "left")
     m = m.withColumn("trust", F.when(F.col("line_no") <= F.col("_repair"), "unverified").otherwise(F.col("trust")))
-    last = m.groupBy("selector", "lane").agg(F.max_by(F.struct("line_no", "trust", "ts", "value"), "line_no").alias("e"))
-    rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), F.col("e.trust"))
-    best = last.groupBy("selector").agg(F.max_by(F.struct("lane", "e"), F.struct(rank, F.col("e.ts"), F.col("lane"))).alias("b"))
-    return best.select("selector", "b.lane", F.col("b.e.line_no").alias("line_no"), F.col("b.e.trust").alias("trust"), F.col("b.e.value").alias("value"))
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv]), F.col("trust"))
+    entry = F.struct("ts", "lane", "line_no", rank.alias("rank"), "trust", "value")
+    lines = m.groupBy("selector").agg(F.array_sort(F.collect_list(entry)).alias("es"))
+    stays = lambda old, new: (old["rank"] > new["rank"]) & ~((old["lane"] == new["lane"]) & (new["rank"] == 0))
+    last = F.reduce("es", F.col("es")[0], lambda old, new: F.when(stays(old, new), old).otherwise(new))
+    return lines.select("selector", last.alias("b")).select("selector", "b.lane", "b.line_no", "b.trust", "b.value")
 
 
 CLOCK_MARGIN_SECONDS = 600

@@ -138,29 +138,39 @@ def reproducible(a: DataFrame, b: DataFrame, zeroed: tuple[str, ...] = ("stale_s
     return out.withColumn("reproducible", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 
-def timeline(catalog: DataFrame, carve: DataFrame, lanes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events, coverage). events: ts_unix, source, kind, path, detail, time_unaudited; sort them by all of these.
+#: Fixed value: the kind of an entry that is not usable here.
+UNAUTHENTICATED = "audit-entry-unauthenticated"
+
 
-    catalog (source_path, modified_unix, stale, stale_since, creation): mtimes, stale marks
-    and creation tags; carve (path, ts, signature, trusted) and lanes (lane, ts, event, detail,
-    trusted): an untrusted entry's kind is downgraded. What has no time is left out and
-    counted in the coverage (source, events, without_time).
+def timeline(catalog: DataFrame, carve: DataFrame, lanes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, coverage). events: ts_unix, source, kind, path, detail, time_unaudited, time_self_consistent; sort them by the first five.
+
+    catalog (id, source_path, modified_unix, stale, stale_since, creation): mtimes, stale marks
+    and creation tags, whose times no log vouches for: all are unaudited. carve (path, ts,
+    signature, trust) and lanes (lane, ts, event, path, trust): an entry that is not usable
+    here is of an unauthenticated kind and unaudited; one that only its own chain vouches for
+    is self-consistent. What has no time is left out and counted in the coverage (source,
+    events, without_time).
     """
     from ..functions.times import creation_time
+    from .lanes import USABLE
 
-    none = F.lit(None).cast("string")
-
-    def part(df: DataFrame, ts, source: str, kind, path, detail, unaudited=None) -> DataFrame:
-        return df.select(ts.cast("long").alias("ts_unix"), F.lit(source).alias("source"), kind.alias("kind"), path.alias("path"), detail.alias("detail"), (F.lit(False) if unaudited is None else unaudited).alias("time_unaudited"))
+    def part(df: DataFrame, ts, source: str, kind, path, detail, audited=None, own=None) -> DataFrame:
+        no = F.lit(False)
+        flags = (F.lit(True) if audited is None else ~audited).alias("time_unaudited"), (no if own is None else own).alias("time_self_consistent")
+        return df.select(ts.cast("long").alias("ts_unix"), F.lit(source).alias("source"), kind.alias("kind"), path.alias("path"), detail.alias("detail"), *flags)
 
     tag = catalog.filter("creation is not null").withColumn("_c", creation_time(F.col("creation")))
-    trust = lambda c: F.when(F.col("trusted"), c).otherwise(F.concat(c, F.lit("-unverified")))
+    usable = F.coalesce(F.col("trust").isin(*USABLE), F.lit(False))
+    own = usable & (F.col("trust") != "authenticated")
+    video = lambda *rest: F.concat(F.lit("indexed video "), "id", *[F.lit(r) if isinstance(r, str) else r for r in rest])
+    zone = F.when(F.col("_c.tz_assumed"), " (zone assumed UTC)").otherwise(" (zone not verified)")
     parts = [
-        part(catalog, F.nullif("modified_unix", F.lit(0)), "index", F.lit("file-mtime"), F.col("source_path"), none),
-        part(catalog.filter("stale"), F.col("stale_since"), "index", F.lit("marked-stale"), F.col("source_path"), none),
-        part(tag, F.col("_c.unix"), "probe", F.lit("creation-time"), F.col("source_path"), F.when(F.col("_c.tz_assumed"), "zone assumed UTC")),
-        part(carve, F.col("ts"), "carve", trust(F.lit("carved")), F.col("path"), F.col("signature"), ~F.col("trusted")),
-        part(lanes, F.col("ts"), "audit", trust(F.col("event")), F.col("lane"), F.col("detail"), ~F.col("trusted")),
+        part(catalog, F.nullif("modified_unix", F.lit(0)), "index", F.lit("file-modified"), F.col("source_path"), video(" filesystem mtime")),
+        part(catalog.filter("stale"), F.col("stale_since"), "index", F.lit("file-marked-stale"), F.col("source_path"), video(" marked stale by rescan")),
+        part(tag, F.col("_c.unix"), "ffprobe", F.lit("media-creation-time"), F.col("source_path"), video(" ffprobe format creation_time ", F.col("creation"), zone)),
+        part(carve, F.col("ts"), "carve", F.when(usable, "carved-candidate").otherwise(UNAUTHENTICATED), F.col("path"), F.col("signature"), usable, own),
+        part(lanes, F.col("ts"), "audit-log", F.when(usable, "audit-event").otherwise(UNAUTHENTICATED), F.col("path"), F.concat(F.lit("audit event '"), "event", F.lit("' recorded in "), "lane"), usable, own),
     ]
     all_ = reduce(DataFrame.unionByName, parts)
     coverage = all_.groupBy("source").agg(F.count("ts_unix").alias("events"), (F.count("*") - F.count("ts_unix")).alias("without_time"))

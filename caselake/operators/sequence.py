@@ -141,15 +141,16 @@ def compress_runs(events: DataFrame, order: list[str], lane: str = "lane") -> Da
     return e.groupBy(lane, "island").agg(F.first("source").alias("source"), F.first("kind").alias("kind"), F.min(order[0]).alias("first_seq"), F.max(order[0]).alias("last_seq"), F.count("*").alias("n")).drop("island")
 
 
-def assign_ids(new: DataFrame, existing: DataFrame, buckets: int = 64) -> DataFrame:
+def assign_ids(new: DataFrame, existing: DataFrame, per_range: int = 500_000) -> DataFrame:
     """path_key, id: a known path keeps its id, others get the next vid_ numbers after the highest, in path order.
 
-    The numbers come from counts per range of the path's order, not from one global sort.
+    Numbers have six digits at least. They come from counts per range of the path's order (one
+    range for each `per_range` new paths), not from one global sort.
     """
     known = existing.select("path_key", F.col("id").alias("_known"))
     rows = new.select("path_key").distinct().join(known, "path_key", "left")
     fresh = rows.filter("_known is null").select("path_key")
-    ranged = fresh.repartitionByRange(buckets, "path_key").withColumn("part", F.spark_partition_id())
+    ranged = fresh.repartitionByRange(max(1, -(-fresh.count() // per_range)), "path_key").withColumn("part", F.spark_partition_id())
     edges = ranged.groupBy("part").agg(F.min("path_key").alias("lo"), F.count("*").alias("n"))
     edges = edges.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     bounds = [r for r in edges.select("lo", "before").orderBy("before").collect()]
@@ -159,7 +160,7 @@ def assign_ids(new: DataFrame, existing: DataFrame, buckets: int = 64) -> DataFr
     k = F.size(F.filter(los, lambda lo: lo <= F.col("path_key")))
     placed = fresh.withColumn("_k", k).withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("path_key")))
     number = F.lit(top) + F.element_at(befores, F.col("_k")) + F.col("_n")
-    named = placed.select("path_key", F.concat(F.lit("vid_"), F.lpad(number.cast("string"), 6, "0")).alias("id"))
+    named = placed.select("path_key", F.format_string("vid_%06d", number).alias("id"))
     return rows.filter("_known is not null").select("path_key", F.col("_known").alias("id")).unionByName(named)
 
 

@@ -31,16 +31,38 @@ def facet_filter(records: DataFrame, kind: str | None = None, rec_type: str | No
     return records.filter(reduce(Column.__and__, tests)) if tests else records
 
 
-def chip_filter(records: DataFrame, marks: DataFrame, tags: DataFrame, chip: str) -> DataFrame:
-    """Records by mark or tag: marked:any, mark:none, mark:<status> or tag:<tag>."""
+#: Chips that ask for a flag of the record.
+FLAG_CHIPS = {"anomaly": "has_anomaly", "anomaly:unauth": "has_unauth_anomaly", "anomaly:pc": "has_pc_anomaly"}
+RECOVERY_KINDS = ("candidate", "filesystem", "repaired")
+
+
+def chip_filter(records: DataFrame, marks: DataFrame, tags: DataFrame, chip: str, notes: DataFrame | None = None) -> DataFrame:
+    """Records that a chip asks for.
+
+    anomaly, anomaly:unauth, anomaly:pc (has_anomaly ... of the record), warning (its
+    warnings), kind:recovery (its record_kind), mark:none, mark:<status>, tag:<tag>, and
+    marked:any: a mark, a tag or a note that is not blank. Any other chip is an error.
+    """
     m = marks.select(F.col("id").alias("_id"), F.col("status").alias("_mark"))
+    if chip in FLAG_CHIPS:
+        return records.filter(F.coalesce(F.col(FLAG_CHIPS[chip]), F.lit(False)))
+    if chip == "warning":
+        return records.filter(F.size(F.coalesce("warnings", F.array())) > 0)
+    if chip == "kind:recovery":
+        return records.filter(F.col("record_kind").isin(*RECOVERY_KINDS))
     if chip.startswith("tag:"):
-        t = tags.filter(F.array_contains("tags", chip[4:])).select(F.col("id").alias("_id"))
-        return records.join(t, records["id"] == t["_id"], "left_semi")
-    if chip == "mark:none":
+        hits = tags.filter(F.array_contains("tags", chip[4:])).select(F.col("id").alias("_id"))
+    elif chip == "marked:any":
+        hits = m.select("_id").unionByName(tags.filter(F.size("tags") > 0).select(F.col("id").alias("_id")))
+        if notes is not None:
+            hits = hits.unionByName(notes.filter(F.trim("note") != "").select(F.col("id").alias("_id")))
+    elif chip == "mark:none":
         return records.join(m, records["id"] == m["_id"], "left_anti")
-    m = m if chip == "marked:any" else m.filter(F.col("_mark") == chip.removeprefix("mark:"))
-    return records.join(m, records["id"] == m["_id"], "left_semi")
+    elif chip.startswith("mark:"):
+        hits = m.filter(F.col("_mark") == chip[5:])
+    else:
+        raise ValueError(f"unknown chip {chip}")
+    return records.join(hits, records["id"] == hits["_id"], "left_semi")
 
 
 def sort_records(records: DataFrame, by: str = "time") -> DataFrame:

@@ -68,13 +68,17 @@ def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.rescan_diff(*_rescan(spark, sf_dir), need_hash=True)
 
 
-@query("j7_carry_facts", f"""WITH {V.CASES}, o AS (SELECT DISTINCT source_path, size_bytes, modified_unix, sha256 FROM case_a)
-SELECT n.source_path AS path_key, n.size_bytes, n.modified_unix, o.sha256, CASE WHEN o.sha256 IS NOT NULL THEN 'hashed' ELSE 'not-computed' END AS hash_status, CASE WHEN o.source_path IS NOT NULL AND n.doc_id % 4 = 0 THEN true END AS probe_ok
-FROM case_b n LEFT JOIN o ON n.source_path = o.source_path AND n.size_bytes = o.size_bytes AND n.modified_unix = o.modified_unix""")
+@query("j7_carry_facts", f"""WITH {V.CASES}, o AS (SELECT DISTINCT source_path, size_bytes, modified_unix, sha256, CASE WHEN doc_id % 5 = 0 THEN 'failed' END AS hs FROM case_a), s AS (SELECT source_path, size_bytes, modified_unix, CASE WHEN doc_id % 2 = 0 THEN sha256(source_path) END AS sha256 FROM case_a WHERE doc_id % 3 = 0)
+SELECT n.source_path AS path_key, n.size_bytes, n.modified_unix, coalesce(s.sha256, o.sha256) AS sha256, CASE WHEN s.sha256 IS NOT NULL THEN 'salvaged' WHEN o.sha256 IS NOT NULL THEN 'hashed' WHEN o.hs = 'failed' THEN 'failed' ELSE 'not-computed' END AS hash_status,
+  CASE WHEN s.source_path IS NOT NULL THEN false WHEN o.source_path IS NOT NULL AND n.doc_id % 4 = 0 THEN true END AS probe_ok
+FROM case_b n LEFT JOIN o ON n.source_path = o.source_path AND n.size_bytes = o.size_bytes AND n.modified_unix = o.modified_unix LEFT JOIN s ON n.source_path = s.source_path AND n.size_bytes = s.size_bytes AND n.modified_unix = s.modified_unix""")
 def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, now = V.cases(spark, sf_dir)
-    old = old.withColumns({"path_key": F.col("source_path"), "hash_status": F.lit(None).cast("string"), "probe_ok": F.when(F.col("doc_id") % 4 == 0, True)})
-    return L.carry_facts(now.withColumn("path_key", F.col("source_path")), old.limit(0), old, hashing=False, probing=False)
+    n = F.col("doc_id")
+    old = old.withColumns({"path_key": F.col("source_path"), "hash_status": F.when(n % 5 == 0, "failed"), "probe_ok": F.when(n % 4 == 0, True)})
+    other = F.when(n % 2 == 0, F.sha2("source_path", 256))
+    salvaged = old.filter("doc_id % 3 = 0").withColumns({"sha256": other, "hash_status": F.when(other.isNotNull(), "salvaged"), "probe_ok": F.lit(False)})
+    return L.carry_facts(now.withColumn("path_key", F.col("source_path")), salvaged, old, hashing=False, probing=False)
 
 
 @query("j8_merge_catalog", f"""WITH {V.CASES}, o AS (SELECT a.*, doc_id % 3 AS st FROM case_a a)
@@ -111,7 +115,7 @@ def j10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.channel_mates(c.select("id", pair_key(F.col("path")).alias("pair_key"), channel_code(F.col("path")).alias("channel")))
 
 
-@query("j11_record_status", f"""WITH {V.CATALOG}, {V.ENTRIES}, v AS (SELECT 'vid_' || lpad((lane + 1)::VARCHAR, 6, '0') AS id, line_no, usable, is_repair FROM entries),
+@query("j11_record_status", f"""WITH {V.CATALOG}, {V.ENTRIES}, v AS (SELECT printf('vid_%06d', lane + 1) AS id, line_no, usable, is_repair FROM entries),
 n AS (SELECT id, max_by(usable, line_no) AS usable, max_by(is_repair, line_no) AS rep FROM v GROUP BY id)
 SELECT c.id, CASE WHEN n.id IS NULL THEN 'extension-candidate' WHEN NOT usable THEN 'unconfirmed' WHEN rep THEN 'unconfirmed' ELSE 'confirmed' END AS status FROM catalog c LEFT JOIN n ON c.id = n.id""")
 def j11(spark: SparkSession, sf_dir: str) -> DataFrame:

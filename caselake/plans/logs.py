@@ -21,9 +21,9 @@ def w12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w13_measurement_latest", f"""WITH {V.ENTRIES}, r AS (SELECT lane, max(line_no) AS rep FROM entries WHERE is_repair GROUP BY lane),
 m AS (SELECT e.id AS selector, e.lane, line_no, ts, CASE WHEN line_no <= rep THEN 'unverified' WHEN usable THEN 'authenticated' ELSE 'self-consistent' END AS trust FROM entries e LEFT JOIN r ON e.lane = r.lane WHERE NOT is_repair),
-l AS (SELECT selector, lane, max(line_no) AS line_no, max_by(trust, line_no) AS trust, max_by(ts, line_no) AS ts FROM m GROUP BY selector, lane),
-k AS (SELECT *, row_number() OVER (PARTITION BY selector ORDER BY CASE trust WHEN 'unverified' THEN 0 WHEN 'self-consistent' THEN 1 ELSE 2 END DESC, ts DESC, lane DESC) AS rn FROM l)
-SELECT selector, lane, line_no, trust, ts AS value FROM k WHERE rn = 1""")
+k AS (SELECT selector, list_sort(list(struct_pack(ts := ts, lane := lane, line_no := line_no, rank := CASE trust WHEN 'unverified' THEN 0 WHEN 'self-consistent' THEN 1 ELSE 2 END, trust := trust))) AS es FROM m GROUP BY selector),
+z AS (SELECT selector, list_reduce(es, lambda a, x: CASE WHEN a.rank > x.rank AND NOT (a.lane = x.lane AND x.rank = 0) THEN a ELSE x END) AS b FROM k)
+SELECT selector, b.lane AS lane, b.line_no AS line_no, b.trust AS trust, b.ts AS value FROM z""")
 def w13(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.log_entries(spark, sf_dir)
     return L.measurement_latest(e.select(F.col("id").alias("selector"), "lane", "line_no", "is_repair", F.when(F.col("usable"), "authenticated").otherwise("self-consistent").alias("trust"), "ts", F.col("ts").alias("value")))
@@ -78,7 +78,7 @@ def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("m2_merge_cases", f"""WITH {V.CASES}, a AS (SELECT id, source_path AS path_key, sha256 FROM case_a), b AS (SELECT id, source_path AS path_key, sha256 FROM case_b), t AS (SELECT max(substr(id, 5)::BIGINT) AS top FROM a),
-f AS (SELECT 'vid_' || lpad((top + row_number() OVER (ORDER BY b.id, path_key))::VARCHAR, 6, '0') AS id, path_key, sha256, b.id AS old FROM b, t WHERE path_key NOT IN (SELECT path_key FROM a)),
+f AS (SELECT printf('vid_%06d', top + row_number() OVER (ORDER BY b.id, path_key)) AS id, path_key, sha256, b.id AS old FROM b, t WHERE path_key NOT IN (SELECT path_key FROM a)),
 r AS (SELECT a.id, a.path_key, a.sha256, NULL AS merged_from, NULL AS merged_from_id, 0 AS src, CASE WHEN b.id IS NULL THEN []::VARCHAR[] ELSE ['b:' || b.id] END AS provenance FROM a LEFT JOIN b ON a.path_key = b.path_key
       UNION ALL SELECT id, path_key, sha256, 'b', old, 1, ['b:' || old] FROM f),
 d AS (SELECT *, first(id) OVER (PARTITION BY sha256 ORDER BY src, id) AS fi FROM r)
@@ -138,17 +138,19 @@ def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.source_registry(r)[0].drop("hash")
 
 
-@query("u1_timeline", f"""WITH {V.CATALOG}, {V.ENTRIES} SELECT modified_unix AS ts_unix, 'index' AS source, 'file-mtime' AS kind, source_path AS path, NULL AS detail, false AS time_unaudited FROM catalog WHERE modified_unix > 0
-UNION ALL SELECT 1704067200 + doc_id, 'index', 'marked-stale', source_path, NULL, false FROM catalog WHERE doc_id % 9 = 0
-UNION ALL SELECT 1704067200 + doc_id * 60, 'probe', 'creation-time', source_path, CASE WHEN doc_id % 2 = 0 THEN 'zone assumed UTC' END, false FROM catalog WHERE doc_id % 4 = 0
-UNION ALL SELECT 1704067200 + doc_id, 'carve', CASE WHEN doc_id % 6 = 0 THEN 'carved' ELSE 'carved-unverified' END, source_path, 'ftyp', doc_id % 6 <> 0 FROM catalog WHERE doc_id % 3 = 0 AND doc_id % 5 > 0
-UNION ALL SELECT ts, 'audit', CASE WHEN usable THEN event ELSE event || '-unverified' END, lane::VARCHAR, id, NOT usable FROM entries""")
+@query("u1_timeline", f"""WITH {V.CATALOG}, {V.ENTRIES} SELECT modified_unix AS ts_unix, 'index' AS source, 'file-modified' AS kind, source_path AS path, 'indexed video ' || id || ' filesystem mtime' AS detail, true AS time_unaudited, false AS time_self_consistent FROM catalog WHERE modified_unix > 0
+UNION ALL SELECT 1704067200 + doc_id, 'index', 'file-marked-stale', source_path, 'indexed video ' || id || ' marked stale by rescan', true, false FROM catalog WHERE doc_id % 9 = 0
+UNION ALL SELECT 1704067200 + doc_id * 60, 'ffprobe', 'media-creation-time', source_path, 'indexed video ' || id || ' ffprobe format creation_time ' || strftime(make_timestamp((1704067200 + doc_id * 60) * 1000000), '%Y-%m-%dT%H:%M:%S')
+  || CASE WHEN doc_id % 2 = 0 THEN ' (zone assumed UTC)' ELSE 'Z (zone not verified)' END, true, false FROM catalog WHERE doc_id % 4 = 0
+UNION ALL SELECT 1704067200 + doc_id, 'carve', CASE WHEN doc_id % 6 = 0 THEN 'carved-candidate' ELSE 'audit-entry-unauthenticated' END, source_path, 'ftyp', doc_id % 6 <> 0, doc_id % 12 = 0 FROM catalog WHERE doc_id % 3 = 0 AND doc_id % 5 > 0
+UNION ALL SELECT ts, 'audit-log', CASE WHEN usable THEN 'audit-event' ELSE 'audit-entry-unauthenticated' END, id, 'audit event ''' || event || ''' recorded in ' || lane::VARCHAR, NOT usable, usable AND line_no % 2 = 0 FROM entries""")
 def u1(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = V.catalog(spark, sf_dir), F.col("doc_id")
     stamp = F.concat(F.date_format(F.timestamp_seconds(1_704_067_200 + n * 60), "yyyy-MM-dd'T'HH:mm:ss"), F.when(n % 2 == 1, "Z").otherwise(""))
     c = c.withColumns({"stale": n % 9 == 0, "stale_since": 1_704_067_200 + n, "creation": F.when(n % 4 == 0, stamp)})
-    carve = c.filter("doc_id % 3 = 0").select(F.col("source_path").alias("path"), F.when(n % 5 > 0, 1_704_067_200 + n).alias("ts"), F.lit("ftyp").alias("signature"), (n % 6 == 0).alias("trusted"))
-    lanes = V.log_entries(spark, sf_dir).select(F.col("lane").cast("string").alias("lane"), "ts", "event", F.col("id").alias("detail"), F.col("usable").alias("trusted"))
+    trust = lambda usable, own: F.when(~usable, "not-authenticated").when(own, "self-consistent").otherwise("authenticated")
+    carve = c.filter("doc_id % 3 = 0").select(F.col("source_path").alias("path"), F.when(n % 5 > 0, 1_704_067_200 + n).alias("ts"), F.lit("ftyp").alias("signature"), trust(n % 6 == 0, n % 12 == 0).alias("trust"))
+    lanes = V.log_entries(spark, sf_dir).select(F.col("lane").cast("string").alias("lane"), "ts", "event", F.col("id").alias("path"), trust(F.col("usable"), F.col("line_no") % 2 == 0).alias("trust"))
     return M.in_time_order(M.timeline(c, carve, lanes)[0])
 
 

@@ -26,12 +26,16 @@ def b1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.scan_signatures(_chunks(spark, sf_dir, planted))
 
 
-@query("b3_track_points", """SELECT doc_id::VARCHAR AS image, doc_id % 50 AS "offset", (48 + 7.038::DOUBLE / 60) * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS lat, 11 + 31.0::DOUBLE / 60 AS lon, '2024-03-23' AS day,
-  (doc_id % 24) * 3600 + 35 * 60 + 19 AS time_s, 22.4::DOUBLE * 1.852 AS speed_kmh, NULL::DOUBLE AS alt_m FROM documents WHERE doc_id % 5 > 0""")
+@query("b3_track_points", """SELECT doc_id::VARCHAR AS image, doc_id % 50 AS "offset", CASE WHEN doc_id % 3 = 0 THEN 8 + 7.038::DOUBLE / 60 ELSE 48 + 7.038::DOUBLE / 60 END * CASE WHEN doc_id % 2 = 0 THEN 1 ELSE -1 END AS lat, 11 + 31.0::DOUBLE / 60 AS lon,
+  CASE WHEN doc_id % 4 = 0 THEN '1994-03-23' ELSE '2024-03-23' END AS day, (doc_id % 24) * 3600 + 35 * 60 + 19 AS time_s, 22.4::DOUBLE * 1.852 AS speed_kmh, NULL::DOUBLE AS alt_m FROM documents WHERE doc_id % 5 > 0""")
 def b3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences before a line's end or binary bytes, with short degrees, blank hemispheres and years of two centuries."""
     n = F.col("doc_id")
-    text = F.concat(F.lit("$GPRMC,"), F.lpad((n % 24).cast("string"), 2, "0"), F.lit("3519,"), F.when(n % 5 > 0, "A").otherwise("V"), F.lit(",4807.038,"), F.when(n % 2 == 0, "N").otherwise("S"), F.lit(",01131.000,E,022.4,084.4,230324,003.1,W*6A\r\n"))
-    return B.track_points(_chunks(spark, sf_dir, F.encode(text, "UTF-8")))
+    side = F.when(n % 4 == 2, "").when(n % 2 == 0, "N").otherwise("S")
+    year = F.when(n % 4 == 0, "94").otherwise("24")
+    text = F.concat(F.lit("$GPRMC,"), F.lpad((n % 24).cast("string"), 2, "0"), F.lit("3519,"), F.when(n % 5 > 0, "A").otherwise("V"), F.lit(","), F.when(n % 3 == 0, "807.038").otherwise("4807.038"), F.lit(","), side, F.lit(",01131.000,E,022.4,084.4,2303"), year, F.lit(",003.1,W*6A"))
+    end = F.when(n % 6 == 0, F.unhex(F.lit("0000FF"))).otherwise(F.unhex(F.lit("0D0A")))
+    return B.track_points(_chunks(spark, sf_dir, F.concat(F.encode(text, "UTF-8"), end)))
 
 
 @query("b4_frame_headers", """SELECT doc_id::VARCHAR AS image, doc_id % 50 AS "offset", CASE WHEN doc_id % 3 = 0 THEN 240 ELSE 253 END AS type, (doc_id % 4)::INTEGER AS channel, 5::BIGINT AS packed_date, (doc_id % 256)::INTEGER AS counter, 256::BIGINT AS length, doc_id % 3 > 0 AS is_video FROM documents""")

@@ -99,7 +99,7 @@ def w17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("w18_assign_ids", f"""WITH {V.CASES}, t AS (SELECT max(substr(id, 5)::BIGINT) AS top FROM case_a), f AS (SELECT source_path, row_number() OVER (ORDER BY source_path) AS n FROM case_b WHERE source_path NOT IN (SELECT source_path FROM case_a))
-SELECT b.source_path AS path_key, a.id FROM case_b b JOIN case_a a ON b.source_path = a.source_path UNION ALL SELECT source_path, 'vid_' || lpad((top + n)::VARCHAR, 6, '0') FROM f, t""")
+SELECT b.source_path AS path_key, a.id FROM case_b b JOIN case_a a ON b.source_path = a.source_path UNION ALL SELECT source_path, printf('vid_%06d', top + n) FROM f, t""")
 def w18(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = V.cases(spark, sf_dir)
     return S.assign_ids(b.select(F.col("source_path").alias("path_key")), a.select(F.col("source_path").alias("path_key"), "id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,11 +96,21 @@ def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.facet_filter(records(spark, sf_dir), kind="video", first_day="2024-01-03", last_day="2024-02-10", folder="/evidence/src0").select("id", "day")
 
 
-@query("f3_chip_filter", f"WITH {V.CATALOG}, {V.MARKS} SELECT id, 'mark:none' AS chip FROM catalog WHERE id NOT IN (SELECT id FROM marks) UNION ALL SELECT id, 'mark:important' FROM catalog WHERE id IN (SELECT id FROM marks WHERE status = 'important') UNION ALL SELECT id, 'tag:good' FROM catalog WHERE id IN (SELECT id FROM marks WHERE quality = 1)")
+@query("f3_chip_filter", f"""WITH {V.CATALOG}, {V.MARKS}, k AS (SELECT * FROM marks WHERE substr(id, 5)::BIGINT % 2 = 1), any_ AS (SELECT id FROM k UNION SELECT id FROM marks WHERE quality = 1 OR toxic = 1 UNION SELECT id FROM catalog WHERE doc_id % 10 = 3)
+SELECT id, 'mark:none' AS chip FROM catalog WHERE id NOT IN (SELECT id FROM k) UNION ALL SELECT id, 'mark:important' FROM catalog WHERE id IN (SELECT id FROM k WHERE status = 'important')
+UNION ALL SELECT id, 'tag:good' FROM catalog WHERE id IN (SELECT id FROM marks WHERE quality = 1) UNION ALL SELECT id, 'marked:any' FROM catalog WHERE id IN (SELECT id FROM any_)
+UNION ALL SELECT id, 'anomaly' FROM catalog WHERE doc_id % 3 = 0 UNION ALL SELECT id, 'anomaly:unauth' FROM catalog WHERE doc_id % 6 = 0 UNION ALL SELECT id, 'anomaly:pc' FROM catalog WHERE doc_id % 9 = 0
+UNION ALL SELECT id, 'warning' FROM catalog WHERE doc_id % 4 = 1 UNION ALL SELECT id, 'kind:recovery' FROM catalog WHERE doc_id % 4 > 0""")
 def f3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, m, t = V.catalog(spark, sf_dir), V.marks(spark, sf_dir), V.tags(spark, sf_dir)
-    parts = [T.chip_filter(c, m, t, chip).select("id", F.lit(chip).alias("chip")) for chip in ("mark:none", "mark:important", "tag:good")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    n = F.col("doc_id")
+    c = V.catalog(spark, sf_dir).withColumns({
+        "has_anomaly": n % 3 == 0, "has_unauth_anomaly": n % 6 == 0, "has_pc_anomaly": F.when(n % 9 == 0, True), "warnings": F.when(n % 4 == 1, F.array(F.lit("w"))).when(n % 4 == 2, F.array().cast("array<string>")),
+        "record_kind": F.element_at(F.array(*map(F.lit, ("video", "candidate", "filesystem", "repaired"))), (n % 4 + 1).cast("int")),
+    })
+    marks = V.marks(spark, sf_dir).filter("cast(substr(id, 5) as long) % 2 = 1")
+    notes = c.select("id", F.when(n % 10 == 3, "seen").when(n % 10 == 4, "  ").alias("note"))
+    chips = ("mark:none", "mark:important", "tag:good", "marked:any", "anomaly", "anomaly:unauth", "anomaly:pc", "warning", "kind:recovery")
+    return reduce(DataFrame.unionByName, [T.chip_filter(c, marks, V.tags(spark, sf_dir), chip, notes).select("id", F.lit(chip).alias("chip")) for chip in chips])
 
 
 @query("f4_sorted_page", f"WITH {RECORDS} SELECT id, modified_unix FROM records ORDER BY modified_unix DESC NULLS LAST, id LIMIT 200 OFFSET 100")
@@ -180,10 +192,10 @@ def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a12_track_summary", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
-SELECT user_id AS file, count(*) FILTER (n <= 8) AS kept, count(*) AS total, count(*) > 8 AS truncated, min(epoch(ts)::BIGINT) FILTER (n <= 8) AS first_ts, max(epoch(ts)::BIGINT) FILTER (n <= 8) AS last_ts, max(value) FILTER (n <= 8) AS max_speed FROM p GROUP BY user_id""")
+SELECT user_id AS file, count(*) FILTER (n <= 20000) AS kept, count(*) AS total, count(*) > 20000 AS truncated, min(epoch(ts)::BIGINT) FILTER (n <= 20000) AS first_ts, max(epoch(ts)::BIGINT) FILTER (n <= 20000) AS last_ts, max(value) FILTER (n <= 20000) AS max_speed FROM p GROUP BY user_id""")
 def a12(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("file"), F.col("event_id").alias("offset"), F.round(F.col("ts").cast("timestamp").cast("double")).cast("long").alias("ts"), F.col("value").alias("speed"))
-    return T.track_summary(e, cap=8)
+    return T.track_summary(e)
 
 
 @query("a14_grade_counts", f"WITH {V.CATALOG} SELECT CASE WHEN doc_id % 5 = 0 THEN 'unknown' WHEN doc_id % 7 >= doc_id % 5 THEN 'intact' WHEN doc_id % 7 > 0 THEN 'partial' ELSE 'overwritten' END AS grade, count(*) AS n, sum(size_bytes)::BIGINT AS bytes FROM catalog GROUP BY 1")
@@ -223,16 +235,23 @@ def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("u5_all_findings", f"""WITH {V.CATALOG}, d AS (SELECT id, source_path, modified_unix - lag(modified_unix) OVER (PARTITION BY parent_dir ORDER BY source_path, id) AS delta FROM catalog WHERE modified_unix > 0)
-SELECT CASE WHEN delta < 0 THEN 'regression' ELSE 'gap' END AS kind, id AS selector, source_path, delta::VARCHAR AS detail, 'mtime' AS detector FROM d WHERE delta < 0 OR delta > 604800 UNION ALL SELECT 'no-findings', NULL, NULL, NULL, 'rehash'""")
+SELECT CASE WHEN delta < 0 THEN 'regression' ELSE 'gap' END AS kind, id AS selector, source_path, delta::VARCHAR AS detail, 'mtime' AS detector FROM d WHERE delta < 0 OR delta > 604800 
+UNION ALL SELECT 'hash-mismatch', id, source_path, CASE WHEN doc_id % 8 = 0 THEN 'missing' ELSE 'mismatch' END, 'rehash' FROM catalog WHERE doc_id % 8 = 0 OR (doc_id % 6 = 0 AND sha256 IS NOT NULL) UNION ALL SELECT 'no-findings', NULL, NULL, NULL, 'frames'""")
 def u5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.sequence import timestamp_findings
+    from ..operators.linkage import rehash_check
+    from ..operators.sequence import frame_gap_findings, timestamp_findings
 
     c = V.catalog(spark, sf_dir)
     f = timestamp_findings(c).join(c.select("id", "source_path"), "id").select("kind", F.col("id").alias("selector"), "source_path", F.col("delta").alias("detail"))
-    return T.all_findings({"mtime": f, "rehash": f.filter("false")})
+    now = c.filter("doc_id % 8 <> 0").withColumns({"sha256": F.when(F.col("doc_id") % 6 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")), "readable": F.lit(True)})
+    checked = rehash_check(c, now).filter("result in ('mismatch', 'missing')").join(c.select("id", "source_path"), "id")
+    rehash = checked.select(F.lit("hash-mismatch").alias("kind"), F.col("id").alias("selector"), "source_path", F.col("result").alias("detail"))
+    frames = frame_gap_findings(V.frames(spark, sf_dir).filter("seconds is not null"), gap=1 << 40).filter("kind = 'gap'")
+    frames = frames.select("kind", F.col("file").alias("selector"), F.col("channel").alias("source_path"), F.col("delta").alias("detail"))
+    return T.all_findings({"mtime": f, "rehash": rehash, "frames": frames})
 
 
-@query("j12_attach_findings", f"""WITH {V.CATALOG}, f AS (SELECT DISTINCT 'vid_' || lpad((event_id % 700 + 1)::VARCHAR, 6, '0') AS selector, event_type AS kind, value < 20 AS usable FROM events),
+@query("j12_attach_findings", f"""WITH {V.CATALOG}, f AS (SELECT DISTINCT printf('vid_%06d', event_id % 700 + 1) AS selector, event_type AS kind, value < 20 AS usable FROM events),
 g AS (SELECT selector, list_sort(list(DISTINCT kind)) AS kinds, bool_or(usable) AS usable FROM f GROUP BY selector)
 SELECT c.id, coalesce(kinds, []::VARCHAR[]) AS kinds, coalesce(usable, false) AS usable FROM catalog c LEFT JOIN g ON c.id = g.selector""")
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def record_id(n):
-    return F.concat(F.lit("vid_"), F.lpad((n + 1).cast("string"), 6, "0"))
+    return F.format_string("vid_%06d", n + 1)
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOG = """catalog AS (
-  SELECT 'vid_' || lpad((doc_id + 1)::VARCHAR, 6, '0') AS id, '/evidence/' || source || '/' || lang AS parent_dir,
+  SELECT printf('vid_%06d', doc_id + 1) AS id, '/evidence/' || source || '/' || lang AS parent_dir,
          '/evidence/' || source || '/' || lang || '/clip_' || lpad(doc_id::VARCHAR, 6, '0') || '.' || ext AS source_path, ext AS extension,
          n_chars AS size_bytes,
          CASE WHEN doc_id % 17 = 0 THEN NULL ELSE 1704067200 + doc_id * 3600 + CASE WHEN doc_id % 11 = 0 THEN -864000 WHEN doc_id % 13 = 0 THEN 864000 ELSE 0 END END AS modified_unix,
@@ -100,7 +100,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").select(record_id(F.col("doc_id")).alias("id"), have.alias("tags"))
 
 
-MARKS = "marks AS (SELECT 'vid_' || lpad((doc_id + 1)::VARCHAR, 6, '0') AS id, CASE WHEN toxic = 1 THEN 'important' WHEN quality = 1 THEN 'reviewed' ELSE 'needs_verification' END AS status, toxic, quality FROM labels)"
+MARKS = "marks AS (SELECT printf('vid_%06d', doc_id + 1) AS id, CASE WHEN toxic = 1 THEN 'important' WHEN quality = 1 THEN 'reviewed' ELSE 'needs_verification' END AS status, toxic, quality FROM labels)"
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,14 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 CHUNK, OVERLAP = 1 << 20, 752
 
 
+def opened(path: str):
+    """(file system, path in it) of a path or URI, as executors can open it."""
+    from pyarrow import fs
+
+    local = path.removeprefix("file:") if path.startswith("file:") or "://" not in path else None
+    return (fs.LocalFileSystem(), "/" + local.lstrip("/")) if local is not None else fs.FileSystem.from_uri(path)
+
+
 class Span(InputPartition):
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end

@@ -6,8 +6,16 @@ dropped in silence.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
+
+from ..session import reachable
+from .chunks import opened
 
 RECORD_SCHEMA = """
 id string, source_path string, source_path_raw_hex string, relative_path string, extension string, size_bytes bigint,
@@ -130,24 +138,72 @@ def newest_snapshot(files: DataFrame, case: str = "case_id", name: str = "file_n
     return files.join(newest.withColumnRenamed(case, "_case"), (F.col(case) == F.col("_case")) & (F.col(name) == F.col("_newest"))).drop("_case", "_newest")
 
 
-EXCLUDED_DIRS = ("$RECYCLE.BIN", "System Volume Information", ".git", "node_modules")
+#: The first bytes of video files, in hexadecimal, and where they stand.
+MAGIC = (("66747970", 4), ("00000001", 0), ("000001", 0), ("52494646", 0), ("494D4B48", 0), ("44484156", 0))
+MAGIC_BYTES = 12
+
+
+@F.pandas_udf(BinaryType())
+def first_bytes(paths: pd.Series) -> pd.Series:
+    """The first 12 bytes of each file; null for a null path and a file that can't be read."""
+
+    def of(path: str | None) -> bytes | None:
+        if path is None:
+            return None
+        try:
+            system, name = opened(path)
+            with system.open_input_file(name) as f:
+                return f.read(MAGIC_BYTES)
+        except OSError:
+            return None
+
+    return paths.map(of)
+
+
+@F.pandas_udf(StringType())
+def file_sha256(paths: pd.Series) -> pd.Series:
+    """The SHA-256 of each file, read in pieces, whatever its size; null if it can't be read."""
+
+    def of(path: str) -> str | None:
+        digest = hashlib.sha256()
+        try:
+            system, name = opened(path)
+            with system.open_input_file(name) as f:
+                while piece := f.read(1 << 23):
+                    digest.update(piece)
+        except OSError:
+            return None
+        return digest.hexdigest()
+
+    return paths.map(of)
 
 
-def catalog_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = VIDEO_EXTENSIONS, max_depth: int = 16, with_hash: bool = False, sniff: bool = False) -> DataFrame:
-    """source_path, relative_path, extension, size_bytes, modified_unix, sha256 of the candidates below a folder.
+def catalog_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = VIDEO_EXTENSIONS, max_depth: int | None = None, with_hash: bool = False, sniff: bool = True, excluded: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(files, coverage) of the candidates below a folder.
 
-    Candidates have a listed extension, or with `sniff` a known first few bytes. Content is
-    read only for a hash or to sniff; else Spark prunes it.
+    files: source_path, relative_path, extension, size_bytes, modified_unix, sha256, hash_status.
+    Candidates have a listed extension or, with `sniff`, a video's first bytes. Folders named in
+    `excluded` and files deeper than `max_depth` are left out. coverage counts files, listed,
+    by_first_bytes, too_deep, in_excluded, other and unreadable ones. A file is opened only to
+    sniff or hash it, and read in pieces.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    f = reachable(spark).read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
     path = F.regexp_replace("path", "^file:/+", "/")
     rel = F.substr(path, F.lit(len(root.rstrip("/")) + 2))
     f = f.withColumns({"source_path": path, "relative_path": rel, "extension": F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9_]+)$", 1))})
-    depth = F.size(F.split("relative_path", "/"))
-    f = f.filter((depth <= max_depth) & ~F.arrays_overlap(F.split("relative_path", "/"), F.array(*map(F.lit, EXCLUDED_DIRS))))
-    wanted = F.col("extension").isin(*extensions)
+    parts = F.split("relative_path", "/")
+    deep = F.size(parts) > max_depth if max_depth is not None else F.lit(False)
+    out = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, excluded))) if excluded else F.lit(False)
+    listed = F.col("extension").isin(*extensions)
+    f = f.withColumn("state", F.when(deep, "too_deep").when(out, "in_excluded").when(listed, "listed").otherwise("other"))
     if sniff:
-        head = F.hex(F.substring("content", 1, 16))
-        wanted = wanted | (F.substring(head, 9, 8) == "66747970") | head.startswith("1A45DFA3") | head.startswith("44484156") | (head.startswith("52494646") & (F.substring(head, 17, 8) == "41564920"))
-    sha = F.sha2("content", 256) if with_hash else F.lit(None).cast("string")
-    return f.filter(wanted).select("source_path", "relative_path", "extension", F.col("length").alias("size_bytes"), F.unix_seconds("modificationTime").alias("modified_unix"), sha.alias("sha256"))
+        f = f.withColumn("head", first_bytes(F.when(F.col("state") == "other", F.col("path"))))
+        hexed = F.hex("head")
+        known = reduce(Column.__or__, [F.substr(hexed, F.lit(2 * at + 1), F.lit(len(m))) == m for m, at in MAGIC]) & (F.length("head") >= MAGIC_BYTES)
+        f = f.withColumn("state", F.when(F.col("state") != "other", F.col("state")).when(F.col("head").isNull(), "unreadable").when(known, "by_first_bytes").otherwise("other"))
+    coverage = f.agg(F.count("*").alias("files"), *[F.count_if(F.col("state") == s).alias(s) for s in ("listed", "by_first_bytes", "too_deep", "in_excluded", "other", "unreadable")])
+    found = f.filter(F.col("state").isin("listed", "by_first_bytes"))
+    sha = file_sha256("path") if with_hash else F.lit(None).cast("string")
+    found = found.withColumn("sha256", sha)
+    status = F.when(F.col("sha256").isNotNull(), "hashed").otherwise("failed" if with_hash else "not-computed")
+    return found.select("source_path", "relative_path", "extension", F.col("length").alias("size_bytes"), F.unix_seconds("modificationTime").alias("modified_unix"), "sha256", status.alias("hash_status")), coverage

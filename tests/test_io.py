@@ -1,5 +1,6 @@
 """Sources and sinks on real files."""
 
+import hashlib
 import json
 
 from caselake.operators import bytescan
@@ -61,9 +62,38 @@ def test_catalog_files(spark, tmp_path):
     (tmp_path / "a/x.MP4").write_bytes(b"1")
     (tmp_path / "a/b/y.bin").write_bytes(b"RIFF\0\0\0\0AVI LIST")
     (tmp_path / "a/z.txt").write_bytes(b"1")
-    got = readers.catalog_files(spark, str(tmp_path), with_hash=True, sniff=True).orderBy("relative_path").collect()
-    assert [(r["relative_path"], r["size_bytes"]) for r in got] == [("a/b/y.bin", 16), ("a/x.MP4", 1)]
-    assert got[1]["sha256"].startswith("6b86b273") and readers.catalog_files(spark, str(tmp_path), max_depth=1).count() == 0
+    got, coverage = readers.catalog_files(spark, str(tmp_path), with_hash=True)
+    got = got.orderBy("relative_path").collect()
+    assert [(r["relative_path"], r["size_bytes"], r["hash_status"]) for r in got] == [("a/b/y.bin", 16, "hashed"), ("a/x.MP4", 1, "hashed")]
+    assert got[1]["sha256"].startswith("6b86b273") and coverage.first().asDict() == {"files": 3, "listed": 1, "by_first_bytes": 1, "too_deep": 0, "in_excluded": 0, "other": 1, "unreadable": 0}
+    shallow, coverage = readers.catalog_files(spark, str(tmp_path), max_depth=2, sniff=False, excluded=("b",))
+    assert shallow.count() == 1 and coverage.first()["too_deep"] == 1
+    assert readers.catalog_files(spark, str(tmp_path), excluded=("a",))[1].first()["in_excluded"] == 3
+
+
+def test_a_file_above_two_gigabytes(spark, tmp_path):
+    size = (2 << 30) + 10
+    with open(tmp_path / "big.bin", "wb") as f:
+        f.write(b"\0\0\0\x18ftypmp42")
+        f.truncate(size)
+    got = readers.catalog_files(spark, str(tmp_path), with_hash=True)[0].first()
+    digest = hashlib.sha256(b"\0\0\0\x18ftypmp42")
+    left, block = size - 12, bytes(1 << 24)
+    while left:
+        digest.update(block[: min(left, len(block))])
+        left -= min(left, len(block))
+    assert (got["size_bytes"], got["sha256"]) == (size, digest.hexdigest())
+
+
+def test_sentences_end_at_binary_bytes_and_across_chunks(spark):
+    one = b"$GPRMC,123519,A,807.038,,01131.000,W,1,1,230399,,*00"
+    data = b"\0" * 90 + one + b"\0\xff" * 100 + one
+    schema = "image string, start_b long, bytes binary"
+    for cut in (95, 120, 500):
+        chunks = [("i", 0, data[:cut]), ("i", max(0, cut - 250), data[max(0, cut - 250) :])]
+        got = bytescan.track_points(spark.createDataFrame(chunks, schema)).orderBy("offset").collect()
+        assert [r["offset"] for r in got] == [90, 90 + len(one) + 200]
+        assert all(abs(r["lat"] - (8 + 7.038 / 60)) < 1e-9 and r["lon"] < 0 and r["day"] == "1999-03-23" for r in got)
 
 
 def image():

@@ -208,3 +208,35 @@ def test_search_stays_within_a_field(spark):
 def test_page_keys(spark):
     r = spark.range(20).select(F.format_string("k%02d", "id").alias("k"))
     assert [x["k"] for x in triage.page_after(r, "k", "k04", 2).collect()] == ["k05", "k06"]
+
+
+def test_ids_grow_beyond_six_digits(spark):
+    old = spark.createDataFrame([("p0", "vid_999998"), ("q", "vid_12")], "path_key string, id string")
+    new = spark.createDataFrame([("p0",), *[(f"n{k:02d}",) for k in range(14)]], "path_key string")
+    for per in (3, 500_000):
+        got = dict(rows(sequence.assign_ids(new, old, per)))
+        assert got == {"p0": "vid_999998", **{f"n{k:02d}": f"vid_{999_999 + k:06d}" for k in range(14)}}
+    old = spark.createDataFrame([("p0", "vid_9999999999")], "path_key string, id string")
+    assert dict(rows(sequence.assign_ids(new, old)))["n00"] == "vid_10000000000"
+
+
+def test_a_measurement_is_not_replaced_by_a_less_trusted_one(spark):
+    schema = "selector string, lane string, line_no long, is_repair boolean, trust string, ts long, value long"
+    latest = lambda *es: rows(lanes.measurement_latest(spark.createDataFrame([("s", *e) for e in es], schema)), "line_no", "trust", "value")
+    good, later = ("a", 5, False, "authenticated", 50, 1), ("a", 9, False, "self-consistent", 90, 2)
+    assert latest(good, later) == [(5, "authenticated", 1)]
+    assert latest(good, ("a", 9, False, "unverified", 90, 2)) == [(9, "unverified", 2)]
+    assert latest(good, ("b", 9, False, "unverified", 90, 2)) == [(5, "authenticated", 1)]
+    assert latest(good, later, ("b", 1, False, "authenticated", 95, 3)) == [(1, "authenticated", 3)]
+    assert latest(good, ("a", 6, True, "authenticated", 60, 0), later) == [(9, "self-consistent", 2)]
+
+
+def test_unknown_chips_are_errors(spark):
+    none = spark.createDataFrame([], "id string, status string, tags array<string>")
+    with pytest.raises(ValueError, match="unknown chip"):
+        triage.chip_filter(none, none, none, "anomally")
+
+
+def test_track_summary_is_cut_at_its_cap(spark):
+    points = spark.createDataFrame([("f", k, 100 + k, float(k)) for k in range(5)], "file string, offset long, ts long, speed double")
+    assert rows(triage.track_summary(points, cap=3)) == [("f", 3, 5, True, 100, 102, 2.0)]

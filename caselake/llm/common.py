@@ -127,7 +127,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Labels and edges are tables in the shared folder, so that both sides of a join come
     straight from an exchange and a node with many edges can be split.
     """
-    e = edges.filter("a <> b").select("a", "b")
+    # Written before it is turned round: worked out twice, a forest may come out as two different ones.
+    e = cut(edges.filter("a <> b").select("a", "b"))
     e = cut(e.union(e.select("b", "a")).distinct())
     label = None
     for _ in range(most_rounds):

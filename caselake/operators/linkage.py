@@ -8,15 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A list is broadcast only if it is counted to have this many rows at most; else the planner chooses.
-BROADCAST_ROWS = 1_000_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, to be broadcast if a count that stops early finds it small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def clean_hash(c: Column) -> Column:
     """The hash in lower case; null for an empty one."""
     return F.nullif(F.lower(F.trim(c)), F.lit(""))

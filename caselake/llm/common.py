@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -117,10 +120,46 @@ def split_hot(df: DataFrame, key: str, member: str, most: int, keep_chunk: bool
     return df.withColumns({"lo": F.least("_chunk", "_other"), "hi": F.greatest("_chunk", "_other")}).drop("_big", "_n", "_other", *["_chunk"] * (not keep_chunk))
 
 
+#: A task thins so many edges at once.
+THIN_EDGES = 500_000
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component), for the nodes of the edges that are not themselves the smallest."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root, (a, b) = np.arange(len(nodes)), np.split(at, 2)
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    moved = root != np.arange(len(nodes))
+    return nodes[moved], nodes[root[moved]]
+
+
+def thin(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a long, b long) with the same components: each task draws stars for those it holds, `THIN_EDGES` at a time."""
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch.to_numpy())
+            n += len(batch)
+            if n >= THIN_EDGES:
+                yield pd.DataFrame(dict(zip("ab", stars(*np.concatenate(held).T), strict=True)))
+                held, n = [], 0
+        if n:
+            yield pd.DataFrame(dict(zip("ab", stars(*np.concatenate(held).T), strict=True)))
+
+    # Tasks that hold few edges find few that others make needless.
+    return edges.select("a", "b").coalesce(max(1, -(-edges.count() // THIN_EDGES))).mapInPandas(drawn, "a long, b long")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of `edges` (a long, b long): node, component (its smallest node).
 
-    Each round, every node moves to its smallest neighbour if that is smaller, then twice to
+    Edges that a task finds needless go first (`thin`). Each round, every node moves to its smallest neighbour if that is smaller, then twice to
     where its place has moved, and the edges are drawn anew between the places. A node moves
     along edges only, to smaller nodes only, so components stay whole and end at their
     smallest node; the edges shrink by a factor each round and are gone in the end.
@@ -128,7 +167,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     straight from an exchange and a node with many edges can be split.
     """
     # Written before it is turned round: worked out twice, a forest may come out as two different ones.
-    e = cut(edges.filter("a <> b").select("a", "b"))
+    e = cut(thin(cut(edges.filter("a <> b").select("a", "b"))))
     e = cut(e.union(e.select("b", "a")).distinct())
     label = None
     for _ in range(most_rounds):

@@ -205,6 +205,26 @@ def test_components_of_a_long_chain(spark):
     assert got == {**{i: 0 for i in ids}, 500: 500, 501: 500}
 
 
+def test_thinned_edges_keep_components(spark, monkeypatch):
+    monkeypatch.setattr(common, "THIN_EDGES", 50)
+    rnd = random.Random(4)
+    pairs = [(rnd.randrange(150), rnd.randrange(150)) for _ in range(120)] + [(1 << 60, (1 << 60) + 1)] * 30 + [(200, k) for k in range(201, 290)] + [(7, 7)]
+
+    def smallest(edges):
+        place = {n: n for e in edges for n in e}
+        while any(place[a] != place[b] for a, b in edges):
+            for a, b in edges:
+                place[a] = place[b] = min(place[a], place[b])
+        return place
+
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    thinned = [tuple(r) for r in common.thin(edges).collect()]
+    want = smallest(pairs)
+    assert len(thinned) < len(pairs) and {**{n: n for n in want}, **smallest(thinned)} == want
+    assert {r["node"]: r["component"] for r in common.components(edges).collect()} == {n: c for n, c in want.items() if any(n in e for e in pairs if e[0] != e[1])}
+    assert common.thin(edges.limit(0)).count() == 0
+
+
 # Embedding near-dedup
 
 

@@ -28,12 +28,13 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def verify_chain(lines: DataFrame, torn: DataFrame | None = None) -> DataFrame:
     """One row per lane: entries, first_bad (line), reason, status (intact, torn-tail, broken).
 
-    Each line holds its own hash and the one before, so lines are checked in parallel: line n
-    is joined to line n - 1 of its lane, and no lane is sorted in one task. `torn` lists lanes
+    Each line holds the hash of its own signed bytes and that of the whole line before, so lines
+    are checked in parallel: line n is joined to line n - 1 of its lane, and no lane is sorted
+    in one task. `torn` lists lanes
     whose last line has no line end.
     """
     p = parse_lines(lines)
-    before = p.select(F.col("lane").alias("_lane"), (F.col("line_no") + 1).alias("_next"), F.col("entry").alias("_expected"))
+    before = p.select(F.col("lane").alias("_lane"), (F.col("line_no") + 1).alias("_next"), F.sha2("raw", 256).alias("_expected"))
     j = p.join(before, (F.col("lane") == F.col("_lane")) & (F.col("line_no") == F.col("_next")), "left")
     expected = F.when(F.col("line_no") == 1, GENESIS).otherwise(F.col("_expected"))
     reason = (
@@ -55,7 +56,7 @@ def verify_chain(lines: DataFrame, torn: DataFrame | None = None) -> DataFrame:
 
 
 def check_hmac(parsed: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """`parsed` with hmac_state: none, verified, mismatch (a key held under that name refutes it) or unknown-key. `keys`: hex keys by id, the keyring of this reader."""
+    """`parsed` with hmac_state: none, verified, mismatch (a key held under that name refutes it) or unknown-key. `keys`: hex keys by id, the keyring of this reader; the id "default" names no particular key."""
 
     @F.pandas_udf("string")
     def state(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -67,35 +68,43 @@ def check_hmac(parsed: DataFrame, keys: dict[str, str]) -> DataFrame:
                     out.append("none")
                     continue
                 good = any(hmac.compare_digest(hmac.new(key, s.encode(), hashlib.sha256).hexdigest(), t) for key in ring.values())
-                out.append("verified" if good else "mismatch" if k in ring else "unknown-key")
+                out.append("verified" if good else "mismatch" if k in ring and k != "default" else "unknown-key")
             yield pd.Series(out)
 
     return parsed.withColumn("hmac_state", state("signed", "hmac", "key_id"))
 
 
+#: Fixed value: the kind of the entry from which on a lane is signed.
+KEY_INTRODUCED = "audit-key-introduced"
+
+
 def line_trust(lines: DataFrame, keys: dict[str, str]) -> DataFrame:
     """lane, line_no, trust.
 
-    chain-broken from the lane's first bad line on; authenticated with a verified HMAC;
-    other-key under a key not held, rewrite-not-excluded if a line before it was
-    authenticated; not-authenticated if a held key refutes it; unkeyed lines are pre-key
-    before the lane's first keyed one, rewrite-not-excluded after, self-consistent in lanes
-    without keys.
+    chain-broken from the lane's first bad line on, a line that a held key refutes included. A
+    reader without keys finds the rest self-consistent. With keys: authenticated with a
+    verified HMAC; under a key not held, rewrite-not-excluded behind an authenticated line,
+    else other-key. Unkeyed lines before the lane's first keyed one are pre-key if that one
+    introduces the key and is authenticated, other-key if it introduces a key not held; all
+    other unkeyed lines are not-authenticated, as their HMAC may have been taken off.
     """
     p = check_hmac(parse_lines(lines), keys)
-    chain = verify_chain(lines).select("lane", "first_bad")
-    firsts = p.groupBy("lane").agg(F.min(F.when(F.col("hmac_state") == "verified", F.col("line_no"))).alias("first_auth"), F.min(F.when(F.col("hmac_state") != "none", F.col("line_no"))).alias("first_keyed"))
-    j = p.join(chain, "lane").join(firsts, "lane")
+    chain = verify_chain(lines).select(F.col("lane").alias("_lane"), F.col("first_bad").alias("_bad"))
     n, s = F.col("line_no"), F.col("hmac_state")
+    first = F.struct(n.alias("n"), s.alias("s"), F.get_json_object("raw", "$.kind").eqNullSafe(KEY_INTRODUCED).alias("intro"))
+    firsts = p.groupBy(F.col("lane").alias("_of")).agg(F.min(F.when(s == "verified", n)).alias("first_auth"), F.min(F.when(s == "mismatch", n)).alias("_refuted"), F.min(F.when(s != "none", first)).alias("keyed"))
+    j = p.join(chain, F.col("lane") == F.col("_lane")).join(firsts, F.col("lane") == F.col("_of")).withColumn("first_bad", F.least("_bad", "_refuted"))
+    before = (n < F.col("keyed.n")) & F.col("keyed.intro") & (F.col("first_bad").isNull() | (F.col("keyed.n") < F.col("first_bad")))
+    if not keys:
+        return j.select("lane", "line_no", F.when(n >= F.col("first_bad"), "chain-broken").otherwise("self-consistent").alias("trust"))
     trust = (
         F.when(n >= F.col("first_bad"), "chain-broken")
         .when(s == "verified", "authenticated")
-        .when(s == "mismatch", "not-authenticated")
         .when((s == "unknown-key") & (n > F.col("first_auth")), "rewrite-not-excluded")
         .when(s == "unknown-key", "other-key")
-        .when(F.col("first_keyed").isNull(), "self-consistent")
-        .when(n < F.col("first_keyed"), "pre-key")
-        .otherwise("rewrite-not-excluded")
+        .when(before & (F.col("keyed.s") == "verified"), "pre-key")
+        .when(before & (F.col("keyed.s") == "unknown-key"), "other-key")
+        .otherwise("not-authenticated")
     )
     return j.select("lane", "line_no", trust.alias("trust"))
 
@@ -107,15 +116,51 @@ def trust_counts(trust: DataFrame) -> DataFrame:
     return trust.groupBy("lane", "trust").agg(F.count("*").alias("n"))
 
 
-def check_anchors(heads: DataFrame, lines: DataFrame, anchors: DataFrame) -> DataFrame:
-    """lane, state: of recorded anchors (lane, entries, head) against lanes now: intact, missing, truncated (fewer lines), rewritten (another hash at the anchored line), not-authenticated (the chain is broken)."""
+def check_anchors(heads: DataFrame, lines: DataFrame, anchors: DataFrame, trust: DataFrame | None = None) -> DataFrame:
+    """lane, state: of recorded anchors (lane, entries, head) against lanes now.
+
+    missing; truncated (fewer lines); rewritten (another hash at the anchored line, or a chain
+    broken up to it); not-authenticated (broken behind it, or with `trust` a line up to it that
+    is not usable); else intact, as is any anchor of no entries.
+    """
     at = parse_lines(lines).select(F.col("lane").alias("_lane"), F.col("line_no").alias("_line"), F.col("entry").alias("_entry"))
-    h = heads.select(F.col("lane").alias("_hl"), F.col("entries").alias("_n"), F.col("status").alias("_status"))
+    h = heads.select(F.col("lane").alias("_hl"), F.col("entries").alias("_n"), F.col("first_bad").alias("_bad"))
     j = anchors.join(h, F.col("lane") == F.col("_hl"), "left").join(at, (F.col("lane") == F.col("_lane")) & (F.col("entries") == F.col("_line")), "left")
-    state = F.when(F.col("_hl").isNull(), "missing").when(F.col("_n") < F.col("entries"), "truncated").when(~F.col("_entry").eqNullSafe(F.col("head")), "rewritten").when(F.col("_status") == "broken", "not-authenticated").otherwise("intact")
+    if trust is None:
+        j = j.withColumn("_unusable", F.lit(None).cast("long"))
+    else:
+        j = j.join(trust.filter(~F.col("trust").isin(*USABLE)).groupBy(F.col("lane").alias("_tl")).agg(F.min("line_no").alias("_unusable")), F.col("lane") == F.col("_tl"), "left")
+    n = F.col("entries")
+    state = (
+        F.when(F.col("_hl").isNull(), "missing")
+        .when(n == 0, "intact")
+        .when(F.col("_n") < n, "truncated")
+        .when(~F.col("_entry").eqNullSafe(F.col("head")) | F.coalesce(F.col("_bad") <= n, F.lit(False)), "rewritten")
+        .when(F.col("_bad").isNotNull() | (F.col("_unusable") <= n), "not-authenticated")
+        .otherwise("intact")
+    )
     return j.select("lane", state.alias("state"))
 
 
+def advance_anchors(heads: DataFrame, trust: DataFrame, anchors: DataFrame) -> DataFrame:
+    """lane, entries, head, integrity: the anchors to record after a check.
+
+    A lane whose lines are all usable gets an anchor at its end (authenticated if all of them
+    are, else self-consistent); any other keeps the one it had (anchor-kept). If any lane fails
+    (broken, fewer lines than anchored, another head at the same length, or gone), no anchor
+    moves and all come back as they were (unchanged).
+    """
+    good = trust.groupBy("lane").agg(F.bool_and(F.col("trust").isin(*USABLE)).alias("_pass"), F.bool_and(F.col("trust") == "authenticated").alias("_auth"))
+    was = anchors.select(F.col("lane").alias("_al"), F.col("entries").alias("_was"), F.col("head").alias("_old"))
+    j = heads.join(good, "lane", "left").join(was, F.col("lane") == F.col("_al"), "full_outer")
+    failed = F.col("lane").isNull() | (F.col("status") != "intact") | (F.col("entries") < F.col("_was")) | ((F.col("entries") == F.col("_was")) & ~F.col("head").eqNullSafe(F.col("_old")))
+    j = j.crossJoin(F.broadcast(j.agg(F.coalesce(F.bool_or(failed), F.lit(False)).alias("_failed"))))
+    new = ~F.col("_failed") & F.coalesce("_pass", F.lit(False))
+    integrity = F.when(F.col("_failed"), "unchanged").when(~new, "anchor-kept").when(F.col("_auth"), "authenticated").otherwise("self-consistent")
+    out = j.filter(new | F.col("_al").isNotNull())
+    return out.select(F.coalesce("lane", "_al").alias("lane"), F.when(new, F.col("entries")).otherwise(F.col("_was")).alias("entries"), F.when(new, F.col("head")).otherwise(F.col("_old")).alias("head"), integrity.alias("integrity"))
+
+
 #: Lanes whose entries are about their output only, and lanes without records.
 OUTPUT_LANES = ("artifacts/clips/export-log.jsonl", "artifacts/proxies/proxy-log.jsonl", "artifacts/thumbnails/thumbnail-log.jsonl")
 KEYLESS_LANES = ("evidence/logs/signoff-log.jsonl", "evidence/logs/e01-audit.jsonl")

@@ -45,20 +45,47 @@ def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.verify_chain(V.lane_lines(spark, sf_dir)).drop("head")
 
 
-@query("w16_trust_counts", """WITH l AS (SELECT conv_id AS lane, turn + 1 AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations)
-SELECT lane, CASE WHEN lane % 5 = 0 AND k >= 2 AND n >= 2 THEN 'chain-broken' ELSE 'self-consistent' END AS trust, count(*) AS n FROM l GROUP BY 1, 2""")
+#: Lines n of lanes of k lines, and what a reader who holds k1 finds: kinds of lanes by conv_id modulo 6, as `views.lane_lines` makes them.
+TRUST = """l AS (SELECT conv_id AS lane, turn + 1 AS n, count(*) OVER (PARTITION BY conv_id) AS k, conv_id % 6 AS kind FROM conversations),
+d AS (SELECT *, k >= 2 AND (kind = 5 OR broken) AS cut FROM (SELECT *, {broken} AS broken FROM l)),
+t AS (SELECT *, CASE WHEN cut AND n >= 2 THEN 'chain-broken' WHEN kind = 4 THEN CASE WHEN n = 1 THEN 'authenticated' ELSE 'rewrite-not-excluded' END
+  WHEN kind = 0 OR cut OR k = 1 OR (kind = 3 AND n = 1) THEN 'not-authenticated' WHEN kind = 2 THEN 'other-key' WHEN kind = 1 AND n = 1 THEN 'pre-key' ELSE 'authenticated' END AS trust FROM d)"""
+RING = {"k1": V.LANE_KEYS["k1"]}
+
+
+@query("w16_trust_counts", f"WITH {TRUST.format(broken='lane % 5 = 0')} SELECT lane, trust, count(*) AS n FROM t GROUP BY 1, 2")
 def w16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.trust_counts(L.line_trust(V.lane_lines(spark, sf_dir), {}))
+    return L.trust_counts(L.line_trust(V.lane_lines(spark, sf_dir, keyed=True), RING))
+
+
+@query("w16_trust_without_keys", """WITH l AS (SELECT conv_id AS lane, turn + 1 AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations)
+SELECT lane, CASE WHEN lane % 5 = 0 AND k >= 2 AND n >= 2 THEN 'chain-broken' ELSE 'self-consistent' END AS trust, count(*) AS n FROM l GROUP BY 1, 2""")
+def w16b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.trust_counts(L.line_trust(V.lane_lines(spark, sf_dir, keyed=True), {}))
 
 
-@query("j20_check_anchors", """WITH l AS (SELECT conv_id AS lane, count(*) AS k FROM conversations GROUP BY conv_id)
-SELECT lane, CASE WHEN lane % 7 = 0 THEN 'truncated' WHEN lane % 11 = 0 THEN 'rewritten' WHEN lane % 5 = 0 AND k >= 2 THEN 'not-authenticated' ELSE 'intact' END AS state FROM l UNION ALL SELECT -1, 'missing'""")
+@query("j20_check_anchors", f"""WITH {TRUST.format(broken='lane % 5 = 0')}, g AS (SELECT lane, k, cut, bool_or(n = 1 AND trust IN ('authenticated', 'pre-key')) AS one, bool_and(trust IN ('authenticated', 'pre-key')) AS every FROM t GROUP BY ALL)
+SELECT lane, CASE WHEN lane % 7 = 0 THEN 'truncated' WHEN lane % 11 = 0 THEN 'rewritten' WHEN lane % 2 = 1 THEN CASE WHEN one AND NOT (lane % 5 = 0 AND k >= 2) THEN 'intact' ELSE 'not-authenticated' END
+  WHEN lane % 5 = 0 AND k >= 2 THEN 'rewritten' WHEN every THEN 'intact' ELSE 'not-authenticated' END AS state FROM g UNION ALL SELECT -1, 'missing'""")
 def j20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = V.lane_lines(spark, sf_dir)
-    heads = L.verify_chain(lines)
-    anchors = heads.select("lane", (F.col("entries") + F.when(F.col("lane") % 7 == 0, 1).otherwise(0)).alias("entries"), F.when(F.col("lane") % 11 == 0, "x").otherwise(F.col("head")).alias("head"))
-    gone = heads.select(F.lit(-1).cast("long").alias("lane"), F.lit(1).cast("long").alias("entries"), F.lit("x").alias("head")).distinct()
-    return L.check_anchors(heads, lines, anchors.unionByName(gone))
+    """Anchors at the first line of odd lanes and at the last of even ones; some are one line too long or hold another hash."""
+    lines = V.lane_lines(spark, sf_dir, keyed=True)
+    heads, lane = L.verify_chain(lines), F.col("lane")
+    first = L.parse_lines(lines).filter("line_no = 1").select(lane.alias("_lane"), F.col("entry").alias("_first"))
+    odd = lane % 2 == 1
+    entries = F.when(lane % 7 == 0, F.col("entries") + 1).when(odd, 1).otherwise(F.col("entries"))
+    anchors = heads.join(first, lane == F.col("_lane")).select("lane", entries.alias("entries"), F.when(lane % 11 == 0, "x").when(odd, F.col("_first")).otherwise(F.col("head")).alias("head"))
+    gone = heads.agg(F.lit(-1).cast("long").alias("lane"), F.lit(1).cast("long").alias("entries"), F.lit("x").alias("head"))
+    return L.check_anchors(heads, lines, anchors.unionByName(gone), L.line_trust(lines, RING))
+
+
+@query("j20_advance_anchors", f"""WITH {TRUST.format(broken='false')}, g AS (SELECT lane, k, bool_and(trust IN ('authenticated', 'pre-key')) AS good, bool_and(trust = 'authenticated') AS auth FROM t GROUP BY ALL)
+SELECT lane, CASE WHEN good THEN k ELSE 1 END AS entries, CASE WHEN auth THEN 'authenticated' WHEN good THEN 'self-consistent' ELSE 'anchor-kept' END AS integrity FROM g WHERE good OR lane % 2 = 1""")
+def j20b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Odd lanes have an anchor at their first line."""
+    lines = V.lane_lines(spark, sf_dir, keyed=True, damage=False)
+    anchors = L.parse_lines(lines).filter("line_no = 1 and lane % 2 = 1").select("lane", F.lit(1).cast("long").alias("entries"), F.col("entry").alias("head"))
+    return L.advance_anchors(L.verify_chain(lines), L.line_trust(lines, RING), anchors).drop("head")
 
 
 @query("a22_pair_lifecycle", f"""WITH {V.ENTRIES}, g AS (SELECT lane, id, max(line_no) FILTER (event = 'begin') AS b, max(line_no) FILTER (event = 'complete') AS c, max(line_no) FILTER (event = 'resolve') AS r FROM entries GROUP BY lane, id),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import reachable
@@ -166,18 +166,39 @@ ENTRIES = """entries AS (SELECT conv_id AS lane, turn + 1 AS line_no, length(tex
   'vid_' || ((conv_id * 7 + turn // 2) % 11)::VARCHAR AS id FROM conversations)"""
 
 
-def lane_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as chained log lines (lane, line_no, raw); the chain is folded per lane, as the hash of a line needs the one before. One lane in five has a changed byte in a line."""
+#: Hex keys that sign the lanes: k1 is held by the queries' reader, k9 is not.
+LANE_KEYS = {"k1": "11" * 32, "k9": "99" * 32}
+
+
+def _hmac(key: str, text: Column) -> Column:
+    """HMAC-SHA256 in hex, by a hex key of 64 bytes at most."""
+    block = bytes.fromhex(key).ljust(64, b"\0")
+    inner = F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in block)), text.cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in block)), F.unhex(inner)), 256)
+
+
+def lane_lines(spark: SparkSession, sf_dir: str, keyed: bool = False, damage: bool = True) -> DataFrame:
+    """Conversation turns as chained log lines (lane, line_no, raw); the chain is folded per lane, as the hash of a line needs the one before.
+
+    With `damage` one lane in five has a changed byte in its second line. With `keyed`, lanes
+    by conv_id modulo 6: 0 unkeyed; from the second line on 1 signed under k1 and 2 under k9,
+    both with an introduction, 3 under k1 without one; 4 first line under k1, the others under
+    k9; 5 from the second line on under the name k1, but by another key.
+    """
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
     start = F.struct(F.lit("GENESIS").alias("head"), F.array().cast("array<string>").alias("lines"))
+    kind = F.pmod("conv_id", F.lit(6)) if keyed else F.lit(0)
 
     def add(acc, t):
-        signed = F.concat(F.lit('{"turn":'), t["turn"].cast("string"), F.lit(',"role":"'), t["role"], F.lit('","previous_entry_sha256":"'), acc["head"], F.lit('"}'))
-        entry = F.sha2(signed, 256)
-        raw = F.concat(F.regexp_replace(signed, r"\}$", ""), F.lit(',"entry_sha256":"'), entry, F.lit('"}'))
-        return F.struct(entry.alias("head"), F.concat(acc["lines"], F.array(raw)).alias("lines"))
+        first = F.size(acc["lines"]) == 0
+        intro = F.when((F.size(acc["lines"]) == 1) & kind.isin(1, 2), F.lit(',"kind":"audit-key-introduced"')).otherwise("")
+        signed = F.concat(F.lit('{"turn":'), t["turn"].cast("string"), F.lit(',"role":"'), t["role"], F.lit('"'), intro, F.lit(',"previous_entry_sha256":"'), acc["head"], F.lit('"}'))
+        by = lambda key, name: F.concat(F.lit(',"entry_hmac_sha256":"'), _hmac(LANE_KEYS[key], signed), F.lit(f'","entry_hmac_key_id":"{name}"'))
+        tail = F.when((first & (kind == 4)) | (~first & kind.isin(1, 3)), by("k1", "k1")).when(~first & kind.isin(2, 4), by("k9", "k9")).when(~first & (kind == 5), by("k9", "k1")).otherwise("") if keyed else F.lit("")
+        raw = F.concat(F.regexp_replace(signed, r"\}$", ""), F.lit(',"entry_sha256":"'), F.sha2(signed, 256), F.lit('"'), tail, F.lit("}"))
+        return F.struct(F.sha2(raw, 256).alias("head"), F.concat(acc["lines"], F.array(raw)).alias("lines"))
 
     folded = c.select(F.col("conv_id").alias("lane"), F.aggregate("turns", start, add, lambda acc: acc["lines"]).alias("lines"))
     lines = folded.select("lane", F.posexplode("lines").alias("at", "raw")).withColumn("line_no", (F.col("at") + 1).cast("long")).drop("at")
-    broken = (F.col("lane") % 5 == 0) & (F.col("line_no") == 2)
+    broken = (F.col("lane") % 5 == 0) & (F.col("line_no") == 2) & F.lit(damage)
     return lines.withColumn("raw", F.when(broken, F.regexp_replace("raw", '"turn":', '"turm":')).otherwise(F.col("raw")))

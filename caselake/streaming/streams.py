@@ -63,7 +63,7 @@ class ChainCheck(StatefulProcessor):
             ok = bool(m and chained) and row.line_no == line_no + 1 and chained.group(1) == head and hashlib.sha256((m.group(1) + "}").encode()).hexdigest() == m.group(2)
             broken = broken or not ok
             out.append((key[0], row.line_no, "broken" if broken else "intact"))
-            head, line_no = m.group(2) if m else "", row.line_no
+            head, line_no = hashlib.sha256(row.raw.encode()).hexdigest(), row.line_no
         self.last.update((head, int(line_no), broken))
         yield pd.DataFrame(out, columns=["lane", "line_no", "state"])
 

@@ -78,11 +78,11 @@ def chain(n, key=None, lane="l"):
     out, head = [], "GENESIS"
     for i in range(n):
         signed = f'{{"n":{i},"previous_entry_sha256":"{head}"}}'
-        head = hashlib.sha256(signed.encode()).hexdigest()
-        tail = f',"entry_sha256":"{head}"'
+        tail = f',"entry_sha256":"{hashlib.sha256(signed.encode()).hexdigest()}"'
         if key:
             tail += f',"entry_hmac_sha256":"{hm.new(bytes.fromhex(key), signed.encode(), hashlib.sha256).hexdigest()}","entry_hmac_key_id":"k1"'
         out.append(signed[:-1] + tail + "}")
+        head = hashlib.sha256(out[-1].encode()).hexdigest()
     return out
 
 
@@ -123,10 +123,29 @@ def test_trust(spark):
     mixed[3] = mixed[3].split(',"entry_hmac')[0] + "}"
     df = lines(spark, {"plain": chain(2), "keyed": chain(2, key), "foreign": chain(2, other), "stripped": mixed})
     got = {(r["lane"], r["line_no"]): r["trust"] for r in lanes.line_trust(df, {"k2": key}).collect()}
-    assert got[("plain", 1)] == "self-consistent" and got[("keyed", 2)] == "authenticated" and got[("foreign", 1)] == "other-key"
-    assert got[("stripped", 3)] == "authenticated" and got[("stripped", 4)] == "rewrite-not-excluded"
+    assert got[("plain", 1)] == "not-authenticated" and got[("keyed", 2)] == "authenticated" and got[("foreign", 1)] == "other-key"
+    assert got[("stripped", 3)] == "authenticated" and got[("stripped", 4)] == "not-authenticated"
     refuted = {r["trust"] for r in lanes.line_trust(df.filter("lane = 'foreign'"), {"k1": key}).collect()}
-    assert refuted == {"not-authenticated"}
+    assert refuted == {"chain-broken"}
+    assert {r["trust"] for r in lanes.line_trust(df, {}).collect()} == {"self-consistent"}
+
+
+def test_a_changed_trailer_breaks_the_next_line(spark):
+    good = chain(3, "11" * 32)
+    unsigned = [good[0].split(',"entry_hmac')[0] + "}", *good[1:]]
+    got = lanes.verify_chain(lines(spark, {"l": unsigned})).first()
+    assert (got["first_bad"], got["reason"]) == (2, "previous-hash-mismatch")
+
+
+def test_a_failed_lane_holds_all_anchors(spark):
+    df = lines(spark, {"a": chain(3), "b": chain(4)})
+    heads, trust = lanes.verify_chain(df), lanes.line_trust(df, {})
+    entry = {r["lane"]: r["head"] for r in heads.collect()}
+    move = lambda *anchors: rows(lanes.advance_anchors(heads, trust, spark.createDataFrame(anchors, "lane string, entries long, head string")), "lane", "entries", "integrity")
+    assert move(("a", 1, "x")) == [("a", 3, "self-consistent"), ("b", 4, "self-consistent")]
+    for bad in (("b", 5, "x"), ("b", 4, "x"), ("c", 1, "x")):
+        assert move(("a", 1, "x"), bad) == sorted([("a", 1, "unchanged"), (bad[0], bad[1], "unchanged")])
+    assert move(("b", 4, entry["b"])) == [("a", 3, "self-consistent"), ("b", 4, "self-consistent")]
 
 
 STATE = "id string, status string, note string, revision long, client_id string, deleted boolean"

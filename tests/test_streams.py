@@ -45,8 +45,8 @@ def test_chain(spark, tmp_path):
     rows, head = [], "GENESIS"
     for i in range(6):
         signed = f'{{"n":{i},"previous_entry_sha256":"{head}"}}'
-        head = hashlib.sha256(signed.encode()).hexdigest()
-        rows.append(("a", i + 1, signed[:-1] + f',"entry_sha256":"{head}"}}'))
+        rows.append(("a", i + 1, signed[:-1] + f',"entry_sha256":"{hashlib.sha256(signed.encode()).hexdigest()}"}}'))
+        head = hashlib.sha256(rows[-1][2].encode()).hexdigest()
     bad = [("b", n, r.replace('"n":3', '"n":8')) for _, n, r in rows]
     df = spark.createDataFrame(rows + bad, "lane string, line_no long, raw string")
     live, _ = parted(spark, df, tmp_path / "c", 3, "line_no")

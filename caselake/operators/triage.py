@@ -218,3 +218,31 @@ def gate_report(checks: DataFrame) -> DataFrame:
     rows = checks.select("check", verdict.alias("verdict"))
     overall = rows.agg(F.when(F.bool_or(F.col("verdict") == "FAIL"), "FAIL").when(F.bool_or(F.col("verdict") == "BLOCKED"), "BLOCKED").otherwise("PASS").alias("verdict"))
     return rows.unionByName(overall.select(F.lit("overall").alias("check"), "verdict"))
+
+
+#: Fixed value: rows that an index must take in a minute.
+LEAST_ROWS_PER_MINUTE = 50_000
+
+
+def release_gate(missing_artifacts: DataFrame | None = None, accuracy: DataFrame | None = None, reproducibility: DataFrame | None = None, performance: DataFrame | None = None, audit_chain: DataFrame | None = None, consistency: DataFrame | None = None) -> DataFrame:
+    """`gate_report` of the six release checks; one without its input is BLOCKED.
+
+    report_defense: no `required_artifacts` are missing; accuracy and reproducibility: the
+    results of those operators; performance: one row (rows, elapsed_ms); audit_chain: states of
+    `check_anchors`, at least one and all intact; consistency: no differences.
+    """
+    none = F.count("*") == 0
+    rate = F.when(F.col("elapsed_ms") > 0, F.floor(F.col("rows") * 60_000 / F.col("elapsed_ms"))).otherwise(F.col("rows") * 60_000)
+    checks = {
+        "report_defense": (missing_artifacts, none),
+        "accuracy": (accuracy, F.bool_and("passed")),
+        "reproducibility": (reproducibility, F.bool_and("reproducible")),
+        "performance": (performance, F.bool_and(rate >= LEAST_ROWS_PER_MINUTE)),
+        "audit_chain": (audit_chain, F.bool_and(F.col("state") == "intact")),
+        "consistency": (consistency, none),
+    }
+    given = [df.agg(ok.alias("ok")).select(F.lit(name).alias("check"), F.lit(True).alias("ready"), "ok") for name, (df, ok) in checks.items() if df is not None]
+    if not given:
+        raise ValueError("no check has its input")
+    blocked = [(name, False, None) for name, (df, _) in checks.items() if df is None]
+    return gate_report(reduce(DataFrame.unionByName, [*given, given[0].sparkSession.createDataFrame(blocked, "check string, ready boolean, ok boolean")]))

@@ -11,6 +11,9 @@ from ..functions import paths as P
 from ..functions import profile as R
 from ..functions import redact as D
 from ..functions import times as M
+from ..operators import lanes as N
+from ..operators import linkage as L
+from ..operators import maintain as U
 from ..operators import triage as T
 from ..sources import readers, sinks
 from . import views as V
@@ -228,6 +231,27 @@ def a21(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.gate_report(checks.unionByName(missing))
 
 
+@query("a21_release_gate", f"""WITH {V.CASES}, pass(ok, name) AS (
+SELECT count(*) = 0, 'report_defense' FROM (SELECT source, doc_id % 97 FROM catalog EXCEPT SELECT source, doc_id % 97 FROM catalog WHERE doc_id % 3 = 0) UNION ALL SELECT true, 'reproducibility'
+UNION ALL SELECT count(*) * 60000 // max(o_orderkey) >= 50000, 'performance' FROM orders UNION ALL SELECT count(*) > 0, 'audit_chain' FROM conversations
+UNION ALL SELECT count(*) FILTER (a.id IS NULL OR b.id IS NULL OR a.source_path <> b.source_path OR a.sha256 <> b.sha256) = 0, 'consistency' FROM case_a a FULL JOIN case_b b ON a.id = b.id),
+c AS (SELECT name AS "check", CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END AS verdict FROM pass UNION ALL SELECT 'accuracy', 'BLOCKED')
+SELECT * FROM c UNION ALL SELECT 'overall', CASE WHEN bool_or(verdict = 'FAIL') THEN 'FAIL' ELSE 'BLOCKED' END FROM c""")
+def a21b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No list of expected files is given, so accuracy is blocked."""
+    a, b = V.cases(spark, sf_dir)
+    c = V.catalog(spark, sf_dir).select(F.col("source").alias("case_id"), F.concat(F.lit("reports/"), (F.col("doc_id") % 97).cast("string")).alias("path"), "doc_id")
+    lines = V.lane_lines(spark, sf_dir, damage=False)
+    heads = N.verify_chain(lines)
+    return T.release_gate(
+        missing_artifacts=L.required_artifacts(c.select("case_id", "path").distinct(), c.filter("doc_id % 3 = 0")),
+        reproducibility=U.reproducible(a, V.cases(spark, sf_dir)[0].orderBy("id")),
+        performance=V.table(spark, sf_dir, "orders").agg(F.count("*").alias("rows"), F.max("o_orderkey").alias("elapsed_ms")),
+        audit_chain=N.check_anchors(heads, lines, heads.select("lane", "entries", "head")),
+        consistency=L.consistency(a, b),
+    )
+
+
 @query("u2_all_records", f"WITH {V.CATALOG} SELECT id, sha256, NULL AS original_path, 'video' AS record_kind FROM catalog WHERE doc_id % 2 = 0 UNION ALL SELECT id, NULL, source_path, 'carved' FROM catalog WHERE doc_id % 2 = 1")
 def u2(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = V.catalog(spark, sf_dir)

@@ -259,3 +259,15 @@ def test_unknown_chips_are_errors(spark):
 def test_track_summary_is_cut_at_its_cap(spark):
     points = spark.createDataFrame([("f", k, 100 + k, float(k)) for k in range(5)], "file string, offset long, ts long, speed double")
     assert rows(triage.track_summary(points, cap=3)) == [("f", 3, 5, True, 100, 102, 2.0)]
+
+
+def test_release_gate(spark):
+    states = lambda *s: spark.createDataFrame([(x,) for x in s], "state string")
+    speed = lambda rows_, ms: spark.createDataFrame([(rows_, ms)], "rows long, elapsed_ms long")
+    none = spark.createDataFrame([], "id string")
+    good = {"missing_artifacts": none, "accuracy": spark.sql("SELECT true AS passed"), "reproducibility": spark.sql("SELECT true AS reproducible"), "performance": speed(100, 0), "audit_chain": states("intact"), "consistency": none}
+    verdicts = lambda **kw: dict(rows(triage.release_gate(**kw)))
+    assert set(verdicts(**good).values()) == {"PASS"} and len(verdicts(**good)) == 7
+    assert verdicts(**{**good, "accuracy": None}) | {"x": 0} == {**verdicts(**good), "accuracy": "BLOCKED", "overall": "BLOCKED", "x": 0}
+    got = verdicts(missing_artifacts=spark.range(1), performance=speed(49_999, 60_000), audit_chain=states())
+    assert got == {"report_defense": "FAIL", "performance": "FAIL", "audit_chain": "FAIL", "accuracy": "BLOCKED", "reproducibility": "BLOCKED", "consistency": "BLOCKED", "overall": "FAIL"}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, link_trust, mixing, packing, sharding, simhash_dedup, surrogates, token_counts, toxicity
+from . import decontamination, embedding_dedup, link_trust, mixing, packing, piece_bpe, sharding, simhash_dedup, surrogates, token_counts, toxicity, turn_repair
 from .common import table
 
 #: The key of the registered query only; real runs pass a secret of their own.
@@ -55,6 +55,14 @@ def op10_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op11_repair_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.token_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_tokens": op1_pack_tokens,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -66,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_url_filter": op9_url_filter,
     "op10_shard": op10_shard,
+    "op11_repair_turns": op11_repair_turns,
+    "op12_piece_tokens": op12_piece_tokens,
 }
 
 ORACLES: dict[str, str] = {"op8_mix_sources": mixing.oracle()}

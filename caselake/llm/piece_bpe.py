@@ -3,8 +3,8 @@
 A model of kind BPE with byte fallback joins, again and again, the two neighbours whose
 concatenation is the best piece, the leftmost first. Two neighbouring characters that stand
 side by side in no piece are never joined, so the text falls into words there, each of
-which is merged by itself. All words of a batch of texts are merged together, in flat NumPy
-arrays: every round finds the best pair of each word (a segmented minimum), joins all its
+which is merged by itself. All new words of a batch of texts are merged together, in flat NumPy
+arrays (a bounded number is remembered): every round finds the best pair of each word (a segmented minimum), joins all its
 occurrences from left to right, and drops words in which no pair is left.
 
 Joining all occurrences at once equals one by one unless the new piece can at once be joined
@@ -31,8 +31,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-#: Characters merged at once, about: a task holds some sixty bytes for each.
-SPAN = 1 << 20
+#: Characters looked at together, about: a task holds some sixty bytes for each.
+SPAN = 1 << 18
+#: Words of up to so many characters are remembered, so many at a time, before a task starts anew.
+MEMORABLE, REMEMBERED = 32, 1 << 18
+#: Characters whose neighbours are not in the small table.
+ASK = 2
 #: After so many rounds, words of more symbols than `LONG` leave the rounds for a heap.
 ROUNDS, LONG = 48, 256
 GONE = np.iinfo(np.int32).min
@@ -136,34 +140,75 @@ class PieceModel:
         neighbours = {(ord(a) << 21) | ord(b): of.get(a + b, -1) for p in of for a, b in zip(p, p[1:], strict=False)}
         self._neighbours = np.array(sorted(neighbours), dtype=np.int64)
         self._neighbour_piece = np.array([neighbours[k] for k in self._neighbours.tolist()], dtype=np.int32)
+        self._known: dict[str, bytes] = {}
+        # ASCII characters and the blank sign have places of their own in a small table of neighbours; 0 is any other.
+        near = [*range(1, 128), ord(BLANK)]
+        self._small = np.zeros(0x110000, dtype=np.uint8)
+        self._small[near] = np.arange(1, len(near) + 1)
+        self._joined = np.full((len(near) + 1, len(near) + 1), ASK, dtype=np.uint8)
+        self._joined[1:, 1:] = [[((a << 21) | b) in neighbours for b in near] for a in near]
+
+    def _begins(self, chars: np.ndarray) -> np.ndarray:
+        """Where in `chars` a word begins, the first one left aside: no piece holds a character behind the one before it."""
+        close = self._small[chars]
+        joined = self._joined[close[:-1], close[1:]]
+        odd = np.flatnonzero(joined == ASK)
+        joined[odd] = _find(self._neighbours, (chars[odd].astype(np.int64) << 21) | chars[odd + 1], np.arange(len(self._neighbours))) >= 0
+        return joined == 0
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each text's ids); an empty text has none."""
         full = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
-        chars = np.frombuffer("".join(full).encode("utf-32-le"), dtype=np.uint32)
+        text = "".join(full)
+        chars = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
         sizes = np.array([len(t) for t in full], dtype=np.int64)
         begins = np.cumsum(sizes) - sizes
         new = np.zeros(len(chars) + 1, dtype=bool)
         new[begins] = True
-        at, ids, places = 0, [], []
+        counts = np.zeros(len(texts), dtype=np.int64)
+        at, ids = 0, []
         while at < len(chars):
             to, look = at + SPAN, 4096
             found = None
             while to < len(chars) and found is None:  # a span ends where a word begins
-                part = np.arange(to, min(to + look, len(chars)))
-                starts = new[part] | (_find(self._neighbours, (chars[part - 1].astype(np.int64) << 21) | chars[part], np.arange(len(self._neighbours))) < 0)
+                end = min(to + look, len(chars))
+                starts = new[to:end] | self._begins(chars[to - 1 : end])
                 found = to + int(np.argmax(starts)) if starts.any() else None
                 to, look = (to + look if found is None else found), 2 * look
             to = min(to, len(chars))
-            got, where = self._span(chars[at:to], new[at:to])
-            ids.append(got)
-            places.append(where + at)
+            first = new[at:to].copy()
+            first[0] = True
+            first[1:] |= self._begins(chars[at:to])
+            starts = np.flatnonzero(first) + at
+            edges = starts.tolist()
+            got = self._words([text[a:b] for a, b in zip(edges, [*edges[1:], to], strict=True)])
+            doc = int(np.searchsorted(begins, at, side="right")) - 1
+            end = int(np.searchsorted(begins, to))
+            cuts = [0, *np.searchsorted(starts, begins[doc + 1 : end]).tolist(), len(got)]
+            for d, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False), doc):
+                ids.append(b"".join(got[a:b]))
+                counts[d] += len(ids[-1]) // 4
             at = to
-        if not ids:
-            return np.zeros(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
-        place = np.concatenate(places)
-        counts = np.searchsorted(place, begins + sizes) - np.searchsorted(place, begins)
-        return np.concatenate(ids), counts
+        return np.frombuffer(b"".join(ids), dtype=np.int32), counts
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of words, as bytes. Words met before are remembered, up to a bound; all others are merged together."""
+        found = list(map(self._known.get, words))
+        missing = list({w: None for w, f in zip(words, found, strict=True) if f is None})
+        if missing:
+            sizes = np.array([len(w) for w in missing], dtype=np.int64)
+            begins = np.cumsum(sizes) - sizes
+            chars = np.frombuffer("".join(missing).encode("utf-32-le"), dtype=np.uint32)
+            new = np.zeros(len(chars), dtype=bool)
+            new[begins] = True
+            flat, place = self._span(chars, new)
+            data, edges = flat.astype(np.int32).tobytes(), (np.searchsorted(place, np.append(begins, len(chars))) * 4).tolist()
+            fresh = {w: data[a:b] for w, a, b in zip(missing, edges, edges[1:], strict=False)}
+            found = [fresh[w] if f is None else f for w, f in zip(words, found, strict=True)]
+            if len(self._known) + len(fresh) > REMEMBERED:
+                self._known.clear()
+            self._known.update((w, b) for w, b in fresh.items() if len(w) <= MEMORABLE)
+        return found
 
     def _span(self, chars: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, place of the character where each begins) of whole words."""
@@ -354,11 +399,29 @@ def decode_documents(tokens: DataFrame, ids_col: str = "ids", text_col: str = "d
     return tokens.withColumn(text_col, decoded(F.col(ids_col), path))
 
 
+def round_trip(text: Column, path: str = MODEL) -> Column:
+    """The ids of a text and what they decode to, struct<ids, decoded>, in one pass of one worker; null is taken as empty."""
+
+    @F.pandas_udf("struct<ids:array<int>,decoded:string>")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = model(path)
+        for batch in batches:
+            texts = [t or "" for t in batch]
+            ids: list[np.ndarray] = []
+            back: list[str] = []
+            for part in _portions(np.array([len(t) for t in texts], dtype=np.int64)):
+                flat, counts = own.encode(texts[part])
+                ids += np.split(flat, np.cumsum(counts)[:-1])
+                back += own.decode(flat, counts)
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(back, dtype=object)})
+
+    return both(text)
+
+
 def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256 (of the ids in decimal, joined by commas), decoded_sha256 (of what the ids decode to)."""
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    both = decode_documents(encode_documents(own, "_text", "_ids", path).drop("_text"), "_ids", "_decoded", path)
+    both = docs.select(F.col(id_col).alias("_id"), round_trip(F.col(text_col), path).alias("_t"))
     return both.select(
-        F.col("_id").alias(id_col), F.size("_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("_ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("_decoded", 256).alias("decoded_sha256"),
+        F.col("_id").alias(id_col), F.size("_t.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("_t.ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("_t.decoded", 256).alias("decoded_sha256"),
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, link_trust, mixing, packing, piece_bpe, sharding, simhash_dedup, surrogates, token_counts, toxicity, turn_repair
+from . import decontamination, embedding_dedup, hard_negatives, link_trust, mixing, packing, piece_bpe, sharding, simhash_dedup, surrogates, token_counts, toxicity, turn_repair
 from .common import table
 
 #: The key of the registered query only; real runs pass a secret of their own.
@@ -63,6 +63,10 @@ def op12_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_tokens": op1_pack_tokens,
     "op2_embedding_dedup": op2_embedding_dedup,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_shard": op10_shard,
     "op11_repair_turns": op11_repair_turns,
     "op12_piece_tokens": op12_piece_tokens,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {"op8_mix_sources": mixing.oracle()}

@@ -22,6 +22,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -399,29 +401,28 @@ def decode_documents(tokens: DataFrame, ids_col: str = "ids", text_col: str = "d
     return tokens.withColumn(text_col, decoded(F.col(ids_col), path))
 
 
-def round_trip(text: Column, path: str = MODEL) -> Column:
-    """The ids of a text and what they decode to, struct<ids, decoded>, in one pass of one worker; null is taken as empty."""
+def round_trips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
+    """id, ids, decoded: each document's ids and what they decode to, in one pass of one worker, which holds a span's ids and texts at a time. A null text is taken as empty."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    @F.pandas_udf("struct<ids:array<int>,decoded:string>")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
-            texts = [t or "" for t in batch]
-            ids: list[np.ndarray] = []
-            back: list[str] = []
-            for part in _portions(np.array([len(t) for t in texts], dtype=np.int64)):
-                flat, counts = own.encode(texts[part])
-                ids += np.split(flat, np.cumsum(counts)[:-1])
-                back += own.decode(flat, counts)
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(back, dtype=object)})
+            key, text = batch.column(0), batch.column(1)
+            sizes = pc.fill_null(pc.utf8_length(text), 0).to_numpy(zero_copy_only=False)
+            for part in _portions(sizes):
+                n = part.stop - part.start
+                flat, counts = own.encode([t or "" for t in text.slice(part.start, n).to_pylist()])
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat, pa.int32()))
+                yield pa.RecordBatch.from_arrays([key.slice(part.start, n), ids, pa.array(own.decode(flat, counts), pa.string())], ["id", "ids", "decoded"])
 
-    return both(text)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(both, f"id {kind}, ids array<int>, decoded string")
 
 
 def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256 (of the ids in decimal, joined by commas), decoded_sha256 (of what the ids decode to)."""
-    both = docs.select(F.col(id_col).alias("_id"), round_trip(F.col(text_col), path).alias("_t"))
+    both = round_trips(docs, id_col, text_col, path)
     return both.select(
-        F.col("_id").alias(id_col), F.size("_t.ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("_t.ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("_t.decoded", 256).alias("decoded_sha256"),
+        F.col("id").alias(id_col), F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

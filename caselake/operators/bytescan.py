@@ -11,117 +11,148 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .intervals import points_in
-from .sequence import islands
+from .intervals import merged, points_in
+from .scans import greedy_chain
 
 #: Byte patterns that begin a file or stream, by signature, and how far before the match it begins.
 SIGNATURES = (
-    ("ftyp", rb"ftyp", 4),
-    ("riff-avi", rb"RIFF....AVI ", 0),
-    ("dhav", rb"DHAV", 0),
-    ("imkh", rb"IMKH", 0),
+    ("mp4-ftyp", rb"ftyp", 4),
+    ("riff-avi", rb"RIFF(?=....AVI)", 0),
+    ("dahua-dhav", rb"DHAV", 0),
+    ("hikvision-imkh", rb"IMKH", 0),
     ("jpeg", rb"\xff\xd8\xff", 0),
-    ("mpeg-ps", rb"\x00\x00\x01\xba(?=[\x21-\x2f\x40-\x7f])", 0),
-    ("ebml", rb"\x1a\x45\xdf\xa3", 0),
+    ("mpeg-ps", rb"\x00\x00\x01\xba(?=[\x21\x44])", 0),
+    ("ebml-mkv", rb"\x1a\x45\xdf\xa3", 0),
 )
-ANCHORS = ("mpeg-ps", "ts", "annex-b")
-TS_PACKET = 188
+TRANSPORT = "mpegts-sync"
+#: The unit type behind a four-byte start code that begins an elementary stream.
+ANNEX_B = {0x67: "h264-annexb", 0x40: "h265-annexb", 0x42: "h265-annexb"}
+#: Signatures of files with a header of their own: kept inside a container. All others are a container's payload there.
+CONTAINERS = ("mp4-ftyp", "riff-avi", "dahua-dhav", "hikvision-imkh", "ebml-mkv")
+TS_PACKET, TS_SYNC = 188, 0x47
+START_CODE = b"\x00\x00\x00\x01"
 ANNEX_B_REACH = 512
 
 
-def _hits(data: bytes, start: int) -> Iterator[tuple[int, str, int | None]]:
+def _syncs(data: np.ndarray, start: int) -> np.ndarray:
+    """Where runs of transport packets begin: four syncs a packet apart, and none a packet before."""
+    n = len(data) - 3 * TS_PACKET
+    if n <= 0:
+        return np.zeros(0, dtype=np.int64)
+    sync = data == TS_SYNC
+    run = sync[:n] & sync[TS_PACKET : n + TS_PACKET] & sync[2 * TS_PACKET : n + 2 * TS_PACKET] & sync[3 * TS_PACKET :]
+    run[TS_PACKET:] &= ~sync[: max(0, n - TS_PACKET)]
+    run[:TS_PACKET] &= start == 0
+    return np.flatnonzero(run)
+
+
+def _hits(data: bytes, start: int) -> Iterator[tuple[int, str, int | None, int | None]]:
+    """(place, signature, declared length, claimed span) of what begins in a chunk."""
     for name, pattern, back in SIGNATURES:
         for m in re.finditer(b"(?s)" + pattern, data):
-            if m.start() >= back:
-                size = struct.unpack_from("<I", data, m.start() + 4)[0] if name == "riff-avi" else None
-                yield m.start() - back, name, size
-    at = data.find(b"\x47")
+            if m.start() < back:
+                continue
+            declared = claim = None
+            if name == "riff-avi" and data[m.start() + 8 : m.start() + 12] == b"AVI ":
+                size = struct.unpack_from("<I", data, m.start() + 4)[0]
+                declared, claim = size + 8 if size >= 12 else None, size if size > 8 else None
+            yield m.start() - back, name, declared, claim
+    for at in _syncs(np.frombuffer(data, dtype=np.uint8), start).tolist():
+        yield at, TRANSPORT, None, None
+    at = data.find(START_CODE)
     while at >= 0:
-        if at + 3 * TS_PACKET < len(data) and all(data[at + k * TS_PACKET] == 0x47 for k in (1, 2, 3)) and (start == 0 if at < TS_PACKET else data[at - TS_PACKET] != 0x47):
-            yield at, "ts", None
-        at = data.find(b"\x47", at + 1)
-    for m in re.finditer(rb"\x00\x00\x01(?:[\x27\x47\x67]|\x40\x01)", data):
-        if 0 <= data.find(b"\x00\x00\x01", m.end(), m.end() + ANNEX_B_REACH):
-            yield m.start(), "annex-b", None
+        name = ANNEX_B.get(data[at + 4]) if at + 4 < len(data) else None
+        if name and data.find(START_CODE, at + 5, at + 5 + ANNEX_B_REACH) >= 0:
+            yield at, name, None, None
+        at = data.find(START_CODE, at + 1)
 
 
 def scan_signatures(chunks: DataFrame) -> DataFrame:
-    """image, offset, signature, declared: where files and streams begin. A RIFF's declared length is its size field and 8; a size below 12 declares nothing."""
+    """image, offset, signature, declared, claim: where files and streams begin, one at each place.
+
+    A RIFF's declared length is its size field and 8; a size below 12 declares nothing. Its
+    claim is a size above 8, what `suppress_nested` takes as its span; both need `AVI` with a
+    blank. Four-byte start codes count, with a parameter set behind and another start code in 512
+    bytes. Where a file type box and another signature begin at one place, the other counts.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(i, s + at, name, None if size is None or size < 12 else size + 8) for i, s, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True) for at, name, size in _hits(bytes(data), s)]
-            out = pd.DataFrame(rows, columns=["image", "offset", "signature", "declared"])
-            out["declared"] = out["declared"].astype("Int64")
-            yield out
+            rows = [(i, s + at, *rest) for i, s, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True) for at, *rest in _hits(bytes(data), s)]
+            out = pd.DataFrame(rows, columns=["image", "offset", "signature", "declared", "claim"])
+            yield out.astype({"declared": "Int64", "claim": "Int64"})
 
-    found = chunks.select("image", "start_b", "bytes").mapInPandas(scan, "image string, offset long, signature string, declared long")
-    return found.groupBy("image", "offset", "signature").agg(F.max("declared").alias("declared"))
+    found = chunks.select("image", "start_b", "bytes").mapInPandas(scan, "image string, offset long, signature string, declared long, claim long")
+    first = F.min(F.struct((F.col("signature") == "mp4-ftyp").alias("late"), "signature"))
+    return found.groupBy("image", "offset").agg(first["signature"].alias("signature"), F.max("declared").alias("declared"), F.max("claim").alias("claim"))
 
 
 SPAN_CAP = 1 << 30
 
 
 def suppress_nested(hits: DataFrame, cap: int = SPAN_CAP, size: int = 1 << 24) -> DataFrame:
-    """Hits with nested_in. A RIFF file that lies in no open span opens one of its declared length; inside it, stream and picture signatures go, and containers stay with nested_in.
+    """`hits` (image, offset, signature, claim, ...) with nested_in: the RIFF file in whose span a hit lies.
 
-    Which RIFF hits open spans depends on the ones before, so an image's RIFF hits alone (few
-    among all hits) are walked in order; the spans then meet all hits in a range join.
+    A RIFF file with a claim that lies in no open span opens one, up to its claim (`cap` at
+    most) and the 8 bytes of its header. Inside it files with a header of their own stay, with
+    nested_in; pictures and streams go. Which files open spans depends on those before: a
+    greedy chain; the spans then meet all hits in a range join.
     """
-    def openers(group: pd.DataFrame) -> pd.DataFrame:
-        rows, end = [], -1
-        for image, at, length in group.sort_values("offset")[["image", "offset", "declared"]].itertuples(index=False):
-            if at >= end:
-                end = at + min(int(length), cap)
-                rows.append((image, at, end))
-        return pd.DataFrame(rows, columns=["image", "lo", "hi"])
-
-    riff = hits.filter("signature = 'riff-avi' and declared is not null")
-    spans = riff.select("image", "offset", "declared").groupBy("image").applyInPandas(openers, "image string, lo long, hi long")
-    inner = points_in(hits, spans, ["image"], "offset", "lo", "hi", size).filter("offset > _r_lo").groupBy("image", "offset", "signature").agg(F.min("_r_lo").alias("nested_in"))
+    riff = hits.filter("signature = 'riff-avi' and claim is not null").groupBy("image", F.col("offset").alias("lo")).agg(F.max("claim").alias("claim"))
+    spans = greedy_chain(riff.select("image", "lo", (F.col("lo") + 8 + F.least("claim", F.lit(cap))).alias("hi")), ["image"], "lo", "hi")
+    # A file type box is met four bytes behind its file's beginning.
+    seen = hits.select("image", "offset", "signature", (F.col("offset") + F.when(F.col("signature") == "mp4-ftyp", 4).otherwise(0)).alias("_met"))
+    inner = points_in(seen, spans, ["image"], "_met", "lo", "hi", size).filter("_met > _r_lo").groupBy("image", "offset", "signature").agg(F.max("_r_lo").alias("nested_in"))
     j = hits.join(inner, ["image", "offset", "signature"], "left")
-    return j.filter(F.col("nested_in").isNull() | F.col("signature").isin("ftyp", "riff-avi", "ebml"))
+    return j.filter(F.col("nested_in").isNull() | F.col("signature").isin(*CONTAINERS))
 
 
 ANCHOR_STEP = 4 << 20
 
 
 def thin_anchors(hits: DataFrame, step: int = ANCHOR_STEP) -> DataFrame:
-    """Hits in which a stream's anchors (one signature of an image) keep `step` bytes from the last one kept; other hits stay. What is kept depends on the last one kept, so an image's anchors are walked in order."""
+    """Hits in which an image's elementary-stream anchors, H.264 and H.265 as one series, keep `step` bytes from the last one kept; all other hits stay."""
+    anchor = F.col("signature").isin(*set(ANNEX_B.values()))
+    places = hits.filter(anchor).select("image", "offset").distinct()
+    kept = greedy_chain(places.withColumn("until", F.col("offset") + step), ["image"], "offset", "until").select("image", "offset").withColumn("_kept", F.lit(True))
+    return hits.join(kept, ["image", "offset"], "left").filter(~anchor | F.col("_kept")).select(*hits.columns)
 
-    def thin(group: pd.DataFrame) -> pd.DataFrame:
-        group, keep, last = group.sort_values("offset"), [], None
-        for at in group["offset"]:
-            keep.append(last is None or at - last >= step)
-            last = at if keep[-1] else last
-        return group[keep]
 
-    anchors = hits.filter(F.col("signature").isin(*ANCHORS))
-    thinned = anchors.groupBy("image", "signature").applyInPandas(thin, anchors.schema)
-    return hits.filter(~F.col("signature").isin(*ANCHORS)).unionByName(thinned)
+LEAST_PACKETS = 4
+
+
+def _sync_runs(data: np.ndarray, start: int) -> np.ndarray:
+    """(first, end) of the runs of syncs a packet apart in one chunk; short ones only where the chunk's border may hide more of them."""
+    at = np.flatnonzero(data == TS_SYNC)
+    at = at[np.lexsort((at, (at + start) % TS_PACKET))]
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = np.diff(at) != TS_PACKET
+    first = at[new]
+    last = at[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)] if len(at) else at
+    keep = (last - first >= (LEAST_PACKETS - 1) * TS_PACKET) | (first < TS_PACKET) | (last + TS_PACKET >= len(data))
+    return np.stack([first[keep] + start, last[keep] + start + TS_PACKET], axis=1)
 
 
 def ts_runs(chunks: DataFrame) -> DataFrame:
-    """image, start_b, end_b, packets: runs of transport-stream packets from each start to the first desync."""
-    def syncs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """image, start_b, end_b, packets: runs of four transport-stream packets or more, from each start to the first desync.
+
+    A chunk gives one row for each run in it, and the pieces that touch its borders; pieces of
+    one phase that touch or overlap are one run. So rows are as many as runs, not as packets.
+    """
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for image, start, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True):
-                data = bytes(data)
-                rows += [(image, start + m.start()) for m in re.finditer(b"\x47", data) if any(0 <= m.start() + d < len(data) and data[m.start() + d] == 0x47 for d in (TS_PACKET, -TS_PACKET))]
-            yield pd.DataFrame(rows, columns=["image", "at"])
-
-    p = chunks.select("image", "start_b", "bytes").mapInPandas(syncs, "image string, at long").distinct()
-    p = p.withColumn("phase", F.col("at") % TS_PACKET).withColumn("k", F.floor(F.col("at") / TS_PACKET))
-    before = F.lag("k").over(Window.partitionBy("image", "phase").orderBy("k"))
-    p = islands(p.withColumn("_step", F.col("k") - before), ["image", "phase"], ["k"], F.col("_step") != 1)
-    runs = p.groupBy("image", "phase", "island").agg(F.min("at").alias("start_b"), (F.max("at") + TS_PACKET).alias("end_b"), F.count("*").alias("packets"))
-    return runs.filter("packets >= 4").select("image", "start_b", "end_b", "packets")
+            rows = [(image, a, b, a % TS_PACKET) for image, start, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True) for a, b in _sync_runs(np.frombuffer(bytes(data), dtype=np.uint8), start).tolist()]
+            yield pd.DataFrame(rows, columns=["image", "start_b", "end_b", "phase"])
+
+    found = chunks.select("image", "start_b", "bytes").mapInPandas(pieces, "image string, start_b long, end_b long, phase long")
+    runs = merged(found, ["image", "phase"]).withColumn("packets", F.expr(f"(end_b - start_b) div {TS_PACKET}"))
+    return runs.filter(F.col("packets") >= LEAST_PACKETS).select("image", "start_b", "end_b", "packets")
 
 
 #: A sentence ends at a line's end, or after 200 bytes.

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import following, running
+
 MIN_FREE = 512
 
 
@@ -43,23 +45,26 @@ def point_in_runs(points: DataFrame, runs: DataFrame, size: int = 1 << 16) -> Da
     return points.join(hit, ["image", "unit"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
+def _longest(intervals: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """Of the intervals that begin at one place the longest, empty ones included."""
+    return intervals.groupBy(*keys, start).agg(F.max(end).alias(end))
+
+
 def merged(intervals: DataFrame, keys: list[str], start: str = "start_b", end: str = "end_b") -> DataFrame:
-    """The union of a key's intervals as disjoint ones; touching ones become one."""
-    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    along = Window.partitionBy(*keys).orderBy(start, end)
-    d = intervals.filter(F.col(end) > F.col(start)).withColumn("_m", F.max(end).over(before))
-    d = d.withColumn("_n", F.when(F.col(start) > F.col("_m"), 1).otherwise(0)).withColumn("_i", F.sum("_n").over(along))
+    """The union of a key's intervals as disjoint ones; touching ones become one. A key's intervals are spread over ranges of their starts."""
+    d = running(_longest(intervals.filter(F.col(end) > F.col(start)), keys, start, end), keys, start, end, "_m", "max")
+    d = d.withColumn("_first", F.when(F.col("_m").isNull() | (F.col(start) > F.col("_m")), F.col(start)))
+    d = running(d, keys, start, "_first", "_i", "last", inclusive=True)
     return d.groupBy(*keys, "_i").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_i")
 
 
 def free_regions(claimed: DataFrame, sizes: DataFrame | None = None, least: int = MIN_FREE) -> DataFrame:
-    """image, start_b, end_b: what no interval of an image claims, in pieces of `least` bytes or more. With `sizes` (image, size) the ends of the image count too, else only what lies between."""
+    """image, start_b, end_b: what no interval of an image claims, in pieces of `least` bytes or more. With `sizes` (image, size) the ends of the image count too, else only what lies between. An image's intervals are spread over ranges of its bytes."""
     c = claimed.select("image", "start_b", "end_b")
     if sizes is not None:
         ends = sizes.select("image", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e")), F.struct(F.col("size").alias("s"), F.col("size").alias("e")))).alias("x"))
         c = c.unionByName(ends.select("image", F.col("x.s").alias("start_b"), F.col("x.e").alias("end_b")))
-    before = Window.partitionBy("image").orderBy("start_b", "end_b").rowsBetween(Window.unboundedPreceding, -1)
-    d = c.withColumn("open", F.max("end_b").over(before))
+    d = running(_longest(c, ["image"], "start_b", "end_b"), ["image"], "start_b", "end_b", "open", "max")
     return d.filter(F.col("start_b") - F.col("open") >= least).select("image", F.col("open").alias("start_b"), F.col("start_b").alias("end_b"))
 
 
@@ -69,15 +74,14 @@ def uncovered(spans: DataFrame, covered: DataFrame, size: int = 1 << 20) -> Data
     hit = overlaps(spans.select("image", "span", "start_b", "end_b"), c, ["image"], "start_b", "end_b", size)
     cuts = hit.select("image", "span", F.greatest("start_b", "r_start_b").alias("s"), F.least("end_b", "r_end_b").alias("e"))
     ends = spans.select("image", "span", F.explode(F.array("start_b", "end_b")).alias("s")).withColumn("e", F.col("s"))
-    before = Window.partitionBy("image", "span").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
-    d = cuts.unionByName(ends).withColumn("open", F.max("e").over(before))
+    d = running(_longest(cuts.unionByName(ends), ["image", "span"], "s", "e"), ["image", "span"], "s", "e", "open", "max")
     return d.filter("s > open").select("image", "span", F.col("open").alias("start_b"), F.col("s").alias("end_b"))
 
 
 def hit_extents(hits: DataFrame, sizes: DataFrame, cap: int = 1 << 30, least: int = 1024) -> DataFrame:
-    """image, offset, signature, length, basis: a hit reaches to the next one, the image's end or the cap; a declared length that fits overrides. Short extents are dropped."""
-    w = Window.partitionBy("image").orderBy("offset")
-    h = hits.join(sizes, "image").withColumn("room", F.least(F.coalesce(F.lead("offset").over(w), F.col("size")), F.col("size"), F.col("offset") + cap) - F.col("offset"))
+    """image, offset, signature, length, basis: a hit reaches to the next one behind it, the image's end or the cap; a declared length that fits overrides. Short extents are dropped. An image's hits are spread over ranges of its bytes."""
+    places = following(hits.select("image", "offset").distinct(), ["image"], "offset", "offset", "_next")
+    h = hits.join(places, ["image", "offset"]).join(sizes, "image").withColumn("room", F.least(F.coalesce("_next", "size"), F.col("size"), F.col("offset") + cap) - F.col("offset"))
     fits = F.col("declared").isNotNull() & (F.col("declared") > 0) & (F.col("declared") <= F.least(F.col("size") - F.col("offset"), F.lit(cap)))
     h = h.withColumns({"length": F.when(fits, F.col("declared")).otherwise(F.col("room")), "basis": F.when(fits, "declared").otherwise("next-boundary")})
     return h.filter(F.col("length") >= least).select("image", "offset", "signature", "length", "basis")
@@ -85,8 +89,8 @@ def hit_extents(hits: DataFrame, sizes: DataFrame, cap: int = 1 << 30, least: in
 
 def stream_to_physical(ranges: DataFrame, runs: DataFrame, size: int = 1 << 20) -> DataFrame:
     """image, range_id, part, phys_start, phys_end: logical ranges (start_b, end_b) through a stream's runs (seq, phys_b, length_b), split where runs part."""
-    before = Window.partitionBy("image").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    r = runs.withColumn("start_b", F.coalesce(F.sum("length_b").over(before), F.lit(0))).withColumn("end_b", F.col("start_b") + F.col("length_b"))
+    r = running(runs, ["image"], "seq", "length_b", "_before", "sum")
+    r = r.withColumn("start_b", F.coalesce("_before", F.lit(0).cast("long"))).withColumn("end_b", F.col("start_b") + F.col("length_b")).drop("_before")
     hit = overlaps(ranges.select("image", "range_id", "start_b", "end_b"), r, ["image"], "start_b", "end_b", size)
     lo, hi = F.greatest("start_b", "r_start_b"), F.least("end_b", "r_end_b")
     out = hit.select("image", "range_id", "r_seq", (F.col("r_phys_b") + lo - F.col("r_start_b")).alias("phys_start"), (F.col("r_phys_b") + hi - F.col("r_start_b")).alias("phys_end"))
@@ -94,12 +98,12 @@ def stream_to_physical(ranges: DataFrame, runs: DataFrame, size: int = 1 << 20)
 
 
 def owner_asof(offsets: DataFrame, owners: DataFrame) -> DataFrame:
-    """image, offset, owner: the owner with the greatest start at or below the offset; null before the first."""
-    o = owners.select("image", F.col("start_b").alias("at"), "owner", F.lit(0).alias("point"))
-    p = offsets.select("image", F.col("offset").alias("at"), F.lit(None).cast(dict(owners.dtypes)["owner"]).alias("owner"), F.lit(1).alias("point"))
-    w = Window.partitionBy("image").orderBy("at", "point", "owner").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = o.unionByName(p).withColumn("owner", F.last("owner", ignorenulls=True).over(w))
-    return d.filter("point = 1").select("image", F.col("at").alias("offset"), "owner")
+    """image, offset, owner: the owner with the greatest start at or below the offset (of several at one start the greatest); null before the first. An image's owners and offsets are spread over ranges of its bytes."""
+    o = owners.groupBy("image", F.col("start_b").alias("at")).agg(F.max("owner").alias("_owner"))
+    p = offsets.select("image", F.col("offset").alias("at")).distinct()
+    both = o.unionByName(p.withColumn("_owner", F.lit(None).cast(dict(o.dtypes)["_owner"]))).groupBy("image", "at").agg(F.max("_owner").alias("_owner"))
+    found = running(both, ["image"], "at", "_owner", "owner", "last", inclusive=True)
+    return offsets.select("image", "offset").join(found.select("image", F.col("at").alias("offset"), "owner"), ["image", "offset"], "left")
 
 
 def exclude_covered(candidates: DataFrame, spans: DataFrame, size: int = 1 << 20) -> DataFrame:

@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 GENESIS = "GENESIS"
-#: A line ends with the chained field, the entry's hash and, in keyed lanes, the HMAC and its key.
-TRAILER = r'^(.*),"entry_sha256":"([^"]*)"(?:,"entry_hmac_sha256":"([^"]*)","entry_hmac_key_id":"([^"]*)")?\}$'
-CHAINED = r',"previous_entry_sha256":"([^"]*)"$'
+#: A line, from its first byte to its last: the signed part, the entry's hash and, in keyed lanes, the HMAC and its key.
+LINE = r'(.*),"entry_sha256":"([^"]*)"(?:,"entry_hmac_sha256":"([^"]*)","entry_hmac_key_id":"([^"]*)")?\}'
+#: What the signed part ends with.
+CHAINED = r'.*,"previous_entry_sha256":"([^"]*)"'
+
+
+def whole_text(pattern: str) -> str:
+    """The pattern for Spark's regular expressions, over the whole text: `.` takes line ends of all kinds, and nothing may follow, a carriage return neither."""
+    return rf"(?s)\A{pattern}\z"
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """lane, line_no, raw with signed (the bytes under the hash), previous, entry, hmac, key_id; null where the line has no such part."""
-    part = lambda k: F.nullif(F.regexp_extract("raw", TRAILER, k), F.lit(""))
+    part = lambda k: F.nullif(F.regexp_extract("raw", whole_text(LINE), k), F.lit(""))
     out = lines.withColumns({"_head": part(1), "entry": part(2), "hmac": part(3), "key_id": part(4)})
-    out = out.withColumns({"signed": F.concat("_head", F.lit("}")), "previous": F.nullif(F.regexp_extract("_head", CHAINED, 1), F.lit(""))})
+    out = out.withColumns({"signed": F.concat("_head", F.lit("}")), "previous": F.nullif(F.regexp_extract("_head", whole_text(CHAINED), 1), F.lit(""))})
     return out.drop("_head")
 
 
@@ -30,7 +36,8 @@ def verify_chain(lines: DataFrame, torn: DataFrame | None = None) -> DataFrame:
 
     Each line holds the hash of its own signed bytes and that of the whole line before, so lines
     are checked in parallel: line n is joined to line n - 1 of its lane, and no lane is sorted
-    in one task. `torn` lists lanes
+    in one task. A line counts from its first byte to its last: blanks, a carriage return or
+    anything else behind the closing brace break it, as no hash covers them. `torn` lists lanes
     whose last line has no line end.
     """
     p = parse_lines(lines)
@@ -38,7 +45,7 @@ def verify_chain(lines: DataFrame, torn: DataFrame | None = None) -> DataFrame:
     j = p.join(before, (F.col("lane") == F.col("_lane")) & (F.col("line_no") == F.col("_next")), "left")
     expected = F.when(F.col("line_no") == 1, GENESIS).otherwise(F.col("_expected"))
     reason = (
-        F.when(F.trim("raw") == "", "blank-line")
+        F.when(F.col("raw").rlike(r"(?U)\A\s*\z"), "blank-line")
         .when(F.col("entry").isNull(), "entry-hash-misplaced")
         .when(F.col("previous").isNull(), "previous-hash-misplaced")
         .when(~F.col("previous").eqNullSafe(expected), "previous-hash-mismatch")

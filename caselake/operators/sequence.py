@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import running
+
 #: A step back is a regression; a step of more than this is a gap.
 CATALOG_GAP_SECONDS = 7 * 86400
 FRAME_GAP_SECONDS = 2
@@ -102,17 +104,17 @@ def islands(df: DataFrame, keys: list[str], order: list[str], starts: Column) ->
 
 
 def unit_runs(units: DataFrame, group: str = "image", unit: str = "unit") -> DataFrame:
-    """group, first, count: runs of consecutive unit numbers; repeats count once."""
-    d = units.select(group, unit).distinct()
-    d = d.withColumn("_i", F.col(unit) - F.row_number().over(Window.partitionBy(group).orderBy(unit)))
+    """group, first, count: runs of consecutive unit numbers; repeats count once. A group is spread over ranges of its units."""
+    d = running(units.select(group, unit).distinct(), [group], unit, unit, "_before", "last")
+    d = d.withColumn("_first", F.when(F.col("_before").isNull() | (F.col(unit) - F.col("_before") > 1), F.col(unit)))
+    d = running(d, [group], unit, "_first", "_i", "last", inclusive=True)
     return d.groupBy(group, "_i").agg(F.min(unit).alias("first"), F.count("*").alias("count")).drop("_i")
 
 
 def skipped_units(units: DataFrame, group: str = "image", unit: str = "unit") -> DataFrame:
     """group, skipped: the units that lie in holes between listed ones."""
-    d = units.select(group, unit).distinct()
-    hole = F.greatest(F.col(unit) - F.lag(unit).over(Window.partitionBy(group).orderBy(unit)) - 1, F.lit(0))
-    return d.withColumn("_h", hole).groupBy(group).agg(F.coalesce(F.sum("_h"), F.lit(0)).cast("long").alias("skipped"))
+    d = units.select(group, unit).distinct().groupBy(group).agg(F.min(unit).alias("_lo"), F.max(unit).alias("_hi"), F.count("*").alias("_n"))
+    return d.select(group, (F.col("_hi") - F.col("_lo") + 1 - F.col("_n")).cast("long").alias("skipped"))
 
 
 def frame_runs(units: DataFrame, least_video: int = 30, slack: int = 0) -> DataFrame:
@@ -132,13 +134,13 @@ def mark_duplicates(records: DataFrame, order: list[str]) -> DataFrame:
     return j.withColumn("duplicate_of", F.when(F.col("_first._id") != F.col("id"), F.col("_first._id"))).drop("_sha", "_first", "_n")
 
 
-def compress_runs(events: DataFrame, order: list[str], lane: str = "lane") -> DataFrame:
-    """lane, source, kind, first_seq, last_seq, n: consecutive unaudited events of one source and kind as one row; audited ones stay single."""
-    w = Window.partitionBy(lane).orderBy(*order)
-    lag = lambda c: F.lag(c).over(w)
-    same = (F.col("source") == lag("source")) & (F.col("kind") == lag("kind")) & F.col("unaudited") & lag("unaudited")
-    e = islands(events.withColumn("_same", same), [lane], order, ~F.coalesce(F.col("_same"), F.lit(False)))
-    return e.groupBy(lane, "island").agg(F.first("source").alias("source"), F.first("kind").alias("kind"), F.min(order[0]).alias("first_seq"), F.max(order[0]).alias("last_seq"), F.count("*").alias("n")).drop("island")
+def compress_runs(events: DataFrame, seq: str = "seq", lane: str = "lane") -> DataFrame:
+    """lane, source, kind, first_seq, last_seq, n: consecutive unaudited events of one source and kind as one row; audited ones stay single. `seq` numbers a lane's events; a lane is spread over ranges of it."""
+    e = running(events.withColumn("_this", F.struct("source", "kind", "unaudited")), [lane], seq, "_this", "_last", "last")
+    same = (F.col("source") == F.col("_last.source")) & (F.col("kind") == F.col("_last.kind")) & F.col("unaudited") & F.col("_last.unaudited")
+    e = e.withColumn("_first", F.when(~F.coalesce(same, F.lit(False)), F.col(seq)))
+    e = running(e, [lane], seq, "_first", "_island", "last", inclusive=True)
+    return e.groupBy(lane, "_island").agg(F.first("source").alias("source"), F.first("kind").alias("kind"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.count("*").alias("n")).drop("_island")
 
 
 def assign_ids(new: DataFrame, existing: DataFrame, per_range: int = 500_000) -> DataFrame:

@@ -95,7 +95,7 @@ i AS (SELECT *, sum(n) OVER (PARTITION BY lane ORDER BY seq ROWS UNBOUNDED PRECE
 SELECT lane, 'audit' AS source, min(kind) AS kind, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n FROM i GROUP BY lane, k""")
 def w17(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = V.table(spark, sf_dir, "events").select(F.col("user_id").alias("lane"), F.col("event_id").alias("seq"), F.lit("audit").alias("source"), F.col("event_type").alias("kind"), (F.col("value") < 50).alias("unaudited"))
-    return S.compress_runs(e, ["seq"])
+    return S.compress_runs(e)
 
 
 @query("w18_assign_ids", f"""WITH {V.CASES}, t AS (SELECT max(substr(id, 5)::BIGINT) AS top FROM case_a), f AS (SELECT source_path, row_number() OVER (ORDER BY source_path) AS n FROM case_b WHERE source_path NOT IN (SELECT source_path FROM case_a))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import hmac
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lanes import GENESIS
 from ..session import reachable
 
 
@@ -170,35 +176,42 @@ ENTRIES = """entries AS (SELECT conv_id AS lane, turn + 1 AS line_no, length(tex
 LANE_KEYS = {"k1": "11" * 32, "k9": "99" * 32}
 
 
-def _hmac(key: str, text: Column) -> Column:
-    """HMAC-SHA256 in hex, by a hex key of 64 bytes at most."""
-    block = bytes.fromhex(key).ljust(64, b"\0")
-    inner = F.sha2(F.concat(F.lit(bytes(b ^ 0x36 for b in block)), text.cast("binary")), 256)
-    return F.sha2(F.concat(F.lit(bytes(b ^ 0x5C for b in block)), F.unhex(inner)), 256)
-
-
-def lane_lines(spark: SparkSession, sf_dir: str, keyed: bool = False, damage: bool = True) -> DataFrame:
-    """Conversation turns as chained log lines (lane, line_no, raw); the chain is folded per lane, as the hash of a line needs the one before.
+def lane_lines(spark: SparkSession, sf_dir: str, keyed: bool = False, damage: bool = True, tails: bool = False) -> DataFrame:
+    """Conversation turns as chained log lines (lane, line_no, raw). The hash of a line needs the one before, so a task goes along its lanes row by row and holds one hash.
 
     With `damage` one lane in five has a changed byte in its second line. With `keyed`, lanes
     by conv_id modulo 6: 0 unkeyed; from the second line on 1 signed under k1 and 2 under k9,
     both with an introduction, 3 under k1 without one; 4 first line under k1, the others under
-    k9; 5 from the second line on under the name k1, but by another key.
+    k9; 5 from the second line on under the name k1, but by another key. With `tails`, lanes by
+    conv_id modulo 8: 1 and 2 hold line separators of Unicode in each line; behind the last
+    line 3 has a carriage return, 4 a blank, 5 a letter.
     """
-    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
-    start = F.struct(F.lit("GENESIS").alias("head"), F.array().cast("array<string>").alias("lines"))
-    kind = F.pmod("conv_id", F.lit(6)) if keyed else F.lit(0)
-
-    def add(acc, t):
-        first = F.size(acc["lines"]) == 0
-        intro = F.when((F.size(acc["lines"]) == 1) & kind.isin(1, 2), F.lit(',"kind":"audit-key-introduced"')).otherwise("")
-        signed = F.concat(F.lit('{"turn":'), t["turn"].cast("string"), F.lit(',"role":"'), t["role"], F.lit('"'), intro, F.lit(',"previous_entry_sha256":"'), acc["head"], F.lit('"}'))
-        by = lambda key, name: F.concat(F.lit(',"entry_hmac_sha256":"'), _hmac(LANE_KEYS[key], signed), F.lit(f'","entry_hmac_key_id":"{name}"'))
-        tail = F.when((first & (kind == 4)) | (~first & kind.isin(1, 3)), by("k1", "k1")).when(~first & kind.isin(2, 4), by("k9", "k9")).when(~first & (kind == 5), by("k9", "k1")).otherwise("") if keyed else F.lit("")
-        raw = F.concat(F.regexp_replace(signed, r"\}$", ""), F.lit(',"entry_sha256":"'), F.sha2(signed, 256), F.lit('"'), tail, F.lit("}"))
-        return F.struct(F.sha2(raw, 256).alias("head"), F.concat(acc["lines"], F.array(raw)).alias("lines"))
-
-    folded = c.select(F.col("conv_id").alias("lane"), F.aggregate("turns", start, add, lambda acc: acc["lines"]).alias("lines"))
-    lines = folded.select("lane", F.posexplode("lines").alias("at", "raw")).withColumn("line_no", (F.col("at") + 1).cast("long")).drop("at")
-    broken = (F.col("lane") % 5 == 0) & (F.col("line_no") == 2) & F.lit(damage)
-    return lines.withColumn("raw", F.when(broken, F.regexp_replace("raw", '"turn":', '"turm":')).otherwise(F.col("raw")))
+
+    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lane, head, number = None, GENESIS, 0
+        for batch in batches:
+            out = []
+            for conv, turn, role in zip(batch["conv_id"].tolist(), batch["turn"].tolist(), batch["role"].tolist(), strict=True):
+                if conv != lane:
+                    lane, head, number = conv, GENESIS, 0
+                first, kind = number == 0, conv % 6 if keyed else 0
+                odd = {1: "\u2028", 2: "\x85"}.get(conv % 8, "") if tails else ""
+                intro = ',"kind":"audit-key-introduced"' if number == 1 and kind in (1, 2) else ""
+                body = f'{{"turn":{turn},"role":"{role}{odd}"{intro},"previous_entry_sha256":"{head}"'
+                signed = body + "}"
+                key, name = (None, None) if first and kind != 4 else {1: ("k1", "k1"), 2: ("k9", "k9"), 3: ("k1", "k1"), 4: ("k1", "k1") if first else ("k9", "k9"), 5: ("k9", "k1")}.get(kind, (None, None))
+                tag = "" if key is None else f',"entry_hmac_sha256":"{hmac.new(bytes.fromhex(LANE_KEYS[key]), signed.encode(), hashlib.sha256).hexdigest()}","entry_hmac_key_id":"{name}"'
+                raw = f'{body},"entry_sha256":"{hashlib.sha256(signed.encode()).hexdigest()}"{tag}}}'
+                head, number = hashlib.sha256(raw.encode()).hexdigest(), number + 1
+                out.append((conv, number, raw))
+            yield pd.DataFrame(out, columns=["lane", "line_no", "raw"])
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role")
+    lines = turns.mapInPandas(chained, "lane long, line_no long, raw string")
+    if damage:
+        lines = lines.withColumn("raw", F.when((F.col("lane") % 5 == 0) & (F.col("line_no") == 2), F.regexp_replace("raw", '"turn":', '"turm":')).otherwise(F.col("raw")))
+    if tails:
+        sizes = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("_lane")).agg(F.count("*").alias("_n"))
+        tail = F.element_at(F.create_map(*map(F.lit, (3, "\r", 4, " ", 5, "x"))), (F.col("lane") % 8).cast("int"))
+        lines = lines.join(sizes, F.col("lane") == F.col("_lane")).withColumn("raw", F.when(F.col("line_no") == F.col("_n"), F.concat("raw", F.coalesce(tail, F.lit("")))).otherwise(F.col("raw"))).drop("_lane", "_n")
+    return lines

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.window import Window
 
 from ..session import reachable
 from .chunks import opened
@@ -125,11 +126,31 @@ def lines_of(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lines.select("lane", (F.col("at") + 1).cast("long").alias("line_no"), "raw"), torn
 
 
-def read_lanes(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(lines, torn) of all logs below a case folder; the lane is the path below it."""
-    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
+def read_lanes(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+    """(lines, torn) of all logs below a case folder; the lane is the path below it.
+
+    lines: lane, line_no, raw, with blank lines as rows; torn lists lanes whose last line has no
+    end. Only line feeds end lines. A lane is read in as many splits as the session's
+    `spark.sql.files.maxPartitionBytes` makes of it; each split has the lines that begin in it.
+    They are numbered in two passes: the lines of each split are counted, the counts summed
+    along the lane (a row for each split), and a line's number is its place in its split behind
+    that sum. Both passes scan the same splits in the same order, whatever machine runs them.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(root)
     name = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    return lines_of(t.select(F.when(name.startswith(root.rstrip("/") + "/"), F.substr(name, F.lit(len(root.rstrip("/")) + 2))).otherwise(name).alias("lane"), "value"))
+    top = root.removeprefix("file:").rstrip("/") + "/"
+    lane = F.when(name.startswith(top), F.substr(name, F.lit(len(top) + 1))).otherwise(name)
+    rows = files.select(lane.alias("lane"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("_size"), "value", F.monotonically_increasing_id().alias("_id"))
+    splits = rows.groupBy("lane", "split", "_size").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"), F.sum(F.octet_length("value") + 1).alias("_bytes"))
+    before = Window.partitionBy("lane").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    counted = splits.select(F.col("lane").alias("_lane"), F.col("split").alias("_split"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # The reader takes away a byte order mark at a file's beginning; its three bytes are missing in the sum.
+    whole = splits.groupBy(F.col("lane").alias("_of")).agg((F.max("_size") - F.sum("_bytes")).alias("_over"))
+    lines = rows.join(counted, (F.col("lane") == F.col("_lane")) & (F.col("split") == F.col("_split"))).join(whole, F.col("lane") == F.col("_of"))
+    number = F.col("_before") + F.col("_id") - F.col("_first") + 1
+    marked = (number == 1) & (F.col("_over") >= 2)
+    lines = lines.select("lane", number.cast("long").alias("line_no"), F.when(marked, F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value")).alias("raw"))
+    return lines, whole.filter(F.col("_over").isin(-1, 2)).select(F.col("_of").alias("lane"))
 
 
 def newest_snapshot(files: DataFrame, case: str = "case_id", name: str = "file_name") -> DataFrame:

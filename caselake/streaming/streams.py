@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.lanes import CHAINED, GENESIS, TRAILER
+from ..operators.lanes import CHAINED, GENESIS, LINE
 from ..operators.linkage import clean_hash, live_overlay
 from ..operators.sequence import FRAME_GAP_SECONDS
 from ..sources.readers import records_from_lines
@@ -58,8 +58,8 @@ class ChainCheck(StatefulProcessor):
         out = []
         frames = list(rows)
         for row in pd.concat(frames).sort_values("line_no").itertuples() if frames else []:
-            m = re.match(TRAILER, row.raw)
-            chained = re.search(CHAINED, m.group(1)) if m else None
+            m = re.fullmatch(LINE, row.raw, re.DOTALL)
+            chained = re.fullmatch(CHAINED, m.group(1), re.DOTALL) if m else None
             ok = bool(m and chained) and row.line_no == line_no + 1 and chained.group(1) == head and hashlib.sha256((m.group(1) + "}").encode()).hexdigest() == m.group(2)
             broken = broken or not ok
             out.append((key[0], row.line_no, "broken" if broken else "intact"))

@@ -112,24 +112,45 @@ def test_scans_do_not_depend_on_chunks(spark, tmp_path):
         found.append((sorted((r["offset"], r["signature"], r["declared"]) for r in hits.collect()), sorted(tuple(r)[1:] for r in bytescan.frame_headers(c).collect()), sorted(tuple(r)[1:] for r in bytescan.track_points(c).collect())))
         assert found[-1] == found[0]
     signatures = found[0][0]
-    assert (1000, "ftyp", None) in signatures and (1017, "riff-avi", 2008) in signatures and [s for s in signatures if s[1] == "ts"]
+    assert (1000, "mp4-ftyp", None) in signatures and (1017, "riff-avi", 2008) in signatures and [s for s in signatures if s[1] == "mpegts-sync"]
     assert len(found[0][1]) == 1 and found[0][1][0][4] == 9
     assert [(round(p[1], 4), p[4], p[5] and round(p[5], 2)) for p in found[0][2]] == [(48.1173, 45319, 41.48), (-48.1173, 45319, None)]
 
 
+HITS = "image string, offset long, signature string, claim long"
+
+
+def test_signature_rules(spark):
+    nal = lambda *kinds: b"".join(b"\0\0\0\1" + bytes([k]) for k in kinds)
+    data = {
+        "four": b"xx" + nal(0x67, 0x42, 0x40, 0x27), "three": b"x\0\0\1\x67" + b"x\0\0\1\x42" + b"x\0\0\0\1\x67", "far": nal(0x67) + b"x" * 513 + nal(0x27), "near": nal(0x67) + b"x" * 508 + nal(0x27),
+        "packs": b"".join(b"\0\0\1\xba" + bytes([k]) for k in range(256)), "avi": b"RIFF\x40\0\0\0AVI RIFF\x40\0\0\0AVIX" + b"RIFF\x09\0\0\0AVI ", "both": b"IMKHftyp", "wav": b"RIFF\x40\0\0\0WAVE",
+    }
+    rows = [(k, 0, bytearray(v)) for k, v in data.items()]
+    found = bytescan.scan_signatures(spark.createDataFrame(rows, "image string, start_b long, bytes binary"))
+    got = sorted((r["image"], r["offset"], r["signature"], r["declared"], r["claim"]) for r in found.collect())
+    assert got == [
+        ("avi", 0, "riff-avi", 72, 64), ("avi", 12, "riff-avi", None, None), ("avi", 24, "riff-avi", None, 9), ("both", 0, "hikvision-imkh", None, None),
+        ("four", 2, "h264-annexb", None, None), ("four", 7, "h265-annexb", None, None), ("four", 12, "h265-annexb", None, None), ("near", 0, "h264-annexb", None, None),
+        ("packs", 5 * 0x21, "mpeg-ps", None, None), ("packs", 5 * 0x44, "mpeg-ps", None, None),
+    ]
+
+
 def test_nested_and_thinned(spark):
-    s = "image string, offset long, signature string, declared long"
-    h = spark.createDataFrame([("i", 100, "riff-avi", 1000), ("i", 150, "jpeg", None), ("i", 200, "ftyp", None), ("i", 300, "riff-avi", 5000), ("i", 1200, "jpeg", None), ("i", 1100, "jpeg", None)], s)
-    assert sorted((r["offset"], r["nested_in"]) for r in bytescan.suppress_nested(h).collect()) == [(100, None), (200, 100), (300, 100), (1100, None), (1200, None)]
-    a = spark.createDataFrame([("i", x, "ts", None) for x in (0, 5, 9, 11, 19, 25)] + [("i", 3, "jpeg", None)], s)
-    assert sorted(r["offset"] for r in bytescan.thin_anchors(a, step=10).collect()) == [0, 3, 11, 25]
+    h = spark.createDataFrame([("i", 100, "riff-avi", 992), ("i", 150, "jpeg", None), ("i", 180, "dahua-dhav", None), ("i", 190, "hikvision-imkh", None), ("i", 200, "mp4-ftyp", None), ("i", 97, "mp4-ftyp", None), ("i", 300, "riff-avi", 5000), ("i", 1200, "jpeg", None), ("i", 1100, "jpeg", None), ("i", 1099, "mpeg-ps", None)], HITS)
+    assert sorted((r["offset"], r["nested_in"]) for r in bytescan.suppress_nested(h).collect()) == [(97, 100), (100, None), (180, 100), (190, 100), (200, 100), (300, 100), (1100, None), (1200, None)]
+    capped = bytescan.suppress_nested(h, cap=150).collect()
+    assert sorted((r["offset"], r["nested_in"]) for r in capped if r["offset"] > 200) == [(300, None), (1099, None), (1100, None), (1200, None)]
+    a = spark.createDataFrame([("i", x, ("h264-annexb", "h265-annexb")[x % 2], None) for x in (0, 5, 9, 11, 19, 25)] + [("i", 3, "jpeg", None), ("i", 4, "mpegts-sync", None), ("i", 6, "mpegts-sync", None), ("i", 7, "mpeg-ps", None), ("i", 8, "mpeg-ps", None)], HITS)
+    assert sorted(r["offset"] for r in bytescan.thin_anchors(a, step=10).collect()) == [0, 3, 4, 6, 7, 8, 11, 25]
 
 
 def test_ts_runs(spark, tmp_path):
     p = tmp_path / "x.img"
     p.write_bytes(b"\0" * 77 + (b"\x47" + b"\1" * 187) * 9 + b"\0" * 500)
-    got = bytescan.ts_runs(chunks.read_chunks(spark, str(p), chunk=300, overlap=400)).collect()
-    assert [(r["start_b"], r["end_b"], r["packets"]) for r in got] == [(77, 77 + 9 * 188, 9)]
+    for chunk, overlap in ((300, 400), (100, 0), (1 << 20, 752)):
+        got = bytescan.ts_runs(chunks.read_chunks(spark, str(p), chunk=chunk, overlap=overlap)).collect()
+        assert [(r["start_b"], r["end_b"], r["packets"]) for r in got] == [(77, 77 + 9 * 188, 9)]
 
 
 def test_sinks(spark, tmp_path):

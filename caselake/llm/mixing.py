@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, cut, random_key, with_prefix, word_count
+from .common import BROADCAST_ROWS, cut, random_key, unused, with_prefix, word_count
 
 #: Weights of the sources in the order of their names, repeated.
 WEIGHTS = (1, 2, 3)
@@ -76,16 +76,45 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it; columns unchanged.
 
-    A document taken in part counts as whole if half of its words or more are taken, so a
-    source's words differ from its target by half a document at most. A document without
-    words costs nothing and is kept once. Rows that repeat an id follow the one with the most
-    taken words.
+    Every row stands for itself, with whatever id or none. The row at a source's cut counts as
+    whole if half of its words or more are taken, so a source's words differ from its target by
+    half a document at most. A row without words costs nothing and is kept once.
+
+    Only keys and sizes are shuffled: they give one cut for each source, the place in the order of
+    keys up to which the last epoch goes, and each row is then decided where it is read. Rows
+    that agree in all columns have one place; those at a cut are counted and so many put out.
     """
-    plan = mix_plan(docs, id_col, text_col, source_col, seed)
-    copies = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(1)
-    times = plan.groupBy(F.col(id_col).alias("_id")).agg(F.max(copies).cast("int").alias("_copies")).filter("_copies > 0")
-    out = docs.join(times, F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    names = {n: unused(docs, f"_{n}") for n in ("source", "size", "key", "hash", "end", "copies")}
+    source, size, key, hashed, end, copies = names.values()
+    plain = [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in docs.dtypes]
+    rows = docs.withColumns({source: F.col(source_col).cast("string"), size: word_count(F.col(text_col)), hashed: F.xxhash64(*plain)})
+    rows = rows.withColumn(key, random_key(F.lit(seed), F.col(id_col), F.col(size)))
+
+    groups = cut(rows.groupBy(F.col(source).alias("source"), F.col(key).alias("key"), F.col(hashed).alias("hash"), F.col(size).alias("size")).agg(F.count("*").alias("n")).withColumn("words", F.col("size") * F.col("n")))
+    sizes = cut(groups.groupBy("source").agg(F.sum("words").cast("long").alias("source_size"), F.count("*").alias("rows")))
+    counted = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("*").alias("sources")).first()
+    targets = source_targets(sizes.select("source", "source_size"))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long")
+    targets = cut(targets.select(F.col("source").alias("_source"), epochs.alias("epochs"), (F.round("target").cast("long") - epochs * F.col("source_size")).alias("rest")))
+    few = counted["sources"] <= BROADCAST_ROWS
+    placed = with_prefix(groups, "source", "key", ["hash", "size"], "words", "before", counted["rows"])
+    placed = placed.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("_source")))
+    # The group of equal rows in which the last epoch ends: at most one for each source.
+    left = F.col("rest") - F.col("before")
+    at = placed.filter((F.col("size") > 0) & (left >= 0) & (left < F.col("words"))).withColumn("whole", F.floor((2 * left + F.col("size")) / (2 * F.col("size"))).cast("long"))
+    cuts = targets.join(at.select(F.col("source").alias("_at"), "key", "hash", "size", "whole"), F.col("_source").eqNullSafe(F.col("_at")), "left")
+    cuts = cut(cuts.select(F.col("_source"), F.col("epochs"), F.struct("key", "hash", "size").alias("_cut"), F.coalesce("whole", F.lit(0)).alias("_whole"), F.col("key").isNotNull().alias("_some")).select(F.struct("*").alias(end)))
+
+    place = F.struct(F.col(key).alias("key"), F.col(hashed).alias("hash"), F.col(size).alias("size"))
+    told = rows.join(F.broadcast(cuts) if few else cuts, F.col(source).eqNullSafe(F.col(end)["_source"]))
+    here = (F.col(size) > 0) & F.col(end)["_some"] & (place == F.col(end)["_cut"])
+    before = F.col(end)["_some"] & (place < F.col(end)["_cut"])
+    times = F.when(F.col(size) == 0, 1).otherwise(F.col(end)["epochs"] + F.when(before, 1).otherwise(0)).cast("int")
+    own = [F.col(c) for c in docs.columns]
+    many = lambda df, n: df.filter(n > 0).withColumn(copies, F.explode(F.sequence(F.lit(1), n)))
+    most = many(told.filter(~here), times).select(*own)
+    some = told.filter(here).groupBy(source, key, hashed, size).agg(F.first(F.struct(*own)).alias(end + "r"), (F.first(F.col(end)["epochs"]) * F.count("*") + F.first(F.col(end)["_whole"])).cast("int").alias(end))
+    return most.unionByName(many(some, F.col(end)).select(f"{end}r.*"))
 
 
 def oracle() -> str:

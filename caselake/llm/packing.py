@@ -137,7 +137,8 @@ def pack(docs: DataFrame, length: int = 2048, end_token: bool = True, vocabulary
 
 
 def as_binary(packed: DataFrame, width: str = "<u2") -> DataFrame:
-    """The same rows with input_ids and position_ids as little-endian bytes, for readers that map files."""
+    """The same rows with input_ids and position_ids as little-endian bytes, for readers that map files; an id that `width` can't hold is an error."""
+    most = np.iinfo(width).max
 
     def to_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +146,10 @@ def as_binary(packed: DataFrame, width: str = "<u2") -> DataFrame:
             for name in batch.schema.names:
                 c = batch.column(name)
                 if name in ("input_ids", "position_ids"):
-                    c = pa.array([np.asarray(v.values).astype(width).tobytes() for v in c], type=pa.binary())
+                    rows = [np.asarray(v.values) for v in c]
+                    if any(len(r) and r.max() > most for r in rows):
+                        raise ValueError(f"{name} needs more than {width}")
+                    c = pa.array([r.astype(width).tobytes() for r in rows], type=pa.binary())
                 columns.append(c)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 

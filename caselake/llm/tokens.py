@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -12,6 +13,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokenisation of byte-level BPE: contractions, words, numbers, signs, spaces.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Longer runs of white space, as the pattern's `\\s` has it, are cut out first: the pattern looks ahead behind them and gives up at about a million.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
 
 class Encoder:
     def __init__(self, vocabulary: str = VOCABULARY):
@@ -28,7 +32,15 @@ class Encoder:
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
-        return np.array(self._encoding.encode_ordinary(text), dtype=np.int32)
+        parts, at = [], 0
+        for run in BLANKS.finditer(text):
+            # Before a sign the last blank goes with what follows, as in the pattern; a run at the end is whole.
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            parts += self._encoding.encode_ordinary(text[at : run.start()])
+            parts += self._encoding._encode_single_piece(text[run.start() : end])
+            at = end
+        parts += self._encoding.encode_ordinary(text[at:])
+        return np.array(parts, dtype=np.int32)
 
     def decode(self, ids) -> str:
         return self._encoding.decode(list(ids))

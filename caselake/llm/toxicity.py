@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, random_key
+from .common import cut, random_key, unused
 
 #: Characters of other scripts that look like Latin letters.
 HOMOGLYPHS = dict(zip("авсԁеһіјкӏмոпорԛгѕтуѵшхуαβγεηικνορτυχωı", "abcdehijklmnnopqrstyvwxyabyenikvoptuxwi", strict=True))
@@ -217,4 +217,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without those that score `threshold` or more."""
     lexicon, curve = learn(docs, labels, id_col, text_col)
-    return score(docs, lexicon, curve, text_col, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    own = unused(docs, "_toxicity")
+    return score(docs, lexicon, curve, text_col, own).filter(F.col(own) < threshold).drop(own)

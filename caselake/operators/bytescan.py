@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .intervals import merged, points_in
 from .scans import greedy_chain
 
@@ -219,3 +220,69 @@ def frame_headers(chunks: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["image", "offset", "type", "channel", "packed_date", "counter", "length", "is_video"])
 
     return chunks.select("image", "start_b", "bytes").mapInPandas(headers, "image string, offset long, type int, channel int, packed_date long, counter int, length long, is_video boolean").distinct()
+
+
+#: The largest chunk of the AVI format that counts, and the video frames that a run needs.
+MOST_AVI_CHUNK = 8 << 20
+LEAST_VIDEO = 30
+#: Stream chunks by their ids (two digits and a kind), and chunks that go on a chain without beginning one.
+AVI_CHUNK = rb"(?s)(?=((?:[0-9]{2}(?:dc|db|wb))|ix[0-9].|JUNK)(.{4}))"
+RUN_KINDS = {"avi": "avi-frames", "dhav": "dhav-frames"}
+UNITS = "image string, kind string, start_b long, end_b long, is_video boolean, begins boolean"
+
+
+def _units(data: bytes, start: int) -> Iterator[tuple[str, int, int, bool, bool]]:
+    for m in re.finditer(AVI_CHUNK, data):
+        name, size = m.group(1), int.from_bytes(m.group(2), "little")
+        if 0 < size <= MOST_AVI_CHUNK:
+            stream = name[:2].isdigit()
+            yield RUN_KINDS["avi"], start + m.start(), start + m.start() + 8 + size + size % 2, stream and name[2:3] == b"d", stream
+    for m in re.finditer(b"DHAV", data):
+        if m.start() + FRAME_HEADER_SIZE <= len(data):
+            kind, length = data[m.start() + 4], int.from_bytes(data[m.start() + 12 : m.start() + 16], "little")
+            if FRAME_HEADER_SIZE + 8 <= length < 1 << 26:
+                yield RUN_KINDS["dhav"], start + m.start(), start + m.start() + length, kind in VIDEO_TYPES, True
+
+
+def frame_units(chunks: DataFrame) -> DataFrame:
+    """image, kind, start_b, end_b, is_video, begins: whatever reads as a unit of a container that states its own size, at any place: AVI stream, index and padding chunks, DHAV frames. begins: it may begin a chain."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(i, *unit) for i, s, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True) for unit in _units(bytes(data), s)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in UNITS.split(", ")])
+
+    return chunks.select("image", "start_b", "bytes").mapInPandas(parse, UNITS).distinct()
+
+
+def unit_chains(units: DataFrame) -> DataFrame:
+    """image, kind, start_b, begins, end_b, units, video: from each unit on, how far the chain goes in which each unit starts where the one before ends.
+
+    By pointer jumping: a unit knows what it reaches in 2, 4, 8 ... steps, with the sums along
+    them; a chain of n units takes about log2(n) rounds, whatever image it is in.
+    """
+    keys = ["image", "kind"]
+    state = units.groupBy(*keys, "start_b").agg(F.max("end_b").alias("end_b"), F.max("is_video").cast("long").alias("video"), F.max("begins").alias("begins")).withColumn("units", F.lit(1).cast("long"))
+    state, more = written(state), True
+    while more:
+        there = state.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "start_b", "end_b", "units", "video")])
+        on = (F.col("image") == F.col("_image")) & (F.col("kind") == F.col("_kind")) & (F.col("end_b") == F.col("_start_b"))
+        add = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
+        step = written(state.join(there, on, "left").select(*keys, "start_b", "begins", F.coalesce("_end_b", "end_b").alias("end_b"), add("units"), add("video"), F.col("_start_b").isNotNull().alias("_moved")))
+        more = not step.filter("_moved").isEmpty()
+        state = step.drop("_moved")
+    return state.select(*keys, "start_b", "begins", "end_b", "units", "video")
+
+
+def frame_chains(units: DataFrame, least_video: int = LEAST_VIDEO) -> DataFrame:
+    """image, kind, start_b, end_b, units, video: the runs of frames whose file header is gone.
+
+    A search goes along the bytes. Where a unit may begin a chain and another follows it, the
+    chain is followed; with `least_video` frames it is a run, and the search goes on behind
+    it, else one byte on. So runs are a greedy chain over the units from which enough frames
+    follow. A chain that the image's end cuts counts like any other, and the search goes on
+    inside it.
+    """
+    chains = unit_chains(units).filter(F.col("begins") & (F.col("units") >= 2) & (F.col("video") >= least_video))
+    kept = greedy_chain(chains.select("image", "kind", "start_b", "end_b"), ["image", "kind"], "start_b", "end_b").select("image", "kind", "start_b")
+    return chains.join(kept, ["image", "kind", "start_b"], "left_semi").select("image", "kind", "start_b", "end_b", "units", "video")

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .sequence import record_number
+
 def clean_hash(c: Column) -> Column:
     """The hash in lower case; null for an empty one."""
     return F.nullif(F.lower(F.trim(c)), F.lit(""))
@@ -156,10 +158,11 @@ def merge_catalog(old: DataFrame, now: DataFrame, present: DataFrame, stamp: int
 
     `present` has path_key and state (present, missing, error) of old paths that `now` lacks.
     Only a row known to be missing turns stale, at `stamp` unless it was before; an error
-    tells nothing. Old rows of one path key become one, the newest id winning.
+    tells nothing. Old rows of one path key become one, the newest id (by its number) winning.
     """
-    one = F.row_number().over(Window.partitionBy("path_key").orderBy(F.desc("id")))
-    o = old.withColumn("_rn", one).filter("_rn = 1").drop("_rn")
+    own = old.columns
+    newest = F.max_by(F.struct(*own), F.struct(F.coalesce(record_number(F.col("id")), F.lit(-1).cast("long")), "id"))
+    o = old.groupBy(F.col("path_key").alias("_key")).agg(newest.alias("_o")).select("_o.*")
     cols = ["path_key", "id", "source_path", "size_bytes", "modified_unix", "sha256"]
     fresh = now.select(*cols, F.lit(False).alias("stale"), F.lit(None).cast("long").alias("stale_since"))
     rest = o.join(now.select("path_key"), "path_key", "left_anti").join(present.select("path_key", "state"), "path_key", "left")

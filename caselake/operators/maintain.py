@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .sequence import assign_ids, mark_duplicates
+from .sequence import assign_ids, mark_duplicates, record_number
+
+#: Rows whose order is not known come last.
+LAST = (1 << 63) - 1
 
 
 def upsert_catalog(current: DataFrame, incoming: DataFrame, stamp: int) -> DataFrame:
@@ -25,28 +28,32 @@ def upsert_catalog(current: DataFrame, incoming: DataFrame, stamp: int) -> DataF
 def merge_cases(target: DataFrame, sources: list[tuple[str, DataFrame]]) -> DataFrame:
     """The merged catalog: id, path_key, sha256, merged_from, merged_from_id, duplicate_of, provenance.
 
-    target and sources: id, path_key, sha256. A source row whose path key is there adds
-    provenance to that row; any other gets a new id, in the order of the sources and their
-    rows. duplicate_of names the first row of the same hash; unhashed rows never duplicate.
+    target and sources: id, path_key, sha256 and, if the rows' order in their file is known,
+    line. A source row whose path key is there adds provenance to that row; any other gets a new
+    id, in the order of the sources and of their rows: by line, else by the number in the id.
+    duplicate_of names the first row of the same hash; unhashed rows never duplicate.
     """
     if any(df is target for _, df in sources):
         raise ValueError("a case cannot be merged into itself")
-    all_ = target.select(F.lit(0).alias("src"), F.lit(None).cast("string").alias("case"), "id", "path_key", "sha256")
-    for k, (case, df) in enumerate(sources, start=1):
-        all_ = all_.unionByName(df.select(F.lit(k).alias("src"), F.lit(case).alias("case"), "id", "path_key", "sha256"))
+    def part(k: int, case: str | None, df: DataFrame) -> DataFrame:
+        line = F.col("line").cast("long") if "line" in df.columns else record_number(F.col("id"))
+        return df.select(F.lit(k).alias("src"), F.lit(case).cast("string").alias("case"), F.coalesce(line, F.lit(LAST)).alias("line"), "id", "path_key", "sha256")
+
+    all_ = reduce(DataFrame.unionByName, [part(0, None, target), *[part(k, case, df) for k, (case, df) in enumerate(sources, start=1)]])
     first = all_.groupBy("path_key").agg(
-        F.min_by(F.struct("src", "case", "id", "sha256"), F.struct("src", "id")).alias("f"),
+        F.min_by(F.struct("src", "case", "line", "id", "sha256"), F.struct("src", "line", "id")).alias("f"),
         F.array_sort(F.collect_set(F.when(F.col("src") > 0, F.concat("case", F.lit(":"), "id")))).alias("provenance"),
     )
-    rows = first.select("path_key", "f.src", "f.case", F.col("f.id").alias("old_id"), "f.sha256", "provenance")
-    fresh = rows.filter("src > 0").select(F.concat(F.lpad(F.col("src").cast("string"), 4, "0"), F.lit("\0"), "old_id", F.lit("\0"), "path_key").alias("order_key"), "path_key")
+    rows = first.select("path_key", "f.src", "f.case", "f.line", F.col("f.id").alias("old_id"), "f.sha256", "provenance")
+    digits = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    fresh = rows.filter("src > 0").select(F.concat(digits("src"), digits("line"), F.lit("\0"), "old_id", F.lit("\0"), "path_key").alias("order_key"), "path_key")
     ids = assign_ids(fresh.select(F.col("order_key").alias("path_key")), target.select(F.lit(None).cast("string").alias("path_key"), "id"))
     fresh = fresh.join(ids.withColumnRenamed("path_key", "order_key"), "order_key").select(F.col("path_key").alias("_p"), F.col("id").alias("_new"))
     merged = rows.join(fresh, rows["path_key"] == F.col("_p"), "left").select(
         F.coalesce("_new", "old_id").alias("id"), "path_key", "sha256",
-        F.when(F.col("src") > 0, F.col("case")).alias("merged_from"), F.when(F.col("src") > 0, F.col("old_id")).alias("merged_from_id"), "src", "provenance",
+        F.when(F.col("src") > 0, F.col("case")).alias("merged_from"), F.when(F.col("src") > 0, F.col("old_id")).alias("merged_from_id"), "src", "line", "provenance",
     )
-    return mark_duplicates(merged, ["src"]).drop("src")
+    return mark_duplicates(merged, ["src", "line"]).drop("src", "line")
 
 
 def merge_marks(target: DataFrame, source: DataFrame, id_map: DataFrame) -> DataFrame:

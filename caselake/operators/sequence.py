@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
 from .scans import running
 
 #: A step back is a regression; a step of more than this is a gap.
@@ -143,26 +144,32 @@ def compress_runs(events: DataFrame, seq: str = "seq", lane: str = "lane") -> Da
     return e.groupBy(lane, "_island").agg(F.first("source").alias("source"), F.first("kind").alias("kind"), F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.count("*").alias("n")).drop("_island")
 
 
+#: The high bits of a place number its range, the low ones the row in it.
+PLACE_BITS = 33
+
+
+def record_number(record_id: Column) -> Column:
+    """The number in a record's id, by which ids are ordered: vid_1000000 comes behind vid_999999; null if it has none."""
+    return F.regexp_extract(record_id, r"^vid_(\d+)$", 1).try_cast("long")
+
+
 def assign_ids(new: DataFrame, existing: DataFrame, per_range: int = 500_000) -> DataFrame:
     """path_key, id: a known path keeps its id, others get the next vid_ numbers after the highest, in path order.
 
-    Numbers have six digits at least. They come from counts per range of the path's order (one
-    range for each `per_range` new paths), not from one global sort.
+    Numbers have six digits at least. New paths are sorted in ranges, one for each `per_range` of
+    them; a number is the place in the range behind the counts of the ranges before, so there is
+    no global sort, and only the highest number comes to the driver.
     """
     known = existing.select("path_key", F.col("id").alias("_known"))
     rows = new.select("path_key").distinct().join(known, "path_key", "left")
     fresh = rows.filter("_known is null").select("path_key")
-    ranged = fresh.repartitionByRange(max(1, -(-fresh.count() // per_range)), "path_key").withColumn("part", F.spark_partition_id())
-    edges = ranged.groupBy("part").agg(F.min("path_key").alias("lo"), F.count("*").alias("n"))
-    edges = edges.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    bounds = [r for r in edges.select("lo", "before").orderBy("before").collect()]
-    top = existing.agg(F.coalesce(F.max(F.regexp_extract("id", r"^vid_(\d+)$", 1).try_cast("long")), F.lit(0)).alias("top")).first()["top"]
-    los = F.lit([r["lo"] for r in bounds]) if bounds else F.array().cast("array<string>")
-    befores = F.lit([int(r["before"]) for r in bounds]) if bounds else F.array().cast("array<bigint>")
-    k = F.size(F.filter(los, lambda lo: lo <= F.col("path_key")))
-    placed = fresh.withColumn("_k", k).withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy("path_key")))
-    number = F.lit(top) + F.element_at(befores, F.col("_k")) + F.col("_n")
-    named = placed.select("path_key", F.format_string("vid_%06d", number).alias("id"))
+    ranged = fresh.repartitionByRange(max(1, -(-fresh.count() // per_range)), "path_key").sortWithinPartitions("path_key")
+    placed = written(ranged.withColumn("_pos", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_pos", PLACE_BITS))
+    before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    top = existing.agg(F.coalesce(F.max(record_number(F.col("id"))), F.lit(0)).alias("top")).first()["top"]
+    number = F.lit(top) + F.col("_before") + F.col("_pos").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)) + 1
+    named = placed.join(counts, F.col("_range") == F.col("_r")).select("path_key", F.format_string("vid_%06d", number).alias("id"))
     return rows.filter("_known is not null").select("path_key", F.col("_known").alias("id")).unionByName(named)
 
 

@@ -81,14 +81,18 @@ def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.carry_facts(now.withColumn("path_key", F.col("source_path")), salvaged, old, hashing=False, probing=False)
 
 
-@query("j8_merge_catalog", f"""WITH {V.CASES}, o AS (SELECT a.*, doc_id % 3 AS st FROM case_a a)
+@query("j8_merge_catalog", f"""WITH {V.CASES}, o AS (SELECT a.* REPLACE ('vid_' || (999950 + doc_id + CASE WHEN doc_id % 4 = 0 THEN 50 ELSE 0 END)::VARCHAR AS id, CASE WHEN doc_id % 4 = 0 THEN 'newer' ELSE sha256 END AS sha256), doc_id % 3 AS st FROM case_a a)
 SELECT source_path AS path_key, id, source_path, size_bytes, modified_unix, sha256, false AS stale, NULL::BIGINT AS stale_since FROM case_b
 UNION ALL SELECT source_path, id, source_path, size_bytes, modified_unix, sha256, st = 0, CASE WHEN st = 0 THEN 1800000000 END FROM o WHERE source_path NOT IN (SELECT source_path FROM case_b)""")
 def j8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth old path has two rows, the later with an id fifty on: many of seven digits against six."""
     a, b = V.cases(spark, sf_dir)
-    old = a.withColumns({"path_key": F.col("source_path"), "stale": F.lit(False), "stale_since": F.lit(None).cast("long")})
-    state = F.element_at(F.array(F.lit("missing"), F.lit("present"), F.lit("error")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return L.merge_catalog(old, b.withColumn("path_key", F.col("source_path")), old.select("path_key", state.alias("state")), 1_800_000_000)
+    n = F.col("doc_id")
+    numbered = lambda more: F.format_string("vid_%06d", n + (999_950 + more))
+    old = a.withColumn("id", numbered(0)).unionByName(a.filter(n % 4 == 0).withColumns({"id": numbered(50), "sha256": F.lit("newer")}))
+    old = old.withColumns({"path_key": F.col("source_path"), "stale": F.lit(False), "stale_since": F.lit(None).cast("long")})
+    state = F.element_at(F.array(F.lit("missing"), F.lit("present"), F.lit("error")), (n % 3 + 1).cast("int"))
+    return L.merge_catalog(old, b.withColumn("path_key", F.col("source_path")), old.select("path_key", state.alias("state")).distinct(), 1_800_000_000)
 
 
 @query("j9_live_overlay", f"""WITH {V.CASES}, b AS (SELECT doc_id AS ord, id, source_path, sha256 FROM case_a), l AS (SELECT doc_id AS line_no, CASE WHEN (doc_id + 1) % 10 = 7 THEN id || 'x' ELSE id END AS id, source_path, sha256 FROM case_b),

@@ -106,14 +106,16 @@ def m1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.upsert_catalog(cur, b.withColumn("id", F.when(F.col("doc_id") % 6 == 0, F.concat("id", F.lit("n"))).otherwise(F.col("id"))), 5_000_000)
 
 
-@query("m2_merge_cases", f"""WITH {V.CASES}, a AS (SELECT id, source_path AS path_key, sha256 FROM case_a), b AS (SELECT id, source_path AS path_key, sha256 FROM case_b), t AS (SELECT max(substr(id, 5)::BIGINT) AS top FROM a),
-f AS (SELECT printf('vid_%06d', top + row_number() OVER (ORDER BY b.id, path_key)) AS id, path_key, sha256, b.id AS old FROM b, t WHERE path_key NOT IN (SELECT path_key FROM a)),
-r AS (SELECT a.id, a.path_key, a.sha256, NULL AS merged_from, NULL AS merged_from_id, 0 AS src, CASE WHEN b.id IS NULL THEN []::VARCHAR[] ELSE ['b:' || b.id] END AS provenance FROM a LEFT JOIN b ON a.path_key = b.path_key
-      UNION ALL SELECT id, path_key, sha256, 'b', old, 1, ['b:' || old] FROM f),
-d AS (SELECT *, first(id) OVER (PARTITION BY sha256 ORDER BY src, id) AS fi FROM r)
+@query("m2_merge_cases", f"""WITH {V.CASES}, a AS (SELECT doc_id + 999950 AS n, 'vid_' || (doc_id + 999950)::VARCHAR AS id, source_path AS path_key, sha256 FROM case_a), b AS (SELECT doc_id + 999950 AS n, 'vid_' || (doc_id + 999950)::VARCHAR AS id, source_path AS path_key, sha256 FROM case_b), t AS (SELECT max(n) AS top FROM a),
+f AS (SELECT top + row_number() OVER (ORDER BY b.n, path_key) AS n, path_key, sha256, b.id AS old FROM b, t WHERE path_key NOT IN (SELECT path_key FROM a)),
+r AS (SELECT a.n, a.path_key, a.sha256, NULL AS merged_from, NULL AS merged_from_id, 0 AS src, CASE WHEN b.id IS NULL THEN []::VARCHAR[] ELSE ['b:' || b.id] END AS provenance FROM a LEFT JOIN b ON a.path_key = b.path_key
+      UNION ALL SELECT n, path_key, sha256, 'b', old, 1, ['b:' || old] FROM f),
+d AS (SELECT *, 'vid_' || n::VARCHAR AS id, 'vid_' || first(n) OVER (PARTITION BY sha256 ORDER BY src, n)::VARCHAR AS fi FROM r)
 SELECT id, path_key, sha256, merged_from, merged_from_id, provenance, CASE WHEN sha256 IS NOT NULL AND fi <> id THEN fi END AS duplicate_of FROM d""")
 def m2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (df.select("id", F.col("source_path").alias("path_key"), "sha256") for df in V.cases(spark, sf_dir))
+    """Ids from six digits into seven."""
+    own = F.format_string("vid_%06d", F.col("doc_id") + 999_950)
+    a, b = (df.select(own.alias("id"), F.col("source_path").alias("path_key"), "sha256") for df in V.cases(spark, sf_dir))
     return M.merge_cases(a, [("b", b)])
 
 

@@ -77,6 +77,21 @@ def b4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.frame_headers(_chunks(spark, sf_dir, F.unhex(head)))
 
 
+@query("w10_frame_chains", """WITH d AS (SELECT doc_id::VARCHAR AS image, doc_id % 50 AS o, 20 + doc_id % 25 AS k, 8 + doc_id % 9 + 1 + (doc_id % 9 + 1) % 2 + 12 AS pair FROM documents)
+SELECT image, 'avi-frames' AS kind, o AS start_b, o + k * pair + 10 + 3 * pair AS end_b, 2 * k + 7 AS units, k + 3 AS video FROM d WHERE k + 3 >= 30""")
+def w10b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Video and audio chunks of 1 to 9 bytes in turn, a padding chunk, three more pairs; chunks of 512 bytes cut most runs."""
+    n = F.col("doc_id")
+    size = n % 9 + 1
+    pair = F.concat(F.lit("30306463"), F.lpad(F.hex(size), 2, "0"), F.lit("000000"), F.repeat(F.lit("2E"), (size + size % 2).cast("int")), F.lit("3031776203000000"), F.lit("2E2E2E2E"))
+    planted = F.unhex(F.concat(F.repeat(F.lit("2E"), (n % 50).cast("int")), F.repeat(pair, (n % 25 + 20).cast("int")), F.lit("4A554E4B020000000000"), F.repeat(pair, 3)))
+    d = V.table(spark, sf_dir, "documents").select(n.cast("string").alias("image"), F.concat(planted, F.encode("text", "UTF-8")).alias("whole"))
+    d = d.withColumn("at", F.explode(F.sequence(F.lit(0), F.octet_length("whole"), F.lit(512))))
+    start = F.greatest(F.col("at") - 32, F.lit(0))
+    chunks = d.select("image", start.cast("long").alias("start_b"), F.substring("whole", start + 1, F.col("at") + 512 - start).alias("bytes"))
+    return B.frame_chains(B.frame_units(chunks))
+
+
 NAMES = ("riff-avi", "jpeg", "mp4-ftyp", "mpegts-sync", "h264-annexb", "h265-annexb", "dahua-dhav", "riff-avi")
 
 

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
+from .scans import running
+
 GENESIS = "GENESIS"
 #: A line, from its first byte to its last: the signed part, the entry's hash and, in keyed lanes, the HMAC and its key.
 LINE = r'(.*),"entry_sha256":"([^"]*)"(?:,"entry_hmac_sha256":"([^"]*)","entry_hmac_key_id":"([^"]*)")?\}'
@@ -62,55 +65,88 @@ def verify_chain(lines: DataFrame, torn: DataFrame | None = None) -> DataFrame:
     return out.withColumn("status", status).drop("_torn")
 
 
-def check_hmac(parsed: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """`parsed` with hmac_state: none, verified, mismatch (a key held under that name refutes it) or unknown-key. `keys`: hex keys by id, the keyring of this reader; the id "default" names no particular key."""
+#: The generation of a key that is in use; retired keys have the time of their retirement.
+IN_USE = (1 << 63) - 1
+
 
-    @F.pandas_udf("string")
-    def state(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        ring = {k: bytes.fromhex(v) for k, v in keys.items()}
+def check_hmac(parsed: DataFrame, keys: dict[str, str], retired: dict[str, int] | None = None) -> DataFrame:
+    """`parsed` with hmac_state, generation and key_ids.
+
+    hmac_state: none, verified, mismatch (a key held under that name refutes it) or unknown-key.
+    generation and key_ids: of the key that verifies. `keys`: hex keys by id, the keyring of
+    this reader; the id "default" names no particular key. `retired`: when keys were retired, by
+    id; a secret that was retired under one id is retired under all.
+    """
+    secrets: dict[str, tuple[list[str], int]] = {}
+    for name, secret in keys.items():
+        names, until = secrets.get(secret.lower(), ([], IN_USE))
+        secrets[secret.lower()] = ([*names, name], min(until, (retired or {}).get(name, IN_USE)))
+
+    @F.pandas_udf("hmac_state string, generation long, key_ids array<string>")
+    def state(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        ring = [(bytes.fromhex(secret), names, until) for secret, (names, until) in secrets.items()]
         for signed, tag, key_id in batches:
             out = []
             for s, t, k in zip(signed, tag, key_id, strict=True):
                 if t is None or s is None:
-                    out.append("none")
+                    out.append(("none", None, None))
                     continue
-                good = any(hmac.compare_digest(hmac.new(key, s.encode(), hashlib.sha256).hexdigest(), t) for key in ring.values())
-                out.append("verified" if good else "mismatch" if k in ring and k != "default" else "unknown-key")
-            yield pd.Series(out)
+                good = next(((names, until) for key, names, until in ring if hmac.compare_digest(hmac.new(key, s.encode(), hashlib.sha256).hexdigest(), t)), None)
+                out.append(("verified", good[1], good[0]) if good else ("mismatch" if k in keys and k != "default" else "unknown-key", None, None))
+            yield pd.DataFrame({"hmac_state": [o[0] for o in out], "generation": pd.array([o[1] for o in out], dtype="Int64"), "key_ids": pd.Series([o[2] for o in out], dtype=object)})
 
-    return parsed.withColumn("hmac_state", state("signed", "hmac", "key_id"))
+    return parsed.withColumn("_h", state("signed", "hmac", "key_id")).select(*parsed.columns, "_h.*")
 
 
-#: Fixed value: the kind of the entry from which on a lane is signed.
-KEY_INTRODUCED = "audit-key-introduced"
+#: The kinds of the entry from which on a lane is signed, and of the one that retires a key.
+KEY_INTRODUCED, KEY_ROTATED = "audit-key-introduced", "audit-key-rotate"
 
 
-def line_trust(lines: DataFrame, keys: dict[str, str]) -> DataFrame:
+def line_trust(lines: DataFrame, keys: dict[str, str], retired: dict[str, int] | None = None) -> DataFrame:
     """lane, line_no, trust.
 
-    chain-broken from the lane's first bad line on, a line that a held key refutes included. A
-    reader without keys finds the rest self-consistent. With keys: authenticated with a
-    verified HMAC; under a key not held, rewrite-not-excluded behind an authenticated line,
-    else other-key. Unkeyed lines before the lane's first keyed one are pre-key if that one
+    chain-broken from the lane's first bad line on; a line that a held key refutes is one, and so
+    is one under a retired key behind a line of a newer generation of keys, or behind an
+    authenticated entry that retires that key. A reader without keys finds the rest
+    self-consistent. With keys: authenticated with a verified HMAC, but not-authenticated under
+    a retired key if no line of a newer generation follows, as nothing shows that it was
+    written before; under a key not held, rewrite-not-excluded behind a verified line, else
+    other-key. Unkeyed lines before the lane's first keyed one are pre-key if that one
     introduces the key and is authenticated, other-key if it introduces a key not held; all
-    other unkeyed lines are not-authenticated, as their HMAC may have been taken off.
+    other unkeyed lines are not-authenticated, as their HMAC may have been taken off. The
+    newest generation so far is a prefix scan over ranges of lines.
     """
-    p = check_hmac(parse_lines(lines), keys)
+    n, s, generation = F.col("line_no"), F.col("hmac_state"), F.col("generation")
+    field = lambda f: F.get_json_object("raw", f"$.{f}")
+    p = check_hmac(parse_lines(lines), keys, retired)
+    p = p.select("lane", "line_no", "hmac_state", "generation", "key_ids", field("kind").alias("_kind"), field("from").alias("_from"))
     chain = verify_chain(lines).select(F.col("lane").alias("_lane"), F.col("first_bad").alias("_bad"))
-    n, s = F.col("line_no"), F.col("hmac_state")
-    first = F.struct(n.alias("n"), s.alias("s"), F.get_json_object("raw", "$.kind").eqNullSafe(KEY_INTRODUCED).alias("intro"))
-    firsts = p.groupBy(F.col("lane").alias("_of")).agg(F.min(F.when(s == "verified", n)).alias("first_auth"), F.min(F.when(s == "mismatch", n)).alias("_refuted"), F.min(F.when(s != "none", first)).alias("keyed"))
-    j = p.join(chain, F.col("lane") == F.col("_lane")).join(firsts, F.col("lane") == F.col("_of")).withColumn("first_bad", F.least("_bad", "_refuted"))
-    before = (n < F.col("keyed.n")) & F.col("keyed.intro") & (F.col("first_bad").isNull() | (F.col("keyed.n") < F.col("first_bad")))
     if not keys:
-        return j.select("lane", "line_no", F.when(n >= F.col("first_bad"), "chain-broken").otherwise("self-consistent").alias("trust"))
+        j = p.join(chain, F.col("lane") == F.col("_lane"))
+        return j.select("lane", "line_no", F.when(n >= F.col("_bad"), "chain-broken").otherwise("self-consistent").alias("trust"))
+
+    p = written(running(p, ["lane"], "line_no", "generation", "_newest", "max"))
+    aged = (s == "verified") & (generation < IN_USE)
+    marks = p.filter((s == "verified") & F.col("_kind").eqNullSafe(KEY_ROTATED) & F.col("_from").isNotNull()).groupBy(F.col("lane").alias("_ml"), F.col("_from").alias("_key")).agg(F.min("line_no").alias("_marked"))
+    named = p.filter(aged).select("lane", "line_no", "generation", "_newest", F.explode("key_ids").alias("_id")).join(marks, (F.col("lane") == F.col("_ml")) & (F.col("_id") == F.col("_key")), "left")
+    refused = named.filter((F.col("_newest") > generation) | (n > F.col("_marked"))).groupBy(F.col("lane").alias("_rl")).agg(F.min("line_no").alias("_refused"))
+
+    first = F.struct(n.alias("n"), s.alias("s"), F.col("_kind").eqNullSafe(KEY_INTRODUCED).alias("intro"), generation.alias("generation"))
+    firsts = p.groupBy(F.col("lane").alias("_of")).agg(F.min(F.when(s == "verified", n)).alias("first_auth"), F.min(F.when(s == "mismatch", n)).alias("_refuted"), F.min(F.when(s != "none", first)).alias("keyed"))
+    lanes = firsts.join(chain, F.col("_of") == F.col("_lane")).join(refused, F.col("_of") == F.col("_rl"), "left").select("_of", "first_auth", "keyed", F.least("_bad", "_refuted", "_refused").alias("first_bad"))
+    tops = p.join(lanes.select("_of", "first_bad"), F.col("lane") == F.col("_of")).filter(F.col("first_bad").isNull() | (n < F.col("first_bad"))).groupBy(F.col("lane").alias("_tl")).agg(F.max("generation").alias("_top"))
+    j = p.join(lanes, F.col("lane") == F.col("_of")).join(tops, F.col("lane") == F.col("_tl"), "left")
+    unproven = lambda g: (g < IN_USE) & (g >= F.col("_top"))
+    keyed = F.col("keyed")
+    before = (n < keyed["n"]) & keyed["intro"] & (F.col("first_bad").isNull() | (keyed["n"] < F.col("first_bad")))
     trust = (
         F.when(n >= F.col("first_bad"), "chain-broken")
+        .when((s == "verified") & unproven(generation), "not-authenticated")
         .when(s == "verified", "authenticated")
         .when((s == "unknown-key") & (n > F.col("first_auth")), "rewrite-not-excluded")
         .when(s == "unknown-key", "other-key")
-        .when(before & (F.col("keyed.s") == "verified"), "pre-key")
-        .when(before & (F.col("keyed.s") == "unknown-key"), "other-key")
+        .when(before & (keyed["s"] == "verified") & ~unproven(keyed["generation"]), "pre-key")
+        .when(before & (keyed["s"] == "unknown-key"), "other-key")
         .otherwise("not-authenticated")
     )
     return j.select("lane", "line_no", trust.alias("trust"))

@@ -195,23 +195,65 @@ def fragment_chain(packets: DataFrame) -> DataFrame:
     return out.filter("fragments >= 2")
 
 
-def verify_concat(sources: DataFrame, output: DataFrame, tolerance: float = 0.5) -> DataFrame:
-    """group, packets_ok, hashes_ok, starts_ok, verdict of a lossless join.
+def _default(df: DataFrame, name: str, value: bool) -> Column:
+    return F.coalesce(F.col(name), F.lit(value)) if name in df.columns else F.lit(value)
 
-    sources: group, segment, seq, pts, is_key, hash, duration_s (of its segment); output:
-    group, seq, pts, hash. Every packet must come again in order with its hash, and each
-    segment must start at the sum of the durations before it, within the tolerance.
+
+def verify_concat(sources: DataFrame, output: DataFrame, audio: DataFrame | None = None, audio_out: DataFrame | None = None) -> DataFrame:
+    """group, mode, packets_ok, hashes_ok, starts_ok, audio_ok, verdict of a lossless join.
+
+    sources: group, segment, seq, pts, is_key, hash (of the payload without framing and
+    parameter sets), duration_s (of its segment) and, if some of a segment's packets are hidden by
+    its edit list, discard; output: group, seq, pts, hash and, if known, is_key, discard. audio
+    (group, segment, packets) and audio_out (group, packets) count sound.
+
+    mode is all-packets, where every packet must come again in order with its hash; or
+    edit-list-applied, where the output has exactly as many packets as the sources show. As an
+    output that kept hidden packets and lost others has that number too, each segment with hidden
+    packets must then show its own: the hashes of packets that are no key frames, in order, or
+    of all, if all that it shows are key frames (else a key frame may be rewritten). Each
+    segment must start where those before end, with what they show too much, to a second or 0.2
+    hundredths; sound may differ by a packet for each segment.
     """
-    order = F.struct("segment", "seq")
-    n = F.row_number().over(Window.partitionBy("group").orderBy("segment", "seq"))
-    s = sources.withColumn("pos", n).withColumn("first", F.min(order).over(Window.partitionBy("group", "segment")) == order)
-    spans = sources.groupBy("group", "segment").agg(F.max("duration_s").alias("d"))
-    spans = spans.withColumn("expected", F.coalesce(F.sum("d").over(Window.partitionBy("group").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    o = output.withColumn("pos", F.row_number().over(Window.partitionBy("group").orderBy("seq"))).select("group", "pos", F.col("pts").alias("opts"), F.col("hash").alias("ohash"))
-    j = s.join(spans.select("group", "segment", "expected"), ["group", "segment"]).join(o, ["group", "pos"], "full_outer")
-    out = j.groupBy("group").agg(
-        (F.count("segment") == F.count("opts")).alias("packets_ok"),
-        F.coalesce(F.bool_and(F.col("hash") == F.col("ohash")), F.lit(False)).alias("hashes_ok"),
-        F.coalesce(F.bool_and(F.when(F.col("first"), F.abs(F.col("opts") - F.col("expected")) <= tolerance)), F.lit(False)).alias("starts_ok"),
-    )
-    return out.withColumn("verdict", F.when(F.col("packets_ok") & F.col("hashes_ok") & F.col("starts_ok"), "verified").otherwise("failed"))
+    s = sources.select("group", "segment", "seq", F.col("hash").alias("_hash"), F.coalesce("is_key", F.lit(False)).alias("_key"), _default(sources, "discard", False).alias("_hidden"), "duration_s")
+    o = output.select("group", "seq", F.col("pts").alias("_pts"), F.col("hash").alias("_seen"), _default(output, "is_key", True).alias("_okey"), _default(output, "discard", False).alias("_ohidden"))
+    o = o.withColumn("pos", F.row_number().over(Window.partitionBy("group").orderBy("seq"))).drop("seq")
+    segments = s.groupBy("group", "segment").agg(F.count("*").alias("total"), F.count_if(~F.col("_hidden")).alias("kept"), F.count_if(~F.col("_hidden") & ~F.col("_key")).alias("plain"), F.max("duration_s").alias("d"))
+    counts = segments.groupBy("group").agg(F.sum("total").alias("all"), F.sum("kept").alias("shown"), F.count("*").alias("segments")).join(o.groupBy("group").agg(F.count("*").alias("observed")), "group", "full_outer")
+    counts = counts.withColumn("observed", F.coalesce("observed", F.lit(0))).withColumn("maybe", F.coalesce((F.col("observed") != F.col("all")) & (F.col("observed") == F.col("shown")), F.lit(False)))
+
+    place = F.row_number().over(Window.partitionBy("group").orderBy("segment", "seq"))
+    pairs = s.filter(~F.col("_hidden")).join(counts.filter("maybe").select("group"), "group", "left_semi").withColumn("pos", place)
+    pairs = pairs.join(o, ["group", "pos"]).join(segments.filter("kept < total").select("group", "segment", "plain"), ["group", "segment"])
+    same = F.coalesce(F.col("_hash") == F.col("_seen"), F.lit(False))
+    whole = pairs.filter("plain = 0").select("group", (same & F.col("_okey")).alias("ok"))
+    rank = F.row_number().over(Window.partitionBy("group", "segment").orderBy("pos"))
+    wanted = pairs.filter("plain > 0 and not _key").select("group", "segment", rank.alias("n"), "_hash")
+    shown = pairs.filter("plain > 0 and not _okey").select("group", "segment", rank.alias("n"), "_seen")
+    parts = wanted.join(shown, ["group", "segment", "n"], "full_outer").select("group", same.alias("ok"))
+    confirmed = whole.unionByName(parts).groupBy("group").agg(F.bool_and("ok").alias("confirmed"))
+    modes = counts.join(confirmed, "group", "left").withColumn("applied", F.col("maybe") & F.coalesce("confirmed", F.lit(True)))
+
+    m = s.join(modes.select("group", "applied"), "group").filter(~F.col("applied") | ~F.col("_hidden")).withColumn("pos", place)
+    j = m.join(o, ["group", "pos"], "full_outer")
+    hashes = j.groupBy("group").agg(F.bool_and(F.coalesce("applied", F.lit(False)) | same).alias("hashes_ok"))
+    visible = ~F.col("_ohidden")
+    starts = j.filter("segment is not null").groupBy("group", "segment").agg(F.min(F.when(visible, F.col("_pts"))).alias("first"), F.min(F.when(visible & ~F.col("_hidden"), F.col("_pts"))).alias("own"))
+    starts = segments.select("group", "segment", "d").join(starts, ["group", "segment"], "left").withColumn("more", F.greatest(F.coalesce(F.col("own") - F.col("first"), F.lit(0.0)), F.lit(0.0)))
+    along = Window.partitionBy("group").orderBy("segment")
+    expected = F.coalesce(F.sum(F.col("d") + F.col("more")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    starts = starts.withColumns({"expected": expected, "observed": F.col("first") - F.coalesce(F.first("first").over(along), F.lit(0.0))})
+    near = F.abs(F.col("observed") - F.col("expected")) <= F.greatest(F.col("expected") * 0.002, F.lit(1.0))
+    starts = starts.groupBy("group").agg(F.bool_and(F.coalesce(near, F.lit(False))).alias("starts_ok"))
+
+    out = modes.join(hashes, "group", "left").join(starts, "group", "left")
+    if audio is None:
+        out = out.withColumn("audio_ok", F.lit(True))
+    else:
+        want = segments.select("group", "segment").join(audio, ["group", "segment"], "left").groupBy("group").agg(F.when(F.bool_and(F.col("packets").isNotNull()), F.sum("packets")).alias("_want"))
+        heard = audio_out.groupBy("group").agg(F.sum("packets").alias("_heard")) if audio_out is not None else want.select("group", F.lit(None).cast("long").alias("_heard"))
+        ok = F.col("_want").isNull() | F.coalesce(F.abs(F.col("_want") - F.col("_heard")) <= F.col("segments"), F.lit(False))
+        out = out.join(want, "group", "left").join(heard, "group", "left").withColumn("audio_ok", ok)
+    packets = F.coalesce((F.col("observed") == F.col("all")) | F.col("applied"), F.lit(False))
+    good = packets & F.coalesce("hashes_ok", F.lit(False)) & F.coalesce("starts_ok", F.lit(False)) & F.col("audio_ok")
+    return out.select("group", F.when(F.col("applied"), "edit-list-applied").otherwise("all-packets").alias("mode"), packets.alias("packets_ok"), F.coalesce("hashes_ok", F.lit(False)).alias("hashes_ok"), F.coalesce("starts_ok", F.lit(False)).alias("starts_ok"), "audio_ok", F.when(good, "verified").otherwise("failed").alias("verdict"))

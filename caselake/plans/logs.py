@@ -60,6 +60,13 @@ def w16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.trust_counts(L.line_trust(V.lane_lines(spark, sf_dir, keyed=True), RING))
 
 
+@query("w16_key_generations", """WITH l AS (SELECT conv_id AS lane, conv_id % 4 AS kind, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations)
+SELECT lane, n AS line_no, CASE WHEN kind = 3 OR (kind < 2 AND k < 3) OR (kind = 2 AND k = 1) THEN 'not-authenticated' WHEN (kind = 1 AND n >= 4) OR (kind = 2 AND n >= 3) THEN 'chain-broken' ELSE 'authenticated' END AS trust FROM l""")
+def w16c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lanes over a rotation of keys: proper ones, rewound ones, and ones that only the retired key signs."""
+    return L.line_trust(V.lane_lines(spark, sf_dir, damage=False, rotation=True), {k: V.LANE_KEYS[k] for k in ("k0", "k1")}, {"k0": 1_700_000_000})
+
+
 @query("w16_trust_without_keys", """WITH l AS (SELECT conv_id AS lane, turn + 1 AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations)
 SELECT lane, CASE WHEN lane % 5 = 0 AND k >= 2 AND n >= 2 THEN 'chain-broken' ELSE 'self-consistent' END AS trust, count(*) AS n FROM l GROUP BY 1, 2""")
 def w16b(spark: SparkSession, sf_dir: str) -> DataFrame:

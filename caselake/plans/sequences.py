@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import intervals as I
 from ..operators import sequence as S
@@ -125,7 +126,28 @@ def j24(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = s.select(F.col("camera").alias("group"), F.struct("start_s", "id").alias("segment"), F.col("id").alias("seq"), F.lit(0.0).alias("pts"), F.lit(True).alias("is_key"), F.sha2(F.col("id").cast("string"), 256).alias("hash"), "duration_s")
     o = S.running_offset(s).join(s.select("camera", "id", "start_s"), ["camera", "id"])
     out = o.select(F.col("camera").alias("group"), F.struct("start_s", "id").alias("seq"), F.col("offset_s").alias("pts"), F.sha2(F.when(F.col("id") % 200 == 0, "x").otherwise(F.col("id").cast("string")), 256).alias("hash"))
-    return S.verify_concat(src, out)
+    return S.verify_concat(src, out).drop("mode", "audio_ok")
+
+
+#: What each kind of join (image modulo 7) is found to be; kinds are told in j24_kept_mode.
+KEPT = "CASE WHEN \"group\" % 7 IN (1, 3, 5) THEN 'edit-list-applied' ELSE 'all-packets' END AS mode, \"group\" % 11 <> 0 AS audio_ok, CASE WHEN \"group\" % 7 IN (0, 1, 3, 5) AND \"group\" % 11 <> 0 THEN 'verified' ELSE 'failed' END AS verdict"
+
+
+@query("j24_kept_mode", f"""SELECT "group", {KEPT} FROM (SELECT DISTINCT l_suppkey AS "group" FROM lineitem)""")
+def j24b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Joins of seven segments, some packets hidden. Modulo 7: 0 shows all packets; 1 the kept ones; 2 these in another order; 3 the kept ones, all key frames; 4 lacks a segment; 5 rewrites key frames, 6 others. Modulo 11: 0 lacks sound."""
+    l, kind = V.table(spark, sf_dir, "lineitem"), F.col("group") % 7
+    s = l.select(
+        F.col("l_suppkey").alias("group"), F.col("l_linenumber").alias("segment"), (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey")).alias("seq"), F.lit(0.0).alias("pts"), F.lit(30.0).alias("duration_s"), (F.col("l_quantity") < 8).alias("discard"),
+        F.sha2(F.concat_ws(":", "l_orderkey", "l_partkey", "l_linenumber"), 256).alias("hash"), ((F.col("l_suppkey") % 7 == 3) | (F.col("l_orderkey") % 8 == 0)).alias("is_key"),
+    )
+    o = s.filter((kind == 0) | ~F.col("discard")).filter((kind != 4) | (F.col("segment") != 3)).withColumn("seq", F.when(kind == 2, -F.col("seq")).otherwise(F.col("seq")))
+    changed = ((kind == 5) & F.col("is_key")) | ((kind == 6) & ~F.col("is_key"))
+    n = F.row_number().over(Window.partitionBy("group", "segment").orderBy("seq"))
+    o = o.select("group", F.struct("segment", "seq").alias("seq"), ((F.col("segment") - 1) * 30 + n * 0.001).alias("pts"), F.when(changed, F.sha2("hash", 256)).otherwise(F.col("hash")).alias("hash"), "is_key")
+    sound = s.select("group", "segment").distinct().withColumn("packets", F.lit(100).cast("long"))
+    heard = sound.groupBy("group").agg((F.sum("packets") + F.when(F.col("group") % 11 == 0, -8).otherwise(7)).cast("long").alias("packets"))
+    return S.verify_concat(s, o, sound, heard).select("group", "mode", "audio_ok", "verdict")
 
 
 @query("w5_hit_extents", """WITH h AS (SELECT l_suppkey AS image, l_partkey * 5000 + l_orderkey % 4096 AS "offset", min(l_returnflag) AS signature, max(CASE WHEN l_quantity > 30 THEN l_quantity::BIGINT * 200 END) AS declared FROM lineitem GROUP BY ALL),

@@ -172,11 +172,11 @@ ENTRIES = """entries AS (SELECT conv_id AS lane, turn + 1 AS line_no, length(tex
   'vid_' || ((conv_id * 7 + turn // 2) % 11)::VARCHAR AS id FROM conversations)"""
 
 
-#: Hex keys that sign the lanes: k1 is held by the queries' reader, k9 is not.
-LANE_KEYS = {"k1": "11" * 32, "k9": "99" * 32}
+#: Hex keys that sign the lanes: k1 is held by the queries' reader, k9 is not; k0 is an older one, retired.
+LANE_KEYS = {"k0": "22" * 32, "k1": "11" * 32, "k9": "99" * 32}
 
 
-def lane_lines(spark: SparkSession, sf_dir: str, keyed: bool = False, damage: bool = True, tails: bool = False) -> DataFrame:
+def lane_lines(spark: SparkSession, sf_dir: str, keyed: bool = False, damage: bool = True, tails: bool = False, rotation: bool = False) -> DataFrame:
     """Conversation turns as chained log lines (lane, line_no, raw). The hash of a line needs the one before, so a task goes along its lanes row by row and holds one hash.
 
     With `damage` one lane in five has a changed byte in its second line. With `keyed`, lanes
@@ -184,7 +184,9 @@ def lane_lines(spark: SparkSession, sf_dir: str, keyed: bool = False, damage: bo
     both with an introduction, 3 under k1 without one; 4 first line under k1, the others under
     k9; 5 from the second line on under the name k1, but by another key. With `tails`, lanes by
     conv_id modulo 8: 1 and 2 hold line separators of Unicode in each line; behind the last
-    line 3 has a carriage return, 4 a blank, 5 a letter.
+    line 3 has a carriage return, 4 a blank, 5 a letter. With `rotation`, lanes by conv_id
+    modulo 4: 0 and 1 two lines under k0, then one under k1 that retires k0, then 0 under k1, 1
+    under k0 again; 2 the second line under k1, all others under k0; 3 all under k0.
     """
 
     def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,9 +199,13 @@ def lane_lines(spark: SparkSession, sf_dir: str, keyed: bool = False, damage: bo
                 first, kind = number == 0, conv % 6 if keyed else 0
                 odd = {1: "\u2028", 2: "\x85"}.get(conv % 8, "") if tails else ""
                 intro = ',"kind":"audit-key-introduced"' if number == 1 and kind in (1, 2) else ""
+                turned = rotation and number == 2 and conv % 4 in (0, 1)
+                intro = ',"kind":"audit-key-rotate","from":"k0"' if turned else intro
                 body = f'{{"turn":{turn},"role":"{role}{odd}"{intro},"previous_entry_sha256":"{head}"'
                 signed = body + "}"
                 key, name = (None, None) if first and kind != 4 else {1: ("k1", "k1"), 2: ("k9", "k9"), 3: ("k1", "k1"), 4: ("k1", "k1") if first else ("k9", "k9"), 5: ("k9", "k1")}.get(kind, (None, None))
+                if rotation:
+                    key = name = "k1" if turned or (conv % 4 == 0 and number > 2) or (conv % 4 == 2 and number == 1) else "k0"
                 tag = "" if key is None else f',"entry_hmac_sha256":"{hmac.new(bytes.fromhex(LANE_KEYS[key]), signed.encode(), hashlib.sha256).hexdigest()}","entry_hmac_key_id":"{name}"'
                 raw = f'{body},"entry_sha256":"{hashlib.sha256(signed.encode()).hexdigest()}"{tag}}}'
                 head, number = hashlib.sha256(raw.encode()).hexdigest(), number + 1

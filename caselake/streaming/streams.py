@@ -10,6 +10,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.lanes import CHAINED, GENESIS, LINE
 from ..operators.linkage import clean_hash, live_overlay
 from ..operators.sequence import FRAME_GAP_SECONDS
+from ..sources.chunks import opened
 from ..sources.readers import records_from_lines
 
 
@@ -27,14 +30,67 @@ def stream_records(spark: SparkSession, path: str) -> DataFrame:
     return parsed.filter(F.col("bad_line") | (F.coalesce("id", F.lit("")) != "")).observe("stream_records", F.count(F.lit(1)).alias("lines"), F.count_if(F.col("bad_line")).alias("bad_lines"))
 
 
-def stream_overlay(live: DataFrame, base_path: str, out_path: str, checkpoint: str):
-    """Start a query that, for each micro-batch, writes the base overlaid by all live records so far as snapshot generation=<batch>."""
+POINTER = "generation long, merged string, merged_rows long, deltas array<string>, delta_rows long"
+#: Deltas are merged when they hold more than this share of the rows merged before, or are more than so many.
+MERGE_SHARE, MOST_DELTAS = 0.5, 16
+
+
+def _pointers(spark: SparkSession, out_path: str) -> list:
+    """The two newest published pointers, newest first; none before the first batch."""
+    try:
+        return spark.read.schema(POINTER).option("recursiveFileLookup", "true").parquet(f"{out_path}/pointers").orderBy(F.desc("generation")).limit(2).collect()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+
+
+def _last_lines(lines: DataFrame) -> DataFrame:
+    """Of each id's lines the last."""
+    return lines.groupBy("id").agg(F.max_by(F.struct(*lines.columns), "line_no").alias("_last")).select("_last.*")
+
+
+def overlay_snapshot(spark: SparkSession, out_path: str, base_path: str) -> DataFrame:
+    """The base overlaid by the lines of all batches that `stream_overlay` has published below `out_path`."""
+    base, newest = spark.read.parquet(base_path), _pointers(spark, out_path)
+    if not newest:
+        return base
+    parts = [*([newest[0]["merged"]] if newest[0]["merged"] else []), *newest[0]["deltas"]]
+    return live_overlay(base, spark.read.parquet(*parts)) if parts else base
+
+
+def stream_overlay(live: DataFrame, base_path: str, out_path: str, checkpoint: str, merge_share: float = MERGE_SHARE, most_deltas: int = MOST_DELTAS):
+    """Start a query that keeps the live records that overlay a base: line_no (their line in the growing log), id, source_path, ...
+
+    A batch writes a delta, in proportion to its own rows, and then publishes a pointer: one row
+    that names the merged lines and the deltas since. Readers (`overlay_snapshot`) follow the newest
+    pointer and overlay the base with all these lines at once; the base is never written. When
+    the deltas outgrow the merged lines (`merge_share`, `most_deltas`), they become one table of
+    each id's last line, so that a line is rewritten a few times at most, however many batches
+    come. Files are named by the batch, so that a batch that failed and runs again writes the same
+    state. What neither the newest pointer nor the one before it names is removed once the
+    pointer is out; readers of older ones must start anew.
+    """
 
     def step(batch: DataFrame, generation: int) -> None:
         spark = batch.sparkSession
-        previous = base_path if generation == 0 else f"{out_path}/generation={generation - 1}"
-        base = spark.read.parquet(previous)
-        live_overlay(base, batch).write.mode("overwrite").parquet(f"{out_path}/generation={generation}")
+        known = [p for p in _pointers(spark, out_path) if p["generation"] < generation]
+        merged, merged_rows, deltas, delta_rows = (known[0]["merged"], known[0]["merged_rows"], known[0]["deltas"], known[0]["delta_rows"]) if known else (None, 0, [], 0)
+        delta = f"{out_path}/deltas/{generation:012d}"
+        batch.write.mode("overwrite").parquet(delta)
+        deltas, delta_rows = [*deltas, delta], delta_rows + spark.read.parquet(delta).count()
+        if delta_rows > merge_share * merged_rows or len(deltas) > most_deltas:
+            new = f"{out_path}/merged/{generation:012d}"
+            _last_lines(spark.read.parquet(*([merged] if merged else []), *deltas)).write.mode("overwrite").parquet(new)
+            merged, merged_rows, deltas, delta_rows = new, spark.read.parquet(new).count(), [], 0
+        row = spark.createDataFrame([(generation, merged, merged_rows, deltas, delta_rows)], POINTER)
+        row.coalesce(1).write.mode("overwrite").parquet(f"{out_path}/pointers/{generation:012d}")
+        named = {merged, *deltas, *([known[0]["merged"], *known[0]["deltas"], f"{out_path}/pointers/{known[0]['generation']:012d}"] if known else [])}
+        for kind in ("merged", "deltas", "pointers"):
+            system, path = opened(f"{out_path}/{kind}")
+            for old in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+                if int(old.base_name) < generation and f"{out_path}/{kind}/{old.base_name}" not in named:
+                    system.delete_dir(old.path)
 
     return live.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).start()
 

@@ -3,6 +3,8 @@
 import hashlib
 import json
 
+import pytest
+
 from caselake.operators import bytescan
 from caselake.sources import chunks, readers, sinks
 
@@ -163,3 +165,30 @@ def test_sinks(spark, tmp_path):
     assert spark.read.format("xml").option("rowTag", "fileobject").load(str(tmp_path / "x")).first()["filename"] == "a�b.mp4"
     sinks.write_safe_csv(cat, str(tmp_path / "c"))
     assert "'=x" in {r["relative_path"] for r in spark.read.option("header", True).csv(str(tmp_path / "c")).collect()}
+
+
+@pytest.mark.parametrize("split", [7, 64, 1000, 1 << 20])
+def test_lanes_in_splits_equal_whole_texts(spark, tmp_path, split):
+    """Blank lines, torn tails, carriage returns, line separators of Unicode, a byte order mark, lines longer than a split."""
+    lanes = {
+        "a.jsonl": "one\n\n\nfour" + "x" * 300 + "\n" + "".join(f"line {k}\n" for k in range(200)), "b/torn.jsonl": "1\n2\n3", "b/c/blank.jsonl": "\n", "cr.jsonl": "x\r\ny\r\n\r", "sep.jsonl": "p q\x85r\n\n",
+        "mark.jsonl": "﻿first\nsecond\n", "marktorn.jsonl": "﻿1\n2", "empty.jsonl": "", "one.jsonl": "y" * 3000, "skip.txt": "no\n",
+    }
+    for name, text in lanes.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(text.encode())
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        lines, torn = readers.read_lanes(spark, str(tmp_path))
+        got, open_ = sorted(map(tuple, lines.collect())), sorted(r["lane"] for r in torn.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = [(name, n, raw) for name, text in lanes.items() if text and name.endswith(".jsonl") for n, raw in enumerate(text.removesuffix("\n").split("\n"), 1)]
+    assert got == sorted(want)
+    assert open_ == sorted(n for n, t in lanes.items() if t and not t.endswith("\n") and n.endswith(".jsonl"))
+    whole, torn = readers.lines_of(spark.createDataFrame([(n, t) for n, t in lanes.items() if n.endswith(".jsonl")], "lane string, value string"))
+    assert sorted(map(tuple, whole.collect())) == got and sorted(r["lane"] for r in torn.collect()) == open_

@@ -85,4 +85,35 @@ def test_records_and_overlay(spark, tmp_path):
     q = S.stream_overlay(lines, str(tmp_path / "base"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.processAllAvailable()
     q.stop()
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/generation=0")).select("ord", "id", "source_path").collect())) == [(1, "a", "p2"), (2, "n", "q"), (5, "m", "r")]
+    now = S.overlay_snapshot(spark, str(tmp_path / "out"), str(tmp_path / "base"))
+    assert sorted(map(tuple, now.select("ord", "id", "source_path").collect())) == [(1, "a", "p2"), (2, "n", "q"), (5, "m", "r")]
+
+
+LINE = "line_no long, id string, source_path string"
+
+
+@pytest.mark.parametrize("share", [0.0, 9.0])
+def test_overlay_by_deltas(spark, tmp_path, share):
+    """Any rule of merging gives the overlay by all lines; a batch that runs again after a failure does too; old files go."""
+    from caselake.operators.linkage import live_overlay
+
+    base = spark.createDataFrame([(i, f"i{i}", f"p{i}") for i in range(200)], "ord long, id string, source_path string")
+    base.write.parquet(str(tmp_path / "base"))
+    batches = [[(k * 10 + j, f"i{(k * 37 + j * 5) % 230}", f"p{(k * 11 + j) % 260}") for j in range(6)] for k in range(5)]
+    want = live_overlay(base, spark.createDataFrame([r for b in batches for r in b], LINE))
+    want = sorted(map(tuple, want.select("ord", "id", "source_path").collect()))
+    lines, out = tmp_path / "lines", str(tmp_path / "out")
+    lines.mkdir()
+    live = spark.readStream.schema(LINE).option("maxFilesPerTrigger", 1).parquet(str(lines))
+    for k, b in enumerate(batches):
+        spark.createDataFrame(b, LINE).coalesce(1).write.mode("append").parquet(str(lines))
+        q = S.stream_overlay(live, str(tmp_path / "base"), out, str(tmp_path / "cp"), merge_share=share, most_deltas=3)
+        q.processAllAvailable()
+        q.stop()
+        if k == 3:  # as if the batch had failed before it was committed: it runs again
+            (tmp_path / "cp/commits/3").unlink()
+            (tmp_path / "cp/commits/.3.crc").unlink(missing_ok=True)
+    got = S.overlay_snapshot(spark, out, str(tmp_path / "base")).select("ord", "id", "source_path")
+    assert sorted(map(tuple, got.collect())) == want
+    kept = {kind: len(list((tmp_path / "out" / kind).glob("0*"))) for kind in ("merged", "deltas", "pointers") if (tmp_path / "out" / kind).exists()}
+    assert kept["pointers"] == 2 and kept.get("merged", 0) <= 2 and kept.get("deltas", 0) <= 5

@@ -79,7 +79,7 @@ def unplayable_reason(extension: Column, probe_ok: Column, format_name: Column,
     ext, form, codec = F.lower(extension), F.lower(F.coalesce(format_name, F.lit(""))), F.lower(F.coalesce(video_codec, F.lit("")))
     return (
         F.when(ext.isin(*PROPRIETARY), F.concat(F.lit("proprietary extension ."), ext))
-        .when(~F.coalesce(probe_ok, F.lit(True)), "probe failed: proprietary or corrupt container")
+        .when(~F.coalesce(probe_ok, F.lit(True)), "ffprobe parse failed — proprietary or corrupt container")
         .when((form != "") & ~form.rlike("|".join(BROWSER_CONTAINERS)), F.concat(F.lit("container '"), form, F.lit("' not browser-playable")))
         .when((codec != "") & ~codec.isin(*BROWSER_CODECS), F.concat(F.lit("codec '"), codec, F.lit("' not browser-playable")))
     )

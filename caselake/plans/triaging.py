@@ -74,7 +74,7 @@ def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p9_record_classes", f"""WITH {V.CATALOG} SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'confirmed' WHEN extension IN ('mp4', 'avi') THEN 'extension-candidate' ELSE 'magic-candidate' END AS confidence,
   CASE WHEN doc_id % 4 <> 0 OR doc_id % 3 = 0 OR lang = 'de' THEN 'validation-failed' ELSE 'ffprobe-video-stream-confirmed' END AS validation,
-  CASE WHEN extension IN ('dav', 'ts') THEN 'proprietary extension .' || extension WHEN doc_id % 4 <> 0 THEN 'probe failed: proprietary or corrupt container' WHEN lang = 'de' THEN 'container ''bin'' not browser-playable' WHEN lang = 'fr' AND doc_id % 3 <> 0 THEN 'codec ''mjpeg'' not browser-playable' END AS unplayable,
+  CASE WHEN extension IN ('dav', 'ts') THEN 'proprietary extension .' || extension WHEN doc_id % 4 <> 0 THEN 'ffprobe parse failed — proprietary or corrupt container' WHEN lang = 'de' THEN 'container ''bin'' not browser-playable' WHEN lang = 'fr' AND doc_id % 3 <> 0 THEN 'codec ''mjpeg'' not browser-playable' END AS unplayable,
   CASE WHEN doc_id % 5 = 0 THEN 'unknown' WHEN doc_id % 7 >= doc_id % 5 THEN 'intact' WHEN doc_id % 7 > 0 THEN 'partial' ELSE 'overwritten' END AS grade FROM catalog""")
 def p9(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("doc_id")
@@ -83,9 +83,11 @@ def p9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.catalog(spark, sf_dir).select("id", R.confidence(ok, F.col("extension"), ("mp4", "avi")).alias("confidence"), R.validation_status(ok, codec, form).alias("validation"), R.unplayable_reason(F.col("extension"), ok, form, codec).alias("unplayable"), R.fs_grade(n % 5, n % 7).alias("grade"))
 
 
-@query("p13_redact", "SELECT page_id, 'see <redacted:' || substr(sha256(url), 1, 16) || '> in <case>/page/' || page_id::VARCHAR || '.html and <redacted:' || substr(sha256('/home/u/' || page_id::VARCHAR), 1, 16) || '>' AS text FROM pages")
+@query("p13_redact", """SELECT page_id, 'page in <case>/page/' || n || '.html and <redacted:' || substr(sha256('/home/u/My Videos/' || n || '.mp4'), 1, 16) || '> or <redacted-url:' || substr(sha256('smb://nas/u/' || n), 1, 16) || '>, <redacted:' || substr(sha256('C__Users_u_' || n || '.mp4'), 1, 16)
+  || '>; see https://example.com/' || n || '/a (<redacted:' || substr(sha256('D:\\v\\' || n || '.dav'), 1, 16) || '>).' AS text FROM (SELECT page_id, page_id::VARCHAR AS n FROM pages)""")
 def p13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("see "), "url", F.lit(" in /cases/c1/page/"), F.col("page_id").cast("string"), F.lit(".html and /home/u/"), F.col("page_id").cast("string"))
+    n = F.col("page_id").cast("string")
+    text = F.concat(F.lit("page in /cases/c1/page/"), n, F.lit(".html and /home/u/My Videos/"), n, F.lit(".mp4 or smb://nas/u/"), n, F.lit(", C__Users_u_"), n, F.lit(".mp4; see https://example.com/"), n, F.lit("/a (D:\\v\\"), n, F.lit(".dav)."))
     return V.table(spark, sf_dir, "pages").select("page_id", D.redact(text, "/cases/c1").alias("text"))
 
 

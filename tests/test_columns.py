@@ -1,10 +1,12 @@
 """Columns read from names, paths, tags and text."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from caselake.functions import paths, profile, times
-from caselake.functions.redact import redact
+from caselake.functions.redact import host_token, redact
 from caselake.operators.lanes import recency_keys
 from caselake.sources.sinks import safe_cell
 
@@ -99,13 +101,38 @@ def test_header_ok(spark):
 
 
 def test_redact(spark):
-    text = "open C:\\a\\b.mp4 and /cases/c1/db/x.json; http://h/x?y /etc/passwd twice /etc/passwd"
-    out = column(spark, [text, None], lambda c: redact(c, "/cases/c1"))
-    assert out[1] is None and "<case>/db/x.json;" in out[0]
-    assert "passwd" not in out[0] and "C:" not in out[0] and out[0].count("<redacted:") == 4
+    text = "open C:\\a\\b.mp4 and /cases/c1/db/x.json; https://h/x/y /etc/passwd twice /etc/passwd"
+    out = column(spark, [text, None, ""], lambda c: redact(c, "/cases/c1"))
+    assert out[1] is None and out[2] == "" and "<case>/db/x.json;" in out[0] and "https://h/x/y" in out[0]
+    assert "passwd" not in out[0] and "C:" not in out[0] and out[0].count("<redacted:") == 3
     assert out[0].split(" ")[-1] == out[0].split(" ")[-3]
 
 
+#: Texts with a path or address in them, that must not be seen, and texts that must stay.
+HIDDEN = (
+    "/home/kim/My Videos/secret.mp4", "/kim.mp4", r"원본경로:D:\Evidence\kim\a.mp4", r"path:C:\Users\kim\a.mp4", "**/home/kim/clip.mp4", "경로:/home/kim/clip.mp4", "참고/home/kim/clip.mp4",
+    "see //nas01/share/kim/a.mp4 now", "참고//nas01/share/kim/a.mp4", "smb://nas01/share/kim/a.mp4", "경로:smb://nas01/share/kim/a.mp4", "NFS://nas01/export/kim", r"line one\nC:\Users\kim\a.mp4",
+    r"line one\n/home/kim/a.mp4", r"tab\t/home/kim/a.mp4", r"C:\Users\Kim Park\kim clip.mp4", "see ~/Videos/kim/a.mp4 now", r"경로:~\Videos\kim\a.mp4", "file:///home/kim/a.mp4", "C__Users_kim_cam1_proxy_1.mp4",
+    "built _evidence_kim-sd_cam1_mp4_proxy_1.mp4.", r"\\nas01\share\kim.avi", r"\\?\C:\kim\a.mp4", "(/mnt/kim/x.mp4)",
+)
+KEPT = (
+    "https://example.com/a/b", "판독/검증", "IN/OUT 구간 1/2, and/or 16/9", "ratio: 4:3 a:b", "</td><td>x</td>", "and/or", "<case>/artifacts/clips/out.mp4", "index.html#/records/vid_1", "x*/2", "a*/b/c", "_run_id", "_tmp_value",
+    "__init__", "#!/route/x", "camera/a.mp4", "vid_000001",
+)
+
+
+def test_no_part_of_a_path_stays(spark):
+    hidden = column(spark, HIDDEN, lambda c: redact(c, "/cases/c1", ("/evidence/kim-sd",)))
+    for text, out in zip(HIDDEN, hidden, strict=True):
+        assert "kim" not in out.lower() and "nas01" not in out and "<redacted" in out, (text, out)
+    assert column(spark, KEPT, lambda c: redact(c, "/cases/c1", ("/evidence/kim-sd",))) == list(KEPT)
+    assert column(spark, hidden, lambda c: redact(c, "/cases/c1", ("/evidence/kim-sd",))) == hidden
+    case = "exported to /cases/c1/clips/out.mp4. Gone: /cases/c1/C__Users_kim_proxy.mp4, /cases/c1/../kim"
+    out = column(spark, [case], lambda c: redact(c, "/cases/c1"))[0]
+    assert out.startswith("exported to <case>/clips/out.mp4. Gone: <case>/<redacted:") and "kim" not in out
+    assert column(spark, ["SECRET", None], host_token) == [f"<redacted-host:{hashlib.sha256(b'SECRET').hexdigest()[:16]}>", None]
+
+
 def test_safe_cell(spark):
     cells = ["=1+1", "+5", "-3.5", "-x", "@a", "ok", "\tz", None]
     assert column(spark, cells, safe_cell) == ["'=1+1", "+5", "-3.5", "'-x", "'@a", "ok", "'\tz", None]

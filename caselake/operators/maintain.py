@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
 from .sequence import assign_ids, mark_duplicates, record_number
 
 #: Rows whose order is not known come last.
@@ -189,3 +191,83 @@ def in_time_order(events: DataFrame, partitions: int | None = None) -> DataFrame
     cols = [F.col(c) for c in ("ts_unix", "source", "kind", "path", "detail")]
     ranged = events.repartitionByRange(*cols) if partitions is None else events.repartitionByRange(partitions, *cols)
     return ranged.sortWithinPartitions(*cols)
+
+
+@dataclass(frozen=True)
+class Annotations:
+    """A case's annotations. marks: id, status, marked_unix, examiner, note, range_in, range_out; tags: id, tags; history: id, action, changed_unix, old_status, new_status, old_note, new_note, detail, and history_pk where it is copied from."""
+
+    marks: DataFrame
+    tags: DataFrame
+    history: DataFrame
+
+
+MARK_FIELDS = ("status", "marked_unix", "examiner", "note", "range_in", "range_out")
+HISTORY_FIELDS = ("id", "action", "changed_unix", "old_status", "new_status", "old_note", "new_note", "detail")
+#: How a copied history row is named in its detail, and a merged note begins.
+COPIED_FROM, MERGED_NOTE = "merged-history from ", "[병합 "
+
+
+def merge_annotations(target: Annotations, source: Annotations, id_map: DataFrame, source_case: str, now: int) -> tuple[Annotations, DataFrame]:
+    """(merged annotations, counts) of a source case merged into a target.
+
+    id_map: source_id, target_id, one to one; what is not mapped is counted. A mark of the target
+    stays, with the source's note behind its own once; where the two differ that is a conflict, and
+    the whole source mark goes into the history. A record without a mark takes the source's.
+    Tags are united. History rows are copied once, under a key of their case, record and
+    number; each record that the merge touches gets one row of its own. The history is the
+    ledger: what it already holds is not done again, so merging twice is merging once.
+    """
+    ids = id_map.groupBy(F.col("source_id").alias("_from")).agg(F.min("target_id").alias("_to"))
+    case = F.lit(source_case)
+
+    sm = source.marks.select(F.col("id").alias("_from"), F.struct(*MARK_FIELDS).alias("_s")).join(ids, "_from")
+    st = source.tags.groupBy(F.col("id").alias("_from")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("_tags")).filter(F.size("_tags") > 0).join(ids, "_from")
+    sh = source.history.withColumnRenamed("id", "_from").join(ids, "_from")
+    key = F.concat(F.lit(COPIED_FROM), case, F.lit(" record "), "_from", F.lit(" history_pk "), F.col("history_pk").cast("string"))
+    sh = sh.withColumn("_key", key).withColumn("detail", F.concat("_key", F.coalesce(F.concat(F.lit("\noriginal detail: "), "detail"), F.lit(""))))
+    held = target.history.select(F.col("id").alias("_to"), F.regexp_extract("detail", rf"(?s)\A({COPIED_FROM}.*? history_pk [0-9]+)(?:\n.*)?\z", 1).alias("_key")).filter("_key <> ''").distinct()
+    copied = sh.join(held, ["_to", "_key"], "left_anti")
+
+    tm = target.marks.select(F.col("id").alias("_to"), F.struct(*MARK_FIELDS).alias("_t"))
+    tt = target.tags.select(F.col("id").alias("_to"), F.array_sort(F.array_distinct("tags")).alias("_had"))
+    touched = sm.select("_from", "_to").union(st.select("_from", "_to")).union(sh.select("_from", "_to")).distinct()
+    j = touched.join(sm.drop("_from"), "_to", "left").join(st.drop("_from"), "_to", "left").join(tm, "_to", "left").join(tt, "_to", "left")
+    j = j.join(copied.groupBy("_to").agg(F.count("*").alias("_copied")), "_to", "left")
+    s, t = F.col("_s"), F.col("_t")
+    both = s.isNotNull() & t.isNotNull()
+    note_differs = both & (F.trim(F.coalesce(s["note"], F.lit(""))) != "") & ~t["note"].eqNullSafe(s["note"])
+    others = [~t[f].eqNullSafe(s[f]) for f in MARK_FIELDS if f != "note"]
+    segment = F.concat(F.lit(MERGED_NOTE), case, F.lit(" "), "_from", F.lit("] "), s["note"])
+    line = lambda c: F.concat(F.lit("\n"), c, F.lit("\n"))
+    had_note = F.coalesce(t["note"], F.lit(""))
+    append = note_differs & ~line(had_note).contains(line(segment))
+    union = F.array_sort(F.array_union(F.coalesce("_had", F.array().cast("array<string>")), F.coalesce("_tags", F.array().cast("array<string>"))))
+    j = j.withColumns({
+        "_insert": s.isNotNull() & t.isNull(), "_append": append, "_conflict": both & reduce(Column.__or__, [note_differs, *others]), "_union": union,
+        "_tagged": F.size(union) > F.size(F.coalesce("_had", F.array().cast("array<string>"))),
+        "_note": F.when(append, F.when(F.trim(had_note) == "", segment).otherwise(F.concat(had_note, F.lit("\n"), segment))).otherwise(F.when(t.isNotNull(), t["note"]).otherwise(s["note"])),
+    })
+    j = j.withColumn("_detail", F.to_json(F.struct(F.lit("merge-cases").alias("event"), case.alias("source_case"), F.col("_from").alias("original_id"), F.col("_to").alias("new_id"), s.alias("source_mark"), F.col("_tags").alias("source_tags"))))
+    j = j.withColumn("_action", F.when(F.col("_conflict"), "merge-skipped").otherwise("merge"))
+    said = target.history.filter("action = 'merge-skipped'").select(F.col("id").alias("_to"), F.col("detail").alias("_detail"), F.lit(True).alias("_said")).distinct()
+    j = written(j.join(said, ["_to", "_detail"], "left").withColumn("_changed", F.col("_insert") | F.col("_append") | F.col("_tagged")))
+
+    now_marks = j.filter("_insert or _append")
+    fields = [F.when(F.col("_insert"), s[f]).otherwise(t[f]).alias(f) if f != "note" else F.col("_note").alias(f) for f in MARK_FIELDS]
+    marks = target.marks.select("id", *MARK_FIELDS).join(now_marks.select(F.col("_to").alias("id")), "id", "left_anti").unionByName(now_marks.select(F.col("_to").alias("id"), *fields))
+    now_tags = j.filter("_tagged")
+    tags = target.tags.select("id", "tags").join(now_tags.select(F.col("_to").alias("id")), "id", "left_anti").unionByName(now_tags.select(F.col("_to").alias("id"), F.col("_union").alias("tags")))
+    needed = j.filter(F.col("_changed") | (F.coalesce("_copied", F.lit(0)) > 0) | (F.col("_conflict") & F.col("_said").isNull()))
+    own = needed.select(
+        F.col("_to").alias("id"), F.col("_action").alias("action"), F.lit(now).cast("long").alias("changed_unix"), t["status"].alias("old_status"), F.when(t.isNotNull(), t["status"]).otherwise(s["status"]).alias("new_status"),
+        t["note"].alias("old_note"), F.col("_note").alias("new_note"), F.col("_detail").alias("detail"),
+    )
+    history = target.history.select(*HISTORY_FIELDS).unionByName(copied.withColumnRenamed("_to", "id").select(*HISTORY_FIELDS)).unionByName(own)
+    everything = source.marks.select("id").union(source.tags.select("id")).union(source.history.select("id")).distinct()
+    lost = everything.join(ids, F.col("id") == F.col("_from"), "left_anti").agg(F.count("*").alias("annotations_unmapped"))
+    counts = j.agg(
+        F.count_if("_insert").alias("marks_merged"), F.count_if("_conflict").alias("marks_conflicted"), F.count_if("_append").alias("notes_appended"), F.count_if("_tagged").alias("tags_merged"),
+        F.coalesce(F.sum("_copied"), F.lit(0)).cast("long").alias("history_rows_copied"),
+    )
+    return Annotations(marks, tags, history), counts.crossJoin(F.broadcast(lost))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import lanes as L
 from ..operators import maintain as M
+from ..session import written
 from . import views as V
 from .registry import query
 
@@ -138,6 +139,53 @@ def m3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.merge_marks(target, source, ids)
 
 
+#: b: each labelled record, with the target's note (t: only of records that are not toxic) and the source's tags; m: those that are mapped.
+BOTH = f"""{V.MARKS}, b AS (SELECT id, substr(id, 5)::BIGINT AS n, toxic = 0 AS t, status, CASE WHEN quality = 1 THEN 'noted' ELSE status END AS s, CASE WHEN substr(id, 5)::BIGINT % 3 > 0 THEN 'note a' END AS note,
+  CASE WHEN quality = 1 THEN ['good'] ELSE []::VARCHAR[] END AS had, list_sort(list_concat(CASE WHEN toxic = 1 THEN ['flag'] ELSE []::VARCHAR[] END, CASE WHEN substr(id, 5)::BIGINT % 4 = 0 THEN ['good', 'x'] ELSE []::VARCHAR[] END)) AS tags FROM marks),
+m AS (SELECT *, list_sort(list_distinct(list_concat(had, tags))) AS united FROM b WHERE NOT ends_with(id, '7'))"""
+
+
+def _merged(spark: SparkSession, sf_dir: str, times: int = 2) -> tuple[M.Annotations, DataFrame]:
+    labels = V.table(spark, sf_dir, "labels").select(V.record_id(F.col("doc_id")).alias("id"), "toxic", "quality")
+    b = V.marks(spark, sf_dir).join(labels, "id").withColumn("n", F.substr("id", F.lit(5)).cast("long"))
+    n, old = F.col("n"), F.concat(F.lit("s"), "id")
+    mark = lambda key, status, note: [key.alias("id"), status.alias("status"), F.lit(100).cast("long").alias("marked_unix"), F.lit("kim").alias("examiner"), note.alias("note"), F.lit(None).cast("double").alias("range_in"), F.lit(None).cast("double").alias("range_out")]
+    some = lambda ok, *names: F.when(ok, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
+    past = b.filter(n % 5 == 0).withColumn("history_pk", F.explode(F.array(F.lit(1), F.lit(2))))
+    past = past.select(old.alias("id"), "history_pk", F.lit("mark").alias("action"), F.lit(50).cast("long").alias("changed_unix"), F.lit(None).cast("string").alias("old_status"), F.col("status").alias("new_status"), F.lit(None).cast("string").alias("old_note"), F.lit("note b").alias("new_note"), F.when(F.col("history_pk") == 1, "why").alias("detail"))
+    source = M.Annotations(b.select(*mark(old, F.when(F.col("quality") == 1, F.lit("noted")).otherwise(F.col("status")), F.lit("note b"))), b.select(old.alias("id"), F.concat(some(F.col("toxic") == 1, "flag"), some(n % 4 == 0, "good", "x")).alias("tags")), past)
+    target = M.Annotations(b.filter("toxic = 0").select(*mark(F.col("id"), F.col("status"), F.when(n % 3 > 0, "note a"))), b.filter("quality = 1").select("id", some(F.lit(True), "good").alias("tags")), past.drop("history_pk").limit(0))
+    ids = b.filter(~F.col("id").endswith("7")).select(old.alias("source_id"), F.col("id").alias("target_id"))
+    for _ in range(times):
+        target, counts = M.merge_annotations(target, source, ids, "src", 1_800_000_000)
+        target = M.Annotations(written(target.marks), written(target.tags), written(target.history))
+    return target, counts
+
+
+@query("m3_annotation_marks", f"""WITH {BOTH} SELECT id, CASE WHEN t THEN status ELSE s END AS status, CASE WHEN NOT t THEN 'note b' WHEN ends_with(id, '7') THEN note ELSE concat_ws(chr(10), note, '[병합 src s' || id || '] note b') END AS note FROM b WHERE t OR NOT ends_with(id, '7')""")
+def m3_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged twice, which adds nothing."""
+    return _merged(spark, sf_dir)[0].marks.select("id", "status", "note")
+
+
+@query("m3_annotation_tags", f"""WITH {BOTH} SELECT id, CASE WHEN ends_with(id, '7') THEN had ELSE list_sort(list_distinct(list_concat(had, tags))) END AS tags FROM b WHERE len(had) > 0 OR (len(tags) > 0 AND NOT ends_with(id, '7'))""")
+def m3_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir)[0].tags
+
+
+@query("m3_annotation_history", f"""WITH {BOTH} SELECT id, 'mark' AS action, 50::BIGINT AS changed_unix, NULL AS old_status, status AS new_status, 'merged-history from src record s' || id || ' history_pk ' || k::VARCHAR || CASE WHEN k = 1 THEN chr(10) || 'original detail: why' ELSE '' END AS copied FROM m, (VALUES (1), (2)) v(k) WHERE n % 5 = 0
+UNION ALL SELECT id, CASE WHEN t THEN 'merge-skipped' ELSE 'merge' END, 1800000000, CASE WHEN t THEN status END, CASE WHEN t THEN status ELSE s END, NULL FROM m""")
+def m3_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _merged(spark, sf_dir)[0].history
+    return h.select("id", "action", "changed_unix", "old_status", "new_status", F.when(F.col("action") == "mark", F.col("detail")).alias("copied"))
+
+
+@query("m3_annotation_counts", f"""WITH {BOTH} SELECT count(*) FILTER (NOT t) AS marks_merged, count(*) FILTER (t) AS marks_conflicted, count(*) FILTER (t) AS notes_appended, count(*) FILTER (len(united) > len(had)) AS tags_merged, 2 * count(*) FILTER (n % 5 = 0) AS history_rows_copied,
+  (SELECT count(*) FROM b WHERE ends_with(id, '7')) AS annotations_unmapped FROM m""")
+def m3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, times=1)[1]
+
+
 PATCH = f"""{V.MARKS}, st AS (SELECT id, status, 'n' AS note, 3 AS revision, 'c1' AS client_id FROM marks), p AS (SELECT id, CASE WHEN quality = 1 THEN 3 ELSE 2 END AS base, CASE WHEN ends_with(id, '4') THEN 'c1' ELSE 'c2' END AS client, ends_with(id, '8') AS del, CASE WHEN ends_with(id, '3') THEN NULL ELSE 'noted' END AS ns FROM marks),
 j AS (SELECT st.*, p.*, base <> revision AND client <> client_id AS conflict, CASE WHEN del THEN false ELSE coalesce(ns, status) = status END AS same FROM st JOIN p ON st.id = p.id)"""
 

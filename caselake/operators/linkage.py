@@ -247,6 +247,23 @@ def binding_drift(bound: DataFrame, now: DataFrame) -> DataFrame:
     return b.join(n, "id", "left").select("id", F.when(F.col("now").isNull(), "unavailable").when(F.col("was") == F.col("now"), "current").otherwise("changed").alias("drift"))
 
 
+def binding_report(evidence: DataFrame, marks: DataFrame, lanes: DataFrame) -> DataFrame:
+    """case_id, evidence, marks, lanes, state: whether what a case was signed for is still so.
+
+    evidence: case_id, drift (as `binding_drift` has it); marks: case_id, bound, now (digests of
+    the set of marks, as `triage.set_fingerprint` gives them; now null: they can't be read); lanes:
+    case_id, state (of the lane's anchor, as `lanes.check_anchors` has it). Each part, and the
+    whole, is changed if anything in it changed; else partially-verified if anything in it could
+    not be checked; else current. What was never bound says nothing.
+    """
+    lane = F.when(F.col("state") == "intact", "current").when(F.col("state").isin("truncated", "rewritten"), "changed").otherwise("unavailable")
+    mark = F.when(F.col("now").isNull(), "unavailable").when(F.col("bound") == F.col("now"), "current").otherwise("changed")
+    parts = {"evidence": evidence.select("case_id", "drift"), "marks": marks.filter("bound is not null").select("case_id", mark.alias("drift")), "lanes": lanes.select("case_id", lane.alias("drift"))}
+    all_ = reduce(DataFrame.unionByName, [df.withColumn("part", F.lit(p)) for p, df in parts.items()])
+    of = lambda ok: F.when(F.bool_or(ok & (F.col("drift") == "changed")), "changed").when(F.bool_or(ok & (F.col("drift") == "unavailable")), "partially-verified").when(F.bool_or(ok), "current")
+    return all_.groupBy("case_id").agg(*[of(F.col("part") == p).alias(p) for p in parts], of(F.lit(True)).alias("state"))
+
+
 def index_listing(listing: DataFrame, catalog: DataFrame) -> DataFrame:
     """Catalog rows (path_key, size_bytes, id, hash_status, kept) of a listing's allocated video entries; a row with the path and equal size stays as it is."""
     l = listing.filter("video_candidate and not deleted").select("path_key", F.col("size_bytes").alias("_size"))

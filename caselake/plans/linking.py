@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import linkage as L
+from ..operators import triage as T
 from . import views as V
 from .registry import query
 
@@ -181,6 +182,27 @@ def j26(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.binding_drift(a.filter("sha256 is not null"), b)
 
 
+@query("j26_binding_report", f"""WITH {V.CATALOG}, {V.MARKS}, c AS (SELECT *, regexp_extract(source, '[0-9]+')::BIGINT AS n FROM catalog),
+s AS (SELECT source AS case_id, n, bool_or(sha256 IS NOT NULL) AS bound, bool_or(sha256 IS NOT NULL AND n % 3 = 2 AND doc_id % 10 = 5) AS ch, bool_or(sha256 IS NOT NULL AND n % 3 = 1 AND doc_id % 10 = 0) AS mi, bool_or(id IN (SELECT id FROM marks)) AS mk FROM c GROUP BY source, n),
+p AS (SELECT case_id, CASE WHEN ch THEN 'changed' WHEN mi THEN 'partially-verified' WHEN bound THEN 'current' END AS evidence, CASE WHEN NOT mk THEN NULL WHEN n % 5 = 1 THEN 'changed' WHEN n % 5 = 2 THEN 'partially-verified' ELSE 'current' END AS marks,
+  CASE n % 7 WHEN 3 THEN 'changed' WHEN 4 THEN 'partially-verified' ELSE 'current' END AS lanes FROM s)
+SELECT *, CASE WHEN list_contains([evidence, marks, lanes], 'changed') THEN 'changed' WHEN list_contains([evidence, marks, lanes], 'partially-verified') THEN 'partially-verified' ELSE 'current' END AS state FROM p""")
+def j26b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases are sources: by their number some evidence changed or is gone, a mark changed or marks can't be read, a lane was cut or is missing."""
+    n = F.regexp_extract("source", "[0-9]+", 0).cast("long")
+    c = V.catalog(spark, sf_dir).withColumn("n", n)
+    bound = c.filter("sha256 is not null")
+    now = bound.filter("not (n % 3 = 1 and doc_id % 10 = 0)").withColumn("sha256", F.when((F.col("n") % 3 == 2) & (F.col("doc_id") % 10 == 5), F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    drift = L.binding_drift(bound, now).join(c.select("id", F.col("source").alias("case_id")), "id")
+    marked = V.marks(spark, sf_dir).join(c.select("id", "source", "n"), "id")
+    line = lambda status: marked.select("source", "n", F.concat_ws(":", "id", status).alias("mark"))
+    digest = lambda df, name: T.set_fingerprint(df, "source", "mark").select(F.col("source").alias("case_id"), F.col("digest").alias(name))
+    later = line(F.when(F.col("n") % 5 == 1, F.concat("status", F.lit("!"))).otherwise(F.col("status"))).filter("n % 5 <> 2")
+    marks = digest(line(F.col("status")), "bound").join(digest(later, "now"), "case_id", "left")
+    lanes = c.select(F.col("source").alias("case_id"), F.when(F.col("n") % 7 == 3, "truncated").when(F.col("n") % 7 == 4, "missing").otherwise("intact").alias("state")).distinct()
+    return L.binding_report(drift, marks, lanes)
+
+
 @query("j27_index_listing", f"""WITH {V.CASES} SELECT l.source_path AS path_key, l.size_bytes + CASE WHEN l.doc_id % 12 = 0 THEN 1 ELSE 0 END AS size_bytes, CASE WHEN c.id IS NOT NULL AND l.doc_id % 12 <> 0 THEN c.id END AS id,
   CASE WHEN c.id IS NOT NULL AND l.doc_id % 12 <> 0 THEN 'hashed' ELSE 'not-computed' END AS hash_status, c.id IS NOT NULL AND l.doc_id % 12 <> 0 AS kept
 FROM case_b l LEFT JOIN case_a c ON l.source_path = c.source_path WHERE l.doc_id % 5 <> 0""")

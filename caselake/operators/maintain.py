@@ -121,6 +121,8 @@ def source_registry(registrations: DataFrame) -> tuple[DataFrame, DataFrame, Dat
     A source is src_ and 16 hex digits of its path's SHA-256. A new non-null value replaces
     the old one, a missing one keeps it; an automatic note never replaces one by a person,
     and a declared hash never a computed one. A hash whose length does not fit its algorithm is an error.
+    changes: seq, source_id, field (custodian, note, hash), was, now: what a registration put in
+    the place of another value.
     """
     lengths = F.element_at(F.create_map(*[F.lit(x) for kv in HASH_LENGTHS.items() for x in kv]), F.lower("algorithm"))
     bad = F.col("hash").isNotNull() & (lengths.isNull() | (F.length("hash") != lengths))
@@ -132,9 +134,18 @@ def source_registry(registrations: DataFrame) -> tuple[DataFrame, DataFrame, Dat
         F.coalesce(latest("note", ~F.col("auto_note")), latest("note", F.col("auto_note"))).alias("note"),
         F.coalesce(latest("hash", F.col("computed")), latest("hash", ~F.col("computed"))).alias("hash"),
     )
-    w = Window.partitionBy("source_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    change = good.withColumn("was", F.last("custodian", ignorenulls=True).over(w)).filter("custodian is not null and was is not null and custodian <> was")
-    return g, change.select("seq", "source_id", F.lit("custodian").alias("field"), "was", F.col("custodian").alias("now")), errors
+    along = Window.partitionBy("source_id").orderBy("seq")
+    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    latest_of = lambda c, ok: F.last(F.when(ok, F.col(c)), ignorenulls=True).over(so_far)
+    held = good.withColumns({
+        "_custodian": latest_of("custodian", F.lit(True)),
+        "_note": F.coalesce(latest_of("note", ~F.col("auto_note")), latest_of("note", F.col("auto_note"))),
+        "_hash": F.coalesce(latest_of("hash", F.col("computed")), latest_of("hash", ~F.col("computed"))),
+    })
+    held = held.withColumns({f"_was_{f}": F.lag(f"_{f}").over(along) for f in ("custodian", "note", "hash")})
+    fields = [F.struct(F.lit(f).alias("field"), F.col(f"_was_{f}").alias("was"), F.col(f"_{f}").alias("now")) for f in ("custodian", "note", "hash")]
+    changes = held.select("seq", "source_id", F.explode(F.array(*fields)).alias("c")).select("seq", "source_id", "c.*").filter("was is not null and was <> now")
+    return g, changes, errors
 
 
 def reproducible(a: DataFrame, b: DataFrame, zeroed: tuple[str, ...] = ("stale_since",)) -> DataFrame:

@@ -218,10 +218,24 @@ def m5(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'src_' || substr(sha256(kind || chr(0) || path), 1, 16) AS source_id, kind, path, arg_max(custodian, seq) FILTER (custodian IS NOT NULL) AS custodian,
   coalesce(arg_max(note, seq) FILTER (note IS NOT NULL AND NOT auto), arg_max(note, seq) FILTER (note IS NOT NULL AND auto)) AS note FROM r GROUP BY kind, path""")
 def a20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.source_registry(_registrations(spark, sf_dir))[0].drop("hash")
+
+
+def _registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = V.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    r = o.select(k.alias("seq"), F.concat(F.lit("clerk"), (F.col("o_custkey") % 3).cast("string")).alias("kind"), F.concat(F.lit("/dev/"), F.col("o_custkey").cast("string")).alias("path"), F.when(k % 3 > 0, F.col("o_orderpriority")).alias("custodian"), F.when(k % 2 == 0, F.col("o_orderstatus")).alias("note"), (k % 4 == 0).alias("auto_note"), F.lit(None).cast("string").alias("hash"), F.lit(None).cast("string").alias("algorithm"), F.lit(False).alias("computed"))
-    return M.source_registry(r)[0].drop("hash")
+    return o.select(k.alias("seq"), F.concat(F.lit("clerk"), (F.col("o_custkey") % 3).cast("string")).alias("kind"), F.concat(F.lit("/dev/"), F.col("o_custkey").cast("string")).alias("path"), F.when(k % 3 > 0, F.col("o_orderpriority")).alias("custodian"), F.when(k % 2 == 0, F.col("o_orderstatus")).alias("note"), (k % 4 == 0).alias("auto_note"), F.when(k % 5 == 0, F.sha2(k.cast("string"), 256)).alias("hash"), F.lit("sha256").alias("algorithm"), (k % 10 == 0).alias("computed"))
+
+
+@query("a20_source_changes", """WITH r AS (SELECT o_orderkey AS seq, 'src_' || substr(sha256('clerk' || (o_custkey % 3)::VARCHAR || chr(0) || '/dev/' || o_custkey::VARCHAR), 1, 16) AS source_id, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS custodian,
+  CASE WHEN o_orderkey % 4 = 2 THEN o_orderstatus END AS own, CASE WHEN o_orderkey % 4 = 0 THEN o_orderstatus END AS auto, CASE WHEN o_orderkey % 10 = 0 THEN sha256(o_orderkey::VARCHAR) END AS computed, CASE WHEN o_orderkey % 10 = 5 THEN sha256(o_orderkey::VARCHAR) END AS declared FROM orders),
+h AS (SELECT seq, source_id, last_value(custodian IGNORE NULLS) OVER w AS custodian, coalesce(last_value(own IGNORE NULLS) OVER w, last_value(auto IGNORE NULLS) OVER w) AS note, coalesce(last_value(computed IGNORE NULLS) OVER w, last_value(declared IGNORE NULLS) OVER w) AS hash
+  FROM r WINDOW w AS (PARTITION BY source_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+c AS (SELECT seq, source_id, 'custodian' AS field, lag(custodian) OVER v AS was, custodian AS now FROM h WINDOW v AS (PARTITION BY source_id ORDER BY seq)
+UNION ALL SELECT seq, source_id, 'note', lag(note) OVER v, note FROM h WINDOW v AS (PARTITION BY source_id ORDER BY seq) UNION ALL SELECT seq, source_id, 'hash', lag(hash) OVER v, hash FROM h WINDOW v AS (PARTITION BY source_id ORDER BY seq))
+SELECT * FROM c WHERE was IS NOT NULL AND was <> now""")
+def a20_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.source_registry(_registrations(spark, sf_dir))[1]
 
 
 @query("u1_timeline", f"""WITH {V.CATALOG}, {V.ENTRIES} SELECT modified_unix AS ts_unix, 'index' AS source, 'file-modified' AS kind, source_path AS path, 'indexed video ' || id || ' filesystem mtime' AS detail, true AS time_unaudited, false AS time_self_consistent FROM catalog WHERE modified_unix > 0

@@ -110,3 +110,20 @@ def exclude_covered(candidates: DataFrame, spans: DataFrame, size: int = 1 << 20
     """Candidates (image, start_b, ...) whose start lies in no span (image, start_b, end_b)."""
     hit = points_in(candidates.select("image", "start_b").distinct(), spans.select("image", F.col("start_b").alias("lo"), F.col("end_b").alias("hi")), ["image"], "start_b", "lo", "hi", size)
     return candidates.join(hit.select("image", "start_b").distinct(), ["image", "start_b"], "left_anti")
+
+
+def lone_hits(hits: DataFrame, runs: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """Of `hits` (image, offset, signature, nested_in, ...) those that stand for a file of their own: no pictures, none inside a container, and no start code of an elementary stream inside a frame run (image, start_b, end_b), whose frame it is."""
+    stream = F.col("signature").endswith("annexb")
+    alone = hits.filter("signature <> 'jpeg' and nested_in is null")
+    inside = points_in(alone.filter(stream).select("image", "offset").distinct(), merged(runs.select("image", "start_b", "end_b"), ["image"]), ["image"], "offset", "start_b", "end_b", size)
+    inside = inside.select("image", "offset").withColumn("_inside", F.lit(True))
+    return alone.join(inside, ["image", "offset"], "left").filter(~stream | F.col("_inside").isNull()).select(*hits.columns)
+
+
+def lone_runs(runs: DataFrame, spans: DataFrame, size: int = 1 << 20) -> DataFrame:
+    """Of frame runs (image, kind, start_b, end_b, ...) those that nothing else explains: no run of length-prefixed units that overlaps a run of AVI chunks, and none that begins in one of `spans` (image, start_b, end_b), which hits claim."""
+    own = ["image", "kind", "start_b", "end_b"]
+    avi = merged(runs.filter("kind = 'avi-frames'").select("image", "start_b", "end_b"), ["image"])
+    met = overlaps(runs.filter("kind = 'h264-frames'").select(*own), avi, ["image"], "start_b", "end_b", size).select(*own).distinct()
+    return exclude_covered(runs.join(met, own, "left_anti"), merged(spans.select("image", "start_b", "end_b"), ["image"]), size).select(*runs.columns)

@@ -63,13 +63,49 @@ def p6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.names(spark, sf_dir).select("id", P.rec_type(F.col("path")).alias("rec_type"), P.prefix(F.col("path")).alias("prefix"))
 
 
-@query("p8_source_profile", f"""WITH {V.CATALOG} SELECT id, CASE WHEN extension = 'dav' THEN 'dahua_dav' WHEN source = 'src3' THEN 'hikvision' WHEN source = 'src4' THEN 'axis_onvif' ELSE 'generic_ffprobe' END AS parser,
-  CASE WHEN extension = 'dav' THEN 'high' WHEN source IN ('src3', 'src4') THEN 'medium' ELSE 'low' END AS confidence FROM catalog""")
+#: What p8 plants by doc_id: folder and name before the number, extension, and the profile told for it.
+PROFILED = (
+    ("x\\HikVision\\a", "mp4", "hikvision", "Hikvision", "medium", "path contains vendor signal: hikvision"),
+    ("ivms/a", "DAV", "dahua_dav", "Dahua / OEM DAV", "high", "proprietary extension: .dav"),
+    ("vsplayer/ivms/a", "h264", "hikvision", "Hikvision", "medium", "path contains vendor signal: ivms"),
+    ("DSS/a", "asf", "dahua_dav", "Dahua / OEM DAV", "medium", "ASF file under Dahua/SmartPSS/DSS-like path"),
+    ("vapix/a", "mkv", "axis_onvif", "Axis", "medium", "MKV file under Axis/VAPIX-like path"),
+    ("ACC/a", "avi", "avigilon_ave", "Avigilon ACC", "medium", "path contains vendor signal: /acc/"),
+    ("c/아이나비/a", "mov", "thinkware_inavi", "Thinkware / iNavi", "medium", "path contains vendor signal: 아이나비"),
+    ("a", "glv", "garmin_dashcam", "Garmin Dash Cam", "high", "Garmin GLV companion video extension"),
+    ("a", "G64X", "genetec_g64", "Genetec Security Center", "high", "proprietary extension: .g64x"),
+    ("a", "blk", "milestone_xprotect", "Milestone XProtect", "medium", "XProtect-like .blk artifact extension"),
+    ("a", "265", "raw_h265_stream", "DVR/NVR raw H.265 stream", "medium", "raw H.265/HEVC-style extension: .265"),
+    ("DCIM/a", "mov", "garmin_dashcam", "Garmin-like DCIM dashcam", "medium", "DCIM folder with dashcam-compatible media"),
+    ("b/x_NF.", "mp4", "blackvue", "BlackVue", "high", "BlackVue-style front/rear event suffix"),
+    ("b/x_nf.d/parking/a", "mp4", "thinkware_inavi", "Dashcam event-folder layout", "medium", "dashcam recording folder signal: /parking/"),
+    ("b/parking/a", "mkv", "generic_media", "Generic media", "medium", "ffprobe format: matroska"),
+    ("b/a", "mp4", "generic_media", "Generic media", "medium", "standard media extension: .mp4"),
+    ("b/a", "", "generic_media", "Generic media", "medium", "video-like file signature"),
+)
+
+
+def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = (F.col("doc_id") % len(PROFILED) + 1).cast("int")
+    pick = lambda k: F.element_at(F.array(*[F.lit(p[k]) for p in PROFILED]), at)
+    path = F.concat(pick(0), F.col("doc_id").cast("string"), F.when(pick(1) != "", F.concat(F.lit("."), pick(1))).otherwise(""))
+    return V.table(spark, sf_dir, "documents").select("doc_id", R.source_profile(path, pick(1), F.when(pick(1) == "mkv", "matroska")).alias("profile"))
+
+
+PLANTED_PROFILES = "planted(k, parser, vendor, confidence, evidence) AS (VALUES " + ", ".join(f"({k}, '{p[2]}', '{p[3]}', '{p[4]}', '{p[5]}')" for k, p in enumerate(PROFILED)) + ")"
+
+
+@query("p8_source_profile", f"WITH {PLANTED_PROFILES} SELECT doc_id, parser, vendor, confidence, evidence FROM documents JOIN planted ON doc_id % {len(PROFILED)} = k")
 def p8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = V.catalog(spark, sf_dir)
-    path = F.regexp_replace(F.regexp_replace("source_path", "/src3/", "/HikVision/"), "/src4/", "/axis/")
-    out = R.source_profile(c.select("id", "extension", path.alias("relative_path")), R.rules(spark), "id")
-    return out.select("id", "profile.parser", "profile.confidence")
+    return _profiled(spark, sf_dir).select("doc_id", "profile.parser", "profile.vendor", "profile.confidence", F.col("profile.evidence")[0].alias("evidence"))
+
+
+@query("p8_parser_use", """SELECT "position", id, confidence, needles, extensions, records FROM (VALUES (0, 'dahua_dav', 'high', 3, 3), (1, 'genetec_g64', 'high', 1, 2), (3, 'hikvision', 'medium', 4, 5), (4, 'dahua_dav', 'medium', 3, 4), (6, 'thinkware_inavi', 'medium', 3, 3), (15, 'axis_onvif', 'medium', 3, 3), (21, 'avigilon_ave', 'medium', 2, 2), (19, 'milestone_xprotect', 'medium', 2, 3), (25, 'raw_h265_stream', 'medium', 0, 3)) p("position", id, confidence, needles, extensions)
+JOIN (SELECT k, count(*) AS records FROM (SELECT unnest(CASE doc_id % 17 WHEN 0 THEN [3] WHEN 1 THEN [0] WHEN 2 THEN [3] WHEN 3 THEN [4] WHEN 4 THEN [15] WHEN 5 THEN [21] WHEN 6 THEN [6] WHEN 8 THEN [1] WHEN 9 THEN [19] WHEN 10 THEN [25] ELSE [] END) AS k FROM documents) GROUP BY k) n ON k = "position" """)
+def p8_parsers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the parsers that records name: how many name them, how many needles and extensions they have."""
+    used = R.parser_use(_profiled(spark, sf_dir)).filter("records > 0")
+    return used.select("position", "id", "confidence", F.size("path_needles").alias("needles"), F.size("extensions").alias("extensions"), "records")
 
 
 @query("p9_record_classes", f"""WITH {V.CATALOG} SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'confirmed' WHEN extension IN ('mp4', 'avi') THEN 'extension-candidate' ELSE 'magic-candidate' END AS confidence,

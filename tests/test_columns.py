@@ -91,8 +91,14 @@ def test_paths(spark):
 def test_profile(spark):
     rows = [(1, "x/Hikvision/a.dav", "dav"), (2, "x/hikvision/a.mp4", "mp4"), (3, "dss/a.asf", "asf"), (4, "a.h264", "h264"), (5, "a/DCIM/b.mov", "mov"), (6, "b.mov", "mov")]
     df = spark.createDataFrame(rows, "id int, relative_path string, extension string")
-    got = {r["id"]: r["profile"]["parser"] for r in profile.source_profile(df, profile.rules(spark), "id").collect()}
-    assert got == {1: "dahua_dav", 2: "hikvision", 3: "dahua_dav", 4: "raw_h264_stream", 5: "garmin_dashcam", 6: "generic_ffprobe"}
+    p = profile.source_profile(F.col("relative_path"), F.col("extension"))
+    got = {r["id"]: r["p"]["parser"] for r in df.select("id", p.alias("p")).collect()}
+    assert got == {1: "dahua_dav", 2: "hikvision", 3: "dahua_dav", 4: "raw_h264_stream", 5: "garmin_dashcam", 6: "generic_media"}
+    own = profile.Rule("lane", "Own", "own_parser", "high", ("mov",), ("dcim",), "act", "{needle} with {ext}")
+    rows = df.select(profile.source_profile(F.col("relative_path"), F.col("extension"), rules=(own, *profile.RULES)).alias("p")).collect()
+    assert rows[4]["p"].asDict() == {"lane": "lane", "vendor": "Own", "parser": "own_parser", "confidence": "high", "recommended_action": "act", "evidence": ["dcim with mov"]}
+    none = spark.range(1).select(profile.source_profile(F.lit(None).cast("string"), F.lit(None).cast("string")).alias("p")).first()["p"]
+    assert none["parser"] == "generic_media" and none["evidence"] == ["video-like file signature"]
 
 
 def test_header_ok(spark):

@@ -217,7 +217,7 @@ def j18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.exclude_covered(V.claimed(spark, sf_dir), _spans(spark, sf_dir), size=1 << 16).select("image", "start_b", "end_b")
 
 
-FRAME_RUNS = """runs AS (SELECT DISTINCT image, CASE WHEN span % 3 = 0 THEN 'avi-frames' WHEN span % 3 = 1 THEN 'h264-frames' ELSE 'dhav-frames' END AS kind, start_b * 3 AS start_b, start_b * 3 + 9000 AS end_b FROM spans),
+FRAME_RUNS = """runs AS (SELECT DISTINCT image, CASE WHEN span % 3 = 0 THEN 'avi-frames' WHEN span % 3 = 1 THEN 'h264-frames' ELSE 'dhav-frames' END AS kind, start_b * 3 + 1000 AS start_b, start_b * 3 + CASE WHEN span % 3 = 0 THEN 90000 ELSE 9000 END AS end_b FROM spans),
 hits AS (SELECT image, start_b AS "offset", min(CASE WHEN start_b % 5 = 0 THEN 'jpeg' WHEN start_b % 5 = 1 THEN 'riff-avi' WHEN start_b % 5 = 2 THEN 'h264-annexb' ELSE 'h265-annexb' END) AS signature, max(CASE WHEN end_b % 7 = 0 THEN start_b - 64 END) AS nested_in, max(end_b) AS until FROM claimed GROUP BY ALL),
 alone AS (SELECT * FROM hits h WHERE signature <> 'jpeg' AND nested_in IS NULL AND NOT (signature LIKE '%annexb' AND EXISTS (SELECT 1 FROM runs r WHERE r.image = h.image AND h."offset" >= r.start_b AND h."offset" < r.end_b))),
 kept AS (SELECT * FROM runs n WHERE NOT (kind = 'h264-frames' AND EXISTS (SELECT 1 FROM runs a WHERE a.kind = 'avi-frames' AND a.image = n.image AND n.start_b < a.end_b AND a.start_b < n.end_b))
@@ -227,7 +227,7 @@ AND NOT EXISTS (SELECT 1 FROM alone h WHERE h.image = n.image AND n.start_b >= h
 @query("j18_frame_candidates", f"""WITH {V.CLAIMED}, {SPANS}, {FRAME_RUNS} SELECT image, signature AS kind, "offset" AS start_b FROM alone UNION ALL SELECT image, kind, start_b FROM kept""")
 def j18_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("span") % 3
-    runs = _spans(spark, sf_dir).select("image", F.when(n == 0, "avi-frames").when(n == 1, "h264-frames").otherwise("dhav-frames").alias("kind"), (F.col("start_b") * 3).alias("start_b"), (F.col("start_b") * 3 + 9000).alias("end_b")).distinct()
+    runs = _spans(spark, sf_dir).select("image", F.when(n == 0, "avi-frames").when(n == 1, "h264-frames").otherwise("dhav-frames").alias("kind"), (F.col("start_b") * 3 + 1000).alias("start_b"), (F.col("start_b") * 3 + F.when(n == 0, 90000).otherwise(9000)).alias("end_b")).distinct()
     at = F.col("start_b") % 5
     name = F.when(at == 0, "jpeg").when(at == 1, "riff-avi").when(at == 2, "h264-annexb").otherwise("h265-annexb")
     hits = V.claimed(spark, sf_dir).groupBy("image", F.col("start_b").alias("offset")).agg(F.min(name).alias("signature"), F.max(F.when(F.col("end_b") % 7 == 0, F.col("start_b") - 64)).alias("nested_in"), F.max("end_b").alias("until"))

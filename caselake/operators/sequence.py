@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import written
-from .scans import running
+from .scans import long_keys, running
 
 #: A step back is a regression; a step of more than this is a gap.
 CATALOG_GAP_SECONDS = 7 * 86400
@@ -119,10 +119,15 @@ def skipped_units(units: DataFrame, group: str = "image", unit: str = "unit") ->
 
 
 def frame_runs(units: DataFrame, least_video: int = 30, slack: int = 0) -> DataFrame:
-    """image, start_b, end_b, frames, video: chains of units (start_b, end_b, is_video) where one starts at the end of the one before (up to `slack` bytes on), with enough video frames."""
-    order = ["start_b", "end_b", "is_video"]
-    step = F.col("start_b") - F.lag("end_b").over(Window.partitionBy("image").orderBy(*order))
-    u = islands(units.withColumn("_step", step), ["image"], order, ~F.col("_step").between(0, slack))
+    """image, start_b, end_b, frames, video: chains of units (start_b, end_b, is_video) where one starts at the end of the one before (up to `slack` bytes on), with enough video frames. An image's units are spread over ranges of its bytes."""
+    # Places without a number stand first, as in an order of nulls.
+    u = units.withColumns({"_at": F.coalesce("start_b", F.lit(-(1 << 63))), "_this": F.struct("end_b")})
+    long = long_keys(units, ["image"])
+    u = running(u, ["image"], "_at", "_this", "_last", "last", ("end_b", "is_video"), long=long)
+    new = ~F.coalesce((F.col("start_b") - F.col("_last.end_b")).between(0, slack), F.lit(False))
+    # Of equal units only the first may differ from the others, which begin runs unless they are empty.
+    u = u.withColumn("_new", F.when(new, 1).otherwise(0)).withColumn("_turn", F.when(F.col("end_b") == F.col("start_b"), -F.col("_new")).otherwise(F.col("_new")))
+    u = running(u, ["image"], "_at", "_new", "island", "sum", ("end_b", "is_video", "_turn"), inclusive=True, long=long)
     runs = u.groupBy("image", "island").agg(F.min("start_b").alias("start_b"), F.max("end_b").alias("end_b"), F.count("*").alias("frames"), F.count_if("is_video").alias("video"))
     return runs.filter(F.col("video") >= least_video).drop("island")
 

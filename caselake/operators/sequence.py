@@ -204,6 +204,11 @@ def _default(df: DataFrame, name: str, value: bool) -> Column:
     return F.coalesce(F.col(name), F.lit(value)) if name in df.columns else F.lit(value)
 
 
+def _packed(digest: Column) -> Column:
+    """A hash in few bytes, different for different ones: 64 lower-case hexadecimal digits as 32 bytes, others behind 33 bytes of zero."""
+    return F.when(digest.rlike("^[0-9a-f]{64}\\z"), F.unhex(digest)).otherwise(F.concat(F.unhex(F.lit("00" * 33)), F.encode(digest, "UTF-8")))
+
+
 def verify_concat(sources: DataFrame, output: DataFrame, audio: DataFrame | None = None, audio_out: DataFrame | None = None) -> DataFrame:
     """group, mode, packets_ok, hashes_ok, starts_ok, audio_ok, verdict of a lossless join.
 
@@ -220,30 +225,45 @@ def verify_concat(sources: DataFrame, output: DataFrame, audio: DataFrame | None
     segment must start where those before end, with what they show too much, to a second or 0.2
     hundredths; sound may differ by a packet for each segment.
     """
-    s = sources.select("group", "segment", "seq", F.col("hash").alias("_hash"), F.coalesce("is_key", F.lit(False)).alias("_key"), _default(sources, "discard", False).alias("_hidden"), "duration_s")
-    o = output.select("group", "seq", F.col("pts").alias("_pts"), F.col("hash").alias("_seen"), _default(output, "is_key", True).alias("_okey"), _default(output, "discard", False).alias("_ohidden"))
-    o = o.withColumn("pos", F.row_number().over(Window.partitionBy("group").orderBy("seq"))).drop("seq")
+    s = sources.select("group", "segment", "seq", _packed(F.col("hash")).alias("_hash"), F.coalesce("is_key", F.lit(False)).alias("_key"), _default(sources, "discard", False).alias("_hidden"), "duration_s")
+    o = output.select("group", F.col("seq").alias("_place"), F.col("pts").alias("_pts"), _packed(F.col("hash")).alias("_seen"), _default(output, "is_key", True).alias("_okey"), _default(output, "discard", False).alias("_ohidden"))
     segments = s.groupBy("group", "segment").agg(F.count("*").alias("total"), F.count_if(~F.col("_hidden")).alias("kept"), F.count_if(~F.col("_hidden") & ~F.col("_key")).alias("plain"), F.max("duration_s").alias("d"))
+    segments = written(segments)
     counts = segments.groupBy("group").agg(F.sum("total").alias("all"), F.sum("kept").alias("shown"), F.count("*").alias("segments")).join(o.groupBy("group").agg(F.count("*").alias("observed")), "group", "full_outer")
     counts = counts.withColumn("observed", F.coalesce("observed", F.lit(0))).withColumn("maybe", F.coalesce((F.col("observed") != F.col("all")) & (F.col("observed") == F.col("shown")), F.lit(False)))
-
-    place = F.row_number().over(Window.partitionBy("group").orderBy("segment", "seq"))
-    pairs = s.filter(~F.col("_hidden")).join(counts.filter("maybe").select("group"), "group", "left_semi").withColumn("pos", place)
-    pairs = pairs.join(o, ["group", "pos"]).join(segments.filter("kept < total").select("group", "segment", "plain"), ["group", "segment"])
+    counts = written(counts)
+
+    # Packets of both sides are dealt by group once; all that follows up to a row per segment stays there. Way 0 counts all packets of the sources, way 1 the shown ones.
+    both = s.drop("duration_s").withColumn("_side", F.lit(0)).unionByName(o.withColumn("_side", F.lit(1)), allowMissingColumns=True).repartition("group")
+    along = Window.partitionBy("group", "_side").orderBy("segment", "seq", "_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumns({"_all": F.count("*").over(along), "_shown": F.count_if(~F.col("_hidden")).over(along)})
+    both = both.join(counts.select("group", "maybe"), "group", "left").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
+    other = F.when(F.col("_side") == 1, F.col("_all")).when(~F.col("_hidden"), F.col("_shown"))
+    spot = lambda way, pos: F.struct(F.lit(way).alias("way"), pos.alias("pos"))
+    both = both.withColumn("_at", F.explode(F.array_compact(F.array(spot(0, F.col("_all")), F.when(F.col("maybe") & other.isNotNull(), spot(1, other))))))
+    met = both.groupBy("group", F.col("_at.way").alias("way"), F.col("_at.pos").alias("pos")).agg(*[F.max(c).alias(c) for c in ("segment", "_hash", "_key", "_hidden", "_seen", "_pts", "_okey", "_ohidden")])
+    up_to = Window.partitionBy("group", "way", "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = met.withColumns({"_n": F.count_if(~F.col("_key")).over(up_to), "_on": F.count_if(~F.col("_okey")).over(up_to)})
+    nothing = F.lit(None).cast("binary")
+    item = lambda n, wanted, got: F.struct(F.col(n).alias("n") if n else F.lit(0).cast("long").alias("n"), wanted.alias("wanted"), got.alias("got"))
+    shown = F.col("way") == 1
+    met = met.withColumn("_i", F.explode(F.array_compact(F.array(item(None, nothing, nothing), F.when(shown & ~F.col("_key"), item("_n", F.col("_hash"), nothing)), F.when(shown & ~F.col("_okey"), item("_on", nothing, F.col("_seen")))))))
     same = F.coalesce(F.col("_hash") == F.col("_seen"), F.lit(False))
-    whole = pairs.filter("plain = 0").select("group", (same & F.col("_okey")).alias("ok"))
-    rank = F.row_number().over(Window.partitionBy("group", "segment").orderBy("pos"))
-    wanted = pairs.filter("plain > 0 and not _key").select("group", "segment", rank.alias("n"), "_hash")
-    shown = pairs.filter("plain > 0 and not _okey").select("group", "segment", rank.alias("n"), "_seen")
-    parts = wanted.join(shown, ["group", "segment", "n"], "full_outer").select("group", same.alias("ok"))
-    confirmed = whole.unionByName(parts).groupBy("group").agg(F.bool_and("ok").alias("confirmed"))
+    visible = ~F.col("_ohidden")
+    met = met.groupBy("group", "way", "segment", F.col("_i.n").alias("n")).agg(
+        F.max("_i.wanted").alias("wanted"), F.max("_i.got").alias("got"), F.bool_and(same).alias("same"), F.bool_and(same & F.coalesce("_okey", F.lit(False))).alias("whole"),
+        F.min(F.when(visible, F.col("_pts"))).alias("first"), F.min(F.when(visible & ~F.col("_hidden"), F.col("_pts"))).alias("own"),
+    )
+    part = F.when(F.col("n") > 0, F.coalesce(F.col("wanted") == F.col("got"), F.lit(False)))
+    met = written(met.groupBy("group", "way", "segment").agg(F.bool_and(F.when(F.col("n") == 0, F.col("same"))).alias("same"), F.bool_and(F.when(F.col("n") == 0, F.col("whole"))).alias("whole"), F.bool_and(part).alias("parts"), F.min("first").alias("first"), F.min("own").alias("own")))
+
+    tested = met.filter("way = 1").join(segments.filter("kept < total and kept > 0").select("group", "segment", "plain"), ["group", "segment"])
+    confirmed = tested.groupBy("group").agg(F.bool_and(F.when(F.col("plain") == 0, F.col("whole")).otherwise(F.col("parts"))).alias("confirmed"))
     modes = counts.join(confirmed, "group", "left").withColumn("applied", F.col("maybe") & F.coalesce("confirmed", F.lit(True)))
 
-    m = s.join(modes.select("group", "applied"), "group").filter(~F.col("applied") | ~F.col("_hidden")).withColumn("pos", place)
-    j = m.join(o, ["group", "pos"], "full_outer")
-    hashes = j.groupBy("group").agg(F.bool_and(F.coalesce("applied", F.lit(False)) | same).alias("hashes_ok"))
-    visible = ~F.col("_ohidden")
-    starts = j.filter("segment is not null").groupBy("group", "segment").agg(F.min(F.when(visible, F.col("_pts"))).alias("first"), F.min(F.when(visible & ~F.col("_hidden"), F.col("_pts"))).alias("own"))
+    m = met.join(modes.select("group", "applied"), "group").filter(F.col("way") == F.col("applied").cast("int"))
+    hashes = m.groupBy("group").agg(F.bool_and(F.col("applied") | F.col("same")).alias("hashes_ok"))
+    starts = m.filter("segment is not null").select("group", "segment", "first", "own")
     starts = segments.select("group", "segment", "d").join(starts, ["group", "segment"], "left").withColumn("more", F.greatest(F.coalesce(F.col("own") - F.col("first"), F.lit(0.0)), F.lit(0.0)))
     along = Window.partitionBy("group").orderBy("segment")
     expected = F.coalesce(F.sum(F.col("d") + F.col("more")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))

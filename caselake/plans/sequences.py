@@ -138,14 +138,17 @@ KEPT = "CASE WHEN \"group\" % 7 IN (1, 3, 5) THEN 'edit-list-applied' ELSE 'all-
 def j24b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Joins of seven segments, some packets hidden. Modulo 7: 0 shows all packets; 1 the kept ones; 2 these in another order; 3 the kept ones, all key frames; 4 lacks a segment; 5 rewrites key frames, 6 others. Modulo 11: 0 lacks sound."""
     l, kind = V.table(spark, sf_dir, "lineitem"), F.col("group") % 7
-    s = l.select(
-        F.col("l_suppkey").alias("group"), F.col("l_linenumber").alias("segment"), (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey")).alias("seq"), F.lit(0.0).alias("pts"), F.lit(30.0).alias("duration_s"), (F.col("l_quantity") < 8).alias("discard"),
-        F.sha2(F.concat_ws(":", "l_orderkey", "l_partkey", "l_linenumber"), 256).alias("hash"), ((F.col("l_suppkey") % 7 == 3) | (F.col("l_orderkey") % 8 == 0)).alias("is_key"),
+    p = l.select(
+        F.col("l_suppkey").alias("group"), F.col("l_linenumber").alias("segment"), "l_orderkey", "l_partkey", (F.col("l_orderkey") * 10_000_000 + F.col("l_partkey")).alias("seq"), (F.col("l_quantity") < 8).alias("discard"),
+        ((F.col("l_suppkey") % 7 == 3) | (F.col("l_orderkey") % 8 == 0)).alias("is_key"),
     )
-    o = s.filter((kind == 0) | ~F.col("discard")).filter((kind != 4) | (F.col("segment") != 3)).withColumn("seq", F.when(kind == 2, -F.col("seq")).otherwise(F.col("seq")))
+    digest = F.sha2(F.concat_ws(":", "l_orderkey", "l_partkey", "segment"), 256)
+    s = p.withColumns({"pts": F.lit(0.0), "duration_s": F.lit(30.0), "hash": digest})
+    o = p.filter((kind == 0) | ~F.col("discard")).filter((kind != 4) | (F.col("segment") != 3)).withColumn("seq", F.when(kind == 2, -F.col("seq")).otherwise(F.col("seq")))
     changed = ((kind == 5) & F.col("is_key")) | ((kind == 6) & ~F.col("is_key"))
     n = F.row_number().over(Window.partitionBy("group", "segment").orderBy("seq"))
-    o = o.select("group", F.struct("segment", "seq").alias("seq"), ((F.col("segment") - 1) * 30 + n * 0.001).alias("pts"), F.when(changed, F.sha2("hash", 256)).otherwise(F.col("hash")).alias("hash"), "is_key")
+    # The hash is told behind the window, so that only its parts are dealt.
+    o = o.withColumn("n", n).select("group", F.struct("segment", "seq").alias("seq"), ((F.col("segment") - 1) * 30 + F.col("n") * 0.001).alias("pts"), F.when(changed, F.sha2(digest, 256)).otherwise(digest).alias("hash"), "is_key")
     sound = s.select("group", "segment").distinct().withColumn("packets", F.lit(100).cast("long"))
     heard = sound.groupBy("group").agg((F.sum("packets") + F.when(F.col("group") % 11 == 0, -8).otherwise(7)).cast("long").alias("packets"))
     return S.verify_concat(s, o, sound, heard).select("group", "mode", "audio_ok", "verdict")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import long_keys, parted
 from .sequence import record_number
 
 def clean_hash(c: Column) -> Column:
@@ -277,12 +278,21 @@ def required_artifacts(required: DataFrame, files: DataFrame) -> DataFrame:
     return required.join(files.select("case_id", "path").distinct(), ["case_id", "path"], "left_anti")
 
 
-def channel_mates(catalog: DataFrame, salts: int = 16) -> DataFrame:
-    """(id, mate_id): records with the same non-empty pair key and another channel. A key's right side is dealt over salts, so that a hot key is spread."""
+#: A pair key of more records is hot.
+HOT_PAIR = 20_000
+
+
+def channel_mates(catalog: DataFrame, salts: int = 16, hot: int = HOT_PAIR) -> DataFrame:
+    """(id, mate_id): records with the same non-empty pair key and another channel. A key's records meet in one group; only the right side of a hot key, of more than `hot` records, is dealt over salts."""
     c = catalog.filter("pair_key <> '' and channel is not null").select("id", "pair_key", "channel")
-    left = c.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    right = c.select(F.col("id").alias("mate_id"), "pair_key", F.col("channel").alias("_channel")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, ["pair_key", "salt"]).filter("id <> mate_id and channel <> _channel").select("id", "mate_id")
+    few, many = parted(c, ["pair_key"], long_keys(c, ["pair_key"], hot))
+    met = few.groupBy("pair_key").agg(F.collect_list(F.struct("id", "channel")).alias("a")).filter(F.size("a") > 1)
+    pairs = met.select(F.explode("a").alias("l"), "a").select("l", F.explode("a").alias("r")).select(F.col("l.id").alias("id"), F.col("r.id").alias("mate_id"), F.col("l.channel").alias("channel"), F.col("r.channel").alias("_channel"))
+    if many is not None:
+        left = many.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
+        right = many.select(F.col("id").alias("mate_id"), "pair_key", F.col("channel").alias("_channel")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        pairs = pairs.unionByName(left.join(right, ["pair_key", "salt"]).select("id", "mate_id", "channel", "_channel"))
+    return pairs.filter("id <> mate_id and channel <> _channel").select("id", "mate_id")
 
 
 def record_status(records: DataFrame, validations: DataFrame) -> DataFrame:

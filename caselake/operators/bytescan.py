@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .intervals import merged, points_in
-from .scans import greedy_chain
+from .scans import greedy_chain, long_keys, parted
 
 #: Byte patterns that begin a file or stream, by signature, and how far before the match it begins.
 SIGNATURES = (
@@ -255,15 +255,41 @@ def frame_units(chunks: DataFrame) -> DataFrame:
     return chunks.select("image", "start_b", "bytes").mapInPandas(parse, UNITS).distinct()
 
 
-def unit_chains(units: DataFrame) -> DataFrame:
+def unit_chains(units: DataFrame, short: int | None = None) -> DataFrame:
     """image, kind, start_b, begins, end_b, units, video: from each unit on, how far the chain goes in which each unit starts where the one before ends.
 
-    By pointer jumping: a unit knows what it reaches in 2, 4, 8 ... steps, with the sums along
-    them; a chain of n units takes about log2(n) rounds, whatever image it is in.
+    Where an image has `short` units of a kind at most (as in `scans`), one walk over its units from the last to
+    the first tells all chains, many images in a task. In others pointers are jumped: a unit
+    knows what it reaches in 2, 4, 8 ... steps, with the sums along them; a chain of n units
+    takes about log2(n) rounds, whatever image it is in.
     """
     keys = ["image", "kind"]
     state = units.groupBy(*keys, "start_b").agg(F.max("end_b").alias("end_b"), F.max("is_video").cast("long").alias("video"), F.max("begins").alias("begins")).withColumn("units", F.lit(1).cast("long"))
-    state, more = written(state), True
+    state = written(state)
+    few, many = parted(state, keys, long_keys(state, keys, short))
+    columns = [*keys, "start_b", "begins", "end_b", "units", "video"]
+
+    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, reached = None, {}
+        for batch in batches:
+            ends, counts, videos = [], [], []
+            for image, kind, start, end, video in zip(*(batch[c].tolist() for c in (*keys, "start_b", "end_b", "video")), strict=True):
+                if (image, kind) != here:
+                    here, reached = (image, kind), {}
+                last, n, seen = reached.get(end, (end, 0, 0))
+                reached[start] = last, n + 1, seen + video
+                ends.append(last)
+                counts.append(n + 1)
+                videos.append(seen + video)
+            yield batch.assign(end_b=ends, units=counts, video=videos)[columns]
+
+    schema = few.select(*columns).schema
+    walked = few.repartition(*keys).sortWithinPartitions(*keys, F.desc("start_b")).mapInPandas(back, schema)
+    return walked if many is None else walked.unionByName(_jumped(many))
+
+
+def _jumped(state: DataFrame) -> DataFrame:
+    keys, more = ["image", "kind"], True
     while more:
         there = state.select(*[F.col(c).alias(f"_{c}") for c in (*keys, "start_b", "end_b", "units", "video")])
         on = (F.col("image") == F.col("_image")) & (F.col("kind") == F.col("_kind")) & (F.col("end_b") == F.col("_start_b"))
@@ -283,6 +309,6 @@ def frame_chains(units: DataFrame, least_video: int = LEAST_VIDEO) -> DataFrame:
     follow. A chain that the image's end cuts counts like any other, and the search goes on
     inside it.
     """
-    chains = unit_chains(units).filter(F.col("begins") & (F.col("units") >= 2) & (F.col("video") >= least_video))
+    chains = written(unit_chains(units).filter(F.col("begins") & (F.col("units") >= 2) & (F.col("video") >= least_video)))
     kept = greedy_chain(chains.select("image", "kind", "start_b", "end_b"), ["image", "kind"], "start_b", "end_b").select("image", "kind", "start_b")
     return chains.join(kept, ["image", "kind", "start_b"], "left_semi").select("image", "kind", "start_b", "end_b", "units", "video")

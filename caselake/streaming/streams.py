@@ -9,12 +9,14 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.lanes import CHAINED, GENESIS, LINE
 from ..operators.linkage import clean_hash, live_overlay
@@ -132,77 +134,44 @@ def stream_chain_check(lines: DataFrame) -> DataFrame:
     return lines.groupBy("lane").transformWithStateInPandas(ChainCheck(), "lane string, line_no long, state string", "Append", "None")
 
 
-class GapCheck(StatefulProcessor):
-    """Per (file, channel): the last frame's time; an invalid date forgets it."""
-
-    def __init__(self, ttl_ms: int):
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seconds long", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self.last.get()[0] if self.last.exists() else None
-        out = []
-        frames = list(rows)
-        for row in pd.concat(frames).sort_values("offset").itertuples() if frames else []:
-            if pd.isna(row.seconds):
-                out.append((key[0], key[1], row.offset, "invalid-date", None))
-                before = None
-                continue
-            delta = None if before is None else int(row.seconds) - before
-            if delta is not None and (delta < 0 or delta > FRAME_GAP_SECONDS):
-                out.append((key[0], key[1], row.offset, "regression" if delta < 0 else "gap", delta))
-            before = int(row.seconds)
-        if before is None:
-            self.last.clear()
-        else:
-            self.last.update((before,))
-        found = pd.DataFrame(out, columns=["file", "channel", "offset", "kind", "delta"])
-        found["delta"] = found["delta"].astype("Int64")
-        yield found
-
-    def close(self) -> None:
-        pass
-
-
 def stream_gap_findings(frames: DataFrame, ttl_ms: int = 3_600_000) -> DataFrame:
-    """The frame gap findings of arriving frames (file, channel, offset, seconds)."""
-    return frames.groupBy("file", "channel").transformWithStateInPandas(GapCheck(ttl_ms), "file long, channel long, offset long, kind string, delta long", "Append", "ProcessingTime")
+    """The frame gap findings of arriving frames (file, channel, offset, seconds). The state of a (file, channel) is its last frame's time; an invalid date forgets it, and `ttl_ms` without frames frees it."""
+
+    def check(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        before = state.get[0] if state.exists else None
+        found = pd.concat(list(batches)).sort_values("offset", kind="stable")
+        seconds = found["seconds"].astype("Int64")
+        delta = seconds - pd.concat([pd.Series([before], dtype="Int64"), seconds.iloc[:-1]]).set_axis(seconds.index)
+        kind = np.select([seconds.isna(), (delta < 0).fillna(False), (delta > FRAME_GAP_SECONDS).fillna(False)], ["invalid-date", "regression", "gap"], "")
+        if not pd.isna(seconds.iloc[-1]):
+            state.update((int(seconds.iloc[-1]),))
+            state.setTimeoutDuration(ttl_ms)
+        elif state.exists:
+            state.remove()
+        if (kind != "").any():
+            yield found.assign(kind=kind, delta=delta)[["file", "channel", "offset", "kind", "delta"]][kind != ""]
+
+    return frames.select("file", "channel", "offset", "seconds").groupBy("file", "channel").applyInPandasWithState(check, "file long, channel long, offset long, kind string, delta long", "seconds long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-class JobState(StatefulProcessor):
-    """Per job: the latest progress; a running job without a sign of life for `timeout_ms` is interrupted."""
-
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("state", "seq long, status string, units long")
+def stream_job_state(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
+    """job, seq, status, units: the latest state of each job whenever its events (job, seq, status, units) arrive. Liveness is by heartbeat timeout: a running job without a sign of life for `timeout_ms` is interrupted."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seq, status, units = self.state.get() if self.state.exists() else (-1, "unknown", 0)
-        frames = list(rows)
-        for row in pd.concat(frames).sort_values("seq").itertuples() if frames else []:
-            if row.seq > seq:
-                seq, status, units = int(row.seq), row.status, int(row.units)
-        self.state.update((seq, status, units))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seq, status, units = state.get if state.exists else (-1, "unknown", 0)
+        if state.hasTimedOut:
+            status = "interrupted"
+        else:
+            for batch in batches:
+                new = batch.loc[batch["seq"].idxmax()] if batch["seq"].notna().any() else None
+                if new is not None and new["seq"] > seq:
+                    seq, status, units = int(new["seq"]), new["status"], int(new["units"])
+        state.update((seq, status, units))
         if status == "running":
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame([(key[0], seq, status, units)], columns=["job", "seq", "status", "units"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seq, _, units = self.state.get()
-        self.state.update((seq, "interrupted", units))
-        yield pd.DataFrame([(key[0], seq, "interrupted", units)], columns=["job", "seq", "status", "units"])
-
-    def close(self) -> None:
-        pass
-
-
-def stream_job_state(events: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
-    """job, seq, status, units: the latest state of each job whenever its events (job, seq, status, units) arrive. Liveness is by heartbeat timeout."""
-    return events.groupBy("job").transformWithStateInPandas(JobState(timeout_ms), "job long, seq long, status string, units long", "Update", "ProcessingTime")
+    return events.select("job", "seq", "status", "units").groupBy("job").applyInPandasWithState(follow, "job long, seq long, status string, units long", "seq long, status string, units long", "update", GroupStateTimeout.ProcessingTimeTimeout)

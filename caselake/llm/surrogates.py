@@ -176,7 +176,8 @@ def candidate(entities: DataFrame, attempt: int, key: str) -> DataFrame:
     """(kind, norm, surrogate) of entities (kind, norm, first, gender), longer by a letter or digit for each attempt beyond OWN_LENGTH.
 
     The key comes as a row of its own, so that no plan shows it. What each letter needs of the
-    whole entity is a column, worked out once.
+    whole entity is a column, worked out once, and so is what later steps use more than once:
+    as one expression, the plan would hold a copy of a step for each use of it.
     """
     secret = F.broadcast(entities.sparkSession.createDataFrame([(key,)], "_key string"))
     base = F.sha2(F.concat_ws("\u0001", "_key", "kind", "norm", F.lit(str(attempt))), 256)
@@ -186,7 +187,8 @@ def candidate(entities: DataFrame, attempt: int, key: str) -> DataFrame:
         ((F.col("kind") == "secret") & F.col("norm").contains("\\")).alias("escaped"),
     )
     kind, norm, first, gender, stream, hexadecimal, tld, escaped = (F.col(c) for c in drawn.columns)
-    byte = lambda i: F.conv(F.substr(stream, 2 * (i % 128) + 1, F.lit(2)), 16, 10).cast("int")
+    drawn = drawn.withColumn("bytes", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.conv(F.substr(stream, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
+    byte = lambda i: F.get("bytes", i % 128)
     pick = lambda letters, i: F.substr(F.lit(letters), byte(i) % len(letters) + 1, F.lit(1))
     stays = {k: kind == k for k in ("access_key", "email", "card", "phone", "ssn", "iban")}
 
@@ -206,8 +208,10 @@ def candidate(entities: DataFrame, attempt: int, key: str) -> DataFrame:
     more = range(max(0, attempt - OWN_LENGTH))
     digits = F.concat(F.lit(""), *[(byte(F.lit(100 + k)) % 10).cast("string") for k in more])
     letters = F.concat(F.lit(""), *[pick("abcdef", F.lit(100 + k)) for k in more])
-    same = F.concat_ws("", F.transform(F.filter(F.split(norm, ""), lambda c: c != ""), char))
-    same = F.when(stays["email"], F.concat(letters, same)).when(stays["card"] | stays["phone"] | stays["ssn"], F.concat(same, digits)).when(stays["access_key"] | stays["iban"], F.concat(same, F.upper(letters))).otherwise(F.concat(same, letters))
+    drawn = drawn.withColumn("drawn", F.concat_ws("", F.transform(F.filter(F.split(norm, ""), lambda c: c != ""), char)))
+    same = F.col("drawn")
+    longer = F.when(stays["email"], F.concat(letters, same)).when(stays["card"] | stays["phone"] | stays["ssn"], F.concat(same, digits)).when(stays["access_key"] | stays["iban"], F.concat(same, F.upper(letters))).otherwise(F.concat(same, letters))
+    drawn, same = drawn.withColumn("same", longer), F.col("same")
     head = F.substr(same, F.lit(1), F.length(same) - 1)
     check = (10 - _luhn(F.concat(head, F.lit("0")))) % 10
     card = F.when(_luhn(norm) == 0, F.concat(head, check.cast("string"))).otherwise(same)

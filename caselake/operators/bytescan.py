@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,21 +98,70 @@ def scan_signatures(chunks: DataFrame) -> DataFrame:
 SPAN_CAP = 1 << 30
 
 
-def suppress_nested(hits: DataFrame, cap: int = SPAN_CAP, size: int = 1 << 24) -> DataFrame:
+def suppress_nested(hits: DataFrame, cap: int = SPAN_CAP, size: int = 1 << 24, short: int | None = None) -> DataFrame:
     """`hits` (image, offset, signature, claim, ...) with nested_in: the RIFF file in whose span a hit lies.
 
     A RIFF file with a claim that lies in no open span opens one, up to its claim (`cap` at
     most) and the 8 bytes of its header. Inside it files with a header of their own stay, with
     nested_in; pictures and streams go. Which files open spans depends on those before: a
-    greedy chain; the spans then meet all hits in a range join.
+    greedy chain. Images of `short` hits at most (as in `scans`) are walked along sorted hits, many
+    in a task, and the walk holds one span; in longer ones the chain's spans meet the hits in a
+    range join. Hits are worked out once, as both the count and the walk read them.
     """
-    riff = hits.filter("signature = 'riff-avi' and claim is not null").groupBy("image", F.col("offset").alias("lo")).agg(F.max("claim").alias("claim"))
-    spans = greedy_chain(riff.select("image", "lo", (F.col("lo") + 8 + F.least("claim", F.lit(cap))).alias("hi")), ["image"], "lo", "hi")
     # A file type box is met four bytes behind its file's beginning.
-    seen = hits.select("image", "offset", "signature", (F.col("offset") + F.when(F.col("signature") == "mp4-ftyp", 4).otherwise(0)).alias("_met"))
-    inner = points_in(seen, spans, ["image"], "_met", "lo", "hi", size).filter("_met > _r_lo").groupBy("image", "offset", "signature").agg(F.max("_r_lo").alias("nested_in"))
-    j = hits.join(inner, ["image", "offset", "signature"], "left")
-    return j.filter(F.col("nested_in").isNull() | F.col("signature").isin(*CONTAINERS))
+    met = F.col("offset") + F.when(F.col("signature") == "mp4-ftyp", 4).otherwise(0)
+    until = F.when((F.col("signature") == "riff-avi") & F.col("claim").isNotNull(), F.col("offset") + 8 + F.least("claim", F.lit(cap)))
+    seen = written(hits.withColumns({"_met": met.cast("long"), "_until": until.cast("long")}))
+    few, many = parted(seen, ["image"], long_keys(seen, ["image"], short))
+    j = _walked_spans(few)
+    if many is not None:
+        j = j.unionByName(_joined_spans(many, size))
+    return j.filter(F.col("nested_in").isNull() | F.col("signature").isin(*CONTAINERS)).select(*hits.columns, "nested_in")
+
+
+def _walked_spans(seen: DataFrame) -> DataFrame:
+    """`seen` with nested_in. At one place the longest claim comes first; a span begins behind its own place, so that the order of the others there does not matter."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        image, lo, hi = None, 0, 0
+        for batch in batches:
+            n, images = batch.num_rows, batch.column("image")
+            if n == 0:
+                continue
+            # A null image is in no span.
+            new = np.ones(n, dtype=bool)
+            new[0] = image is None or images[0].as_py() != image
+            new[1:] = pc.fill_null(pc.not_equal(images.slice(1), images.slice(0, n - 1)), True).to_numpy(zero_copy_only=False)
+            number = np.cumsum(new)
+            met = pc.fill_null(batch.column("_met"), 0).to_numpy(zero_copy_only=False)
+            riff = np.flatnonzero(batch.column("_until").is_valid().to_numpy(zero_copy_only=False))
+            ends = batch.column("_until").take(pa.array(riff)).to_numpy(zero_copy_only=False).tolist()
+            # Spans that open in this batch, behind the one that the batch before left open in image 0.
+            at, los, his, owners, owner, end = [-1], [lo], [hi], [0], 0, hi
+            for i, place, mine, to in zip(riff.tolist(), met[riff].tolist(), number[riff].tolist(), ends, strict=True):
+                if mine != owner or place >= end:
+                    owner, end = mine, to
+                    at.append(i)
+                    los.append(place)
+                    his.append(to)
+                    owners.append(mine)
+            last = np.searchsorted(np.array(at), np.arange(n), side="right") - 1
+            begin = np.array(los, dtype=np.int64)[last]
+            inside = (np.array(owners)[last] == number) & (met > begin) & (met < np.array(his, dtype=np.int64)[last])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(begin, mask=~inside)], names=[*batch.schema.names, "nested_in"])
+            image = images[n - 1].as_py()
+            lo, hi = (los[-1], his[-1]) if owners[-1] == number[-1] else (0, 0)
+
+    schema = seen.withColumn("nested_in", F.lit(None).cast("long")).schema
+    return seen.repartition("image").sortWithinPartitions("image", "_met", F.desc_nulls_last("_until")).mapInArrow(walk, schema)
+
+
+def _joined_spans(seen: DataFrame, size: int) -> DataFrame:
+    riff = seen.filter("_until is not null").groupBy("image", F.col("_met").alias("lo")).agg(F.max("_until").alias("hi"))
+    spans = greedy_chain(riff, ["image"], "lo", "hi")
+    places = seen.select("image", "offset", "signature", "_met")
+    inner = points_in(places, spans, ["image"], "_met", "lo", "hi", size).filter("_met > _r_lo").groupBy("image", "offset", "signature").agg(F.max("_r_lo").alias("nested_in"))
+    return seen.join(inner, ["image", "offset", "signature"], "left")
 
 
 ANCHOR_STEP = 4 << 20

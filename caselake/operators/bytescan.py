@@ -2,7 +2,7 @@
 
 Chunks are (image, start_b, bytes) rows as `sources.chunks` reads them, each with some
 bytes of the one before (752 at least), so that a pattern across a border is seen whole;
-rows found twice become one.
+rows found twice become one. Scans cut chunks into such pieces again.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -40,6 +40,19 @@ CONTAINERS = ("mp4-ftyp", "riff-avi", "dahua-dhav", "hikvision-imkh", "ebml-mkv"
 TS_PACKET, TS_SYNC = 188, 0x47
 START_CODE = b"\x00\x00\x00\x01"
 ANNEX_B_REACH = 512
+#: Scans see a chunk in pieces of so many bytes, each with as many of the piece before as chunks have of the chunk before.
+PIECE, OVERLAP = 4096, 752
+
+
+def _pieces(chunks: DataFrame) -> DataFrame:
+    """The chunks (image, start_b, bytes) cut into pieces of `PIECE` + `OVERLAP` bytes at most, so that what a scan holds at once (a batch of rows) has a bound, however large chunks are."""
+    ends = F.sequence(F.lit(0), F.greatest(F.octet_length("bytes") - 1, F.lit(0)), F.lit(PIECE))
+
+    def piece(at: Column) -> Column:
+        start = F.greatest(at - OVERLAP, F.lit(0))
+        return F.struct((F.col("start_b") + start).alias("start_b"), F.substring("bytes", start + 1, at + PIECE - start).alias("bytes"))
+
+    return chunks.select("image", F.explode(F.transform(ends, piece)).alias("_piece")).select("image", "_piece.*")
 
 
 def _syncs(data: np.ndarray, start: int) -> np.ndarray:
@@ -90,7 +103,7 @@ def scan_signatures(chunks: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["image", "offset", "signature", "declared", "claim"])
             yield out.astype({"declared": "Int64", "claim": "Int64"})
 
-    found = chunks.select("image", "start_b", "bytes").mapInPandas(scan, "image string, offset long, signature string, declared long, claim long")
+    found = _pieces(chunks).mapInPandas(scan, "image string, offset long, signature string, declared long, claim long")
     first = F.min(F.struct((F.col("signature") == "mp4-ftyp").alias("late"), "signature"))
     return found.groupBy("image", "offset").agg(first["signature"].alias("signature"), F.max("declared").alias("declared"), F.max("claim").alias("claim"))
 
@@ -202,13 +215,14 @@ def ts_runs(chunks: DataFrame) -> DataFrame:
             rows = [(image, a, b, a % TS_PACKET) for image, start, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True) for a, b in _sync_runs(np.frombuffer(bytes(data), dtype=np.uint8), start).tolist()]
             yield pd.DataFrame(rows, columns=["image", "start_b", "end_b", "phase"])
 
-    found = chunks.select("image", "start_b", "bytes").mapInPandas(pieces, "image string, start_b long, end_b long, phase long")
+    found = _pieces(chunks).mapInPandas(pieces, "image string, start_b long, end_b long, phase long")
     runs = merged(found, ["image", "phase"]).withColumn("packets", F.expr(f"(end_b - start_b) div {TS_PACKET}"))
     return runs.filter(F.col("packets") >= LEAST_PACKETS).select("image", "start_b", "end_b", "packets")
 
 
 #: A sentence ends at a line's end, or after 200 bytes.
-SENTENCE = rb"(?=(\$G[^\r\n](?:RMC|GGA),[^\r\n]{0,193}))"
+SENTENCE_HEAD = r"\$G[^\r\n](?:RMC|GGA),"
+SENTENCE = SENTENCE_HEAD + r"[^\r\n]{0,193}"
 
 
 def track_points(chunks: DataFrame) -> DataFrame:
@@ -219,12 +233,12 @@ def track_points(chunks: DataFrame) -> DataFrame:
     an offset counts). Years from 80 on are of the 20th century.
     """
 
-    def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(i, s + m.start(), m.group(1).decode("ascii", "replace")) for i, s, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True) for m in re.finditer(SENTENCE, bytes(data))]
-            yield pd.DataFrame(rows, columns=["image", "offset", "text"])
-
-    s = chunks.select("image", "start_b", "bytes").mapInPandas(sentences, "image string, offset long, text string")
+    # One sign for each byte; parts of a piece begin where sentences do, and a sentence may reach over the next one's beginning.
+    s = _pieces(chunks).select("image", "start_b", F.decode("bytes", "ISO-8859-1").alias("piece")).filter(F.contains("piece", F.lit("$G")))
+    lengths = F.transform(F.split("piece", f"(?={SENTENCE_HEAD})", -1), F.length)
+    s = s.withColumn("places", F.aggregate(lengths, F.array(F.lit(0)), lambda places, n: F.concat(places, F.array(F.element_at(places, -1) + n))))
+    s = s.select("image", "start_b", F.explode(F.transform("places", lambda at: F.struct(at.alias("at"), F.regexp_extract(F.substr("piece", at + 1, F.lit(200)), f"^{SENTENCE}", 0).alias("text")))).alias("m"))
+    s = s.filter("m.text <> ''").select("image", (F.col("start_b") + F.col("m.at")).alias("offset"), F.regexp_replace("m.text", r"[^\x00-\x7F]", "\ufffd").alias("text"))
     s = s.groupBy("image", "offset").agg(F.max_by("text", F.length("text")).alias("text"))
     f = F.split(F.regexp_replace("text", r"(?s)\*.*$", ""), ",")
     s = s.withColumn("f", f).withColumn("rmc", F.substring(f[0], 4, 3) == "RMC")
@@ -270,7 +284,7 @@ def frame_headers(chunks: DataFrame) -> DataFrame:
                             rows.append((image, start + m.start(), kind, channel, date, counter, length, kind in VIDEO_TYPES))
             yield pd.DataFrame(rows, columns=["image", "offset", "type", "channel", "packed_date", "counter", "length", "is_video"])
 
-    return chunks.select("image", "start_b", "bytes").mapInPandas(headers, "image string, offset long, type int, channel int, packed_date long, counter int, length long, is_video boolean").distinct()
+    return _pieces(chunks).mapInPandas(headers, "image string, offset long, type int, channel int, packed_date long, counter int, length long, is_video boolean").distinct()
 
 
 #: The largest chunk of the AVI format that counts, and the video frames that a run needs.
@@ -303,7 +317,7 @@ def frame_units(chunks: DataFrame) -> DataFrame:
             rows = [(i, *unit) for i, s, data in zip(batch["image"], batch["start_b"], batch["bytes"], strict=True) for unit in _units(bytes(data), s)]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in UNITS.split(", ")])
 
-    return chunks.select("image", "start_b", "bytes").mapInPandas(parse, UNITS).distinct()
+    return _pieces(chunks).mapInPandas(parse, UNITS).distinct()
 
 
 def unit_chains(units: DataFrame, short: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from caselake.llm import hard_negatives as H
@@ -81,3 +82,40 @@ def test_query_over_its_table(spark):
     d = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
     assert mined(QUERIES["op13_hard_negatives"](spark, d)) == brute(rows)
+
+
+def test_tables_between_hold_no_row_per_anchor_and_block(spark, monkeypatch):
+    for name, n in (("BLOCK_ROWS", 8), ("CHUNK_BLOCKS", 200), ("ZONES", 8)):
+        monkeypatch.setattr(H, name, n)
+    written, write = [], H.cut
+    monkeypatch.setattr(H, "cut", lambda df: written.append(write(df)) or written[-1])
+    rng = random.Random(5)
+    # In 24 dimensions bounds prune nothing; all rows are anchors; many agree in id and vector, so that no range parts them.
+    rows = [(50 * i, [rng.gauss(0, 0.2) for _ in range(24)], rng.randint(0, 3)) for i in range(600)]
+    rows += [(50, rows[1][1], 1 + k % 2) for k in range(300)]
+    assert mined(H.mine(spark.createDataFrame([(*r, 0) for r in rows], SCHEMA))) == brute(rows)
+    assert max(t.count() for t in written) <= 16 * len(rows)
+    anchors = next(t for t in written if "home" in t.columns)
+    most = lambda c: max(r["count"] for r in anchors.groupBy(c).count().collect())
+    assert most("home") <= 8 and "chunk" in anchors.columns and most("chunk") <= 200 * 8 // 50
+
+
+@pytest.mark.parametrize("scale", [40, 40_000, 100_000_000])
+@pytest.mark.parametrize("own", [True, False])
+def test_a_group_is_searched_exactly_in_any_number_type(scale, own):
+    rng = np.random.default_rng(scale)
+    v = np.concatenate([rng.integers(-scale, scale, (90, 5)), np.full((30, 5), scale)])
+    block, label, ids, pos = np.arange(120) // 40, rng.integers(0, 3, 120), rng.integers(0, 60, 120), rng.permutation(120)
+    rows = pd.DataFrame({"_dims": 5, "block_": block, "pos_": pos, "id_": ids, "label_": label, "v_": list(v)})
+    score = v @ v.T
+    for same, most in ((True, 5), (False, 3)):
+        top = [[H.MOST] if same else [int(score[k].max()) // 2, int(score[k].max()) * 19 // 20] for k in range(120)]
+        low = [[H.LEAST] if same else [x // 3 for x in t] for t in top]
+        asked = pd.DataFrame({"rid": pos, "home": block, "label": label, "a": list(v), "lo": low, "hi": top, "floor": low})
+        got = H._best(same, own, most)(asked, rows)
+        want = []
+        for k in range(120):
+            for lo, hi in zip(low[k], top[k], strict=True):
+                can = [j for j in range(120) if (block[j] == block[k]) == own and (label[j] == label[k]) == same and not (same and j == k) and lo <= score[k, j] <= hi]
+                want += [(pos[k], lo, hi, pos[j], ids[j], score[k, j]) for j in sorted(can, key=lambda j: (-score[k, j], ids[j], pos[j]))[:most]]
+        assert sorted(map(tuple, got.astype(object).to_numpy())) == sorted(want)
